@@ -1,6 +1,6 @@
 """Quality rules under weak supervision, with DataFrame functions only.
 
-Rules vote keep (+1), drop (-1) or abstain (0). Documents are counted by their pattern of votes (at most 3^7 rows for
+Rules vote keep (+1), drop (-1) or abstain (0). Documents are counted by their pattern of votes (at most 3^8 rows for
 any corpus), expectation-maximisation over that table estimates how each rule votes on good and on bad documents, and
 a document's posterior probability of being good replaces passing every rule.
 
@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from quillon.llm.common import SPACES, let, stash, text_or_empty, words_of
 
 SYMBOLS = "#*$%&|<>"
-RULES = ("symbols", "capitals", "exclaims", "dup_lines", "repeats", "word_length", "line_ends")
+RULES = ("symbols", "symbol_chars", "capitals", "exclaims", "dup_lines", "repeats", "word_length", "line_ends")
 ROUNDS = 30
 #: Prior belief, worth PRIOR_WEIGHT of the documents: how a rule votes (drop, abstain, keep) on bad and on good ones.
-PRIOR_BAD, PRIOR_GOOD, PRIOR_WEIGHT, PRIOR_GOOD_SHARE = (0.4, 0.3, 0.3), (0.02, 0.18, 0.8), 0.25, 0.8
+PRIOR_BAD, PRIOR_GOOD, PRIOR_WEIGHT, PRIOR_GOOD_SHARE = (0.3, 0.1, 0.6), (0.004, 0.096, 0.9), 1.0, 0.8
 
 
 def _covered(words: Column, n: Column) -> Column:
@@ -70,17 +70,18 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
 
 def votes() -> list[Column]:
-    """The seven votes from the measures, in integers only. A document without words gets drop votes or none."""
+    """The eight votes from the measures, in integers only. A document without words gets drop votes or none."""
 
     def vote(bad: str, good: str) -> Column:
         return F.expr(f"case when {bad} then -1 when {good} then 1 else 0 end")
 
     return [
         vote("10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
+        vote("25 * n_symbols > word_chars", "100 * n_symbols <= word_chars"),
         vote("2 * n_capitals > word_chars", "4 * n_capitals <= word_chars"),
         vote("5 * n_exclaims > n_words", "20 * n_exclaims <= n_words"),
-        vote("10 * n_dup_lines > 3 * n_lines", "20 * n_dup_lines <= n_lines"),
-        vote("10 * n_repeat_words > 3 * n_words", "10 * n_repeat_words <= n_words"),
+        vote("2 * n_dup_lines > n_lines", "20 * n_dup_lines <= n_lines"),
+        vote("10 * n_repeat_words > 4 * n_words", "10 * n_repeat_words <= n_words"),
         vote("word_chars < 2 * n_words or word_chars > 20 * n_words or n_words = 0", "word_chars >= 3 * n_words and word_chars <= 12 * n_words"),
         vote("10 * n_line_ends < n_lines", "2 * n_line_ends >= n_lines"),
     ]
@@ -149,7 +150,7 @@ def judged(measured: DataFrame) -> DataFrame:
     """Adds the pattern of votes, p_good and kept. measured is read twice: give it a stored table."""
     rows = measured.withColumn("pattern", pattern(votes()))
     table = posterior(rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")))
-    # At most 3^7 rows, whatever the corpus: small enough to broadcast.
+    # At most 3^8 rows, whatever the corpus: small enough to broadcast.
     return rows.join(F.broadcast(table), "pattern").withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
 
 
