@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from quillon.llm.mixing import op7_query
+from quillon.llm.pieces import op10_query
 from quillon.llm.quality import op3_query
 from quillon.llm.sharding import op9_query
+from quillon.llm.warc import op6_query
 
 
 def queries() -> dict:
     return {
         "op3_quality_rules": op3_query,
+        "op6_warc": op6_query,
+        "op7_mixing": op7_query,
         "op9_sharding": op9_query,
+        "op10_sentencepiece": op10_query,
     }
 
 
