@@ -122,7 +122,7 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
                     if out is not None:
                         out.close()
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
-                    out = system.open_output_stream(f"{base}/{name}")
+                    out = system.open_output_stream(f"{base}/{name}", compression=None)
                 member = record(page_id, url, (html or "").encode("utf-8", "replace"), digest, ref)
                 out.write(member)
                 entries.append((page_id, url, digest, f"{folder}/{name}", at, len(member)))
