@@ -5,13 +5,17 @@ from __future__ import annotations
 from quillon.llm.mixing import op7_query
 from quillon.llm.pieces import op10_query
 from quillon.llm.quality import op3_query
+from quillon.llm.secret_crf import op1_query
 from quillon.llm.sharding import op9_query
+from quillon.llm.toxicity import op5_query
 from quillon.llm.warc import op6_query
 
 
 def queries() -> dict:
     return {
+        "op1_secret_scan": op1_query,
         "op3_quality_rules": op3_query,
+        "op5_toxicity": op5_query,
         "op6_warc": op6_query,
         "op7_mixing": op7_query,
         "op9_sharding": op9_query,
