@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillon.llm.mixing import op7_query
+from quillon.llm.ngram_join import op4_query
 from quillon.llm.pieces import op10_query
 from quillon.llm.quality import op3_query
 from quillon.llm.secret_crf import op1_query
@@ -15,6 +16,7 @@ def queries() -> dict:
     return {
         "op1_secret_scan": op1_query,
         "op3_quality_rules": op3_query,
+        "op4_ngram_join": op4_query,
         "op5_toxicity": op5_query,
         "op6_warc": op6_query,
         "op7_mixing": op7_query,
