@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillon.llm.line_dedup import op8_query
 from quillon.llm.mixing import op7_query
 from quillon.llm.ngram_join import op4_query
 from quillon.llm.pieces import op10_query
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op5_toxicity": op5_query,
         "op6_warc": op6_query,
         "op7_mixing": op7_query,
+        "op8_line_dedup": op8_query,
         "op9_sharding": op9_query,
         "op10_sentencepiece": op10_query,
     }
