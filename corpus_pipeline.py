@@ -1,25 +1,63 @@
-"""The corpus pipeline: STAGES, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: quality rules, line dedup, near duplicates, mixing, SentencePiece pieces.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and is written as Parquet and read
+again as the next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import quality
+from quillon.llm import line_dedup, mixing, ngram_join, pieces, quality
 from quillon.llm.common import stash
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Share of the words that the mixture takes, each document at most once.
+BUDGET_PERCENT, MAX_EPOCHS = 80, 1
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    measured = stash(quality.measures(docs, keep=["text", "lang", "source", "n_chars"]), "measures")
-    return quality.judged(measured).where("kept").select("doc_id", "text", "lang", "source", "n_chars")
+    """Documents whose probability of being good is 1/2 or more and that the base rule does not fail."""
+    measured = stash(quality.measures(docs, keep=COLUMNS), "measures")
+    return quality.judged(measured).where("kept").select("carried.*")
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated runs of lines are gone; so are documents that lost every line."""
+    out = line_dedup.delete_repeats(docs).where("_n_deleted < _n_lines")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the smallest id. Empty texts are in no group."""
+    found = ngram_join.similar_documents(docs)
+    keep = found.where("component_id is null or component_id = doc_id").select("doc_id").distinct()
+    return docs.join(keep, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each leaf's prefix of its shuffled documents; the last document of a leaf is cut where the budget ends."""
+    counts = stash(mixing.token_counts(docs), "token-counts")
+    taken = stash(mixing.mix(counts, BUDGET_PERCENT, max_epochs=MAX_EPOCHS).select("doc_id", "take", "n_tokens"), "taken")
+    cut = F.col("take") < F.col("n_tokens")
+    rows = docs.join(taken.groupBy("doc_id").agg(F.max("take").alias("take"), F.max("n_tokens").alias("n_tokens")), "doc_id")
+    rows = rows.withColumn("text", F.when(cut, mixing.first_words(F.col("text"), F.col("take"))).otherwise(F.col("text")))
+    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text's pieces."""
+    return pieces.encode_column(docs)
 
 
-STAGES = [("quality", quality_stage)]
+STAGES = [("quality rules", quality_stage), ("line dedup", line_stage), ("near duplicates", near_duplicate_stage), ("mixing", mixing_stage), ("pieces", piece_stage)]
+#: No SQL: suffix arrays and the piece model are beyond it. Tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)

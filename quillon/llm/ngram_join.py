@@ -10,10 +10,11 @@ parts it reaches, k being the most that any partner of its size allows: sets tha
 reaches too few parts emits a common signature of its band besides, so none is lost.
 
 Equal sets are merged first and stand for one another. Sharing a signature only makes a candidate; candidates are
-compared on whole texts. Each set is first compared with the smallest id that shares most of its signatures, then with
-the smallest of each of its groups, and at last every pair of a group that is not connected by then. Pairs already
-connected need no comparison, so groups of copies are never expanded into pairs. Groups too large to expand are cut
-again by signatures of a second, independent family, which linked sets share as well.
+compared on whole texts. Each set is first compared with the smallest id that shares most of its signatures. Groups of
+one signature whose sets are not all connected by then are joined by their smallest ids into clusters, and in each the
+sets outside its largest component are compared with all others through an index of shingles. Pairs already connected
+need no comparison, and no pairs are written down but those that link. Clusters too large are cut again by signatures
+of a second, independent family, which linked sets share as well, and what is still large is compared block by block.
 
 Defined results: a null or empty text has an empty set and links with nothing; with fewer than five words the whole
 sequence is the only element; equal texts link; rows with a null id link with nothing and get a null component.
@@ -35,8 +36,8 @@ WORDS = 5
 #: 0.8 as a fraction of whole numbers.
 NUM, DEN = 4, 5
 SALTS = 16
-#: Groups up to this size are compared pair by pair; larger ones are cut again first.
-PAIRWISE = 48
+#: Shingles of a block of sets that are compared in one task, and of a cluster that is cut again before.
+BLOCK, LARGE = 1 << 21, 1 << 24
 #: Buckets of the filter on ids (a table of at most this many numbers, whatever the corpus).
 BUCKETS = 1 << 20
 STAR_ROWS = 400
@@ -97,11 +98,23 @@ def _bands(n: int) -> list[int]:
 
 
 def _parts(band: int) -> int:
-    return 256 if band <= 3 else 64 if band == 4 else (3 << (band + 1)) // 10 + 24
+    """Parts of a band: about 2.6 elements each for the largest sets, more parts than elements for tiny ones."""
+    return 256 if band <= 3 else 64 if band == 4 else (10 << (band + 1)) // 26
+
+
+def _first_parts(parts: np.ndarray, k: int, tag: int) -> np.ndarray:
+    """Signatures of the first k + 1 parts given; one for all sets besides where there are no more than k."""
+    out = _mix(parts[: k + 1] + _mix(np.array([tag], _U)))
+    return np.concatenate([out, _mix(np.array([tag + 1], _U))]) if len(parts) <= k else out
 
 
 def signatures(s: np.ndarray, family: int = 0) -> np.ndarray:
-    """Signatures of a set; linked sets share one of each family."""
+    """Signatures of a set; linked sets share one of each family.
+
+    Parts that hold a single element of a set say little and are passed over; whether one is, depends only on what it
+    holds, so the argument stands for the parts left. A set left with too few of them emits as if none were passed over,
+    for the sake of partners in the same case.
+    """
     n, out = len(s), []
     for band in _bands(n) if n else []:
         parts, most = _parts(band), (2 << band) - 1
@@ -111,12 +124,14 @@ def signatures(s: np.ndarray, family: int = 0) -> np.ndarray:
         order = np.argsort(part, kind="stable")
         part = part[order]
         starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        sums = np.add.reduceat(_mix(h[order] + _U(1)), starts)
-        tag = _mix(part[starts] + _U((band + 1) << 32) + _U(family << 48))
-        sig = _mix(sums + tag)[: k + 1]
-        if len(starts) <= k:
-            sig = np.concatenate([sig, _mix(np.array([(band + 1) << 40 | family << 50 | 1], _U))])
-        out.append(sig)
+        held = np.diff(np.append(starts, n))
+        ids = np.add.reduceat(_mix(h[order] + _U(1)), starts) + _mix(part[starts] + _U(1 << 20))
+        tag = (band + 1) << 8 | family << 16
+        full = ids[held > 1] if band > 4 else ids[:0]
+        if len(full) > k:
+            out.append(_first_parts(full, k, tag))
+        else:
+            out += [_mix(full + _mix(np.array([tag], _U))), _first_parts(ids, k, tag + 2)]
     return np.unique(np.concatenate(out)) if out else np.zeros(0, _U)
 
 
@@ -210,34 +225,111 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _unresolved(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows (sig, id, n, first, label) of the groups that still hold more than one component."""
-    rows = shared if labels is None else shared.join(labels, "id", "left")
-    rows = rows.withColumn("label", F.coalesce(F.col("label"), F.col("id")) if labels is not None else F.col("id"))
-    open_ = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-    return rows.join(stash(open_.select("sig", "size"), "open-groups"), "sig")
+def _different_groups(shared: DataFrame) -> DataFrame:
+    """One of all groups that hold the same ids, with their number as weight."""
+    groups = shared.groupBy("sig").agg(F.expr("bit_xor(xxhash64(id))").alias("g1"), F.expr("bit_xor(xxhash64(id, 3))").alias("g2"), F.count(F.lit(1)).alias("k"), F.min("first").alias("f"))
+    groups = groups.groupBy("g1", "g2", "k", "f").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("weight")).select("sig", "weight")
+    out = stash(shared.join(stash(groups, "groups"), "sig"), "shared")
+    forget(shared)
+    return out
 
 
-def _close_in_size(a: str, b: str) -> Column:
-    return (DEN * F.col(a) >= NUM * F.col(b)) & (DEN * F.col(b) >= NUM * F.col(a))
+def _open_clusters(rows: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Of rows (key, id, n), each once and with its label, those of clusters that hold more than one component."""
+    rows = rows.select("key", "id", "n").distinct() if labels is not None else rows
+    if labels is not None:
+        rows = stash(rows.join(labels, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label")), "cluster-rows")
+    sizes = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("size")).where("lo < hi")
+    return rows.join(stash(sizes.select("key", "size"), "cluster-sizes"), "key")
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of one group and of different components, that sizes allow to link."""
-    x = rows.select("sig", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"))
-    y = rows.select("sig", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
-    return x.join(y, "sig").where((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & _close_in_size("n_a", "n_b")).select("a", "b").distinct()
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """docs, but for most of those whose id is not in ids: told apart by a table of at most BUCKETS hash buckets."""
+    buckets = ids.select(_bucket(F.col("doc_id")).alias("bucket")).distinct()
+    return docs.withColumn("bucket", _bucket(F.col("doc_id"))).join(F.broadcast(buckets), "bucket", "left_semi").select("doc_id", "text")
 
 
-def _refined(rows: DataFrame, docs: DataFrame, family: int) -> DataFrame:
-    """Cut groups again: (sig, id, ...) becomes one row for each signature of another family, keyed by both."""
-    ids = rows.select(F.col("id").alias("doc_id")).distinct()
-    buckets = ids.select(_bucket(F.col("doc_id")).alias("bucket")).distinct()
-    texts = docs.withColumn("bucket", _bucket(F.col("doc_id"))).join(F.broadcast(buckets), "bucket", "left_semi").select("doc_id", "text")
-    more = _signed(texts, family).select(F.col("doc_id").alias("id"), F.explode("sigs").alias("sig2")).distinct()
-    out = rows.join(more, "id").withColumn("sig", F.xxhash64("sig", "sig2")).select("sig", "id", "n", "label")
-    groups = out.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-    return stash(out.join(stash(groups.select("sig", "size"), "cut-groups"), "sig"), "cut")
+def _cut_again(rows: DataFrame, docs: DataFrame, family: int) -> DataFrame:
+    """Clusters cut by signatures of another family: sets that link stay together in at least one of the new ones."""
+    more = _signed(_texts_of(rows.select(F.col("id").alias("doc_id")), docs), family).select(F.col("doc_id").alias("id"), F.explode("sigs").alias("sig"))
+    more = stash(rows.join(more, "id").select("key", "id", "n", "label", "sig"), "cut")
+    first = more.groupBy("key", "sig").agg(F.min("id").alias("first"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "sig", "first")
+    out = more.join(stash(first, "cut-groups"), ["key", "sig"]).select(F.xxhash64("key", "first").alias("key"), "id", "n", "label").distinct()
+    return stash(out, "cut-clusters")
+
+
+class _Block:
+    """Sets as one index from shingle to sets."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        elements = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(elements, kind="stable")
+        self.elements, self.owner = elements[order], owner[order]
+
+    def links(self, s: np.ndarray) -> np.ndarray:
+        """Places of the sets that link with s."""
+        lo, hi = np.searchsorted(self.elements, s, "left"), np.searchsorted(self.elements, s, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        shared = np.bincount(self.owner[at], minlength=len(self.sizes))
+        return np.flatnonzero((shared > 0) & (100 * shared >= 80 * (len(s) + self.sizes - shared)))
+
+
+def compare_clusters(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of the clusters (key, id, n, label), one for each set and component.
+
+    A cluster's largest component needs no comparison in itself: only sets outside it look for partners. Both sides come
+    in blocks of about BLOCK shingles, so no task holds more than two of those.
+    """
+    counts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
+    main = stash(counts.groupBy("key").agg(F.max(F.struct("k", "label"))["label"].alias("main")), "main")
+    rows = stash(rows.join(main, "key").withColumn("seeks", F.col("label") != F.col("main")).drop("main"), "to-compare")
+    blocks = rows.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("n_all"), F.ceil(F.sum(F.when(F.col("seeks"), F.col("n")).otherwise(0)) / BLOCK).cast("int").alias("n_seek"))
+    rows = rows.join(stash(blocks, "blocks"), "key")
+    own = lambda n: F.pmod(F.xxhash64("id", F.lit(9)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    seek = rows.where("seeks").withColumn("s", own("n_seek")).withColumn("a", every("n_all")).withColumn("side", F.lit(1))
+    found = rows.withColumn("a", own("n_all")).withColumn("s", every("n_seek")).withColumn("side", F.lit(2))
+    names = ["key", "s", "a", "id", "label"]
+    # side 3: in one task on both sides, so the text travels once.
+    sent = stash(seek.select(*names, "side").union(found.select(*names, "side")).groupBy(*names).agg(F.sum("side").cast("int").alias("side")).withColumnRenamed("id", "doc_id"), "sent")
+    moved = sent.join(_texts_of(sent, docs), "doc_id").repartition("key", "s", "a").sortWithinPartitions("key", "s", "a")
+    moved = moved.select("key", "s", "a", "doc_id", "label", "side", "text")
+
+    def matched(ids: list[int], labels: list[int], sides: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        there = [i for i, side in enumerate(sides) if side & 2]
+        if not there:
+            return
+        block, label = _Block([sets[i] for i in there]), np.array([labels[i] for i in there])
+        for i, side in enumerate(sides):
+            if side & 1:
+                near = block.links(sets[i])
+                near = near[label[near] != labels[i]]
+                for j in near[np.unique(label[near], return_index=True)[1]]:
+                    yield ids[i], ids[there[j]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        now, held = None, ([], [], [], [])
+        for batch in batches:
+            pairs = []
+            for key, s, a, doc, label, side, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, s, a) != now:
+                    pairs += matched(*held)
+                    now, held = (key, s, a), ([], [], [], [])
+                for column, value in zip(held, (doc, label, side, shingle_set(text))):
+                    column.append(value)
+            yield out(pairs)
+        yield out(list(matched(*held)))
+
+    links = stash(moved.mapInArrow(run, "a long, b long").distinct(), "cluster-links")
+    forget(sent)
+    return links
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,46 +342,26 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sets = named.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("id"), F.first("sigs").alias("sigs"))
     rows = sets.select("id", "n", F.explode("sigs").alias("sig"))
     shared = rows.withColumn("first", F.expr("min(id) over (partition by sig order by id)")).withColumn("next", F.expr("lead(id) over (partition by sig order by id)"))
-    shared = stash(shared.where("first != id or next is not null").select("sig", "id", "n", "first"), "shared")
+    shared = _different_groups(stash(shared.where("first != id or next is not null").select("sig", "id", "n", "first"), "shared"))
     members = stash(signed.select("doc_id", "n", "fp1", "fp2"), "members")
     forget(signed)
     _free(spark)
 
     # Each set with the hub that shares most of its signatures.
-    votes = shared.where("first != id").groupBy("id", "first").agg(F.count(F.lit(1)).alias("k"))
+    votes = shared.where("first != id").groupBy("id", "first").agg(F.sum("weight").alias("k"))
     tried = stash(votes.groupBy("id").agg(F.max(F.struct(F.col("k"), -F.col("first"))).alias("x")).select((-F.col("x.col2")).alias("a"), F.col("id").alias("b")), "star")
     links = verify(tried, docs)
     labels = components(links)
     _free(spark)
 
-    # Each set with the smallest of each of its groups, where they are not connected yet.
-    left = stash(_unresolved(shared, labels), "unresolved")
-    more = left.where("first != id").select(F.col("first").alias("a"), F.col("id").alias("b"), "label", "n").distinct()
-    ends = left.select(F.col("id").alias("a"), F.col("label").alias("l_a"), F.col("n").alias("n_a")).distinct()
-    more = more.join(ends, "a").where((F.col("label") != F.col("l_a")) & _close_in_size("n", "n_a")).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = stash(more, "second-star")
-    links = stash(links.union(verify(more, docs)), "links")
-    labels = components(links)
-    tried = tried.union(more)
-    forget(left)
+    # The sets of one cluster have a signature in common with its smallest: all groups with that smallest id.
+    left = stash(_open_clusters(shared.withColumnRenamed("first", "key"), labels), "clusters")
+    small = left.where(F.col("size") <= LARGE).drop("size")
+    large = left.where(F.col("size") > LARGE).drop("size")
+    if large.limit(1).count():
+        small = small.union(_open_clusters(_cut_again(large, docs, 1)).drop("size"))
+    links = stash(links.union(compare_clusters(small, docs)), "links")
     _free(spark)
-
-    # Every pair of what is left.
-    left = stash(_unresolved(shared, labels).select("sig", "id", "n", "label", "size"), "unresolved")
-    family, small = 1, left.where(F.col("size") <= PAIRWISE)
-    pairs = [_pairs(small)]
-    large = left.where(F.col("size") > PAIRWISE)
-    while family <= 4 and large.limit(1).count():
-        cut = _refined(large.select("sig", "id", "n", "label"), docs, family)
-        last = family == 4
-        pairs.append(_pairs(cut if last else cut.where(F.col("size") <= PAIRWISE)))
-        large = cut.where(F.col("size") > PAIRWISE)
-        family += 1
-    every = pairs[0]
-    for p in pairs[1:]:
-        every = every.union(p)
-    every = stash(every.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = stash(links.union(verify(every, docs)), "links")
     labels = stash(components(links).select(F.col("id").alias("rep"), F.col("label").alias("component")), "components")
     return _membership(members, labels)
 

@@ -40,8 +40,10 @@ def _covered(words: Column, n: Column) -> Column:
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The counts that the rules read, for each document; keep: further columns to carry."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), *(keep or []))
+    """The counts that the rules read, for each document; keep: columns of docs to carry, as a struct named carried."""
+    carried = [F.struct(*keep).alias("carried")] if keep else []
+    keep = ["carried"] if keep else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), *carried)
     text = F.col("text")
 
     def without(chars: str) -> Column:
@@ -53,10 +55,10 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     def lines(a: Column) -> Column:
         return F.struct(F.size(a).cast("long").alias("n_lines"), (F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"))
 
-    rows = rows.select("doc_id", *(keep or []), "text", let(words_of(text), each).alias("_w"), let(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lines).alias("_l"))
+    rows = rows.select("doc_id", *keep, "text", let(words_of(text), each).alias("_w"), let(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lines).alias("_l"))
     return rows.select(
         "doc_id",
-        *(keep or []),
+        *keep,
         F.col("_w.n_words").alias("n_words"),
         without(SPACES).cast("long").alias("word_chars"),
         (F.length(text) - without(SYMBOLS)).cast("long").alias("n_symbols"),

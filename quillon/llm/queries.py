@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillon.llm.ann import op2_query
 from quillon.llm.line_dedup import op8_query
 from quillon.llm.mixing import op7_query
 from quillon.llm.ngram_join import op4_query
@@ -16,6 +17,7 @@ from quillon.llm.warc import op6_query
 def queries() -> dict:
     return {
         "op1_secret_scan": op1_query,
+        "op2_nearest_neighbours": op2_query,
         "op3_quality_rules": op3_query,
         "op4_ngram_join": op4_query,
         "op5_toxicity": op5_query,
