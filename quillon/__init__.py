@@ -1 +1 @@
-"""Part of the quillon engine."""
+"""A panel analytics engine on Spark DataFrames."""

@@ -1 +1 @@
-"""Part of the quillon engine."""
+"""Columns with the missing-value rules of panels."""

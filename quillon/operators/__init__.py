@@ -1 +1 @@
-"""Part of the quillon engine."""
+"""Labels, evaluation methods, neutralization, screening, blending and maintenance of panels."""

@@ -1 +1 @@
-"""Part of the quillon engine."""
+"""The expression language: parsing and compiling to DataFrame plans."""

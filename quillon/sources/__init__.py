@@ -1 +1 @@
-"""Part of the quillon engine."""
+"""Where panels come from and go to."""

@@ -1 +1 @@
-"""Part of the quillon engine."""
+"""Incremental panels from streams."""
