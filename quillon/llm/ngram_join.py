@@ -176,10 +176,10 @@ def verify(edges: DataFrame, docs: DataFrame) -> DataFrame:
     counts = stash(edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR_ROWS).cast("int").alias("salts")), "hubs")
     sent = edges.join(counts, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
     sent = sent.union(counts.select(F.col("a"), F.col("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1))))
-    sent = stash(sent.withColumn("bucket", _bucket(F.col("doc_id"))), "sent")
-    # BUCKETS rows at most, whatever the corpus.
-    texts = docs.withColumn("bucket", _bucket(F.col("doc_id"))).join(F.broadcast(sent.select("bucket").distinct()), "bucket", "left_semi").select("doc_id", "text")
-    rows = sent.select("doc_id", "hub", "salt").join(texts, "doc_id").withColumn("member", F.col("doc_id") != F.col("hub"))
+    sent = stash(sent, "sent")
+    texts = _texts_of(sent, docs)
+    # Both sides grow with the corpus, so neither is broadcast at any size.
+    rows = sent.select("doc_id", "hub", "salt").join(texts.hint("merge"), "doc_id").withColumn("member", F.col("doc_id") != F.col("hub"))
     rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member").select("hub", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +295,7 @@ def compare_clusters(rows: DataFrame, docs: DataFrame) -> DataFrame:
     names = ["key", "s", "a", "id", "label"]
     # side 3: in one task on both sides, so the text travels once.
     sent = stash(seek.select(*names, "side").union(found.select(*names, "side")).groupBy(*names).agg(F.sum("side").cast("int").alias("side")).withColumnRenamed("id", "doc_id"), "sent")
-    moved = sent.join(_texts_of(sent, docs), "doc_id").repartition("key", "s", "a").sortWithinPartitions("key", "s", "a")
+    moved = sent.join(_texts_of(sent, docs).hint("merge"), "doc_id").repartition("key", "s", "a").sortWithinPartitions("key", "s", "a")
     moved = moved.select("key", "s", "a", "doc_id", "label", "side", "text")
 
     def matched(ids: list[int], labels: list[int], sides: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -332,18 +332,33 @@ def compare_clusters(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return links
 
 
+def _set_groups(members: DataFrame) -> DataFrame:
+    """(fp1, fp2, n, rep, k, salt) of sets that k > 1 documents have: once for each salt, for joins with all of them."""
+    named = members.where("n > 0 and doc_id is not null")
+    groups = named.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    return groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _without_copies(signed: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of signed of the smallest document of each set. Only rows in a copy's hash bucket are shuffled."""
+    salted = members.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
+    copies = stash(salted.join(_set_groups(members), ["fp1", "fp2", "n", "salt"]).where("doc_id != rep").select("doc_id", "fp1").distinct(), "copies")
+    buckets = F.broadcast(copies.select(_bucket(F.col("doc_id")).alias("bucket")).distinct())
+    signed = signed.withColumn("bucket", _bucket(F.col("doc_id")))
+    near = signed.join(buckets, "bucket", "left_semi").join(copies, ["doc_id", "fp1"], "left_anti")
+    return near.select(*signed.columns).union(signed.join(buckets, "bucket", "left_anti").select(*signed.columns))
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     signed = stash(_signed(docs), "signed")
     named = signed.where("n > 0 and doc_id is not null")
-    # Equal sets become one: copies are combined before the shuffle.
-    sets = named.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("id"), F.first("sigs").alias("sigs"))
-    rows = sets.select("id", "n", F.explode("sigs").alias("sig"))
+    members = stash(signed.select("doc_id", "n", "fp1", "fp2"), "members")
+    rows = _without_copies(named, members).select(F.col("doc_id").alias("id"), "n", F.explode("sigs").alias("sig"))
     shared = rows.withColumn("first", F.expr("min(id) over (partition by sig order by id)")).withColumn("next", F.expr("lead(id) over (partition by sig order by id)"))
     shared = _different_groups(stash(shared.where("first != id or next is not null").select("sig", "id", "n", "first"), "shared"))
-    members = stash(signed.select("doc_id", "n", "fp1", "fp2"), "members")
     forget(signed)
     _free(spark)
 
