@@ -158,4 +158,4 @@ def judged(measured: DataFrame) -> DataFrame:
 
 def op3_query(spark, sf_dir: str) -> DataFrame:
     out = judged(stash(measures(spark.read.parquet(f"{sf_dir}/documents.parquet")), "measures"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good", "pattern")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", (F.round("p_good", 6) + 0.0).alias("p_good"), "pattern")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillon.llm import oracles
 from quillon.llm.ann import op2_query
 from quillon.llm.line_dedup import op8_query
 from quillon.llm.mixing import op7_query
@@ -30,4 +31,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_quality_rules": oracles.op3(),
+        "op4_ngram_join": oracles.op4(),
+        "op6_warc": oracles.op6(),
+        "op7_mixing": oracles.op7(),
+        "op9_sharding": oracles.op9(),
+    }
