@@ -200,9 +200,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, router: Router, size:
     # At most as many rows as there are parts.
     c = {r.part: -(-r["count"] // CANDIDATE_BLOCK) for r in index.groupBy("part").count().collect()}
     q = {r.part: -(-r["count"] // QUERY_BLOCK) for r in asked.groupBy("part").count().collect()}
-    blocks = spark.createDataFrame([(p, int(c[p]), int(q[p])) for p in sorted(c) if p in q] or [(-1, 1, 1)], "part int, n_c int, n_q int")
-    left = index.join(F.broadcast(blocks), "part").withColumn("c", F.pmod(F.xxhash64("ids"), F.col("n_c")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)))
-    right = asked.join(F.broadcast(blocks), "part").withColumn("q", F.pmod(F.xxhash64("query_id"), F.col("n_q")).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("n_c") - 1)))
+    # One table for each side: plans that share columns cannot be grouped together.
+    blocks = lambda: F.broadcast(spark.createDataFrame([(p, int(c[p]), int(q[p])) for p in sorted(c) if p in q] or [(-1, 1, 1)], "part int, n_c int, n_q int"))
+    left = index.join(blocks(), "part").withColumn("c", F.pmod(F.xxhash64("ids"), F.col("n_c")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)))
+    right = asked.join(blocks(), "part").withColumn("q", F.pmod(F.xxhash64("query_id"), F.col("n_q")).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("n_c") - 1)))
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         rows: list[tuple] = []
