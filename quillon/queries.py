@@ -20,7 +20,7 @@ PANEL_SQL = """
 weekly AS (
   SELECT CAST(floor(date_diff('day', DATE '1995-01-02', CAST(l_shipdate AS DATE)) / 7.0) AS INTEGER) AS t, l_suppkey,
     max(l_extendedprice / l_quantity) AS h, min(l_extendedprice / l_quantity) AS l,
-    CAST(sum(CAST(l_extendedprice / l_quantity AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS o,
+    CAST(sum(CAST(l_extendedprice / l_quantity AS DECIMAL(24,9))) AS DOUBLE) / count(*) AS o,
     CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS vol, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS amt,
     bool_or(l_returnflag = 'R' AND l_tax >= 0.08) AS st, bool_or(l_linestatus = 'F' AND l_tax = 0 AND l_discount = 0) AS delisting
   FROM lineitem WHERE l_quantity > 0 GROUP BY 1, 2),
@@ -74,7 +74,7 @@ EXPRESSIONS: dict[str, tuple[str, str]] = {
     "ts_product": ("ts_product(c / o, 5)", "CASE WHEN count(c / o) OVER w = count(*) OVER w AND count(c / o) OVER w >= 2 THEN product(c / o) OVER w END"),
     "ts_count": ("ts_count(c > o, 5)", "CASE WHEN count(*) OVER w >= 2 THEN CAST(sum(CASE WHEN c > o THEN 1 ELSE 0 END) OVER w AS DOUBLE) END"),
     "ts_corr": ("ts_corr(c, vol, 5)", "CASE WHEN count(c) OVER w >= 2 AND max(c) OVER w > min(c) OVER w AND max(vol) OVER w > min(vol) OVER w THEN covar_pop(c, vol) OVER w / (stddev_pop(c) OVER w * stddev_pop(vol) OVER w) END"),
-    "ts_cov": ("ts_cov(c, vol, 5)", "CASE WHEN count(c) OVER w >= 2 THEN covar_pop(c, vol) OVER w END"),
+    "ts_cov": ("ts_cov(c / 1000, vol, 5)", "CASE WHEN count(c) OVER w >= 2 THEN covar_pop(c / 1000, vol) OVER w END"),
     "ts_rank": ("ts_rank(c, 5)", "CASE WHEN c IS NOT NULL AND count(c) OVER w >= 2 THEN (len(list_filter(list(c) FILTER (WHERE c IS NOT NULL) OVER w, lambda v: v < c)) + (len(list_filter(list(c) FILTER (WHERE c IS NOT NULL) OVER w, lambda v: v = c)) + 1) / 2.0::DOUBLE) / count(c) OVER w END"),
     "ts_argmax": ("ts_argmax(c, 5)", "CASE WHEN count(c) OVER w >= 2 THEN CAST(list_position(list(c) OVER w, max(c) OVER w) AS DOUBLE) END"),
     "ts_argmin": ("ts_argmin(c, 5)", "CASE WHEN count(c) OVER w >= 2 THEN CAST(list_position(list(c) OVER w, min(c) OVER w) AS DOUBLE) END"),
@@ -83,7 +83,7 @@ EXPRESSIONS: dict[str, tuple[str, str]] = {
     "pct": ("pct(c, 3)", "c / lag(c, 3) OVER (PARTITION BY code ORDER BY t) - 1"),
     "decay_linear": ("decay_linear(c, 5)", "CASE WHEN count(c) OVER w >= 2 THEN list_sum(list_transform(range(1, len(list(c) OVER w) + 1), lambda i: i * (list(c) OVER w)[i])) / list_sum(list_transform(range(1, len(list(c) OVER w) + 1), lambda i: CASE WHEN (list(c) OVER w)[i] IS NULL THEN 0 ELSE i END)) END"),
     "ts_linear_reg_slope": ("ts_linear_reg_slope(c, 5)", "CASE WHEN count(c) OVER w >= 2 THEN regr_slope(c, t) OVER w END"),
-    "ts_cum_sum": ("ts_cum_sum(c)", "CASE WHEN c IS NOT NULL THEN sum(c) OVER u END"),
+    "ts_cum_sum": ("ts_cum_sum(c / 1000)", "CASE WHEN c IS NOT NULL THEN sum(c / 1000) OVER u END"),
     "ts_accumulate_positive_return": ("ts_accumulate_positive_return(c / o)", "CASE WHEN count(c) OVER u = count(*) OVER u THEN product(CASE WHEN c / o > 1 THEN c / o - 1 ELSE 1 END) OVER u END"),
     "adv": ("adv(amt, 5)", "CASE WHEN count(amt) OVER w >= 2 THEN avg(amt) OVER w END"),
     "rank_cs": ("rank_cs(c)", "CASE WHEN c IS NOT NULL THEN (rank() OVER (PARTITION BY t, c IS NULL ORDER BY c) + (count(*) OVER (PARTITION BY t, c) - 1) / 2.0::DOUBLE) / count(c) OVER (PARTITION BY t) END"),
@@ -96,16 +96,17 @@ EXPRESSIONS: dict[str, tuple[str, str]] = {
     "arithmetic_rules": ("c // 7 + vol % 5 + c ** 0.5 - (0 - o) / (1 + st)", "floor(c / 7) + vol % 5 + pow(c, 0.5) - (0 - o) / (1 + CASE WHEN st THEN 1 ELSE 0 END)"),
 }
 
+SHIFT = 1.23456e-8
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def r6(c, name: str):
-    """Rounded for comparing engines; adding zero takes the sign from a zero."""
-    return (F.round(c, 6) + 0.0).alias(name)
+    """Rounded for comparing engines: a little is added so that no short decimal is a tie, a zero takes the sign from a zero."""
+    return (F.round(c + SHIFT, 6) + 0.0).alias(name)
 
 
 def _r(sql: str, name: str) -> str:
-    return f"round({sql}, 6) + 0.0 AS {name}"
+    return f"round(({sql}) + {SHIFT!r}::DOUBLE, 6) + 0.0 AS {name}"
 
 
 def _expression(text: str) -> Query:
@@ -151,16 +152,16 @@ def _drawdown(spark, d):
 
 
 def _fitness(spark, d):
-    return ev.fitness(_net(spark, d), GROUPS).select("year", *[r6(F.col(c), c) for c in ("annualized", "sharpe", "max_drawdown", "turnover", "fitness")])
+    return ev.fitness(_net(spark, d), GROUPS).select("year", *[r6(F.col(c), c) for c in ("sharpe", "max_drawdown", "turnover")], r6(F.ln(1 + F.col("annualized")), "log_annualized"), r6(F.ln(F.abs("fitness")), "log_fitness"))
 
 
 def _leadership(spark, d):
     out = ev.top_leadership(_returns(spark, d), GROUPS)
-    return out.select("block", "first_day", "block_end", r6(F.col("top_ret"), "top_ret"), r6(F.col("best_lower"), "best_lower"), "best_lower_grp", "leads")
+    return out.select("block", "first_day", "block_end", r6(F.ln(1 + F.col("top_ret")), "top_log"), r6(F.ln(1 + F.col("best_lower")), "best_lower_log"), "best_lower_grp", "leads")
 
 
 def _top(spark, d):
-    return ev.top_summary(_returns(spark, d), GROUPS).select("days", *[r6(F.col(c), c) for c in ("win_rate_mean", "win_rate_all", "top_cumulative")], "above_every_lower")
+    return ev.top_summary(_returns(spark, d), GROUPS).select("days", *[r6(F.col(c), c) for c in ("win_rate_mean", "win_rate_all")], r6(F.ln(1 + F.col("top_cumulative")), "top_log"), "above_every_lower")
 
 
 def _peak(spark, d):
@@ -318,7 +319,7 @@ def _styles(spark, d):
 
 
 def _alpha(spark, d):
-    return factor(weekly_panel(spark, d), "-1 * ts_corr(rank_cs(delta(log(vol), 2)), rank_cs((c - o) / o), 6)").select("t", "code", r6(F.col("factor"), "v"))
+    return factor(weekly_panel(spark, d), "-1 * ts_corr(rank_cs(delta(vol, 2)), rank_cs((c - o) / o), 6)").select("t", "code", r6(F.col("factor"), "v"))
 
 
 def queries() -> dict[str, Query]:
@@ -333,7 +334,7 @@ def queries() -> dict[str, Query]:
         "rank_ic": rank_ic_query,
         "rank_icir": _icir,
         "quantile_returns": lambda s, d: _returns(s, d).select("t", "day", "grp", r6(F.col("ret"), "ret")),
-        "quantile_cumulative": lambda s, d: ev.cumulative(_returns(s, d)).select("t", "grp", r6(F.col("cum"), "cum")),
+        "quantile_cumulative": lambda s, d: ev.cumulative(_returns(s, d)).select("t", "grp", r6(F.ln(1 + F.col("cum")), "log_wealth")),
         "quantile_net_returns": lambda s, d: _net(s, d).select("t", "grp", *[r6(F.col(c), c) for c in ("gross", "turnover", "cost", "ret")]),
         "top_quantile_performance": _top,
         "top_quantile_leadership": _leadership,
@@ -379,7 +380,7 @@ def oracle_sql() -> dict[str, str]:
         "panel_weekly": f"WITH {PANEL_SQL} SELECT t, day, code, {', '.join(_r(c, c) for c in ('c', 'o', 'h', 'l', 'vol', 'amt', 'vwap', 'cap'))}, {_r(chr(34) + 'limit' + chr(34), chr(34) + 'limit' + chr(34))}, st, delisting, industry FROM panel",
         **{name: _expression_sql(sql) for name, (_, sql) in EXPRESSIONS.items()},
         "run_decay": f"WITH {PANEL_SQL}, a AS (SELECT t, code, list(c) OVER {W5} AS v FROM panel) SELECT t, code, {_r('CASE WHEN list_count(v) > 0 THEN list_sum(list_transform(range(1, len(v) + 1), lambda i: (5 - len(v) + i) * v[i])) / list_sum(list_transform(range(1, len(v) + 1), lambda i: CASE WHEN v[i] IS NULL THEN 0 ELSE 5 - len(v) + i END)) END', 'v')} FROM a",
-        "nested_alpha": f"""WITH {PANEL_SQL}, a AS (SELECT t, code, ln(vol) - lag(ln(vol), 2) OVER (PARTITION BY code ORDER BY t) AS x, (c - o) / o AS y FROM panel),
+        "nested_alpha": f"""WITH {PANEL_SQL}, a AS (SELECT t, code, vol - lag(vol, 2) OVER (PARTITION BY code ORDER BY t) AS x, (c - o) / o AS y FROM panel),
             b AS (SELECT t, code, CASE WHEN x IS NOT NULL THEN (rank() OVER (PARTITION BY t, x IS NULL ORDER BY x) + (count(*) OVER (PARTITION BY t, x) - 1) / 2.0::DOUBLE) / count(x) OVER (PARTITION BY t) END AS x,
               CASE WHEN y IS NOT NULL THEN (rank() OVER (PARTITION BY t, y IS NULL ORDER BY y) + (count(*) OVER (PARTITION BY t, y) - 1) / 2.0::DOUBLE) / count(y) OVER (PARTITION BY t) END AS y FROM a),
             d AS (SELECT t, code, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN x END AS x, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN y END AS y FROM b)
@@ -389,15 +390,15 @@ def oracle_sql() -> dict[str, str]:
         "rank_ic": f"{ic} SELECT t, day, round(ic, 9) AS ic, n FROM ic",
         "rank_icir": f"{ic} SELECT count(ic) AS ic_count, {_r('avg(ic)', 'ic_mean')}, {_r('stddev_samp(ic)', 'ic_std')}, {_r('avg(CASE WHEN ic > 0 THEN 1.0::DOUBLE ELSE 0 END)', 'positive_ratio')}, {_r('avg(ic) / nullif(stddev_samp(ic), 0)', 'icir')} FROM ic",
         "quantile_returns": f"{q} SELECT t, day, grp, {_r('ret', 'ret')} FROM g",
-        "quantile_cumulative": f"{q} SELECT t, grp, {_r('product(1 + ret) OVER (PARTITION BY grp ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1', 'cum')} FROM g",
+        "quantile_cumulative": f"{q} SELECT t, grp, {_r('ln(product(1 + ret) OVER (PARTITION BY grp ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))', 'log_wealth')} FROM g",
         "quantile_net_returns": f"{n} SELECT t, grp, {', '.join(_r(c, c) for c in ('gross', 'turnover', 'cost', 'ret'))} FROM net",
         "top_quantile_performance": f"""{q}, d AS (SELECT t, max(ret) FILTER (WHERE grp = {GROUPS}) AS top, avg(ret) FILTER (WHERE grp < {GROUPS}) AS lo, max(ret) FILTER (WHERE grp < {GROUPS}) AS hi FROM g GROUP BY t),
             k AS (SELECT grp, avg(ret) AS m FROM g GROUP BY grp)
-            SELECT count(*) AS days, {_r('avg(CASE WHEN top > lo THEN 1.0::DOUBLE WHEN top <= lo THEN 0 END)', 'win_rate_mean')}, {_r('avg(CASE WHEN top > hi THEN 1.0::DOUBLE WHEN top <= hi THEN 0 END)', 'win_rate_all')}, {_r('product(1 + coalesce(top, 0)) - 1', 'top_cumulative')},
+            SELECT count(*) AS days, {_r('avg(CASE WHEN top > lo THEN 1.0::DOUBLE WHEN top <= lo THEN 0 END)', 'win_rate_mean')}, {_r('avg(CASE WHEN top > hi THEN 1.0::DOUBLE WHEN top <= hi THEN 0 END)', 'win_rate_all')}, {_r('ln(product(1 + coalesce(top, 0)))', 'top_log')},
               (SELECT max(m) FILTER (WHERE grp = {GROUPS}) > max(m) FILTER (WHERE grp < {GROUPS}) FROM k) AS above_every_lower FROM d""",
         "top_quantile_leadership": f"""{q}, {block(60)}, b AS (SELECT block, grp, min(day) AS first_day, max(day) AS block_end, product(1 + ret) - 1 AS ret FROM bl GROUP BY block, grp),
             x AS (SELECT block, min(first_day) AS first_day, max(block_end) AS block_end, max(ret) FILTER (WHERE grp = {GROUPS}) AS top_ret, max(ret) FILTER (WHERE grp < {GROUPS}) AS best FROM b GROUP BY block)
-            SELECT x.block, x.first_day, x.block_end, {_r('top_ret', 'top_ret')}, {_r('best', 'best_lower')}, (SELECT min(grp) FROM b WHERE b.block = x.block AND b.grp < {GROUPS} AND b.ret = x.best) AS best_lower_grp, top_ret >= best AS leads FROM x""",
+            SELECT x.block, x.first_day, x.block_end, {_r('ln(1 + top_ret)', 'top_log')}, {_r('ln(1 + best)', 'best_lower_log')}, (SELECT min(grp) FROM b WHERE b.block = x.block AND b.grp < {GROUPS} AND b.ret = x.best) AS best_lower_grp, top_ret >= best AS leads FROM x""",
         "rolling_sharpe": f"{q}, {block(20)} SELECT grp, block, block_end, {_r(sharpe, 'sharpe')} FROM bl GROUP BY grp, block, block_end",
         "rolling_sharpe_summary": f"{q}, {block(60)}, s AS (SELECT grp, {sharpe} AS sharpe FROM bl GROUP BY grp, block) SELECT grp, {_r('avg(CASE WHEN sharpe > 0 THEN 1.0::DOUBLE WHEN sharpe <= 0 THEN 0 END)', 'positive_share')}, {_r('min(sharpe)', 'worst')}, {_r('median(sharpe)', 'middle')} FROM s GROUP BY grp",
         "rolling_drawdown": f"{q}, {block(60)}, v AS (SELECT *, product(1 + ret) OVER (PARTITION BY grp, block ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS wealth FROM bl), p2 AS (SELECT *, wealth / greatest(max(wealth) OVER (PARTITION BY grp, block ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) - 1 AS dd FROM v) SELECT grp, block, block_end, {_r('min(dd)', 'drawdown')} FROM p2 GROUP BY grp, block, block_end",
@@ -405,7 +406,7 @@ def oracle_sql() -> dict[str, str]:
             v AS (SELECT *, product(1 + ret) OVER (PARTITION BY year ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS wealth FROM y),
             z AS (SELECT *, wealth / greatest(max(wealth) OVER (PARTITION BY year ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) - 1 AS dd FROM v),
             s AS (SELECT CAST(year AS INTEGER) AS year, pow(product(1 + ret), 252.0::DOUBLE / count(*)) - 1 AS annualized, {sharpe} AS sharpe, least(-min(dd), 1) AS max_drawdown, avg(turnover) AS turnover FROM z GROUP BY year)
-            SELECT year, {', '.join(_r(c, c) for c in ('annualized', 'sharpe', 'max_drawdown', 'turnover'))}, {_r('sharpe * sqrt(abs(annualized) / greatest(turnover, 0.125)) - CASE WHEN max_drawdown < 1 THEN max_drawdown / pow(1 - max_drawdown, 2) END', 'fitness')} FROM s""",
+            SELECT year, {', '.join(_r(c, c) for c in ('sharpe', 'max_drawdown', 'turnover'))}, {_r('ln(1 + annualized)', 'log_annualized')}, {_r('ln(abs(sharpe * sqrt(abs(annualized) / greatest(turnover, 0.125)) - CASE WHEN max_drawdown < 1 THEN max_drawdown / pow(1 - max_drawdown, 2) END))', 'log_fitness')} FROM s""",
         "ic_peak_decay": f"{ic}, k AS (SELECT *, row_number() OVER (ORDER BY t) AS rn, avg(ic) OVER (ORDER BY t ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS m FROM ic) SELECT t, day, {_r('m', 'mean_ic')} FROM k WHERE rn >= 60 AND (rn - 60) % 10 = 0",
         "ic_horizon_decay": f"""WITH {EVAL_SQL}, hz AS (SELECT CAST(unnest(range(1, 9)) AS INTEGER) AS horizon),
             s AS (SELECT a.t, a.code, horizon, a.factor, round(b.o / x.o - 1, 9) AS fwd FROM f a JOIN hz ON true JOIN f x ON x.code = a.code AND x.t = a.t + 1 JOIN f b ON b.code = a.code AND b.t = a.t + 1 + horizon WHERE a.factor IS NOT NULL AND x.o <> 0 AND b.o IS NOT NULL),

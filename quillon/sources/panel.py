@@ -38,7 +38,7 @@ def weekly_panel(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = CO
     cells = rows.groupBy("t", "l_suppkey").agg(
         F.max(price).alias("h"),
         F.min(price).alias("l"),
-        (F.sum(price.cast("decimal(18,6)")).cast("double") / F.count(F.lit(1))).alias("o"),
+        (F.sum(price.cast("decimal(24,9)")).cast("double") / F.count(F.lit(1))).alias("o"),
         money("l_quantity").alias("vol"),
         money("l_extendedprice").alias("amt"),
         F.max((F.col("l_returnflag") == "R") & (F.col("l_tax") >= 0.08)).alias("st"),
