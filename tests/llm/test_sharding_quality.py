@@ -83,7 +83,7 @@ def test_measures_match_plain_python(docs):
 
 def test_clear_documents_stay_and_junk_goes(spark):
     good = [(i, " ".join(f"plain{i}t{j}" for j in range(80)) + ".\n" + " ".join(f"more{i}t{j}" for j in range(40)) + ".", "a") for i in range(150)]
-    junk = [(1000 + i, " ".join(f"BUY{i}N{j}!!" for j in range(90)), "a") for i in range(8)] + [(2000 + i, " ".join(f"cell{i}t{j} |" for j in range(90)), "a") for i in range(8)]
+    junk = [(1000 + i, " ".join("BUYNOW" + chr(65 + i) + chr(65 + j % 26) * (1 + j // 26) + "!!" for j in range(90)), "a") for i in range(8)] + [(2000 + i, " ".join(f"cell{i}t{j} |" for j in range(90)), "a") for i in range(8)]
     out = {r.doc_id: r.kept for r in quality.judged(quality.measures(spark.createDataFrame(good + junk, SCHEMA))).collect()}
     assert all(out[i] for i, *_ in good) and not any(out[i] for i, *_ in junk)
 
