@@ -62,6 +62,8 @@ def parse(text: str) -> ast.expr:
     for node in ast.walk(tree):
         if not isinstance(node, allowed):
             raise ExpressionError(f"{type(node).__name__} is not allowed")
+        if isinstance(node, ast.Compare) and len(node.ops) > 1:
+            raise ExpressionError("chained comparisons are not allowed")
         if isinstance(node, ast.Attribute) and not (isinstance(node.value, ast.Name) and node.value.id == "np" and node.attr in NUMPY):
             raise ExpressionError("only attributes of np from the list are allowed")
         if isinstance(node, ast.keyword) and node.arg is None:
@@ -126,8 +128,8 @@ class Compiler:
         if isinstance(node, ast.BinOp):
             return self._binary(_BINARY.get(type(node.op)), self.value(node.left), self.value(node.right))
         if isinstance(node, ast.Compare):
-            if len(node.ops) > 1 or type(node.ops[0]) not in _COMPARE:
-                raise ExpressionError("chained and membership comparisons are not allowed")
+            if type(node.ops[0]) not in _COMPARE:
+                raise ExpressionError("membership comparisons are not allowed")
             a, b = self.value(node.left), self.value(node.comparators[0])
             return Value(E.compare(_COMPARE[type(node.ops[0])], a.as_number, b.as_number), "flag")
         return self._call(node)

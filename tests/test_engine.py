@@ -302,7 +302,7 @@ def test_population_is_scored_in_one_plan(spark, rows):
 def test_streamed_cells_equal_batch(spark, tmp_path):
     from quillon.streaming.incremental import daily_cells
 
-    rows = [(pd.Timestamp("2024-01-01") + pd.Timedelta(hours=7 * k), f"{k % 3:06d}", 1.0 + k, float(k % 5 + 1)) for k in range(60)]
+    rows = [((pd.Timestamp("2024-01-01") + pd.Timedelta(hours=7 * k)).to_pydatetime(), f"{k % 3:06d}", 1.0 + k, float(k % 5 + 1)) for k in range(60)]
     table = spark.createDataFrame(rows, "ts timestamp, code string, price double, quantity double")
     table.write.parquet(str(tmp_path / "in"))
     stream = daily_cells(spark.readStream.schema(table.schema).parquet(str(tmp_path / "in")))
