@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.operators import evaluation as ev
-from quillon.operators import labels, maintenance, research, transforms
+from quillon.operators import labels, maintenance, research, service, transforms
 from quillon.plans.expression import factor
 from quillon.sources.panel import weekly_panel
 
@@ -322,6 +322,50 @@ def _alpha(spark, d):
     return factor(weekly_panel(spark, d), "-1 * ts_corr(rank_cs(delta(vol, 2)), rank_cs((c - o) / o), 6)").select("t", "code", r6(F.col("factor"), "v"))
 
 
+def _orders(spark, d):
+    return spark.read.parquet(f"{d}/orders.parquet")
+
+
+def _job_status(spark, d):
+    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderkey") % 17 == 0, "failed").when(F.col("o_orderstatus") == "P", "running").otherwise("queued")
+    return service.job_status(_orders(spark, d).select(F.col("o_custkey").alias("job"), status.alias("status")))
+
+
+def _tagged(spark, d):
+    tags = _orders(spark, d).select(F.col("o_custkey").alias("factor"), F.col("o_orderpriority").alias("tag"))
+    return service.tagged(tags, ["1-Urgent", " 2-HIGH "], "all")
+
+
+def _page(spark, d):
+    rows = research.holdings(evaluated(spark, d), GROUPS)
+    out = service.page(rows, F.col("t") == 100, [F.col("position")], 2, 5)
+    names = spark.read.parquet(f"{d}/supplier.parquet").select(F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("code"), "s_name")
+    return out.join(names, "code", "left").select("t", "code", "position", r6(F.col("weight"), "weight"), "s_name")
+
+
+def _compare_runs(spark, d):
+    rows = spark.read.parquet(f"{d}/events.parquet").groupBy(F.pmod("user_id", F.lit(3)).cast("string").alias("run"), F.col("event_type").alias("metric")).agg(F.max("value").alias("value"))
+    out = service.compared(rows, ["0", "1", "2"])
+    return out.select("metric", *[r6(F.col(f"`{k}`"), f"run_{k}") for k in range(3)])
+
+
+def _periods(spark, d):
+    orders = _orders(spark, d).groupBy(F.col("o_custkey").alias("name")).agg(F.min(F.col("o_orderdate").cast("date")).alias("start"), F.max(F.col("o_orderdate").cast("date")).alias("stop"))
+    return service.clipped_periods(orders, "1996-01-01", "1997-12-31")
+
+
+def _special(spark, d):
+    rows = weekly_panel(spark, d).where("c is not null")
+    rows = rows.select("t", "day", "code", (F.col("l") * (1 + F.col("vol") / 400)).alias("limit_up"), F.col("l").alias("pre_close"), F.when(F.col("delisting"), 4).when(F.col("st"), 1).alias("event"))
+    return service_status(rows)
+
+
+def service_status(rows: DataFrame) -> DataFrame:
+    """What the limits and events of each day say, carried forward."""
+    seen = maintenance.special_from_limits(rows, "2000-01-03")
+    return maintenance.carried_status(seen).select("t", "code", "observed", "status")
+
+
 def queries() -> dict[str, Query]:
     return {
         "panel_weekly": _panel,
@@ -366,6 +410,13 @@ def queries() -> dict[str, Query]:
         "rebased_merge": _rebase,
         "industry_coverage": _coverage,
         "latest_run": _latest,
+        "job_status": _job_status,
+        "tagged_factors": _tagged,
+        "holdings_page": _page,
+        "compared_runs": _compare_runs,
+        "clipped_periods": _periods,
+        "special_status": _special,
+        "timeline": lambda s, d: service.timeline(weekly_panel(s, d, ("t", "day", "code"))),
         "timing_report": _timing,
     }
 
@@ -452,5 +503,18 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT day, code, {_r('CASE WHEN vol >= 5 THEN o END', 'o')}, {_r('CASE WHEN vol >= 5 THEN c END', 'c')}, {_r('CASE WHEN vol >= 5 THEN (h + l) / 2 END', 'vwap')} FROM x WHERE day >= DATE '2000-01-03'""",
         "industry_coverage": f"WITH {PANEL_SQL} SELECT industry, min(day) AS first_day, max(day) AS last_day, count(DISTINCT code) AS n_codes, count(*) AS n FROM panel WHERE industry IS NOT NULL AND c IS NOT NULL GROUP BY industry",
         "latest_run": f"WITH a AS (SELECT o_orderkey, o_custkey, o_orderdate, max(o_totalprice) AS p FROM orders GROUP BY 1, 2, 3) SELECT o_custkey, o_orderkey, {_r('p', 'o_totalprice')} FROM a QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
+        "job_status": """WITH r AS (SELECT o_custkey AS job, CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderkey % 17 = 0 THEN 'failed' WHEN o_orderstatus = 'P' THEN 'running' ELSE 'queued' END AS status FROM orders),
+            k AS (SELECT job, count(*) AS n, count(*) FILTER (WHERE status = 'done') AS n_done, count(*) FILTER (WHERE status = 'failed') AS n_failed, count(*) FILTER (WHERE status = 'running') AS n_running FROM r GROUP BY job)
+            SELECT job, n, n_done, n_failed, CASE WHEN n_failed > 0 THEN 'failed' WHEN n_done = n THEN 'done' WHEN n_done + n_running > 0 THEN 'running' ELSE 'queued' END AS status FROM k""",
+        "tagged_factors": "SELECT o_custkey AS factor FROM orders WHERE lower(trim(o_orderpriority)) IN ('1-urgent', '2-high') GROUP BY o_custkey HAVING count(DISTINCT lower(trim(o_orderpriority))) = 2",
+        "holdings_page": f"""{q}, h AS (SELECT t, code, CAST(row_number() OVER (PARTITION BY t ORDER BY factor DESC, code) AS INTEGER) AS position, 1.0::DOUBLE / count(*) OVER (PARTITION BY t) AS weight FROM q WHERE grp = {GROUPS} AND t = 100)
+            SELECT t, code, position, {_r('weight', 'weight')}, s_name FROM h LEFT JOIN supplier ON lpad(CAST(s_suppkey AS VARCHAR), 6, '0') = code WHERE position BETWEEN 3 AND 7""",
+        "compared_runs": f"SELECT event_type AS metric, {', '.join(_r(f'max(value) FILTER (WHERE user_id % 3 = {k})', f'run_{k}') for k in range(3))} FROM events GROUP BY event_type",
+        "clipped_periods": "SELECT name, greatest(start, DATE '1996-01-01') AS start, least(stop, DATE '1997-12-31') AS stop FROM (SELECT o_custkey AS name, CAST(min(o_orderdate) AS DATE) AS start, CAST(max(o_orderdate) AS DATE) AS stop FROM orders GROUP BY 1) WHERE start <= DATE '1997-12-31' AND stop >= DATE '1996-01-01'",
+        "special_status": f"""WITH {PANEL_SQL}, a AS (SELECT t, day, code, l * (1 + vol / 400) AS up, l, CASE WHEN delisting THEN 4 WHEN st THEN 1 END AS event FROM panel WHERE c IS NOT NULL),
+            b AS (SELECT t, code, CASE WHEN event IS NOT NULL THEN event <> 1 WHEN day < DATE '2000-01-03' AND NOT (code LIKE '30%' OR code LIKE '68%' OR code LIKE '4%' OR code LIKE '8%') AND (up / l - 1) * 100 BETWEEN 3.5 AND 6.5 THEN true
+              WHEN day < DATE '2000-01-03' AND NOT (code LIKE '30%' OR code LIKE '68%' OR code LIKE '4%' OR code LIKE '8%') AND (up / l - 1) * 100 BETWEEN 8.5 AND 11.5 THEN false END AS observed FROM a)
+            SELECT t, code, observed, coalesce(last_value(observed IGNORE NULLS) OVER (PARTITION BY code ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS status FROM b""",
+        "timeline": f"WITH {PANEL_SQL} SELECT DISTINCT day FROM cells",
         "timing_report": f"SELECT event_type AS stage, count(*) AS runs, {_r('sum(value)', 'total')}, {_r('median(value)', 'middle')}, {_r('quantile_cont(value, 0.95)', 'p95')}, {_r('max(value)', 'slowest')} FROM events GROUP BY event_type",
     }
