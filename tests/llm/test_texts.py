@@ -160,3 +160,29 @@ def test_toxic_texts_are_told_apart(spark):
     assert any(p.text and set(p.text.split()) & set(bad) for i in range(0, 500, 5) for p in out[i].passages)
     none = toxicity.train(frame, spark.createDataFrame([], "doc_id long, toxic int"))
     assert all(r.score == 0 or r.score < 1e-9 for r in toxicity.score(frame, none).collect())
+
+
+def test_extra_columns_do_not_clash(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(ODD, SCHEMA).withColumns({c: F.lit(1) for c in ("spans", "score", "ids", "key", "toxic", "n", "tag", "bucket", "_id")})
+    field = secret_crf.Field({}, [[0.0] * 3] * 3)
+    assert secret_crf.scan(docs, field).columns == ["doc_id", "spans"] and secret_crf.scan(docs, field).count() == len(ODD)
+    assert toxicity.score(docs, toxicity.Model({}, {})).count() == len(ODD)
+    assert pieces.encode_column(docs).count() == len(ODD)
+
+
+def test_very_long_texts(codec):
+    text = "password=" + "a1" * 40000 + " " + "x" * 40000
+    assert secret_crf.base_spans(text)[0][:3] == ("assign", 0, 9 + 80000)
+    assert codec.decode(codec.encode(text).tolist()) == text
+    model = toxicity.Model({"bad": 3.0}, {})
+    assert len(model.scan("bad ok " * 50000)[0]) >= 1
+
+
+def test_training_is_the_same_whatever_the_partitions(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "token=abc123def456", "mail a1@b2.example", "x9"]) for _ in range(30))) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    one, two = secret_crf.train(docs.repartition(3)), secret_crf.train(docs.repartition(7))
+    assert one.weights == two.weights and one.steps == two.steps
