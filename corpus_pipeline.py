@@ -10,17 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import line_dedup, mixing, ngram_join, pieces, quality
-from quillon.llm.common import stash
+from quillon.llm.common import stash, without
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Share of the words that the mixture takes, each document at most once.
 BUDGET_PERCENT, MAX_EPOCHS = 80, 1
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _id and _th, which tell rows apart unless they are equal in id and text."""
+    return docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of being good is 1/2 or more and that the base rule does not fail."""
-    measured = stash(quality.measures(docs, keep=COLUMNS), "measures")
-    return quality.judged(measured).where("kept").select("carried.*")
+    keyed = _keyed(docs)
+    judged = quality.judged(stash(quality.measures(keyed, keep=["_id", "_th"]), "measures"))
+    return without(keyed, judged.where("not kept").select("carried.*"), ["_id", "_th"]).select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,18 +37,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest id. Empty texts are in no group."""
-    found = ngram_join.similar_documents(docs)
-    keep = found.where("component_id is null or component_id = doc_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    found = ngram_join.similar_documents(docs).where("component_id != doc_id").select(F.col("doc_id").alias("_id"))
+    return without(_keyed(docs), stash(found, "near-copies"), ["_id"]).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each leaf's prefix of its shuffled documents; the last document of a leaf is cut where the budget ends."""
-    counts = stash(mixing.token_counts(docs), "token-counts")
-    taken = stash(mixing.mix(counts, BUDGET_PERCENT, max_epochs=MAX_EPOCHS).select("doc_id", "take", "n_tokens"), "taken")
-    cut = F.col("take") < F.col("n_tokens")
-    rows = docs.join(taken.groupBy("doc_id").agg(F.max("take").alias("take"), F.max("n_tokens").alias("n_tokens")), "doc_id")
-    rows = rows.withColumn("text", F.when(cut, mixing.first_words(F.col("text"), F.col("take"))).otherwise(F.col("text")))
+    counts = stash(mixing.token_counts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))), "token-counts")
+    taken = stash(mixing.mix(counts, BUDGET_PERCENT, max_epochs=MAX_EPOCHS), "taken")
+    left = stash(counts.join(taken, "doc_id", "left_anti").select(F.col("doc_id").alias("_id")), "left-over")
+    # One document of a leaf at most: as few rows as the table of budgets has.
+    cut = taken.where("take < n_tokens").groupBy(F.col("doc_id").alias("_id")).agg(F.max("take").alias("_take"))
+    rows = without(_keyed(docs), left, ["_id"]).join(F.broadcast(cut), "_id", "left")
+    rows = rows.withColumn("text", F.when(F.col("_take").isNotNull(), mixing.first_words(F.col("text"), F.col("_take"))).otherwise(F.col("text")))
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

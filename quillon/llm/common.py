@@ -65,3 +65,30 @@ def text_or_empty(column: str) -> Column:
 def words_of(text: Column) -> Column:
     """Array of the words of a text, in order."""
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+#: Hash buckets of the filters on keys: a table of at most this many numbers, whatever the corpus.
+BUCKETS = 1 << 20
+
+
+def bucket_of(*keys: str | Column) -> Column:
+    return F.pmod(F.xxhash64(*keys, F.lit(77)), F.lit(BUCKETS)).cast("int")
+
+
+def split_by_keys(rows: DataFrame, some: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows whose keys may be in some, and rows whose keys are not: told apart without a shuffle.
+
+    The table of buckets that some's keys fall into has at most BUCKETS rows, so it is broadcast. Where some is a small
+    share of all keys, the first part is little more than that share; where it is not, it is up to all rows.
+    """
+    buckets = stash(some.select(bucket_of(*keys).alias("_bucket")).distinct(), "buckets")
+    rows = rows.withColumn("_bucket", bucket_of(*keys))
+    near = rows.join(F.broadcast(buckets), "_bucket", "left_semi").drop("_bucket")
+    return near, rows.join(F.broadcast(buckets), "_bucket", "left_anti").drop("_bucket")
+
+
+def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """rows whose keys are not in gone; only those in a bucket of gone's keys are shuffled. Keys are not null."""
+    near, far = split_by_keys(rows, gone, keys)
+    # Both sides grow with the corpus, so neither is broadcast at any size.
+    return near.join(gone.select(*keys).hint("merge"), keys, "left_anti").select(*rows.columns).unionByName(far.select(*rows.columns))

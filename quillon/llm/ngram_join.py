@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import forget, stash, text_or_empty
+from quillon.llm.common import forget, split_by_keys, stash, text_or_empty, without
 
 WORDS = 5
 #: 0.8 as a fraction of whole numbers.
@@ -38,8 +38,6 @@ NUM, DEN = 4, 5
 SALTS = 16
 #: Shingles of a block of sets that are compared in one task, and of a cluster that is cut again before.
 BLOCK, LARGE = 1 << 21, 1 << 24
-#: Buckets of the filter on ids (a table of at most this many numbers, whatever the corpus).
-BUCKETS = 1 << 20
 STAR_ROWS = 400
 
 _U = np.uint64
@@ -200,10 +198,6 @@ def verify(edges: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
-def _bucket(c: Column) -> Column:
-    return F.pmod(F.xxhash64(c, F.lit(77)), F.lit(BUCKETS)).cast("int")
-
-
 def components(links: DataFrame) -> DataFrame:
     """(id, label): for each id in links (a, b), the smallest id it is connected with.
 
@@ -244,9 +238,8 @@ def _open_clusters(rows: DataFrame, labels: DataFrame | None = None) -> DataFram
 
 
 def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """docs, but for most of those whose id is not in ids: told apart by a table of at most BUCKETS hash buckets."""
-    buckets = ids.select(_bucket(F.col("doc_id")).alias("bucket")).distinct()
-    return docs.withColumn("bucket", _bucket(F.col("doc_id"))).join(F.broadcast(buckets), "bucket", "left_semi").select("doc_id", "text")
+    """docs without most of those whose id is not in ids."""
+    return split_by_keys(docs, ids, ["doc_id"])[0].select("doc_id", "text")
 
 
 def _cut_again(rows: DataFrame, docs: DataFrame, family: int) -> DataFrame:
@@ -343,10 +336,7 @@ def _without_copies(signed: DataFrame, members: DataFrame) -> DataFrame:
     """The rows of signed of the smallest document of each set. Only rows in a copy's hash bucket are shuffled."""
     salted = members.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
     copies = stash(salted.join(_set_groups(members), ["fp1", "fp2", "n", "salt"]).where("doc_id != rep").select("doc_id", "fp1").distinct(), "copies")
-    buckets = F.broadcast(copies.select(_bucket(F.col("doc_id")).alias("bucket")).distinct())
-    signed = signed.withColumn("bucket", _bucket(F.col("doc_id")))
-    near = signed.join(buckets, "bucket", "left_semi").join(copies, ["doc_id", "fp1"], "left_anti")
-    return near.select(*signed.columns).union(signed.join(buckets, "bucket", "left_anti").select(*signed.columns))
+    return without(signed, copies, ["doc_id", "fp1"])
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
