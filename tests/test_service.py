@@ -46,3 +46,20 @@ def test_batch_reports_failures(spark):
     rows = pipeline.evaluate_batch(spark, source.weekly_panel(spark, "/root/testdata/sf0.001"), {"good": "c - o", "bad": "foo(c)"}).collect()
     assert {r.factor_name for r in rows if r.metric == "failed"} == {"bad"} and any(r.metric == "icir.ic_mean" for r in rows if r.factor_name == "good")
     assert source.weekly_panel(spark, "/root/testdata/sf0.001").where(F.col("code").isNull()).count() == 0
+
+
+def test_standards_gate_a_planted_factor(spark):
+    import numpy as np
+
+    from quillon.operators import standards
+
+    rng = np.random.RandomState(3)
+    days = 260
+    skill = rng.randn(days + 2, 30)
+    price = np.exp(np.cumsum(0.01 * np.vstack([np.zeros((2, 30)), skill[:-2]]) + 0.002 * rng.randn(days + 2, 30), axis=0))
+    start = datetime.date(2020, 1, 1)
+    rows = [(t, start + datetime.timedelta(days=t), f"{k:06d}", float(price[t, k]), float(skill[t, k])) for t in range(days) for k in range(30)]
+    panel = spark.createDataFrame(rows, "t int, day date, code string, o double, c double").persist()
+    got = standards.run_standards(panel, "c", n_groups=5)
+    assert [x["passed"] for x in got] == [True, True] and got[0]["metrics"]["ic_mean"] > 0.5
+    assert not standards.run_standard(panel, "-1 * c", "ic_test", n_groups=5)["passed"]
