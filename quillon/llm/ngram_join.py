@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import forget, split_by_keys, stash, text_or_empty, without
+from quillon.llm.common import forget, split_by_keys, stash, text_or_empty
 
 WORDS = 5
 #: 0.8 as a fraction of whole numbers.
@@ -220,7 +220,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _different_groups(shared: DataFrame) -> DataFrame:
-    """One of all groups that hold the same ids, with their number as weight."""
+    """One of all groups that hold the same ids, with their number as weight. Rows (sig, id) are distinct."""
     groups = shared.groupBy("sig").agg(F.expr("bit_xor(xxhash64(id))").alias("g1"), F.expr("bit_xor(xxhash64(id, 3))").alias("g2"), F.count(F.lit(1)).alias("k"), F.min("first").alias("f"))
     groups = groups.groupBy("g1", "g2", "k", "f").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("weight")).select("sig", "weight")
     out = stash(shared.join(stash(groups, "groups"), "sig"), "shared")
@@ -333,10 +333,16 @@ def _set_groups(members: DataFrame) -> DataFrame:
 
 
 def _without_copies(signed: DataFrame, members: DataFrame) -> DataFrame:
-    """The rows of signed of the smallest document of each set. Only rows in a copy's hash bucket are shuffled."""
+    """The rows of signed of the smallest document of each set, each once. Only rows in a copy's hash bucket are shuffled."""
     salted = members.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
     copies = stash(salted.join(_set_groups(members), ["fp1", "fp2", "n", "salt"]).where("doc_id != rep").select("doc_id", "fp1").distinct(), "copies")
-    return without(signed, copies, ["doc_id", "fp1"])
+    # Rows equal in id and set are one: the smallest document's own repetitions go as well.
+    counts = members.where("n > 0 and doc_id is not null").groupBy("doc_id", "fp1").agg(F.count(F.lit(1)).alias("k"))
+    repeated = counts.where("k > 1").select("doc_id", "fp1")
+    near, far = split_by_keys(signed, copies.union(repeated), ["doc_id", "fp1"])
+    # Both sides grow with the corpus, so neither is broadcast at any size.
+    near = near.dropDuplicates(["doc_id", "fp1"]).join(copies.hint("merge"), ["doc_id", "fp1"], "left_anti")
+    return near.select(*signed.columns).unionByName(far.select(*signed.columns))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -347,6 +353,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     named = signed.where("n > 0 and doc_id is not null")
     members = stash(signed.select("doc_id", "n", "fp1", "fp2"), "members")
     rows = _without_copies(named, members).select(F.col("doc_id").alias("id"), "n", F.explode("sigs").alias("sig"))
+    # Texts of one id that differ may share signatures: an id counts once in a group, or it cancels out of the group's XOR.
+    rows = rows.withColumn("before", F.expr("lag(id) over (partition by sig order by id)")).where("before is null or before != id").drop("before")
     shared = rows.withColumn("first", F.expr("min(id) over (partition by sig order by id)")).withColumn("next", F.expr("lead(id) over (partition by sig order by id)"))
     shared = _different_groups(stash(shared.where("first != id or next is not null").select("sig", "id", "n", "first"), "shared"))
     forget(signed)

@@ -69,6 +69,24 @@ def test_near_duplicates_match_brute_force(spark, corpus, monkeypatch):
             assert (r.n_shingles, r.component_id) == ((len(sets[r.doc_id]), find(r.doc_id)) if r.doc_id is not None else (1, None))
 
 
+def test_near_copies_of_repeated_rows_keep_their_links(spark):
+    rng = random.Random(21)
+    rows, sets = [], {}
+    for base in range(0, 400, 10):
+        words = text_of(rng, 200, 10**6).split(" ")
+        near = []
+        for k in range(2):
+            other = list(words)
+            for at in (20, 60, 120) if k else (40, 90, 160):
+                other[at] = f"z{base}x{k}x{at}"
+            near.append(" ".join(other))
+        rows += [(base + 1, " ".join(words)), *[(base + 7, near[0])] * 2, *[(base + 9, near[1])] * 2]
+    sets = {i: shingles(t) for i, t in rows}
+    assert all(100 * len(sets[b + 1] & sets[b + k]) >= 80 * len(sets[b + 1] | sets[b + k]) for b in range(0, 400, 10) for k in (7, 9))
+    out = ngram_join.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert Counter((r.doc_id, r.component_id) for r in out) == Counter((i, i // 10 * 10 + 1) for i, _ in rows)
+
+
 def test_linked_sets_always_share_a_signature():
     rng = np.random.RandomState(5)
     for _ in range(3000):
