@@ -35,6 +35,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with _id, _th and a number _row of each row of its own, stored so that the number stays the same."""
+    return stash(_keyed(docs).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest id. Empty texts are in no group."""
     found = ngram_join.similar_documents(docs).where("component_id != doc_id").select(F.col("doc_id").alias("_id"))
@@ -42,13 +47,18 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each leaf's prefix of its shuffled documents; the last document of a leaf is cut where the budget ends."""
-    counts = stash(mixing.token_counts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))), "token-counts")
-    taken = stash(mixing.mix(counts, BUDGET_PERCENT, max_epochs=MAX_EPOCHS), "taken")
-    left = stash(counts.join(taken, "doc_id", "left_anti").select(F.col("doc_id").alias("_id")), "left-over")
+    """Each leaf's prefix of its shuffled documents; the last document of a leaf is cut where the budget ends.
+
+    Rows are taken, left and cut by their numbers; their order comes from id and text, so null ids spread as well.
+    """
+    rows = _numbered(docs)
+    named = rows.withColumn("doc_id", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), "_th"))
+    counts = stash(mixing.token_counts(named, carry=["_row"]), "token-counts")
+    taken = stash(mixing.mix(counts.where("n_tokens > 0"), BUDGET_PERCENT, max_epochs=MAX_EPOCHS, carry=["_row"]), "taken")
+    left = stash(counts.select("_row").join(taken.select("_row"), "_row", "left_anti"), "left-over")
     # One document of a leaf at most: as few rows as the table of budgets has.
-    cut = taken.where("take < n_tokens").groupBy(F.col("doc_id").alias("_id")).agg(F.max("take").alias("_take"))
-    rows = without(_keyed(docs), left, ["_id"]).join(F.broadcast(cut), "_id", "left")
+    cut = taken.where("take < n_tokens").select("_row", F.col("take").alias("_take"))
+    rows = without(rows, left, ["_row"]).join(F.broadcast(cut), "_row", "left")
     rows = rows.withColumn("text", F.when(F.col("_take").isNotNull(), mixing.first_words(F.col("text"), F.col("_take"))).otherwise(F.col("text")))
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 

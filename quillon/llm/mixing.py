@@ -67,8 +67,8 @@ def budgets(supply: DataFrame, budget: Column, weights: dict = WEIGHTS, max_epoc
     return nodes.select(*LEVELS, "supply", F.col("given").alias("tokens"))
 
 
-def select_prefix(counts: DataFrame, leaves: DataFrame, seed: int = SEED) -> DataFrame:
-    """Rows (doc_id, leaf, epoch, start, n_tokens, take): each leaf's prefix of its seeded epochs.
+def select_prefix(counts: DataFrame, leaves: DataFrame, seed: int = SEED, carry: list[str] | None = None) -> DataFrame:
+    """Rows (doc_id, leaf, epoch, start, n_tokens, take, carry): each leaf's prefix of its seeded epochs.
 
     start is the document's place in its epoch's stream. Places are summed within 4096 ranges of the sort key, then over
     the ranges, so no leaf is sorted in one task.
@@ -80,17 +80,17 @@ def select_prefix(counts: DataFrame, leaves: DataFrame, seed: int = SEED) -> Dat
     part = [*LEVELS, "epoch"]
     before = W.partitionBy(*part).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     ranges = rows.groupBy(*part, "range").agg(F.sum("n_tokens").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    within = W.partitionBy(*part, "range").orderBy("key", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy(*part, "range").orderBy("key", "doc_id", "n_tokens", *(carry or [])).rowsBetween(W.unboundedPreceding, -1)
     rows = rows.join(ranges, [*part, "range"]).withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     take = F.least(F.col("n_tokens"), F.col("tokens") - F.col("epoch") * F.col("supply") - F.col("start"))
-    return rows.withColumn("take", take).where("take > 0").select("doc_id", *LEVELS, "epoch", "start", "n_tokens", "take")
+    return rows.withColumn("take", take).where("take > 0").select("doc_id", *LEVELS, "epoch", "start", "n_tokens", "take", *(carry or []))
 
 
-def mix(counts: DataFrame, budget_percent: int = BUDGET_PERCENT, weights: dict = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+def mix(counts: DataFrame, budget_percent: int = BUDGET_PERCENT, weights: dict = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, carry: list[str] | None = None) -> DataFrame:
     """select_prefix of budgets for a budget in percent of all tokens. counts is read twice: give it a stored table."""
     supply = counts.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply")).where("supply > 0")
     budget = F.expr(f"(all_tokens * {budget_percent}) div 100")
-    return select_prefix(counts, stash(budgets(supply, budget, weights, max_epochs), "leaf-budgets"), seed)
+    return select_prefix(counts, stash(budgets(supply, budget, weights, max_epochs), "leaf-budgets"), seed, carry)
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:

@@ -311,3 +311,24 @@ def test_pipeline_matches_a_plain_version(spark, tmp_path):
     assert sum(codec.decode(r.ids) == left[i] for i, r in got.items()) >= len(got) - 15
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).columns == corpus_pipeline.COLUMNS
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_mixing_takes_and_cuts_row_by_row(spark):
+    import corpus_pipeline
+
+    rng = random.Random(32)
+    rows = [(None if i % 2 else i % 10, text_of(rng, rng.randrange(20, 60), 10**6), ("en", "de")[i % 3 == 0], f"src{i % 7}") for i in range(200)]
+    rows += [(None, None, "en", "src1"), (3, "", "de", "src1")]
+    docs = spark.createDataFrame([(i, t, a, s, len(t or "")) for i, t, a, s in rows], DOCS)
+    counts = mixing.token_counts(docs)
+    supply = counts.groupBy(*mixing.LEVELS).agg(F.sum("n_tokens").alias("supply"))
+    budget = {(r.lang, r.source): r.tokens for r in mixing.budgets(supply, F.expr(f"(all_tokens * {corpus_pipeline.BUDGET_PERCENT}) div 100"), max_epochs=1).collect()}
+    spent, cuts, whole = Counter(), Counter(), Counter((i, t, a, s) for i, t, a, s in rows)
+    for r in corpus_pipeline.mixing_stage(spark, docs, "").collect():
+        spent[r.lang, r.source] += len(r.text.split())
+        whole[r.doc_id, r.text, r.lang, r.source] -= 1
+        cuts[r.lang, r.source] += whole[r.doc_id, r.text, r.lang, r.source] < 0
+    assert spent == Counter(budget) and max(cuts.values()) == 1
