@@ -36,7 +36,10 @@ def _keys(id_col: str, text_col: str) -> list[Column]:
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, th, i, h1, h2, before, after): each line's 128-bit hash and the words before it and up to its end."""
+    """(doc, th, i, h1, h2, before, after): each line's 128-bit hash and the words before it and up to its end.
+
+    Each document once, however often its row is repeated; only repeated rows are shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,6 +58,10 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays(columns, ["doc", "th", "i", "h1", "h2", "before", "after"])
 
     rows = docs.select(*_keys(id_col, text_col), text_or_empty(text_col).alias("text"))
+    # Equal rows are one document: a place that is there twice would be squared by the joins of every round.
+    repeated = stash(rows.groupBy("doc", "th").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "repeated")
+    near, far = split_by_keys(rows, repeated, ["doc", "th"])
+    rows = near.dropDuplicates(["doc", "th"]).select(*rows.columns).unionByName(far)
     return rows.mapInArrow(run, "doc long, th long, i int, h1 long, h2 long, before long, after long")
 
 

@@ -135,6 +135,17 @@ def test_line_runs_match_the_definition(spark, least):
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter((r[0], expected[r]) for r in rows)
 
 
+def test_a_long_row_repeated_is_one_document(spark):
+    lines = [f"l{k} x y" for k in range(64)]
+    rows = [(1, "\n".join(lines))] * 3 + [(None, "\n".join(lines[:40]))] * 3 + [(2, "\n".join(["q"] + lines[20:] + ["r"]))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert line_dedup.line_table(docs).count() == 64 + 40 + 46
+    assert len(line_dedup.suffix_ranks(line_dedup.line_table(docs))) <= 7
+    expected = lines_left(rows, 9)
+    got = line_dedup.delete_repeats(docs, 9)
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter((r[0], expected[r]) for r in rows)
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.delete_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
