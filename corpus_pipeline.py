@@ -41,9 +41,20 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id. Empty texts are in no group."""
-    found = ngram_join.similar_documents(docs).where("component_id != doc_id").select(F.col("doc_id").alias("_id"))
-    return without(_keyed(docs), stash(found, "near-copies"), ["_id"]).select(*COLUMNS)
+    """Of each group of near duplicates the document of the smallest id, null ids first. Empty texts are in no group.
+
+    Rows are told apart by their numbers, so rows equal in id and text and rows without an id are in the groups as well.
+    """
+    rows = _numbered(docs)
+    found = ngram_join.similar_documents(rows, "_row").where("component_id != doc_id")
+    found = stash(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group")), "near-copies")
+    # The rest of each group is the row that gave it its number.
+    members = stash(found.union(found.select("group", "group").distinct()), "group-members")
+    # Both sides grow with the corpus, so neither is broadcast at any size.
+    named = members.join(rows.select("_row", "_id", "_th", "lang", "source").hint("merge"), "_row")
+    first = named.groupBy("group").agg(F.min(F.struct("_id", "_th", "lang", "source", "_row"))["_row"].alias("_row"))
+    gone = stash(members.select("_row").join(first.select("_row").hint("merge"), "_row", "left_anti"), "gone")
+    return without(rows, gone, ["_row"]).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

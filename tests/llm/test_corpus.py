@@ -327,6 +327,17 @@ def test_pipeline_matches_a_plain_version(spark, tmp_path):
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def test_one_of_equal_rows_and_rows_without_id_stays(spark):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    a, b, c, d = (text_of(rng, 60, 10**6) for _ in range(4))
+    rows = [(5, a), (5, a), (5, a), (None, b), (None, b), (7, b), (None, c), (None, d), (8, d), (9, d + " more"), (3, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "src1", len(t or "")) for i, t in rows], DOCS)
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(5, a), (None, b), (None, c), (None, d), (3, None), (3, "")])
+
+
 def test_mixing_takes_and_cuts_row_by_row(spark):
     import corpus_pipeline
 
