@@ -1,35 +1,39 @@
 """Secrets in texts: fixed patterns, and a linear-chain conditional random field decoded by Viterbi.
 
 The field tags tokens (runs of letters and digits, single other marks) as secret begin, inside or outside from their
-shape, the shapes and key words around them, and features of the whole text. It is trained here, on windows of at most
-SAMPLE_DOCS documents (those of smallest hash) labelled by the fixed patterns, and on made-up lines of kinds that the
-patterns do not know. It adds spans; those of the patterns stay.
+shape, the shapes and key words around them, and features of the whole text. It is trained here, on all windows of at
+most SAMPLE_DOCS documents (those of smallest hash) labelled by the fixed patterns, and on made-up lines of kinds that
+the patterns do not know. It adds spans; those of the patterns stay.
 
-Most tokens need no tagging: a plain word far from anything unusual scores so much higher for "outside" than for other
-tags that no best path leaves it, so the chain falls apart into windows around unusual tokens. The whole text is searched
-for those, and tests compare the windows' spans with those of one chain over all tokens.
+Most tokens need no tagging: a plain word far from anything unusual and from every key word scores so much higher for
+"outside" than for other tags that no best path leaves it, so the chain falls apart into windows around unusual tokens
+and key words. The whole text is searched for those, and tests compare the windows' spans with those of one chain over
+all tokens, for the field as it is trained and over all texts of a table.
 
 Defined results: a null text is empty, an empty text has no spans; offsets are code points, the end not included.
 """
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import SPACES, stash, text_or_empty
 
-SAMPLE_DOCS, SAMPLE_WINDOWS = 2000, 20
+SAMPLE_DOCS = 2000
+#: Longer training windows become several sequences, cut where a token outside precedes.
+SEQUENCE = 60
 SEED, STEPS, L2 = 7, 100, 0.003
 KINDS = ("assign", "access", "hex", "crf")
+SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 #: The patterns that results must hold.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -41,8 +45,7 @@ KEYS = frozenset("password passwd passphrase pwd pass secret secrets token token
 TOKEN = re.compile(r"[^\W_]+|_|[^\w\s]")
 #: Where a token may be other than plain: by a mark, digit or odd capital, or by a word that hints at a secret.
 UNUSUAL = re.compile(r"[0-9=_A-Z](?:(?<=[0-9=_])|(?<=[a-z][A-Z])|(?<=[A-Z])[A-Z]{15})", re.ASCII)
-HINTS = ("passw", "passph", "pwd", "secret", "token", "apikey", "credential", "bearer", "private")
-HINTED = re.compile("|".join(HINTS), re.ASCII | re.IGNORECASE)
+HINTED = re.compile(rf"(?<![^\W_])(?:{'|'.join(sorted(KEYS))})(?![^\W_])", re.IGNORECASE)
 REACH = 4
 
 
@@ -114,11 +117,8 @@ def _break_after(text: str, at: int) -> int:
 
 
 def windows(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of the pieces of a text around unusual tokens, with REACH words on each side, that need tagging."""
-    places = [m.span() for m in UNUSUAL.finditer(text)]
-    low = text.lower()
-    if any(h in low for h in HINTS):
-        places = sorted(places + [m.span() for m in HINTED.finditer(text)])
+    """(start, end) of the pieces of a text around unusual tokens and key words, with REACH words on each side, that need tagging."""
+    places = sorted([m.span() for m in UNUSUAL.finditer(text)] + [m.span() for m in HINTED.finditer(text)])
     last = None
     for a, b in places:
         if last and b <= last[2]:
@@ -222,14 +222,34 @@ class Field:
     def all_spans(self, text: str) -> list[tuple[str, int, int]]:
         """Those of the patterns, and those of the field that touch none of them, by start, then kind."""
         base = base_spans(text)
-        taken = [(a, b) for _, a, b, _ in base]
-        added = [("crf", a, b) for a, b in self.spans(text) if not any(a < y and x < b for x, y in taken)]
+        starts, reach = [], []
+        for _, a, b, _ in base:
+            starts.append(a)
+            reach.append(max(b, reach[-1]) if reach else b)
+
+        def taken(a: int, b: int) -> bool:
+            """Whether the last pattern's span that starts before b, or one before it, ends after a."""
+            k = bisect_right(starts, b - 1)
+            return k > 0 and reach[k - 1] > a
+
+        added = [("crf", a, b) for a, b in self.spans(text) if not taken(a, b)]
         return sorted([x[:3] for x in base] + added, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def cut_sequence(rows: list, tags: list[int]) -> Iterator[tuple[list, list[int]]]:
+    """A sequence in pieces of SEQUENCE tokens, each a little longer if a secret would be cut."""
+    at = 0
+    while at < len(tags):
+        end = min(at + SEQUENCE, len(tags))
+        while end < len(tags) and tags[end - 1]:
+            end += 1
+        yield rows[at:end], tags[at:end]
+        at = end
+
+
 def fit(sequences: list[tuple[list[list[str]], list[int]]]) -> Field:
     """Maximum likelihood with an L2 penalty: full-batch Adam over padded sequences, gradients by forward-backward."""
-    sequences = [(f[:60], t[:60]) for f, t in sequences if t]
+    sequences = [piece for f, t in sequences for piece in cut_sequence(f, t)]
     names = {f: i for i, f in enumerate(sorted({f for rows, _ in sequences for row in rows for f in row}))}
     size, width = len(names), len(sequences[0][0][0])
     order = sorted(range(len(sequences)), key=lambda k: len(sequences[k][1]))
@@ -288,23 +308,26 @@ def fit(sequences: list[tuple[list[list[str]], list[int]]]) -> Field:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    key = F.xxhash64(F.col(id_col).cast("string"))
+    key = F.xxhash64(F.col(id_col).cast("string"), F.xxhash64(text_or_empty(text_col)))
     ids = docs.select(F.col(id_col).alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(SAMPLE_DOCS)
     # SAMPLE_DOCS ids at most: small enough to broadcast.
     sample = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), key.alias("key")).join(F.broadcast(stash(ids, "crf-ids")), "doc_id")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for key_, text in zip(pdf["key"], pdf["text"]):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, order, rows, tags = [], [], [], []
+            for key_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 secrets = [(v, b) for _, _, b, v in base_spans(text)]
                 file = file_features(text)
-                for k, (a, b) in zip(range(SAMPLE_WINDOWS), windows(text)):
+                for k, (a, b) in enumerate(windows(text)):
                     places, shapes, keys, glued = tokens(text, a, b)
-                    rows.append((key_, k, ["\t".join(x) for x in features(shapes, keys, glued, file)][:60], _tags(places, secrets)[:60]))
-            yield pd.DataFrame(rows, columns=["key", "k", "rows", "tags"])
+                    own.append(key_)
+                    order.append(k)
+                    rows.append(["\t".join(x) for x in features(shapes, keys, glued, file)])
+                    tags.append(_tags(places, secrets))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(order, pa.int32()), pa.array(rows, pa.list_(pa.string())), pa.array(tags, pa.list_(pa.int32()))], ["key", "k", "rows", "tags"])
 
-    table = sample.select("key", "text").mapInPandas(cut, "key long, k int, rows array<string>, tags array<int>").toPandas().sort_values(["key", "k"])
+    table = sample.select("key", "text").mapInArrow(cut, "key long, k int, rows array<string>, tags array<int>").toPandas().sort_values(["key", "k"])
     sequences = [([x.split("\t") for x in r], list(map(int, t))) for r, t in zip(table["rows"], table["tags"])]
     return fit(sequences + _made_up(random.Random(SEED)))
 
@@ -314,18 +337,13 @@ def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast((field.weights, field.steps))
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Field(*shared.value)
-        for pdf in batches:
-            out = pd.DataFrame({"spans": [[{"kind": k, "start": a, "end": b} for k, a, b in own.all_spans(t)] for t in pdf["text"]]})
-            out.insert(0, "doc_id", pdf["doc_id"].array)
-            yield out
-
-    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(run, f"doc_id {id_type}, spans array<struct<kind:string,start:int,end:int>>")
-
+        for batch in batches:
+            spans = [[{"kind": k, "start": a, "end": b} for k, a, b in own.all_spans(t)] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, SPANS)], ["doc_id", "spans"])
 
-def digest(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, spans array<struct<kind:string,start:int,end:int>>")
 
 
 def op1_query(spark, sf_dir: str) -> DataFrame:
