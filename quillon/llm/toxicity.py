@@ -5,10 +5,12 @@ tokens whose log-odds do not stand out score zero, and a drift is taken from eve
 A scan in linear time finds all maximal-scoring segments of a text, each one's significance follows from the
 extreme-value law of such maxima, and a one-variable logistic fit turns the summed evidence into a probability.
 
-The classifier is fitted on at most MAX_LABELLED labelled rows (those of smallest CRC-32); every text is scored whole.
+The classifier is fitted on at most MAX_LABELLED labelled rows (those of smallest CRC-32); every token of those that
+stands out is in the model, and every text is scored whole. Training and scoring cut texts by the same function.
 
 Defined results: a null or empty text has no segments and gets the score of no evidence; without labelled rows of both
-classes every score is 0; equal rows get equal scores.
+classes every score is 0; equal rows get equal scores. The chance of a segment is taken as 1e-300 at least and a text's
+evidence as 1000 at most: beyond that the probability does not change.
 """
 
 from __future__ import annotations
@@ -19,18 +21,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import forget, stash, text_or_empty
 
 MAX_LABELLED = 20_000
-MAX_MODEL_TOKENS = 50_000
 #: Weight of the prior, as a share of all counts.
 PRIOR_SHARE = 0.05
 Z_LEAST, DRIFT, STEM = 2.6, 0.5, 5
 SIGNIFICANT = 0.01
-TOKEN = re.compile(r"[^\W\d_]+")
+_ASCII, _TOKEN = re.compile("[a-z]+"), regex.compile(r"[\p{L}\p{M}]+")
+PASSAGES = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("text", pa.string())]))
+
+
+def tokens_of(text: str) -> list[str]:
+    """Runs of letters and the marks on them, in lower case."""
+    low = text.lower()
+    return (_ASCII if low.isascii() else _TOKEN).findall(low)
 
 
 def held_out(id_col: Column) -> Column:
@@ -82,7 +92,7 @@ class Model:
         return s - DRIFT
 
     def scan(self, text: str) -> tuple[list[tuple[int, int, float]], list[str], list[float]]:
-        words = TOKEN.findall(text.lower())
+        words = tokens_of(text)
         get, slow = self.known.get, self.token
         scores = [slow(w) if (s := get(w)) is None else s for w in words]
         return segments(scores) if scores and max(scores) > 0 else [], words, scores
@@ -142,10 +152,19 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _token_counts(sample: DataFrame) -> pd.DataFrame:
-    """The MAX_MODEL_TOKENS tokens and stems ("~" before) that stand out most, with log-odds; the rest is left on the cluster."""
+    """The tokens and stems ("~" before) that stand out, with log-odds; the rest is left on the cluster.
+
+    What comes to the driver is bounded by the words of MAX_LABELLED texts that at least three of them hold.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(set(tokens_of(t))) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.string()))], ["toxic", "found"])
+
     # Each text once, each of its tokens once: copies and words that one text repeats say little.
-    words = sample.dropDuplicates(["text", "toxic"]).select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}]+)"), F.lit(1)))).alias("w"))
-    words = words.groupBy("toxic", "w").agg(F.count(F.lit(1)).alias("n"))
+    words = sample.dropDuplicates(["text", "toxic"]).select("text", "toxic").mapInArrow(listed, "toxic int, found array<string>")
+    words = words.select("toxic", F.explode("found").alias("w")).groupBy("toxic", "w").agg(F.count(F.lit(1)).alias("n"))
     stems = words.where(F.length("w") > STEM).select("toxic", F.concat(F.lit("~"), F.substring("w", 1, STEM)).alias("w"), "n")
     both = words.select("toxic", "w", "n").union(stems).groupBy("w").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(F.col("n"))).alias("good"))
     both = stash(both, "token-counts")
@@ -157,7 +176,7 @@ def _token_counts(sample: DataFrame) -> pd.DataFrame:
     odds = F.ln((F.col("bad") + prior) / (n_bad + mass)) - F.ln((F.col("good") + prior) / (n_good + mass))
     z = odds / F.sqrt(1 / (F.col("bad") + prior) + 1 / (F.col("good") + prior))
     out = both.withColumn("odds", odds).withColumn("z", z).where((F.abs("z") >= Z_LEAST) & (F.col("bad") + F.col("good") >= 3))
-    out = out.orderBy(F.abs("z").desc(), "w").limit(MAX_MODEL_TOKENS).select("w", "odds").toPandas()
+    out = out.select("w", "odds").toPandas()
     forget(both)
     return out
 
@@ -204,26 +223,25 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     tables = docs.sparkSession.sparkContext.broadcast((model.words, model.stems))
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*tables.value)
         own.rate, own.scale, own.weight, own.offset = constants
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
+        for batch in batches:
+            scores, counts, passages = [], [], []
+            for text in batch.column(1).to_pylist():
                 found, words, _ = own.scan(text)
                 evidence, count = own.evidence(found, len(words))
-                kept = [{"first": a, "last": b - 1, "score": s, "text": " ".join(words[a:b])} for a, b, s in found if own.evidence([(a, b, s)], len(words))[1]] if with_passages and count else []
-                rows.append((own.probability(evidence), count, kept))
-            out = pd.DataFrame(rows, columns=["score", "n_passages", "passages"])
-            out.insert(0, "doc_id", pdf["doc_id"].array)
-            yield out
+                scores.append(own.probability(evidence))
+                counts.append(count)
+                passages.append([{"first": a, "last": b - 1, "score": s, "text": " ".join(words[a:b])} for a, b, s in found if own.evidence([(a, b, s)], len(words))[1]] if with_passages and count else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(passages, PASSAGES)], ["doc_id", "score", "n_passages", "passages"])
 
     schema = f"doc_id {id_type}, score double, n_passages long, passages array<struct<first:int,last:int,score:double,text:string>>"
-    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    out = score(docs, model)
+    out = score(docs, model, with_passages=False)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_passages")
