@@ -20,36 +20,34 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import new_path, stash
+from quillon.llm.common import new_path, split_by_keys, stash
 
 MIN_REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 256 << 20
 #: Ranges at most GAP bytes apart are read at once, up to SPAN bytes.
 GAP, SPAN = 64 << 10, 8 << 20
+#: Bytes of archives that one reading task takes, about.
+READ_BYTES = 16 << 20
 SALTS = 32
 INDEX = "page_id long, url string, digest string, file string, offset long, length long"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
+_TYPES = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
 
-def _same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
+def _records(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """A batch of rows of numbers, texts and bytes, whole numbers exactly as they are."""
+    names, kinds = zip(*(x.split() for x in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(list(c), _TYPES[k]) for c, k in zip(list(zip(*rows)) or [[]] * len(kinds), kinds)], list(names))
 
 
-def decisions(pages: DataFrame) -> DataFrame:
-    """(page_id, digest, payload_bytes, refers_to), each once: which records revisit another.
-
-    Copies are counted before anything is shuffled by digest, and what goes back to them is salted, so a payload that
-    a third of all pages share is spread over many tasks.
-    """
-    groups = pages.where(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1 and keep is not null")
-    groups = groups.select("digest", "keep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = pages.select("page_id", "digest", "payload_bytes").distinct().withColumn("salt", F.pmod(F.hash("page_id"), F.lit(SALTS)))
-    out = rows.join(groups, ["digest", "salt"], "left")
-    return out.select("page_id", "digest", "payload_bytes", F.when(~_same(F.col("page_id"), F.col("keep")), F.col("keep")).alias("refers_to"))
+def copies(pages: DataFrame) -> DataFrame:
+    """(digest, keep) of payloads that several of pages (page_id, digest, payload_bytes) hold: the page that others revisit."""
+    groups = pages.where(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n"))
+    return groups.where("n > 1 and keep is not null").select("digest", "keep")
 
 
 def _name(page_id) -> str:
@@ -108,16 +106,13 @@ def _open(path: str):
 def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write rows (page_id, url, html, digest, refers_to) below folder; the stored index of what was written."""
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _open(folder)
         system.create_dir(base, recursive=True)
         out, name, at = None, "", 0
-        for pdf in batches:
+        for batch in batches:
             entries = []
-            refers = pdf["refers_to"].array
-            ids = pdf["page_id"].array
-            for page_id, url, html, digest, ref in zip(ids, pdf["url"], pdf["html"], pdf["digest"], refers):
-                page_id, ref = (None if pd.isna(x) else int(x) for x in (page_id, ref))
+            for page_id, url, html, digest, ref in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None or at >= archive_bytes:
                     if out is not None:
                         out.close()
@@ -127,33 +122,35 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
                 out.write(member)
                 entries.append((page_id, url, digest, f"{folder}/{name}", at, len(member)))
                 at += len(member)
-            frame = pd.DataFrame(entries, columns=["page_id", "url", "digest", "file", "offset", "length"])
-            yield frame.astype({"page_id": "Int64"})
+            yield _records(entries, INDEX)
         if out is not None:
             out.close()
 
-    return stash(rows.select("page_id", "url", "html", "digest", "refers_to").mapInPandas(write, INDEX), "warc-index")
+    return stash(rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(write, INDEX), "warc-index")
 
 
 def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
-    """The records that the rows of index name, read in order of file and offset, near ranges at once."""
+    """The records that the rows of index name, read in order of file and offset, near ranges at once.
+
+    Tasks are as many as the records' bytes ask for.
+    """
 
-    def runs(pdf: pd.DataFrame) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    def runs(batch: pa.RecordBatch) -> Iterator[tuple[str, list[tuple[int, int]]]]:
         name, run = None, []
-        for file, offset, length in zip(pdf["file"], pdf["offset"], pdf["length"]):
+        for file, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
             if run and (file != name or offset - sum(run[-1]) > GAP or offset + length - run[0][0] > SPAN):
                 yield name, run
                 run = []
             name = file
-            run.append((int(offset), int(length)))
+            run.append((offset, length))
         if run:
             yield name, run
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, source = None, None
-        for pdf in batches:
+        for batch in batches:
             rows, held = [], 0
-            for file, run in runs(pdf):
+            for file, run in runs(batch):
                 if file != name:
                     if source is not None:
                         source.close()
@@ -166,25 +163,31 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
                     rows.append(x if with_payload else (*x[:-1], None))
                     held += x[1] if with_payload else 0
                 if held > SPAN:
-                    yield pd.DataFrame(rows, columns=columns).astype(types)
+                    yield _records(rows, RECORD)
                     rows, held = [], 0
-            yield pd.DataFrame(rows, columns=columns).astype(types)
+            yield _records(rows, RECORD)
 
-    columns = [x.split()[0] for x in RECORD.split(", ")]
-    types = {"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"}
-    ordered = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-    return ordered.mapInPandas(read, RECORD)
+    tasks = -(-(index.agg(F.sum("length")).first()[0] or 1) // READ_BYTES)
+    ordered = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
+    return ordered.mapInArrow(read, RECORD)
 
 
 def archive_pages(pages: DataFrame, folder: str) -> DataFrame:
-    """Write pages (page_id, url, html) as archives below folder, copies as revisits; the index."""
+    """Write pages (page_id, url, html) as archives below folder, copies as revisits; the index.
+
+    Copies are counted before anything is shuffled by digest. Only pages that may be copies are shuffled, salted, so a
+    payload that a third of all pages share is spread over many tasks; the others are written where they are read.
+    """
     html = F.coalesce(F.col("html"), F.lit(""))
-    digest = F.sha1(html.cast("binary"))
-    sizes = stash(pages.select("page_id", digest.alias("digest"), F.octet_length(html).cast("long").alias("payload_bytes")), "page-digests")
-    found = stash(decisions(sizes), "page-decisions")
-    a, b = pages.select("page_id", "url", "html", digest.alias("digest")).alias("a"), found.alias("b")
-    rows = a.join(b, _same(F.col("a.page_id"), F.col("b.page_id")) & (F.col("a.digest") == F.col("b.digest")), "left")
-    return write_archives(rows.select("a.page_id", "a.url", "a.html", "a.digest", "b.refers_to"), folder)
+    digest = F.sha1(html.cast("binary")).alias("digest")
+    groups = stash(copies(pages.select("page_id", digest, F.octet_length(html).cast("long").alias("payload_bytes"))), "page-copies")
+    near, far = split_by_keys(pages.select("page_id", "url", "html", digest), groups, ["digest"])
+    salted = groups.select("digest", "keep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    # Both sides grow with the corpus, so neither is broadcast at any size.
+    near = near.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).join(salted.hint("merge"), ["digest", "salt"], "left")
+    near = near.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep")))
+    columns = ["page_id", "url", "html", "digest", "refers_to"]
+    return write_archives(near.select(*columns).unionByName(far.withColumn("refers_to", F.lit(None).cast("long")).select(*columns)), folder)
 
 
 def op6_query(spark, sf_dir: str) -> DataFrame:
