@@ -17,9 +17,11 @@ _OWN_ROOT: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _OWN_ROOT:
             _OWN_ROOT.append(tempfile.mkdtemp(prefix="quillon-"))
         root = f"file://{_OWN_ROOT[0]}"
