@@ -37,8 +37,10 @@ WORDS = 5
 NUM, DEN = 4, 5
 SALTS = 16
 #: Shingles of a block of sets that are compared in one task, and of a cluster that is cut again before.
-BLOCK, LARGE = 1 << 21, 1 << 24
+BLOCK, LARGE = 1 << 19, 1 << 24
 STAR_ROWS = 400
+#: Rows of one signature that one task takes, and how far a hash bucket of signatures is above the average then.
+HOT, HOT_TIMES = 1 << 20, 8
 
 _U = np.uint64
 _TABLE = np.random.RandomState(12345).randint(0, 2**63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
@@ -160,7 +162,8 @@ def _signed(docs: DataFrame, family: int = 0) -> DataFrame:
 
 
 def _free(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished plans now rather than at some later collection."""
+    """Let Spark delete the shuffle files of finished plans now. It does so when their plans are collected, and asks the
+    driver's JVM for a collection itself, but only every spark.cleaner.periodicGC.interval (half an hour)."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -219,11 +222,43 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _shared_signatures(sets: DataFrame) -> DataFrame:
+    """(sig, id, n, h, first, k) of signatures that k > 1 rows of sets (doc_id, n, fp1, sigs) have, of two ids or more.
+
+    h tells a row from all others of its signature. Signatures are counted in hash buckets first, all of them. Those of
+    ordinary buckets meet in one window each; those of a bucket far above the average, where one signature may hold a
+    large share of all rows, are summed up before they are shuffled, and their rows are joined with the sums by salts,
+    as many as keep a task below HOT rows.
+    """
+    n_buckets = 1 << min(20, max(10, (sets.count() // 4).bit_length()))
+    rows = sets.select(F.col("doc_id").alias("id"), "n", F.xxhash64("doc_id", "fp1").alias("h"), F.explode("sigs").alias("sig"))
+    bucket = F.pmod(F.xxhash64("sig", F.lit(5)), F.lit(n_buckets)).cast("int").alias("bucket")
+    counts = stash(rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("k")), "signature-counts")
+    # At most 2^20 rows.
+    hot = counts.where(F.col("k") > F.greatest(F.lit(HOT), F.lit(HOT_TIMES * (counts.agg(F.avg("k")).first()[0] or 0)))).select("bucket", F.ceil(F.col("k") / HOT).cast("int").alias("salts"))
+    names = ["sig", "id", "n", "h", "first", "k"]
+    group = lambda e: F.expr(f"{e} over (partition by sig)")
+    cold = rows
+    if is_hot := hot.limit(1).count() > 0:
+        cold = rows.withColumn("bucket", bucket).join(F.broadcast(hot), "bucket", "left_anti").drop("bucket")
+    out = cold.withColumn("first", group("min(id)")).withColumn("last", group("max(id)")).withColumn("k", group("count(1)")).where("first < last").select(*names)
+    if is_hot:
+        some = rows.withColumn("bucket", bucket).join(F.broadcast(hot), "bucket")
+        sums = some.groupBy("sig", "salts").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("k")).where("first < last")
+        sums = sums.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("last", "salts")
+        out = out.unionByName(some.withColumn("salt", F.pmod("h", F.col("salts")).cast("int")).join(sums.hint("merge"), ["sig", "salt"]).select(*names))
+    out = stash(out, "shared")
+    forget(counts)
+    return out
+
+
 def _different_groups(shared: DataFrame) -> DataFrame:
-    """One of all groups that hold the same ids, with their number as weight. Rows (sig, id) are distinct."""
-    groups = shared.groupBy("sig").agg(F.expr("bit_xor(xxhash64(id))").alias("g1"), F.expr("bit_xor(xxhash64(id, 3))").alias("g2"), F.count(F.lit(1)).alias("k"), F.min("first").alias("f"))
-    groups = groups.groupBy("g1", "g2", "k", "f").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("weight")).select("sig", "weight")
-    out = stash(shared.join(stash(groups, "groups"), "sig"), "shared")
+    """One of all groups that hold the same rows, with their number as weight."""
+    groups = shared.groupBy("sig").agg(F.expr("bit_xor(h)").alias("g1"), F.expr("bit_xor(xxhash64(h, 3))").alias("g2"), F.min("k").alias("k"), F.min("first").alias("f"))
+    groups = groups.groupBy("g1", "g2", "k", "f").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("weight"))
+    groups = groups.select("sig", "weight", F.explode(F.sequence(F.lit(0), F.ceil(F.col("k") / HOT).cast("int") - 1)).alias("salt"))
+    rows = shared.withColumn("salt", F.pmod(F.col("h"), F.ceil(F.col("k") / HOT)).cast("int"))
+    out = stash(rows.join(stash(groups, "groups"), ["sig", "salt"]).select("sig", "id", "n", "first", "weight"), "shared")
     forget(shared)
     return out
 
@@ -352,11 +387,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     signed = stash(_signed(docs), "signed")
     named = signed.where("n > 0 and doc_id is not null")
     members = stash(signed.select("doc_id", "n", "fp1", "fp2"), "members")
-    rows = _without_copies(named, members).select(F.col("doc_id").alias("id"), "n", F.explode("sigs").alias("sig"))
-    # Texts of one id that differ may share signatures: an id counts once in a group, or it cancels out of the group's XOR.
-    rows = rows.withColumn("before", F.expr("lag(id) over (partition by sig order by id)")).where("before is null or before != id").drop("before")
-    shared = rows.withColumn("first", F.expr("min(id) over (partition by sig order by id)")).withColumn("next", F.expr("lead(id) over (partition by sig order by id)"))
-    shared = _different_groups(stash(shared.where("first != id or next is not null").select("sig", "id", "n", "first"), "shared"))
+    shared = _different_groups(_shared_signatures(_without_copies(named, members)))
     forget(signed)
     _free(spark)
 
