@@ -60,9 +60,12 @@ def test_near_duplicates_match_brute_force(spark, corpus, monkeypatch):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     docs = spark.createDataFrame(corpus, SCHEMA).withColumn("sig", F.lit("x")).withColumn("n", F.lit(2))
-    for block, large in ((ngram_join.BLOCK, ngram_join.LARGE), (40, 100)):
+    # Small bounds send the same rows through the plans of hot signatures and large clusters.
+    for block, large, hot, times in ((ngram_join.BLOCK, ngram_join.LARGE, ngram_join.HOT, 8), (40, 100, 3, 0)):
         monkeypatch.setattr(ngram_join, "BLOCK", block)
         monkeypatch.setattr(ngram_join, "LARGE", large)
+        monkeypatch.setattr(ngram_join, "HOT", hot)
+        monkeypatch.setattr(ngram_join, "HOT_TIMES", times)
         out = ngram_join.similar_documents(docs).collect()
         assert len(out) == len(corpus)
         for r in out:
@@ -241,26 +244,39 @@ VECTORS = "vec_id long, embedding array<float>"
 
 def test_small_tables_are_searched_whole_with_ties_and_odd_rows(spark):
     rows = [(i, [float(i % 5), 1.0]) for i in range(40)] + [(50, None), (51, [0.0, 0.0]), (52, [None, 1.0]), (53, [float("nan"), 1.0]), (54, [float("inf"), 1.0]), (55, [1.0]), (None, [1.0, 1.0]), (60, [2.0, 1.0])]
-    usable = ann.usable(spark.createDataFrame(rows, VECTORS))
-    router, size = ann.train(usable, 6)
-    got = ann.search(usable, usable.where("vec_id % 20 = 0"), 6, router, size).collect()
+    frame = spark.createDataFrame(rows, VECTORS).withColumns({c: F.lit(1) for c in ("v", "leaf", "bin", "q", "ids", "at")})
+    usable = ann.usable(frame)
+    got = ann.search(ann.build(usable, 6), usable.where("vec_id % 20 = 0"), 6).collect()
     good = {i: v for i, v in rows[:40] + rows[-1:]}
     for q in (0, 20, 60):
         expected = sorted(((-sum(a * b for a, b in zip(good[q], v)), i) for i, v in good.items() if i != q))[:6]
         assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == expected
     assert {r.query_id for r in got} == {0, 20, 60}
     empty = ann.usable(spark.createDataFrame([], VECTORS))
-    router, size = ann.train(empty, 6)
-    assert ann.search(empty, empty, 6, router, size).count() == 0
+    assert ann.search(ann.build(empty, 6), empty, 6).count() == 0
 
 
-def test_recall_against_brute_force(spark):
+def test_of_several_vectors_of_one_query_id_the_smallest_is_asked(spark):
+    rows = [(20, [3.0, 0.0]), (20, [0.0, 3.0]), (20, [0.0, 3.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
+    for parts in (1, 3):
+        usable = ann.usable(spark.createDataFrame(rows, VECTORS).repartition(parts))
+        got = ann.search(ann.build(usable, 5), usable.where("vec_id % 20 = 0"), 5).orderBy("rank").collect()
+        assert [(r.query_id, r.vec_id, r.score) for r in got] == [(20, 2, 3.0), (20, 1, 0.0)]
+
+
+@pytest.mark.parametrize("cut_again", [False, True])
+def test_recall_against_brute_force(spark, monkeypatch, cut_again):
+    if cut_again:
+        monkeypatch.setattr(ann, "PARTS", 4)
+        monkeypatch.setattr(ann, "CUT_AGAIN", 128)
+        monkeypatch.setattr(ann, "CANDIDATE_BLOCK", 60)
+        monkeypatch.setattr(ann, "QUERY_BLOCK", 30)
     rng = np.random.RandomState(1)
     x = (rng.randn(40, 24)[rng.randint(0, 40, 3000)] + 0.7 * rng.randn(3000, 24)).astype(np.float32)
     x[1000:1900] = x[7]
     rows = ann.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VECTORS))
-    router, size = ann.train(rows, 20)
-    got = ann.search(rows, rows.where("vec_id % 20 = 0"), 20, router, size).collect()
+    index = ann.build(rows, 20)
+    got = ann.search(index, rows.where("vec_id % 20 = 0"), 20).collect()
     found = {}
     for r in got:
         found.setdefault(r.query_id, {})[r.vec_id] = r.score
@@ -273,7 +289,7 @@ def test_recall_against_brute_force(spark):
         total += 20
         hits += len(set(near) & set(found[q]))
         assert len(found[q]) == 20 and all(abs(s - score[i]) < 1e-9 for i, s in found[q].items())
-    assert router.parts > 1 and hits >= 0.9 * total
+    assert index.tree.leaves > 8 and (index.tree.sub > 1) == cut_again and index.share < 0.5 and hits >= 0.9 * total
 
 
 def test_balanced_parts_are_balanced_and_follow_the_graph():
