@@ -106,6 +106,17 @@ def test_expectation_maximisation_matches_plain_python(spark):
     assert all(abs(got[p] - post(p)) < 1e-9 for p, _ in counts)
 
 
+def test_estimates_settle_and_come_from_the_votes(spark):
+    """Of two kinds of junk, each seen by other rules, and good texts that one rule rejects at times."""
+    keep, code = [1] * 8, lambda v: sum((x + 1) * 3 ** (7 - j) for j, x in enumerate(v))
+    drop = lambda *at: [-1 if j in at else 1 for j in range(8)]
+    counts = [(code(keep), 42000), (code(drop(0, 1)), 3100), (code(drop(2, 3, 5)), 1150), (code(drop(5, 7)), 990), (code(drop(5)), 630), (code(drop(4)), 60), (code([1, 1, 1, 1, 0, 1, 1, 1]), 1180)]
+    frame = spark.createDataFrame(counts, "pattern int, n long")
+    some, more = ({r.pattern: r.p_good for r in quality.posterior(frame, rounds=k).collect()} for k in (quality.ROUNDS, 3 * quality.ROUNDS))
+    assert all(abs(some[p] - more[p]) < 1e-3 for p in some)
+    assert some[code(keep)] > 0.99 and some[code(drop(0, 1))] < 0.01 and some[code(drop(2, 3, 5))] < 0.01 and some[code([1, 1, 1, 1, 0, 1, 1, 1])] > 0.9
+
+
 def test_extra_columns_do_not_clash(docs):
     odd = docs.withColumn("slot", F.lit(1)).withColumn("size", F.lit("x")).withColumn("n_words", F.lit(0)).withColumn("pattern", F.lit(0))
     assert sharding.shard_documents(odd, n_shards=3).count() == docs.count()
