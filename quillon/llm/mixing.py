@@ -11,6 +11,8 @@ own named "?", an empty table gives an empty result, equal rows count each. Shar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ LEVELS = ("domain", "lang", "source")
 #: Weights by name at each level; names that are not listed weigh 1.
 WEIGHTS = {"domain": {"web": 5, "books": 3, "reference": 2}, "lang": {"en": 6, "de": 2, "fr": 2}, "source": {}}
 SEED, MAX_EPOCHS, BUDGET_PERCENT = 20240607, 2, 60
+#: Leaves up to which their budgets are broadcast; beyond, rows and budgets meet by salts.
+BROADCAST_LEAVES, SALTS = 100_000, 32
 
 
 def domain_of(source: Column) -> Column:
@@ -29,10 +33,16 @@ def domain_of(source: Column) -> Column:
     return F.when(n == "", "?").when(n.cast("int") < 10, "web").when(n.cast("int") < 15, "books").otherwise("reference")
 
 
-def token_counts(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """(doc_id, domain, lang, source, n_tokens) of each document."""
+def domain_by(table: dict[str, str]) -> Callable[[Column], Column]:
+    """A domain function for token_counts from a table of sources; those not in it are "?"."""
+    listed = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair]) if table else None
+    return lambda source: F.lit("?") if listed is None else F.coalesce(listed[F.coalesce(source, F.lit(""))], F.lit("?"))
+
+
+def token_counts(docs: DataFrame, carry: list[str] | None = None, domain: Callable[[Column], Column] = domain_of) -> DataFrame:
+    """(doc_id, domain, lang, source, n_tokens) of each document. domain: a source's domain (see domain_by)."""
     named = [F.coalesce(F.col(c), F.lit("?")).alias(c) for c in ("lang", "source")]
-    return docs.select("doc_id", domain_of(F.col("source")).alias("domain"), *named, F.regexp_count(text_or_empty("text"), F.lit(WORD)).cast("long").alias("n_tokens"), *(carry or []))
+    return docs.select("doc_id", F.coalesce(domain(F.col("source")), F.lit("?")).alias("domain"), *named, F.regexp_count(text_or_empty("text"), F.lit(WORD)).cast("long").alias("n_tokens"), *(carry or []))
 
 
 def _weight(level: str, weights: dict) -> Column:
@@ -46,18 +56,21 @@ def budgets(supply: DataFrame, budget: Column, weights: dict = WEIGHTS, max_epoc
     """(domain, lang, source, supply, tokens) from (domain, lang, source, supply), a table of one row a leaf.
 
     At each node the children are sorted by capacity over weight. Those that cannot use their share of what is left are
-    filled; the others share the rest by weight. All in whole numbers.
+    filled; the others share the rest by weight. All in whole numbers. Documents are summed up by leaf before this, and a
+    task sorts the children of one node at most.
     """
     nodes = supply.withColumn("cap", F.col("supply") * max_epochs)
-    nodes = nodes.withColumn("all_tokens", F.sum("supply").over(W.partitionBy(F.lit(1))))
-    nodes = nodes.withColumn("given", F.least(budget, F.sum("cap").over(W.partitionBy(F.lit(1)))).cast("long"))
+    # One row of sums.
+    sums = nodes.agg(F.sum("supply").alias("all_tokens"), F.sum("cap").alias("all_cap"))
+    nodes = nodes.join(F.broadcast(sums), F.lit(True), "cross").withColumn("given", F.least(budget, F.col("all_cap")).cast("long"))
     for k, level in enumerate(LEVELS):
         above, path = list(LEVELS[:k]), list(LEVELS[: k + 1])
         level_nodes = nodes.groupBy(*path).agg(F.sum("cap").alias("cap"), F.max("given").alias("given")).withColumn("w", _weight(level, weights))
         order = W.partitionBy(*(above or [F.lit(1)])).orderBy(F.col("cap") / F.col("w"), level)
-        before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(0, W.unboundedFollowing)
+        before = order.rowsBetween(W.unboundedPreceding, -1)
         whole = W.partitionBy(*(above or [F.lit(1)]))
-        level_nodes = level_nodes.withColumn("left", F.col("given") - F.coalesce(F.sum("cap").over(before), F.lit(0))).withColumn("w_left", F.sum("w").over(after))
+        level_nodes = level_nodes.withColumn("left", F.col("given") - F.coalesce(F.sum("cap").over(before), F.lit(0)))
+        level_nodes = level_nodes.withColumn("w_left", F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0)))
         full = F.col("cap") * F.col("w_left") <= F.col("left") * F.col("w")
         level_nodes = level_nodes.withColumn("full", full)
         level_nodes = level_nodes.withColumn("rest", F.min(F.when(~F.col("full"), F.struct(F.col("cap") / F.col("w"), F.col(level), F.col("left").alias("left"), F.col("w_left").alias("w_left")))).over(whole))
@@ -67,19 +80,33 @@ def budgets(supply: DataFrame, budget: Column, weights: dict = WEIGHTS, max_epoc
     return nodes.select(*LEVELS, "supply", F.col("given").alias("tokens"))
 
 
+def _with_budgets(counts: DataFrame, leaves: DataFrame) -> DataFrame:
+    """counts with supply and tokens of each row's leaf. A leaf may hold a third of all rows, leaves may be many."""
+    if leaves.count() <= BROADCAST_LEAVES:
+        return counts.join(F.broadcast(leaves), list(LEVELS))
+    salted = leaves.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return counts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [*LEVELS, "salt"]).drop("salt")
+
+
 def select_prefix(counts: DataFrame, leaves: DataFrame, seed: int = SEED, carry: list[str] | None = None) -> DataFrame:
     """Rows (doc_id, leaf, epoch, start, n_tokens, take, carry): each leaf's prefix of its seeded epochs.
 
-    start is the document's place in its epoch's stream. Places are summed within 4096 ranges of the sort key, then over
-    the ranges, so no leaf is sorted in one task.
+    start is the document's place in its epoch's stream. Places are summed within 65,536 ranges of the sort key, over the
+    256 ranges of each wider one, and over the 256 wider ones, so no leaf is sorted or summed in one task.
     """
-    rows = counts.join(F.broadcast(leaves.where("tokens > 0")), list(LEVELS))
+    rows = _with_budgets(counts, leaves.where("tokens > 0"))
     rows = rows.withColumn("epoch", F.explode(F.expr("sequence(0, cast((tokens - 1) div supply as int))")))
     rows = rows.withColumn("key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")))))
-    rows = rows.withColumn("range", F.substring("key", 1, 3))
+    rows = rows.withColumn("range", F.substring("key", 1, 4))
     part = [*LEVELS, "epoch"]
-    before = W.partitionBy(*part).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    ranges = rows.groupBy(*part, "range").agg(F.sum("n_tokens").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+
+    def summed(by: list[str], at: str) -> Column:
+        return F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy(at).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+    ranges = rows.groupBy(*part, "range").agg(F.sum("n_tokens").alias("n")).withColumn("wide", F.substring("range", 1, 2))
+    wide = ranges.groupBy(*part, "wide").agg(F.sum("n").alias("n")).withColumn("base", summed(part, "wide")).drop("n")
+    ranges = ranges.withColumn("inside", summed([*part, "wide"], "range")).join(wide, [*part, "wide"])
+    ranges = ranges.select(*part, "range", (F.col("base") + F.col("inside")).alias("base"))
     within = W.partitionBy(*part, "range").orderBy("key", "doc_id", "n_tokens", *(carry or [])).rowsBetween(W.unboundedPreceding, -1)
     rows = rows.join(ranges, [*part, "range"]).withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     take = F.least(F.col("n_tokens"), F.col("tokens") - F.col("epoch") * F.col("supply") - F.col("start"))
