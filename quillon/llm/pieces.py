@@ -4,16 +4,19 @@ The model file is read on the driver, at a path that is a parameter, and only it
 the file) goes to the executors. Encoding marks spaces with U+2581, puts one before the text, and finds for each run of
 the text the pieces of largest total score; characters that no piece covers become their UTF-8 bytes. No piece crosses
 from another character to a marker, so the best path of a text is that of its marker-led runs, each of which is solved
-once and remembered in a table of bounded size.
+once and remembered in a table of bounded size. A worker process builds the trie once and keeps it for later tasks.
 
 Defined results: null and empty texts have no pieces and decode to the empty text; U+2581 in a text decodes to a space,
-as it does in the published scheme; ties go to the longest last piece.
+as it does in the published scheme; ties go to the longest last piece. Models that change the text before it is cut (a
+normaliser table, extra white space removed, spaces not marked or marked behind) or that hold user-defined pieces, which
+are cut out before all others, are refused.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,7 +32,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Piece types of the model format, and what an unknown character scores below the smallest score.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 200_000
+NOWHERE = float("-inf")
+#: Solved runs that are remembered before the older half is forgotten.
+REMEMBERED = 300_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -105,12 +110,13 @@ class DoubleArray:
             check[at + labels] = state
             for label, i, j in zip(labels, starts, [*starts[1:], hi]):
                 todo.append((at + int(label), i, j, depth + 1))
-        return cls(base.tolist(), check.tolist(), value.tolist())
+        # Room beyond every base, so that a step never leaves the arrays.
+        return cls(base.tolist() + [0] * 256, check.tolist() + [-1] * 256, value.tolist() + [-1] * 256)
 
 
 @dataclass
 class PieceModel:
-    """Pieces with scores and kinds; the trie is built where it is used."""
+    """Pieces with scores and kinds; the trie is built where it is used and kept there."""
 
     pieces: list[bytes]
     scores: list[float]
@@ -128,18 +134,32 @@ class PieceModel:
                 pieces.append(bytes(x.get(1, b"")))
                 scores.append(x.get(2, 0.0))
                 kinds.append(x.get(3, NORMAL))
+            elif number == 2 and dict(_fields(value)).get(24, 0):
+                raise ValueError("models that mark spaces behind words are not supported")
             elif number == 3:
-                prefix = bool(dict(_fields(value)).get(3, 1))
+                rules = dict(_fields(value))
+                if rules.get(2) or rules.get(4, 1) or not rules.get(5, 1):
+                    raise ValueError("models that normalise the text are not supported")
+                prefix = bool(rules.get(3, 1))
+        if USER in kinds:
+            raise ValueError("user-defined pieces are not supported")
         return cls(pieces, scores, kinds, prefix)
 
+    def codec(self) -> Codec:
+        if not hasattr(self, "_codec"):
+            self._codec = Codec(self)
+        return self._codec
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_codec"}
+
 
 class Codec:
     def __init__(self, model: PieceModel):
         self.model = model
-        keys = [(p, i) for i, (p, k) in enumerate(zip(model.pieces, model.kinds)) if k in (NORMAL, USER)]
+        keys = [(p, i) for i, (p, k) in enumerate(zip(model.pieces, model.kinds)) if k == NORMAL]
         trie = DoubleArray.build(keys)
         self.base, self.check, self.value = trie.base, trie.check, trie.value
-        self.top = len(self.check)
         self.unknown = min((model.scores[i] for _, i in keys), default=0.0) - UNKNOWN_PENALTY
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(model.pieces, model.kinds)) if k == BYTE}
         self.first_unknown = next((i for i, k in enumerate(model.kinds) if k == UNKNOWN), 0)
@@ -147,6 +167,7 @@ class Codec:
         newline = any(b"\n" in p for p, _ in keys)
         self.runs = re.compile("(?s).+" if crossing else f"{MARK}*[^{MARK}]+|{MARK}+" if newline else f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         #: What each id decodes to, as bytes.
         self.spelled = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.replace(MARK.encode(), b" ") for p, k in zip(model.pieces, model.kinds)]
         self.is_byte = np.array([k == BYTE for k in model.kinds] or [False])
@@ -155,32 +176,34 @@ class Codec:
         """The ids of the path of largest score through one run."""
         data = run.encode("utf-8", "replace")
         n = len(data)
-        base, check, value, scores, top = self.base, self.check, self.value, self.model.scores, self.top
-        score, back = [None] * (n + 1), [None] * (n + 1)
+        base, check, value, scores = self.base, self.check, self.value, self.model.scores
+        score, back = [NOWHERE] * (n + 1), [(0, -1)] * (n + 1)
         score[0] = 0.0
         i = 0
         while i < n:
             lead = data[i]
             width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
             here, state, j, single = score[i], 0, i, False
+            i += width
             while j < n:
                 to = base[state] + data[j]
-                if to >= top or check[to] != state:
+                if check[to] != state:
                     break
                 state = to
                 j += 1
-                k = value[state]
+                k = value[to]
                 if k >= 0:
-                    single |= j - i == width
+                    if j == i:
+                        single = True
                     s = here + scores[k]
-                    if score[j] is None or s > score[j]:
-                        score[j], back[j] = s, (i, k)
+                    if s > score[j]:
+                        score[j] = s
+                        back[j] = (i - width, k)
             if not single:
-                j = i + width
                 s = here + self.unknown
-                if score[j] is None or s > score[j]:
-                    score[j], back[j] = s, (i, -1)
-            i += width
+                if s > score[i]:
+                    score[i] = s
+                    back[i] = (i - width, -1)
         out, j = [], n
         while j:
             i, k = back[j]
@@ -192,10 +215,12 @@ class Codec:
         return out[::-1]
 
     def _solved(self, run: str) -> bytes:
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        out = np.array(self.best(run), np.int32).tobytes()
+        out = self.older.get(run)
+        if out is None:
+            out = array("i", self.best(run)).tobytes()
         if len(run) <= 64:
+            if len(self.known) >= REMEMBERED // 2:
+                self.known, self.older = {}, self.known
             self.known[run] = out
         return out
 
@@ -203,8 +228,8 @@ class Codec:
         if not text:
             return np.zeros(0, np.int32)
         marked = (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
-        get, solved = self.known.get, self._solved
-        return np.frombuffer(b"".join([get(x) or solved(x) for x in self.runs.findall(marked)]), np.int32)
+        solved = self._solved
+        return np.frombuffer(b"".join([self.known.get(x) or solved(x) for x in self.runs.findall(marked)]), np.int32)
 
     def decode(self, ids) -> str:
         spelled = self.spelled
@@ -218,7 +243,7 @@ def encode_column(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_i
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model.value)
+        codec = model.value.codec()
         for batch in batches:
             for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
                 texts = part.column(1).to_pylist()
@@ -240,7 +265,7 @@ def decode_column(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
     id_type = encoded.schema["doc_id"].dataType.simpleString()
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model.value)
+        codec = model.value.codec()
         for batch in batches:
             texts = [codec.decode(x or ()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
