@@ -1,11 +1,11 @@
 """Functions over time (trailing rows of a code) and over codes (one day), as window columns on the dense panel.
 
-A window of w rows ends at the current row. Except where said otherwise a value needs max(1, w // 2) finite rows.
+The panel's days are numbered without gaps (t). A window of w rows ends at the current row. Except where said otherwise a value needs max(1, w // 2) finite rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -80,7 +80,7 @@ def ts_corr(x: Column, y: Column, w: int) -> Column:
 
 
 def ts_rank(x: Column, w: int) -> Column:
-    """The average-tie rank of the newest row among its window's, over their number."""
+    """The average-tie rank of the newest row among its window's, over their number. Holds the window's values for a row."""
     y = finite(x)
     seen = F.collect_list(y).over(_trail(w))
     return F.when(
@@ -152,41 +152,41 @@ def ts_accumulate_positive_return(x: Column) -> Column:
     return F.when(F.count(x).over(o) == F.count(F.lit(1)).over(o), F.product(F.when(x > 1, x - 1).otherwise(F.lit(1.0))).over(o))
 
 
-def ewm(cells, n: float, m: float):
-    """(code, t, y) from (code, t, x): y moves by m / n toward each finite x; weights fade across gaps.
+def ewm(frame: DataFrame, x: Column, n: float, m: float, name: str) -> DataFrame:
+    """frame with name added: a mean that moves by m / n toward each finite x; weights fade across gaps.
 
-    The recursion runs over one code's rows at a time, in Arrow batches.
+    The recursion folds one code's rows, which are as many as there are days, in order of t.
     """
     alpha = m / n
+    rows = frame.select(F.col("code").alias("_code"), F.struct("t", *[c for c in frame.columns if c != "t"]).alias("r"), finite(x).alias("x"))
+    rows = rows.groupBy("_code").agg(F.array_sort(F.collect_list(F.struct(F.col("r.t").alias("t"), "x", "r"))).alias("a"))
+    none = F.lit(None).cast("double")
+    start = F.struct(none.alias("y"), F.lit(1.0).alias("old"), F.expr("cast(array() as array<double>)").alias("out"))
 
-    def run(pdf):
-        pdf = pdf.sort_values("t")
-        out, prev, old = [], None, 1.0
-        for v in pdf["x"].tolist():
-            if prev is not None:
-                old *= 1 - alpha
-            if v is not None and v == v and abs(v) != float("inf"):
-                if prev is None:
-                    prev, old = v, 1.0
-                else:
-                    prev = (old * prev + alpha * v) / (old + alpha)
-                    old = 1.0
-            out.append(prev)
-        return pdf[["code", "t"]].assign(y=out)
+    def step(acc: Column, row: Column) -> Column:
+        x, old = row["x"], F.when(acc["y"].isNull(), 1.0).otherwise(acc["old"] * (1 - alpha))
+        y = F.when(x.isNull(), acc["y"]).when(acc["y"].isNull(), x).otherwise((old * acc["y"] + alpha * x) / (old + alpha))
+        return F.struct(y.alias("y"), F.when(x.isNull(), old).otherwise(1.0).alias("old"), F.concat(acc["out"], F.array(y)).alias("out"))
 
-    return cells.groupBy("code").applyInPandas(run, "code string, t int, y double")
+    rows = rows.withColumn("ys", F.aggregate("a", start, step, lambda acc: acc["out"]))
+    rows = rows.select(F.explode(F.zip_with("a", "ys", lambda r, y: F.struct(r["r"].alias("r"), y.alias("y")))).alias("z"))
+    return rows.select(*[F.col(f"z.r.{c}").alias(c) for c in frame.columns], F.col("z.y").alias(name))
 
 
 def _day(*more: Column):
     return W.partitionBy("t", *more)
 
 
+def average_rank(x: Column, *by: str | Column) -> Column:
+    """Ranks from 1 within by; equal values share the mean of their ranks. One sort serves both ends of a tie."""
+    order = W.partitionBy(*by).orderBy(x)
+    return (F.rank().over(order) + F.count(F.lit(1)).over(order.rangeBetween(W.unboundedPreceding, W.currentRow))) / 2
+
+
 def rank_cs(x: Column) -> Column:
     """Average-tie rank of a day's values over their number; infinite values rank too."""
     missing = x.isNull()
-    first = F.rank().over(_day(missing).orderBy(x))
-    ties = F.count(F.lit(1)).over(_day(x))
-    return F.when(~missing, (first + (ties - 1) / 2) / F.count(x).over(_day(missing)))
+    return F.when(~missing, average_rank(x, "t", missing) / F.count(x).over(_day(missing)))
 
 
 def winsorize_cs(x: Column, lo: float, hi: float) -> Column:

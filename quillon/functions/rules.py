@@ -15,7 +15,8 @@ INF = float("inf")
 
 
 def no_nan(x: Column) -> Column:
-    return F.when(~F.isnan(x), x)
+    # Names x once: chains of operations would double with each link otherwise.
+    return F.nanvl(x, F.lit(None).cast("double"))
 
 
 def finite(x: Column) -> Column:

@@ -44,6 +44,8 @@ class Value:
     column: Column | None
     kind: str
     number: float = 0.0
+    #: Whether the column is one of the frame's, so that naming it twice costs nothing.
+    simple: bool = False
 
     @property
     def as_number(self) -> Column:
@@ -106,6 +108,10 @@ class Compiler:
         self.frame = self.frame.withColumn(name, column)
         return F.col(name)
 
+    def _once(self, v: Value) -> Value:
+        """The same value as a column of the frame: for rules that name their operands several times."""
+        return v if v.simple or v.kind == "scalar" else Value(self._named(v.column), v.kind, simple=True)
+
     def value(self, node: ast.expr) -> Value:
         key = ast.dump(node)
         if key not in self.done:
@@ -118,7 +124,7 @@ class Compiler:
         if isinstance(node, ast.Name):
             if node.id not in SYMBOLS:
                 raise ExpressionError(f"{node.id} must be called")
-            return Value(F.col(node.id), "flag" if node.id == "st" else "number")
+            return Value(F.col(node.id), "flag" if node.id == "st" else "number", simple=True)
         if isinstance(node, ast.Attribute):
             if node.attr not in ("inf", "nan"):
                 raise ExpressionError(f"np.{node.attr} must be called")
@@ -158,6 +164,8 @@ class Compiler:
                 return Value(None, "scalar", {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: x / y, "//": lambda: x // y, "%": lambda: x % y, "**": lambda: x**y}[op]())
             except ZeroDivisionError as e:
                 raise ExpressionError("division of numbers by zero") from e
+        if op in ("/", "//", "%"):
+            a, b = self._once(a), self._once(b)
         x, y = a.as_number, b.as_number
         plain = {"+": lambda: E.no_nan(x + y), "-": lambda: E.no_nan(x - y), "*": lambda: E.no_nan(x * y), "/": lambda: E.divide(x, y), "//": lambda: E.floor_divide(x, y), "%": lambda: E.modulo(x, y), "**": lambda: E.power(x, y)}
         return Value(plain[op](), "number")
@@ -184,26 +192,24 @@ class Compiler:
             else:
                 columns = [a.as_number for a in args[:panels]]
             columns = [self._named(c) for c in columns]
-            return Value(self._named(getattr(R, name)(*columns, *[_whole(a) for a in args[panels:]])), "number")
+            return Value(self._named(getattr(R, name)(*columns, *[_whole(a) for a in args[panels:]])), "number", simple=True)
         if name == "adv":
             x, w = self._arguments(node, ("x", "w"))
-            return Value(self._named(R.ts_mean(self._named(x.as_number), _whole(w))), "number")
+            return Value(self._named(R.ts_mean(self._named(x.as_number), _whole(w))), "number", simple=True)
         if name == "ts_sma":
             x, n, m = self._arguments(node, ("x", "n", "m"))
             if not 0 < m.number <= n.number:
                 raise ExpressionError("ts_sma needs 0 < m <= n")
-            self._named(x.as_number.alias("x"))
-            got = R.ewm(self.frame.select("code", "t", F.col(self.frame.columns[-1]).alias("x")), n.number, m.number)
             name = f"_x{len(self.frame.columns)}"
-            self.frame = self.frame.join(got.withColumnRenamed("y", name), ["code", "t"])
-            return Value(F.col(name), "number")
+            self.frame = R.ewm(self.frame, x.as_number, n.number, m.number, name)
+            return Value(F.col(name), "number", simple=True)
         if name in DAY:
             args = self._arguments(node, ("x", "lo", "hi") if name == "winsorize_cs" else ("x", "a"))
             numbers = [a.number for a in args[1:]] or ([1.0] if name == "scale_cs" else [])
             if name == "winsorize_cs" and not (len(numbers) == 2 and 0 <= numbers[0] < numbers[1] <= 1):
                 raise ExpressionError("winsorize_cs needs 0 <= lo < hi <= 1")
-            return Value(self._named(getattr(R, name)(self._named(args[0].as_number), *numbers[: {"winsorize_cs": 2, "scale_cs": 1}.get(name, 0)])), "number")
-        args = self._arguments(node, ("a", "b", "c"))
+            return Value(self._named(getattr(R, name)(self._named(args[0].as_number), *numbers[: {"winsorize_cs": 2, "scale_cs": 1}.get(name, 0)])), "number", simple=True)
+        args = [self._once(a) for a in self._arguments(node, ("a", "b", "c"))]
         x = [a.as_number for a in args]
         if name == "where":
             return Value(E.choose(args[0].column if args[0].kind == "flag" else x[0], args[0].kind == "flag", x[1], x[2]), "number")

@@ -2,31 +2,36 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.functions.texts import normalized_code, to_day
+
 EPOCH = "1995-01-02"
 NUMBERS = ("c", "o", "h", "l", "vol", "amt", "vwap", "cap", "limit")
 FLAGS = ("st", "delisting")
 COLUMNS = ("t", "day", "code", *NUMBERS, *FLAGS, "industry")
 
 
-def normalized_code(code):
-    """Codes are trimmed and filled to six digits."""
-    return F.lpad(F.trim(code.cast("string")), 6, "0")
+def numbered_days(cells: DataFrame) -> DataFrame:
+    """(t, day): the days that occur, numbered from 0 without gaps. One small row a day, whatever the number of codes."""
+    days = cells.select("day").distinct()
+    return days.select((F.row_number().over(W.partitionBy(F.lit(1)).orderBy("day")) - 1).cast("int").alias("t"), "day")
 
 
 def densify(cells: DataFrame) -> DataFrame:
     """Every day that occurs with every code that occurs; cells that are missing get null numbers and false flags.
 
-    The calendar is one small row a day, so it is broadcast; the result is distributed by code.
+    The calendar has one row a day and is broadcast; the result is distributed by code. t counts days that occur, so
+    windows of rows and lags never see a gap.
     """
-    calendar = cells.select("t", "day").distinct()
     codes = cells.select("code").distinct()
-    grid = codes.join(F.broadcast(calendar), F.lit(True), "cross")
-    dense = grid.join(cells.drop("day"), ["t", "code"], "left")
-    return dense.withColumns({f: F.coalesce(f, F.lit(False)) for f in FLAGS if f in cells.columns}).select(*[c for c in COLUMNS if c in (*cells.columns,)])
+    grid = codes.join(F.broadcast(numbered_days(cells)), F.lit(True), "cross")
+    dense = grid.join(cells.drop("t"), ["day", "code"], "left")
+    return dense.withColumns({f: F.coalesce(f, F.lit(False)) for f in FLAGS if f in cells.columns}).select(*[c for c in COLUMNS if c == "t" or c in cells.columns])
 
 
 def weekly_panel(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
@@ -48,7 +53,6 @@ def weekly_panel(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = CO
     suppliers = suppliers.select(F.col("s_suppkey").alias("l_suppkey"), "s_acctbal", F.when(F.col("s_nationkey") % 11 != 0, F.col("n_regionkey").cast("string")).alias("industry"))
     cells = cells.join(suppliers, "l_suppkey", "left").withColumn("c", F.col("amt") / F.col("vol"))
     cells = cells.select(
-        "t",
         F.date_add(F.lit(EPOCH).cast("date"), F.col("t") * 7).alias("day"),
         normalized_code(F.col("l_suppkey")).alias("code"),
         "c", "o", "h", "l", "vol", "amt",
@@ -57,33 +61,94 @@ def weekly_panel(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = CO
         (0.1 * (F.col("l_suppkey") % 3 + 1)).alias("limit"),
         "st", "delisting", "industry",
     )
-    return densify(cells.select(*[c for c in COLUMNS if c in columns or c in ("t", "day", "code")]))
+    return densify(cells.select(*[c for c in COLUMNS if c != "t" and (c in columns or c in ("day", "code"))]))
+
+
+def checked_codes(rows: DataFrame, column: str = "code") -> DataFrame:
+    """rows with codes filled to six digits; codes of anything but one to six digits are an error."""
+    if rows.where(F.col(column).isNull() | ~F.trim(F.col(column).cast("string")).rlike(r"^\d{1,6}$")).limit(1).count():
+        raise ValueError(f"{column} must hold codes of one to six digits")
+    return rows.withColumn(column, normalized_code(F.col(column)))
+
+
+def duplicate_cells(cells: DataFrame) -> DataFrame:
+    """Cells that occur more than once: none is what every source must have."""
+    return cells.groupBy("day", "code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def unique_cells(cells: DataFrame, what: str) -> DataFrame:
+    if duplicate_cells(cells).limit(1).count():
+        raise ValueError(f"{what} has more than one row for a day and code")
+    return cells
+
+
+def wide_to_long(wide: DataFrame, value: str = "values") -> DataFrame:
+    """(day, code, value) from a table with a column for each code."""
+    return wide.unpivot("day", [c for c in wide.columns if c != "day"], "code", value)
+
+
+INDUSTRY_LONG = ("trade_date", "security_code", "industry_l1_code")
+
+
+def industry_cells(frame: DataFrame, zone: str | None = None) -> DataFrame:
+    """(day, code, industry) of a long table (trade_date, security_code, industry_l1_code) or of one with a column a code.
+
+    Classifications hold for their own day only; blank ones are missing; a cell given twice is an error.
+    """
+    if set(INDUSTRY_LONG) <= set(frame.columns):
+        rows = frame.select(F.col(INDUSTRY_LONG[0]).alias("day"), F.col(INDUSTRY_LONG[1]).cast("string").alias("code"), F.col(INDUSTRY_LONG[2]).cast("string").alias("industry"))
+    else:
+        rows = wide_to_long(frame.select(*[F.col(f"`{c}`") if c == "day" else F.col(f"`{c}`").cast("string").alias(c) for c in frame.columns]), "industry")
+    rows = unique_cells(checked_codes(rows.withColumn("day", to_day(F.col("day"), zone))), "industry")
+    return rows.withColumn("industry", F.trim("industry")).where("industry <> ''")
 
 
 def read_panel(spark: SparkSession, files: dict[str, str], symbols: list[str]) -> DataFrame:
-    """A panel from one long parquet file (day, code, values) for each symbol; only the files of symbols, c and o are read.
+    """A panel from one parquet file for each symbol, long (day, code, values) or with a column for each code.
 
-    The days and codes of c are the panel's; other symbols are joined to them, flags absent mean false.
+    Only the files of symbols, c and o are read. The days and codes of c are the panel's; other symbols are joined to
+    them, flags absent mean false. Symbols without a file, codes that are none and cells given twice are errors.
     """
-    close = spark.read.parquet(files["c"]).select("day", normalized_code(F.col("code")).alias("code"), F.col("values").cast("double").alias("c"))
-    days = close.select("day").distinct().withColumn("t", (F.row_number().over(W.partitionBy(F.lit(1)).orderBy("day")) - 1).cast("int"))
-    panel = close.select("code").distinct().join(F.broadcast(days), F.lit(True), "cross").join(close, ["day", "code"], "left")
-    for s in dict.fromkeys(["o", *symbols]):
-        if s == "c":
-            continue
+    wanted = list(dict.fromkeys(["c", "o", *symbols]))
+    unknown = [s for s in wanted if s not in (*NUMBERS, *FLAGS, "industry") or s not in files]
+    if unknown:
+        raise ValueError(f"no file for {unknown}")
+
+    def cells(s: str) -> DataFrame:
         kind = "boolean" if s in FLAGS else "string" if s == "industry" else "double"
-        values = spark.read.parquet(files[s]).select("day", normalized_code(F.col("code")).alias("code"), F.col("values").cast(kind).alias(s))
-        panel = panel.join(values, ["day", "code"], "left")
+        rows = spark.read.parquet(files[s])
+        if s == "industry" and "values" not in rows.columns:
+            return industry_cells(rows)
+        rows = rows if "values" in rows.columns else wide_to_long(rows)
+        rows = rows.select(to_day(F.col("day")).alias("day"), F.col("code").cast("string").alias("code"), F.col("values").cast(kind).alias(s))
+        return unique_cells(checked_codes(rows), s)
+
+    close = cells("c")
+    panel = close.select("code").distinct().join(F.broadcast(numbered_days(close)), F.lit(True), "cross").join(close, ["day", "code"], "left")
+    for s in wanted[1:]:
+        panel = panel.join(cells(s), ["day", "code"], "left")
         if s in FLAGS:
             panel = panel.withColumn(s, F.coalesce(s, F.lit(False)))
     return panel
 
 
-def wide_to_long(wide: DataFrame, value: str = "values") -> DataFrame:
-    """(day, code, value) from a table with a column for each code."""
-    return wide.unpivot("day", [c for c in wide.columns if c != "day"], "code", value)
-
-
-def duplicate_cells(cells: DataFrame) -> DataFrame:
-    """Cells that occur more than once: none is what every source must have."""
-    return cells.groupBy("day", "code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def write_panel(rows: DataFrame, path: str, codec: str = "zstd", kind: str = "parquet") -> None:
+    """Write a table so that readers see all of it or none: to a folder beside, which then takes the place of the old one."""
+    spark = rows.sparkSession
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex[:12]}"
+    if kind == "csv":
+        rows.write.csv(staged, header=True)
+    else:
+        rows.write.parquet(staged, compression=codec)
+    p, jvm = path.rstrip("/"), spark.sparkContext._jvm
+    here, new, old = (jvm.org.apache.hadoop.fs.Path(x) for x in (p, staged, f"{staged}-old"))
+    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = fs.exists(here)
+    if there:
+        fs.rename(here, old)
+    if not fs.rename(new, here):
+        if there:
+            fs.rename(old, here)
+        raise OSError(f"could not put {staged} in the place of {path}")
+    if there:
+        fs.delete(old, True)
