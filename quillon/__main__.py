@@ -21,9 +21,17 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--first")
     one.add_argument("--last")
     many = sub.add_parser("search", help="genetic search")
-    many.add_argument("--size", type=int, default=20)
-    many.add_argument("--generations", type=int, default=2)
+    many.add_argument("--size", type=int, default=1000)
+    many.add_argument("--generations", type=int, default=3)
+    many.add_argument("--fame", type=int, default=100)
     many.add_argument("--seed", type=int, default=1)
+    many.add_argument("--mode", default="none", help="how factors are prepared: paper_local, market_cap, market_cap_industry, none")
+    blend = sub.add_parser("train", help="fit a blend of expressions")
+    blend.add_argument("expressions", nargs="+")
+    blend.add_argument("--model", default=None)
+    blend.add_argument("--horizon", type=int, default=1)
+    blend.add_argument("--first")
+    blend.add_argument("--last")
     query = sub.add_parser("query", help="a registered query")
     query.add_argument("name")
     query.add_argument("--to", help="folder to write Parquet to, instead of showing rows")
@@ -39,14 +47,18 @@ def main(argv: list[str] | None = None) -> None:
         rows = queries()[args.name](spark, args.tables)
         rows.write.parquet(args.to) if args.to else rows.show(50, False)
         return
-    from quillon.operators import labels, pipeline, search
+    from quillon.operators import models, pipeline, search
     from quillon.sources.panel import weekly_panel
 
     panel = weekly_panel(spark, args.tables)
     if args.command == "search":
-        settings = search.Settings(size=args.size, generations=args.generations, seed=args.seed)
-        labelled = labels.forward_open_return(panel).persist()
-        print(json.dumps(search.search(search.scorer(labelled, settings), settings), indent=1))
+        settings = search.Settings(size=args.size, generations=args.generations, seed=args.seed, fame=args.fame, components=args.fame, tournament=min(20, args.size), mode=args.mode)
+        rows, _ = search.context(panel, settings)
+        print(json.dumps(search.search(search.scorer(rows, settings), settings), indent=1))
+        return
+    if args.command == "train":
+        terms = {f"f{k}": x for k, x in enumerate(args.expressions, 1)}
+        print(json.dumps(models.train(panel, terms, args.model, horizon=args.horizon, first=args.first, last=args.last), indent=1))
         return
     state = pipeline.evaluate(panel, args.expression, args.methods.split(","), args.groups, args.horizon, args.decay, args.first, args.last)
     for name, value in state.outputs.items():

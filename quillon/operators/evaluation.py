@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.functions.rolling import rank_cs
+from quillon.functions.rolling import average_rank, rank_cs
+from quillon.functions.rules import finite
 from quillon.operators.labels import blocks
 
 YEAR = 252
@@ -21,18 +22,76 @@ def pairs(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("factor").isNotNull() & F.col("fwd").isNotNull())
 
 
+def rank_sums(rows: DataFrame, by: tuple[str, ...] = ("t", "day"), factor: str = "factor", label: str = "fwd") -> DataFrame:
+    """(by, n, va, vb, cov): sums over the ranks of the days' pairs, times n and centred; days of fewer than 3 pairs go."""
+    ranked = rows.where(finite(F.col(factor)).isNotNull() & finite(F.col(label)).isNotNull())
+    ranked = ranked.withColumn("_a", average_rank(F.col(factor), *by)).withColumn("_b", average_rank(F.col(label), *by))
+    a, b = F.col("_a"), F.col("_b")
+    sums = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(a).alias("sa"), F.sum(b).alias("sb"), F.sum(a * a).alias("saa"), F.sum(b * b).alias("sbb"), F.sum(a * b).alias("sab"))
+    return sums.where("n >= 3").select(*by, "n", F.expr("n * saa - sa * sa").alias("va"), F.expr("n * sbb - sb * sb").alias("vb"), F.expr("n * sab - sa * sb").alias("cov"))
+
+
 def rank_ic(rows: DataFrame, by: tuple[str, ...] = ("t", "day")) -> DataFrame:
     """(t, day, ic, n): each day's rank correlation of factor and label; days of fewer than 3 pairs or constant ranks go."""
-    day = W.partitionBy(*by)
-    ranked = pairs(rows)
-    for c in ("factor", "fwd"):
-        ties = F.count(F.lit(1)).over(W.partitionBy(*by, c))
-        ranked = ranked.withColumn(f"_r_{c}", F.rank().over(day.orderBy(c)) + (ties - 1) / 2)
-    a, b = F.col("_r_factor"), F.col("_r_fwd")
-    sums = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(a).alias("sa"), F.sum(b).alias("sb"), F.sum(a * a).alias("saa"), F.sum(b * b).alias("sbb"), F.sum(a * b).alias("sab"))
-    va, vb = F.expr("n * saa - sa * sa"), F.expr("n * sbb - sb * sb")
-    sums = sums.where("n >= 3").withColumn("va", va).withColumn("vb", vb).where("va > 0 and vb > 0")
-    return sums.select(*by, (F.expr("n * sab - sa * sb") / F.sqrt(F.col("va") * F.col("vb"))).alias("ic"), "n")
+    return rank_sums(rows, by).where("va > 0 and vb > 0").select(*by, (F.col("cov") / F.sqrt(F.col("va") * F.col("vb"))).alias("ic"), "n")
+
+
+def ic_summary(rows: DataFrame) -> DataFrame:
+    """One row: days with an IC, pairs of all days with 3 or more, and the first and last day with an IC."""
+    ok = F.expr("va > 0 and vb > 0")
+    return rank_sums(rows).agg(F.sum(ok.cast("long")).alias("ic_count"), F.sum("n").alias("pair_count"), F.min(F.when(ok, F.col("day"))).alias("start_day"), F.max(F.when(ok, F.col("day"))).alias("end_day"))
+
+
+def calc_ic(frame: DataFrame, factor_name: str = "score", label_name: str = "f1") -> DataFrame:
+    """(day, ic) of a long table, every day of it; ic is missing where it is not defined."""
+    missing = {"day", factor_name, label_name} - set(frame.columns)
+    if missing:
+        raise KeyError(f"no columns {sorted(missing)}")
+    got = rank_sums(frame, ("day",), factor_name, label_name)
+    got = got.select("day", F.when((F.col("va") > 0) & (F.col("vb") > 0), F.col("cov") / F.sqrt(F.col("va") * F.col("vb"))).alias("ic"))
+    return frame.select("day").distinct().join(got, "day", "left")
+
+
+def get_ic_info(frame: DataFrame, factor_name: str, label_name: str) -> DataFrame:
+    """One row: mean and standard deviation of calc_ic, and the absolute value of their ratio."""
+    return icir(calc_ic(frame, factor_name, label_name)).select("ic_mean", "ic_std", F.abs("icir").alias("abs_ir"))
+
+
+def assign_quantile(frame: DataFrame, factor_name: str = "score", n_quantiles: int = 10, tie: str = "code") -> DataFrame:
+    """frame with group (1 for the smallest) in each day of all rows with a factor; ties in order of the column tie."""
+    if isinstance(n_quantiles, bool) or n_quantiles < 1 or int(n_quantiles) != n_quantiles:
+        raise ValueError("the number of groups must be a whole number of 1 or more")
+    x = finite(F.col(factor_name))
+    place = F.row_number().over(W.partitionBy("day", x.isNull()).orderBy(x, tie))
+    count = F.count(x).over(W.partitionBy("day", x.isNull()))
+    return frame.withColumn("group", F.when(x.isNotNull(), F.floor((place - 1) * int(n_quantiles) / count) + 1).cast("int"))
+
+
+def calc_group_returns(frame: DataFrame, group_col: str = "group", ret_col: str = "f1", n_quantiles: int | None = None) -> DataFrame:
+    """(day, G1, ..., GN): equal-weighted returns, a column for each group. A group that never occurs is an error if n_quantiles is given."""
+    rows = frame.where(F.col(group_col).isNotNull() & F.col(ret_col).isNotNull())
+    there = sorted(int(r[0]) for r in rows.select(group_col).distinct().collect())
+    missing = sorted(set(range(1, (n_quantiles or 0) + 1)) - set(there))
+    if missing:
+        raise ValueError(f"no rows in groups {missing}")
+    out = rows.groupBy("day").pivot(group_col, there).agg(F.avg(ret_col))
+    return out.select("day", *[F.col(f"`{g}`").alias(f"G{g}") for g in there])
+
+
+def evaluate_wide(factor_wide: DataFrame, open_wide: DataFrame, horizon: int = 1, n_quantiles: int = 10, decay: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """IC, group returns and the summary of both from two tables with a column for each code; opens give days and codes."""
+    from quillon.functions.rolling import run_decay
+    from quillon.operators.labels import forward_open_return
+    from quillon.sources.panel import numbered_days, wide_to_long
+
+    if isinstance(n_quantiles, bool) or not isinstance(n_quantiles, int) or n_quantiles < 1:
+        raise ValueError("the number of groups must be a whole number of 1 or more")
+    if isinstance(decay, bool) or not isinstance(decay, int) or decay < 1:
+        raise ValueError("decay must be a whole number of 1 or more")
+    opens = wide_to_long(open_wide, "o").join(F.broadcast(numbered_days(open_wide)), "day")
+    rows = opens.join(wide_to_long(factor_wide, "factor"), ["day", "code"], "left")
+    rows = forward_open_return(rows.withColumn("factor", run_decay(finite(F.col("factor")), decay)), horizon)
+    return rank_ic(rows), quantile_returns(rows, n_quantiles), ic_summary(rows)
 
 
 def icir(daily: DataFrame) -> DataFrame:
@@ -61,18 +120,25 @@ def cumulative(returns: DataFrame) -> DataFrame:
 
 
 def net_returns(rows: DataFrame, n_groups: int, buy: float = BUY_COST, sell: float = SELL_COST) -> DataFrame:
-    """(t, day, grp, gross, turnover, cost, ret) after trading from the weights of the last day that had any."""
+    """(t, day, grp, gross, turnover, cost, ret) after trading from the weights of the last day that had any.
+
+    A code is in one group a day, so its trades follow from its own neighbouring rows: what it buys from the row before,
+    what it sells from the row after. Nothing is joined but the small calendar.
+    """
     members = quantile_members(rows, n_groups)
     weights = members.withColumn("w", 1 / F.count(F.lit(1)).over(W.partitionBy("t", "grp"))).select("t", "day", "grp", "code", "w", "fwd")
-    days = weights.select("t", "day").distinct().withColumn("d", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("t")))
-    now = weights.join(F.broadcast(days.drop("day")), "t").select("d", "grp", "code", "w")
-    last = days.agg(F.max("d").alias("last"))
-    before = now.join(F.broadcast(last), F.col("d") < F.col("last")).select((F.col("d") + 1).alias("d"), "grp", "code", F.col("w").alias("w0"))
-    moves = now.join(before, ["d", "grp", "code"], "full").withColumn("move", F.coalesce("w", F.lit(0.0)) - F.coalesce("w0", F.lit(0.0)))
-    traded = moves.groupBy("d", "grp").agg(F.sum(F.greatest("move", F.lit(0.0))).alias("bought"), F.sum(F.greatest(-F.col("move"), F.lit(0.0))).alias("sold"))
-    gross = weights.groupBy("t", "day", "grp").agg(F.avg("fwd").alias("gross"))
-    out = gross.join(F.broadcast(days.drop("day")), "t").join(traded, ["d", "grp"])
+    days = members.select("t", "day").distinct().withColumn("d", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("t")))
+    days = days.withColumn("last", F.max("d").over(W.partitionBy(F.lit(1))))
+    now = weights.join(F.broadcast(days.drop("day")), "t")
+    order = W.partitionBy("code").orderBy("d")
+    near = lambda f, step: F.when((f("d").over(order) == F.col("d") + step) & (f("grp").over(order) == F.col("grp")), f("w").over(order))
+    now = now.withColumn("w0", F.coalesce(near(F.lag, -1), F.lit(0.0))).withColumn("stays", near(F.lead, 1).isNotNull())
+    bought = F.struct(F.col("d"), F.greatest(F.col("w") - F.col("w0"), F.lit(0.0)).alias("b"), F.greatest(F.col("w0") - F.col("w"), F.lit(0.0)).alias("s"), F.col("fwd"))
+    left = F.when(~F.col("stays") & (F.col("d") < F.col("last")), F.struct((F.col("d") + 1).alias("d"), F.lit(0.0).alias("b"), F.col("w").alias("s"), F.lit(None).cast("double").alias("fwd")))
+    moves = now.select("grp", F.explode(F.array_compact(F.array(bought, left))).alias("m")).groupBy("m.d", "grp")
+    traded = moves.agg(F.sum("m.b").alias("bought"), F.sum("m.s").alias("sold"), F.avg("m.fwd").alias("gross")).where("gross is not null")
     cost = F.col("bought") * buy + F.col("sold") * sell
+    out = traded.join(F.broadcast(days), "d")
     return out.select("t", "day", "grp", "gross", ((F.col("bought") + F.col("sold")) / 2).alias("turnover"), cost.alias("cost"), (F.col("gross") - cost).alias("ret"))
 
 
@@ -128,6 +194,11 @@ def rolling_drawdown(returns: DataFrame, size: int) -> DataFrame:
     return cut.groupBy("grp", "block", "block_end").agg(F.when(F.count("ret") == size, F.min("dd")).alias("drawdown"))
 
 
+def drawdown_summary(drawdown: DataFrame) -> DataFrame:
+    """(grp, worst, middle) of the blocks' drawdowns."""
+    return drawdown.groupBy("grp").agg(F.min("drawdown").alias("worst"), F.percentile("drawdown", F.lit(0.5)).alias("middle"))
+
+
 def fitness(net: DataFrame, n_groups: int) -> DataFrame:
     """(year, annualized, sharpe, max_drawdown, turnover, fitness) of the top group in each calendar year."""
     top = net.where(F.col("grp") == n_groups).withColumn("year", F.year("day"))
@@ -145,17 +216,27 @@ def peak_decay(daily: DataFrame, size: int = 60, step: int = 10) -> DataFrame:
     return out.where((F.col("_k") >= size) & ((F.col("_k") - size) % step == 0)).select("t", "day", "mean_ic")
 
 
-def horizon_decay(rows: DataFrame, first: int, last: int) -> DataFrame:
+def fitness_summary(yearly: DataFrame) -> DataFrame:
+    """One row: the mean of the years that have a fitness, and how many they are."""
+    return yearly.agg(F.avg("fitness").alias("fitness"), F.count("fitness").alias("years"))
+
+
+def horizon_decay(rows: DataFrame, first: int = 20, last: int = 252) -> DataFrame:
     """(horizon, mean_ic, n_days) for labels of each horizon, on the days that have an IC at every horizon.
 
-    The factor's rows are repeated for a few horizons at a time and joined with the open they sell at.
+    Only days early enough for the longest horizon can be among them, so only those are looked at. A code's opens travel
+    with its rows as one array, from which all labels are read where the row is; then the rows of all horizons are
+    shuffled once, to be ranked by (horizon, day).
     """
-    opens = rows.select("t", "code", F.col("o").alias("o_out"))
-    ahead = rows.withColumn("o_in", F.lead("o", 1).over(W.partitionBy("code").orderBy("t"))).where(F.col("factor").isNotNull() & (F.col("o_in") != 0))
-    each = ahead.select(F.col("t").alias("t0"), "day", "code", "factor", "o_in", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("horizon"))
-    each = each.withColumn("t", F.col("t0") + 1 + F.col("horizon")).join(opens, ["t", "code"])
-    each = each.select(F.col("t0").alias("t"), "day", "code", "factor", "horizon", F.round(F.col("o_out") / F.col("o_in") - 1, 9).alias("fwd"))
-    daily = rank_ic(each, ("horizon", "t", "day"))
+    if not 1 <= first <= last:
+        raise ValueError("the horizons must be whole numbers of 1 or more, the first no larger than the last")
+    opens = rows.groupBy("code").agg(F.map_from_entries(F.collect_list(F.when(finite(F.col("o")).isNotNull(), F.struct("t", "o")))).alias("opens"), F.max("t").alias("_end"))
+    end = F.broadcast(rows.agg((F.max("t") - last - 1).alias("_last")))
+    live = rows.where(F.col("factor").isNotNull()).select("t", "day", "code", "factor").join(end, F.col("t") <= F.col("_last")).join(opens, "code")
+    entry = F.col("opens")[F.col("t") + 1]
+    live = live.withColumn("o_in", entry).where(F.col("o_in") != 0)
+    each = live.select("t", "day", "code", "factor", F.explode(F.transform(F.sequence(F.lit(first), F.lit(last)), lambda h: F.struct(h.alias("horizon"), F.round(F.col("opens")[F.col("t") + 1 + h] / F.col("o_in") - 1, 9).alias("fwd")))).alias("x"))
+    daily = rank_ic(each.select("t", "day", "code", "factor", "x.horizon", "x.fwd").where("fwd is not null"), ("horizon", "t", "day"))
     whole = daily.withColumn("_k", F.count(F.lit(1)).over(W.partitionBy("t"))).where(F.col("_k") == last - first + 1)
     return whole.groupBy("horizon").agg(F.avg("ic").alias("mean_ic"), F.count(F.lit(1)).alias("n_days"))
 
@@ -181,29 +262,59 @@ def newey_west(ic: list[float], horizon: int = 1) -> dict:
     return {"mean": float(x.mean()), "lag": int(lag), "se": se, "t": t, "p": math.erfc(abs(t) / math.sqrt(2))}
 
 
-def trend_filters(ic: np.ndarray, span: int = 30, ratio: float = 0.01) -> dict[str, np.ndarray]:
-    """Three smooth versions of a short series: a local-level Kalman filter, a second-order low pass, a Fourier low pass."""
+CURVES = ("kalman", "low_pass", "fourier")
+
+
+def trend_filters(ic: np.ndarray, period: int = 31, ratio: float = 0.01) -> dict[str, np.ndarray]:
+    """Three smooth versions of a daily series, which is short: one number a day.
+
+    kalman: a local level whose variance over the noise's is ratio, at the gain at which it settles. low_pass: a
+    second-order recursion on two past states and three past inputs, which begins with the first three inputs.
+    fourier: what waves of period days or longer make up of the whole series (it looks ahead).
+    """
     x = np.asarray(ic, float)
     n = len(x)
-    # The gain at which the variance of the level settles.
+    if n < 4 or not np.isfinite(x).all():
+        raise ValueError("four finite values are needed")
     p = (ratio + math.sqrt(ratio * ratio + 4 * ratio)) / 2
     gain = p / (p + 1)
     level, kalman = x[0], np.empty(n)
     for i, v in enumerate(x):
         level += gain * (v - level)
         kalman[i] = level
-    a = 2 / (span + 1)
-    first = second = x[0]
-    low = np.empty(n)
-    for i, v in enumerate(x):
-        first += a * (v - first)
-        second += a * (first - second)
-        low[i] = second
+    a = 2 / period
+    low = x.copy()
+    states = np.array([2 * (1 - a), -((1 - a) ** 2)])
+    inputs = np.array([a - a * a / 4, a * a / 2, -(a - 3 * a * a / 4)])
+    for i in range(3, n):
+        low[i] = states @ low[[i - 1, i - 2]] + inputs @ x[[i - 1, i - 2, i - 3]]
     spectrum = np.fft.rfft(x)
-    spectrum[np.fft.rfftfreq(n) > 1 / (span + 1)] = 0
+    spectrum[np.fft.rfftfreq(n) > 1 / period] = 0
     return {"kalman": kalman, "low_pass": low, "fourier": np.fft.irfft(spectrum, n)}
 
 
+def trend_means(filtered: DataFrame, size: int = 10, step: int = 5) -> DataFrame:
+    """(t, day, kalman, low_pass, fourier): means of whole overlapping runs of size rows, step apart, by their last day."""
+    if not 1 <= step <= size:
+        raise ValueError("step must lie between 1 and size")
+    order = W.partitionBy(F.lit(1)).orderBy("t")
+    out = filtered.select("t", "day", F.row_number().over(order).alias("_k"), *[F.avg(c).over(order.rowsBetween(-(size - 1), 0)).alias(c) for c in CURVES])
+    return out.where((F.col("_k") >= size) & ((F.col("_k") - size) % step == 0)).drop("_k")
+
+
+def trend_table(daily: DataFrame) -> DataFrame:
+    """(t, day, ic, kalman, low_pass, fourier) of the days of (t, day, ic). One row a day, so it passes through the driver."""
+    got = [(r.t, r.day, r.ic) for r in daily.where("ic is not null").select("t", "day", "ic").orderBy("t").collect()]
+    curves = trend_filters(np.array([x for *_, x in got]))
+    return daily.sparkSession.createDataFrame([(*r, *(float(curves[c][i]) for c in CURVES)) for i, r in enumerate(got)], "t int, day date, ic double, kalman double, low_pass double, fourier double")
+
+
+def trend_summary(filtered: DataFrame) -> DataFrame:
+    """One row: the days, and each curve's first and last value and the difference."""
+    ends = [e for c in CURVES for e in (F.min_by(c, "t").alias(f"{c}_start"), F.max_by(c, "t").alias(f"{c}_final"), (F.max_by(c, "t") - F.min_by(c, "t")).alias(f"{c}_change"))]
+    return filtered.agg(F.count(F.lit(1)).alias("days"), *ends)
+
+
 def spearman(rows: DataFrame) -> DataFrame:
     """rank_cs of factor and label, for looking at single pairs."""
     return pairs(rows).withColumn("factor_rank", rank_cs(F.col("factor"))).withColumn("fwd_rank", rank_cs(F.col("fwd")))

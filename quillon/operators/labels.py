@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.rules import divide, finite
+from quillon.functions.texts import as_day
 
 
 def forward_open_return(panel: DataFrame, horizon: int = 1, name: str = "fwd") -> DataFrame:
@@ -17,14 +18,23 @@ def forward_open_return(panel: DataFrame, horizon: int = 1, name: str = "fwd") -
     return panel.withColumn(name, finite(divide(F.lead("o", horizon + 1).over(ahead), F.lead("o", 1).over(ahead)) - 1))
 
 
-def sample_window(rows: DataFrame, first=None, last=None, horizon: int = 1) -> DataFrame:
-    """Days from first to last; a bounded window loses its last horizon + 1 days, whose labels lie beyond it."""
+def sample_window(rows: DataFrame, first=None, last=None, horizon: int = 1, calendar: DataFrame | None = None, zone: str | None = None) -> DataFrame:
+    """Days from first to last; a bounded window loses its last horizon + 1 days, whose labels lie beyond it.
+
+    The days, one small row each, are looked at on the driver, so what stays is a filter between two days that can reach
+    a scan. calendar: a table of the days, where reading them from rows would compute more than that. A window that is
+    empty, the wrong way round or too short for one label is an error.
+    """
     if first is None and last is None:
         return rows
-    days = rows.select("day").distinct()
-    days = days.where(F.lit(True) if first is None else F.col("day") >= F.lit(first).cast("date")).where(F.lit(True) if last is None else F.col("day") <= F.lit(last).cast("date"))
-    days = days.withColumn("_left", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.col("day").desc())))
-    return rows.join(F.broadcast(days.where(F.col("_left") > horizon + 1).select("day")), "day", "left_semi")
+    lo, hi = (None if x is None else as_day(x, zone) for x in (first, last))
+    if lo is not None and hi is not None and lo > hi:
+        raise ValueError("the window's first day comes after its last")
+    days = sorted(r.day for r in (calendar if calendar is not None else rows).select("day").distinct().collect())
+    days = [d for d in days if (lo is None or d >= lo) and (hi is None or d <= hi)]
+    if len(days) < horizon + 2:
+        raise ValueError(f"the window has {len(days)} days; a label needs {horizon + 2}")
+    return rows.where(F.col("day").between(F.lit(days[0]), F.lit(days[-(horizon + 2)])))
 
 
 def blocks(daily: DataFrame, size: int, by: list[str] | None = None) -> DataFrame:

@@ -1,16 +1,21 @@
-"""Named evaluation methods, run in order over a state that transforms may change, as one call."""
+"""Named evaluation methods, run in order over a state that transforms may change, for one factor or a batch."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+import time
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.operators import cycles, labels, research, transforms
 from quillon.operators import evaluation as ev
-from quillon.operators import labels, transforms
-from quillon.plans.expression import factor, symbols_of
+from quillon.plans.expression import factor, parse, symbols_of
+from quillon.sources import store
+
+WINDOWS = (20, 60, 252)
 
 
 @dataclass
@@ -19,6 +24,12 @@ class State:
     n_groups: int
     horizon: int
     outputs: dict[str, object] = field(default_factory=dict)
+    #: What checks against looking ahead compile again: the whole panel and the expression.
+    panel: DataFrame | None = None
+    text: str = ""
+    decay: int = 1
+    #: Where holdings are written; they are only computed if there is none.
+    folder: str | None = None
 
     def put(self, name: str, value: object) -> None:
         """A repeated name gets a version: ic, ic__2, ..."""
@@ -38,7 +49,7 @@ class State:
 class Method:
     run: Callable[[State], None]
     requires: tuple[str, ...] = ()
-    provides: str = ""
+    provides: tuple[str, ...] = ()
     symbols: tuple[str, ...] = ()
 
 
@@ -46,10 +57,10 @@ METHODS: dict[str, Method] = {}
 
 
 def method(name: str, requires: tuple[str, ...] = (), provides: str = "", symbols: tuple[str, ...] = ()):
-    """Registers an evaluation method. provides: what it may stand in for when another method requires that."""
+    """Registers an evaluation method. provides: what else it may stand in for when another method requires that."""
 
     def add(f):
-        METHODS[name] = Method(f, requires, provides or name, symbols)
+        METHODS[name] = Method(f, requires, (name, provides) if provides else (name,), symbols)
         return f
 
     return add
@@ -60,12 +71,25 @@ def _first(df: DataFrame) -> dict:
     return row.asDict() if row else {}
 
 
-method("rank_ic")(lambda s: s.put("ic", ev.rank_ic(s.rows)))
+@method("rank_ic")
+def _ic(s: State) -> None:
+    s.put("ic", ev.rank_ic(s.rows))
+    s.put("ic_summary", _first(ev.ic_summary(s.rows)))
+
+
 method("rank_icir", ("rank_ic",))(lambda s: s.put("icir", _first(ev.icir(s.latest("ic")))))
 method("quantile_returns")(lambda s: s.put("group_returns", ev.quantile_returns(s.rows, s.n_groups)))
 method("quantile_cumulative", ("quantile_returns",))(lambda s: s.put("cumulative", ev.cumulative(s.latest("group_returns"))))
-method("top_quantile_performance", ("quantile_returns",))(lambda s: s.put("top", _first(ev.top_summary(s.latest("group_returns"), s.n_groups))))
 method("ic_peak_decay", ("rank_ic",))(lambda s: s.put("peak_decay", ev.peak_decay(s.latest("ic"))))
+method("ic_horizon_decay")(lambda s: s.put("horizon_decay", ev.horizon_decay(s.rows)))
+method("cycle_context", ("quantile_plot",))(lambda s: s.put("cycles", cycles.cycles_of(s.latest("plot"), cycles.cycle_table(s.rows.sparkSession))))
+
+
+@method("quantile_plot", ("quantile_cumulative",))
+def _plot(s: State) -> None:
+    """What a plot shows, a column for each group; drawing is left to whoever looks at it."""
+    wide = s.latest("cumulative").groupBy("day").pivot("grp", list(range(1, s.n_groups + 1))).agg(F.first("cum"))
+    s.put("plot", wide.select("day", *[F.col(f"`{g}`").alias(f"G{g}") for g in range(1, s.n_groups + 1)]).orderBy("day"))
 
 
 @method("quantile_net_returns", provides="quantile_returns")
@@ -75,19 +99,34 @@ def _net(s: State) -> None:
     s.put("group_returns", net.select("t", "day", "grp", "ret"))
 
 
+@method("top_quantile_performance", ("quantile_returns",))
+def _top(s: State) -> None:
+    s.put("top", _first(ev.top_summary(s.latest("group_returns"), s.n_groups)))
+    s.put("leadership", ev.top_leadership(s.latest("group_returns"), s.n_groups))
+
+
+def _top_row(s: State, table: DataFrame) -> dict:
+    return _first(table.where(F.col("grp") == s.n_groups).drop("grp"))
+
+
 @method("rolling_sharpe", ("quantile_returns",))
 def _sharpe(s: State) -> None:
-    for size in (20, 60, 252):
+    for size in WINDOWS:
         s.put(f"sharpe_{size}", ev.rolling_sharpe(s.latest("group_returns"), size))
+        s.put(f"sharpe_{size}_top", _top_row(s, ev.sharpe_summary(s.latest(f"sharpe_{size}"))))
 
 
 @method("rolling_drawdown", ("quantile_returns",))
 def _drawdown(s: State) -> None:
-    for size in (20, 60, 252):
+    for size in WINDOWS:
         s.put(f"drawdown_{size}", ev.rolling_drawdown(s.latest("group_returns"), size))
+        s.put(f"drawdown_{size}_top", _top_row(s, ev.drawdown_summary(s.latest(f"drawdown_{size}"))))
 
 
-method("fitness", ("quantile_net_returns",))(lambda s: s.put("fitness", ev.fitness(s.latest("net"), s.n_groups)))
+@method("fitness", ("quantile_net_returns",))
+def _fitness(s: State) -> None:
+    s.put("fitness", ev.fitness(s.latest("net"), s.n_groups))
+    s.put("fitness_summary", _first(ev.fitness_summary(s.latest("fitness"))))
 
 
 @method("newey_west_ic_significance", ("rank_ic",))
@@ -95,67 +134,188 @@ def _newey_west(s: State) -> None:
     s.put("newey_west", ev.newey_west([r.ic for r in s.latest("ic").orderBy("t").select("ic").collect()], s.horizon))
 
 
+@method("ic_trend_filter", ("rank_ic",))
+def _trend(s: State) -> None:
+    s.put("trend", ev.trend_table(s.latest("ic")))
+    s.put("trend_mean_10", ev.trend_means(s.latest("trend")))
+    s.put("trend_summary", _first(ev.trend_summary(s.latest("trend"))))
+
+
+@method("tradability_filter", symbols=("c", "o", "amt", "limit", "st", "delisting"))
+def _tradability(s: State) -> None:
+    flagged = transforms.tradability(s.rows)
+    s.put("tradability", transforms.tradability_daily(flagged))
+    s.put("tradability_summary", _first(transforms.tradability_summary(flagged)))
+    s.rows = transforms.mask_untradable(s.rows)
+
+
 def _transform(name: str, f, symbols: tuple[str, ...]) -> None:
     def run(s: State) -> None:
         s.rows = f(s.rows)
 
-    METHODS[name] = Method(run, (), name, symbols)
+    METHODS[name] = Method(run, (), (name,), symbols)
 
 
-_transform("tradability_filter", transforms.mask_untradable, ("c", "o", "amt", "limit", "st", "delisting"))
 _transform("market_cap_neutralize", transforms.cap_neutralize, ("cap",))
 _transform("industry_neutralize", transforms.industry_neutralize, ("industry",))
 _transform("industry_market_cap_neutralize", transforms.industry_cap_neutralize, ("industry", "cap"))
 
-DEFAULT = ("rank_ic", "rank_icir", "quantile_returns", "quantile_cumulative")
+
+def _causality(name: str, check) -> None:
+    def run(s: State) -> None:
+        if s.panel is None or not s.text:
+            raise ValueError(f"{name} needs the panel and the expression")
+        found = check(s.panel, lambda panel: factor(panel, s.text, decay=s.decay))
+        s.put(name, found)
+        s.put(f"{name}_summary", _first(found.agg(F.count(F.lit(1)).alias("checkpoints"), F.sum("cells").alias("cells"), F.sum("changed").alias("changed"))))
+
+    METHODS[name] = Method(run)
+
+
+_causality("future_data_perturbation", research.future_perturbation)
+_causality("prefix_truncation_consistency", research.prefix_truncation)
 
 
-def resolve(names: list[str] | tuple[str, ...] = DEFAULT) -> list[str]:
-    """The methods in order, with those they need before them, each once. A listed stand-in satisfies a need."""
+@method("holding_audit", ("industry_market_cap_neutralize", "tradability_filter", "quantile_net_returns"), symbols=("cap", "industry", "limit", "o", "st", "delisting"))
+def _holdings(s: State) -> None:
+    held = research.holdings(s.rows, s.n_groups, s.horizon)
+    s.put("holdings", held)
+    summary = research.write_holdings(held, s.latest("net"), s.n_groups, s.folder) if s.folder else research.holding_summary(held, s.latest("net"), s.n_groups)
+    s.put("holding_summary", summary)
+
+
+DEFAULT = ("rank_ic", "rank_icir", "quantile_returns", "quantile_cumulative", "quantile_plot")
+
+
+def resolve(names: str | Iterable[str] | None = DEFAULT) -> list[str]:
+    """The methods in order, with those they need before them, each once. A method that ran may stand in for a need."""
+    wanted = [n.strip() for n in (names.split(",") if isinstance(names, str) else names or DEFAULT)]
+    wanted = list(DEFAULT) if [n for n in wanted if n] in ([], ["default"]) else [n for n in wanted if n]
     out: list[str] = []
+    provided: set[str] = set()
 
-    def add(name: str) -> None:
+    def add(name: str, above: tuple[str, ...], asked: bool) -> None:
+        if name in above:
+            raise ValueError(f"{' -> '.join((*above, name))}: methods need each other")
         if name not in METHODS:
-            raise ValueError(f"unknown method {name}")
+            raise ValueError(f"unknown method {name!r}; there are {sorted(METHODS)}")
+        if name in out or name in provided and not asked:
+            return
         for need in METHODS[name].requires:
-            if not any(x == need or METHODS[x].provides == need for x in out):
-                add(need)
-        if name not in out:
-            out.append(name)
+            add(need, (*above, name), False)
+        out.append(name)
+        provided.update(METHODS[name].provides)
 
-    for n in names:
-        add(n)
+    for n in wanted:
+        add(n, (), True)
     return out
 
 
-def evaluate(panel: DataFrame, text: str, methods: list[str] | tuple[str, ...] = DEFAULT, n_groups: int = 10, horizon: int = 1, decay: int = 1, first=None, last=None) -> State:
-    """One factor through the methods: expression, label and masks on full history, then the sample window."""
-    rows = labels.forward_open_return(factor(panel, text, decay=decay), horizon)
-    state = State(rows, n_groups, horizon)
-    names = resolve(methods)
-    if names[:1] == ["tradability_filter"]:
-        # Looks at the next day, so it runs before the sample is cut.
-        METHODS[names.pop(0)].run(state)
-    state.rows = labels.sample_window(state.rows, first, last, horizon)
+def run_methods(state: State, names: Iterable[str]) -> State:
+    """The methods exactly as given, repeats and all; what one needs must have run before it."""
+    names, ran = list(names), set()
+    if not names:
+        raise ValueError("one method at least is needed")
     for n in names:
+        missing = sorted(set(METHODS[n].requires) - ran)
+        if missing:
+            raise ValueError(f"{n} needs {missing} to run before it")
         METHODS[n].run(state)
+        ran.update(METHODS[n].provides)
     return state
 
 
-def needed_columns(text: str, methods: list[str] | tuple[str, ...]) -> list[str]:
+def needed_columns(text: str, methods: Iterable[str]) -> list[str]:
     """The panel's columns that an evaluation reads: what a scan must fetch."""
     return sorted({"t", "day", "code", "o", *symbols_of(text), *(c for m in resolve(methods) for c in METHODS[m].symbols)})
 
 
-def evaluate_batch(spark: SparkSession, panel: DataFrame, factors: dict[str, str], methods: list[str] | tuple[str, ...] = ("rank_ic", "rank_icir")) -> DataFrame:
-    """(factor_name, metric, value) of many factors over one panel; one that fails gets the metric "failed"."""
-    rows: list[tuple[str, str, float | None]] = []
+def evaluate(panel: DataFrame, text: str, methods: str | Iterable[str] = DEFAULT, n_groups: int = 10, horizon: int = 1, decay: int = 1, first=None, last=None, repeats: bool = False, folder: str | None = None) -> State:
+    """One factor through the methods: expression, label and reasons not to trade on full history, then the sample window.
+
+    repeats: run the methods as they are listed, without adding or merging any.
+    """
+    names = list(methods) if repeats else resolve(methods)
+    panel = panel.select(*[c for c in needed_columns(text, names) if c in panel.columns])
+    rows = labels.forward_open_return(factor(panel, text, decay=decay), horizon)
+    if "tradability_filter" in names:
+        # These look at the next day, so they are told before the sample is cut, wherever the method stands.
+        rows = transforms.with_reasons(rows)
+    rows = labels.sample_window(rows, first, last, horizon, calendar=panel)
+    return run_methods(State(rows, n_groups, horizon, panel=panel, text=text, decay=decay, folder=folder), names)
+
+
+def metrics_of(state: State) -> dict[str, float | None]:
+    """The numbers among a state's outputs, as name.key."""
+    out: dict[str, float | None] = {}
+    for name, value in state.outputs.items():
+        for k, v in value.items() if isinstance(value, dict) else ():
+            if v is None or isinstance(v, bool | int | float):
+                out[f"{name}.{k}"] = None if v is None or not math.isfinite(v) else float(v)
+    return out
+
+
+def run_batch(spark: SparkSession, panel: DataFrame, factors: dict[str, str], methods: str | Iterable[str] = ("rank_ic", "rank_icir"), log: str | None = None, rerun: bool = False, **settings) -> list[dict]:
+    """Each factor's record (name, terms, status, seconds, metrics or error), over one panel that is read once.
+
+    log: a file of records. Those of a completed factor with the same expression, methods and settings are not redone.
+    A factor that fails leaves its error and the others go on; errors of the cluster stop the batch, which can be resumed.
+    """
+    names = resolve(methods)
+    for text in factors.values():
+        parse(text)
+    old = [] if log is None else store.read_lines(spark, log)
+    terms = {n: {"expression": x, "methods": names, **{k: None if v is None else str(v) for k, v in sorted(settings.items())}} for n, x in factors.items()}
+    done = {} if rerun else {r["factor"]: r for r in old if r["status"] == "completed" and r["factor"] in terms and r["terms"] == terms[r["factor"]]}
+    todo = [n for n in factors if n not in done]
+    columns = sorted({c for n in todo for c in needed_columns(factors[n], names)})
+    shared = panel.select(*[c for c in columns if c in panel.columns]).persist() if todo else panel
+    out = []
+    try:
+        for name in factors:
+            if name in done:
+                out.append({**done[name], "reused": True})
+                continue
+            began = time.time()
+            try:
+                record = {"status": "completed", "metrics": metrics_of(evaluate(shared, factors[name], names, **settings))}
+            except research.FACTOR_ERRORS as e:
+                record = {"status": "failed", "error": f"{type(e).__name__}: {str(e)[:2000]}"}
+            out.append({"factor": name, "terms": terms[name], "seconds": round(time.time() - began, 3), **record})
+            if log is not None:
+                kept = [r for r in old if r["factor"] not in {x["factor"] for x in out}]
+                store.write_lines(spark, log, [*kept, *({k: v for k, v in r.items() if k != "reused"} for r in out)])
+    finally:
+        if todo:
+            shared.unpersist()
+    return out
+
+
+def evaluate_batch(spark: SparkSession, panel: DataFrame, factors: dict[str, str], methods: str | Iterable[str] = ("rank_ic", "rank_icir"), **settings) -> DataFrame:
+    """(factor_name, metric, value, error) of many factors over one panel; one that fails has the metric "failed"."""
+    bad = {}
     for name, text in factors.items():
         try:
-            got = evaluate(panel, text, methods)
-            for key, value in got.outputs.items():
-                if isinstance(value, dict):
-                    rows += [(name, f"{key}.{k}", float(v) if v is not None else None) for k, v in value.items()]
-        except Exception:  # a batch goes on; the row says which factor failed
-            rows.append((name, "failed", 1.0))
-    return spark.createDataFrame(rows, "factor_name string, metric string, value double").withColumn("value", F.col("value"))
+            parse(text)
+        except ValueError as e:
+            bad[name] = str(e)
+    rows: list[tuple] = [(n, "failed", 1.0, e) for n, e in bad.items()]
+    for r in run_batch(spark, panel, {n: x for n, x in factors.items() if n not in bad}, methods, **settings) if len(bad) < len(factors) else ():
+        rows += [(r["factor"], k, v, None) for k, v in r["metrics"].items()] if r["status"] == "completed" else [(r["factor"], "failed", 1.0, r["error"])]
+    return spark.createDataFrame(rows, "factor_name string, metric string, value double, error string")
+
+
+def run_funnel(spark: SparkSession, panel: DataFrame, factors: dict[str, str], folder: str, **settings) -> list[dict]:
+    """The funnel over factors, stage by stage, kept in folder: a stage's results that match are not computed again."""
+    stages = {stage: methods for stage, methods, _ in research.FUNNEL}
+
+    def one(name: str, stage: str) -> dict:
+        record = run_batch(spark, panel, {name: factors[name]}, stages[stage], log=f"{folder.rstrip('/')}/{stage}/{name}.jsonl", **settings)[0]
+        if record["status"] != "completed":
+            raise ValueError(record["error"])
+        m = record["metrics"]
+        return {"changed": m.get("future_data_perturbation_summary.changed"), "nw_p": m.get("newey_west.p"), "metrics": m}
+
+    log = research.funnel(list(factors), one)
+    store.write_lines(spark, f"{folder.rstrip('/')}/summary.jsonl", log)
+    return log

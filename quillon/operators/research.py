@@ -1,4 +1,4 @@
-"""Checks against looking ahead, holdings, correlation of factors, blending, and gates."""
+"""Checks against looking ahead, holdings, gates, and the funnel."""
 
 from __future__ import annotations
 
@@ -7,19 +7,32 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.errors import AnalysisException, ArithmeticException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.operators.correlation import THRESHOLD
 from quillon.operators.evaluation import BUY_COST, SELL_COST, quantile_members
 from quillon.plans.expression import factor as compile_factor
 from quillon.plans.expression import symbols_of
+from quillon.sources.panel import write_panel
 
 PERTURBED = ("c", "o", "h", "l", "vol", "amt", "vwap", "cap")
 
 
-def checkpoints(last: int, count: int = 4) -> list[int]:
-    return sorted({int(round((k + 1) * last / (count + 1))) for k in range(count)})
+Build = Callable[[DataFrame], DataFrame]
+
+
+def checkpoints(full: DataFrame, count: int = 4) -> list[int]:
+    """count days, spread evenly over those on which (t, code, factor) has a finite value, the first and last included."""
+    days = sorted(r.t for r in full.where(F.col("factor").isNotNull()).select("t").distinct().collect())
+    return sorted({days[round(x)] for x in np.linspace(0, len(days) - 1, count)}) if days else []
+
+
+def _built(text: str | Build) -> Build:
+    """How a panel becomes (t, code, factor): an expression, or a function of the panel."""
+    return text if callable(text) else lambda panel: compile_factor(panel, text)
 
 
 def _changed(full: DataFrame, other: DataFrame, at: int) -> DataFrame:
@@ -37,67 +50,71 @@ def _each(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def prefix_truncation(panel: DataFrame, text: str, at: list[int]) -> DataFrame:
-    """(t, cells, changed): factor values of day t that differ when later days are cut off. A causal factor has none."""
-    full = compile_factor(panel, text)
-    return _each([_changed(full, compile_factor(panel.where(F.col("t") <= k), text), k) for k in at])
+def prefix_truncation(panel: DataFrame, text: str | Build, at: list[int] | None = None) -> DataFrame:
+    """(t, cells, changed): factor values of day t that differ when later days are cut off. A causal factor has none.
+
+    at: the days to look at, those of checkpoints() by default.
+    """
+    build = _built(text)
+    full = build(panel)
+    at = checkpoints(full) if at is None else at
+    return _each([_changed(full, build(panel.where(F.col("t") <= k)), k) for k in at])
 
 
-def future_perturbation(panel: DataFrame, text: str, at: list[int], seed: int = 17) -> DataFrame:
+def future_perturbation(panel: DataFrame, text: str | Build, at: list[int] | None = None, seed: int = 17) -> DataFrame:
     """(t, cells, changed): factor values of day t that differ when later numbers are multiplied by lognormal noise."""
-    full = compile_factor(panel, text)
+    build = _built(text)
+    full = build(panel)
+    at = checkpoints(full) if at is None else at
 
     def disturbed(k: int) -> DataFrame:
         noise = lambda c: F.exp(0.45 * F.sqrt(-2 * F.ln((F.pmod(F.xxhash64("code", "t", F.lit(c), F.lit(seed)), F.lit(999983)) + 1) / 999984.0)) * F.cos(F.pmod(F.xxhash64("t", "code", F.lit(c), F.lit(seed)), F.lit(6283)) / 1000.0))
         return panel.withColumns({c: F.when(F.col("t") > k, F.col(c) * noise(c)).otherwise(F.col(c)) for c in PERTURBED if c in panel.columns})
 
-    return _each([_changed(full, compile_factor(disturbed(k), text), k) for k in at])
+    return _each([_changed(full, build(disturbed(k)), k) for k in at])
 
 
 def holdings(rows: DataFrame, n_groups: int, horizon: int = 1) -> DataFrame:
-    """The top group's positions of each day, with ranks, weights, entry and exit, and what is known of the code."""
+    """The top group's positions of each day, with ranks, weights, entry and exit, and what is known of the code on both days."""
     ahead = W.partitionBy("code").orderBy("t")
-    rows = rows.withColumn("entry_day", F.lead("day", 1).over(ahead)).withColumn("entry_open", F.lead("o", 1).over(ahead)).withColumn("exit_day", F.lead("day", 1 + horizon).over(ahead)).withColumn("exit_open", F.lead("o", 1 + horizon).over(ahead))
-    top = quantile_members(rows, n_groups).where(F.col("grp") == n_groups)
+    lead = lambda c, n: F.lead(c, n).over(ahead)
+    rows = rows.withColumns({"entry_day": lead("day", 1), "entry_open": lead("o", 1), "exit_day": lead("day", 1 + horizon), "exit_open": lead("o", 1 + horizon), "entry_st": F.coalesce(lead("st", 1), F.lit(False)), "entry_delisting": F.coalesce(lead("delisting", 1), F.lit(False))})
     day = W.partitionBy("t")
-    top = top.withColumn("position", F.row_number().over(day.orderBy(F.col("factor").desc(), "code"))).withColumn("weight", 1 / F.count(F.lit(1)).over(day))
-    return top.select("t", "day", "code", "position", "factor", "weight", "entry_day", "entry_open", "exit_day", "exit_open", "fwd", (F.col("cap") / 1e8).alias("cap_100m"), "industry", "limit", "st", "delisting")
+    members = quantile_members(rows, n_groups).withColumn("factor_rank", F.row_number().over(day.orderBy("factor", "code")))
+    top = members.where(F.col("grp") == n_groups)
+    top = top.withColumn("position", F.row_number().over(day.orderBy(F.col("factor").desc(), F.col("code").desc()))).withColumn("weight", 1 / F.count(F.lit(1)).over(day))
+    return top.select("t", "day", "code", F.lit(f"G{n_groups}").alias("grp"), "factor_rank", "position", "factor", "weight", "entry_day", "entry_open", "exit_day", "exit_open", "fwd", (F.col("cap") / 1e8).alias("cap_100m"), "industry", "limit", "st", "delisting", "entry_st", "entry_delisting")
 
 
-def pooled_pearson(exposures: DataFrame) -> DataFrame:
-    """(f1, f2, n, rho) for f1 < f2 over all (t, code) finite in both of (factor_id, t, code, x).
+def holding_summary(held: DataFrame, net: DataFrame, n_groups: int, tolerance: float = 1e-12) -> DataFrame:
+    """(t, day, positions, weight, gross, cost, net, reconciles): each day's positions beside the top group's net return.
 
-    Values are divided by the factor's largest before they are centred, so large scales do not overflow.
+    reconciles: whether what the positions earned, less the cost, is the net return.
     """
-    x = exposures.where(F.col("x").isNotNull())
-    scale = x.groupBy("factor_id").agg(F.max(F.abs("x")).alias("s"))
-    x = x.join(F.broadcast(scale), "factor_id").select("factor_id", "t", "code", F.when(F.col("s") > 0, F.col("x") / F.col("s")).otherwise(0.0).alias("x"))
-    a, b = x.select(F.col("factor_id").alias("f1"), "t", "code", F.col("x").alias("a")), x.select(F.col("factor_id").alias("f2"), "t", "code", F.col("x").alias("b"))
-    both = a.join(b, ["t", "code"]).where("f1 < f2").groupBy("f1", "f2")
-    m = both.agg(F.count(F.lit(1)).alias("n"), F.covar_pop("a", "b").alias("cov"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb")).where("n >= 3 and sa > 0 and sb > 0")
-    return m.select("f1", "f2", "n", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cov") / (F.col("sa") * F.col("sb")))).alias("rho"))
-
+    daily = held.groupBy("t", "day").agg(F.count(F.lit(1)).alias("positions"), F.max("weight").alias("weight"), F.avg("fwd").alias("gross"))
+    top = net.where(F.col("grp") == n_groups).select("t", "cost", F.col("ret").alias("net"))
+    out = daily.join(top, "t", "full")
+    return out.withColumn("reconciles", F.coalesce(F.abs(F.col("gross") - F.col("cost") - F.col("net")) <= tolerance, F.lit(False)))
 
-def block_pearson(exposures: DataFrame, size: int = 60) -> DataFrame:
-    """(f1, f2, block, n, rho) over full blocks of size days."""
-    days = exposures.select("t").distinct().withColumn("k", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("t")) - 1)
-    days = days.withColumn("block", F.floor(F.col("k") / size).cast("int"))
-    days = days.withColumn("full", F.count(F.lit(1)).over(W.partitionBy("block")) == size).where("full").select("t", "block")
-    x = exposures.where(F.col("x").isNotNull()).join(F.broadcast(days), "t")
-    a, b = x.select(F.col("factor_id").alias("f1"), "t", "block", "code", F.col("x").alias("a")), x.select(F.col("factor_id").alias("f2"), "t", "code", F.col("x").alias("b"))
-    m = a.join(b, ["t", "code"]).where("f1 < f2").groupBy("f1", "f2", "block").agg(F.count(F.lit(1)).alias("n"), F.covar_pop("a", "b").alias("cov"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"))
-    return m.where("n >= 3 and sa > 0 and sb > 0").select("f1", "f2", "block", "n", (F.col("cov") / (F.col("sa") * F.col("sb"))).alias("rho"))
 
-
-def violations(matrix: DataFrame, threshold: float = 0.75) -> DataFrame:
-    return matrix.where(F.abs("rho") >= threshold)
+def write_holdings(held: DataFrame, net: DataFrame, n_groups: int, path: str) -> DataFrame:
+    """Write the positions, by day, once every day's reconcile; their summary. A day that does not is an error."""
+    summary = holding_summary(held, net, n_groups)
+    wrong = summary.where(~F.col("reconciles")).select("t").limit(5).collect()
+    if wrong:
+        raise ValueError(f"positions do not reconcile with net returns on days {sorted(r.t for r in wrong)}")
+    write_panel(held.repartitionByRange("t").sortWithinPartitions("t", "position"), path)
+    return summary
 
 
 @dataclass
 class Library:
-    """Admitted factors by name; a candidate too like a member is refused, the same one again changes nothing."""
+    """Admitted factors by name, in memory; a candidate too like a member is refused, the same one again changes nothing.
+
+    correlation.StoredLibrary keeps them, and their matrix, in files.
+    """
 
-    threshold: float = 0.75
+    threshold: float = THRESHOLD
     expressions: dict[str, str] = field(default_factory=dict)
 
     def admit(self, name: str, expression: str, correlations: dict[str, float]) -> tuple[bool, list[str]]:
@@ -114,37 +131,6 @@ class Library:
         return all(x["signature"] == candidate["signature"] and key(candidate) > key(x) for x in incumbents)
 
 
-def ridge_moments(features: DataFrame, names: list[str]) -> DataFrame:
-    """One row of sums for a regression in which days weigh alike: complete cases, centred by day."""
-    day = W.partitionBy("t")
-    whole = features.where(" and ".join(f"{c} is not null" for c in [*names, "fwd"]))
-    whole = whole.withColumn("_n", F.count(F.lit(1)).over(day)).where(F.col("_n") >= max(3, len(names) + 1))
-    whole = whole.withColumns({f"_d_{c}": F.col(c) - F.avg(c).over(day) for c in [*names, "fwd"]})
-    cross = [F.sum(F.col(f"_d_{a}") * F.col(f"_d_{b}") / F.col("_n")).alias(f"{a}__{b}") for i, a in enumerate(names) for b in [*names[i:], "fwd"]]
-    return whole.agg(F.countDistinct("t").alias("days"), F.count(F.lit(1)).alias("pairs"), F.sum(F.col("_d_fwd") * F.col("_d_fwd") / F.col("_n")).alias("yy"), *cross)
-
-
-def ridge(features: DataFrame, names: list[str], penalty: float = 1e-3) -> dict:
-    """Weights of a ridge regression of the label on the features; only k (k + 1) / 2 sums come to the driver."""
-    m = ridge_moments(features, names).first()
-    if (m["days"] or 0) < 2:
-        raise ValueError("two days with enough complete rows are needed")
-    k, d = len(names), m["days"]
-    g, r = np.zeros((k, k)), np.zeros(k)
-    for i, a in enumerate(names):
-        r[i] = m[f"{a}__fwd"] / d
-        for j in range(i, k):
-            g[i, j] = g[j, i] = m[f"{a}__{names[j]}"] / d
-    b = np.linalg.solve(g + penalty * np.eye(k), r)
-    sse = m["yy"] / d - 2 * b @ r + b @ g @ b
-    return {"weights": dict(zip(names, map(float, b))), "mse": float(sse), "r2": float(1 - sse / (m["yy"] / d)) if m["yy"] else None, "condition": float(np.linalg.cond(g + penalty * np.eye(k))), "days": d, "pairs": m["pairs"]}
-
-
-def manual_weights(weights: dict[str, float]) -> str:
-    """The expression of a weighted sum of ranks."""
-    return " + ".join(f"({w!r}) * rank_cs({x})" for x, w in weights.items())
-
-
 _TESTS: dict[str, Callable] = {"gte": lambda v, a, b: v >= a, "lte": lambda v, a, b: v <= a, "gt": lambda v, a, b: v > a, "lt": lambda v, a, b: v < a, "between": lambda v, a, b: a <= v <= b}
 
 
@@ -166,19 +152,27 @@ def profit_gate(metrics: dict) -> bool:
     return metrics.get("above_every_lower") is True and ((metrics.get("sharpe_60_median") or 0) >= 1 or (metrics.get("annualized") or 0) > 0.30)
 
 
-FUNNEL = (("causality", lambda m: m.get("changed") == 0), ("ic", lambda m: m.get("nw_p", 1.0) < 0.05), ("cap_neutral_ic", lambda m: m.get("nw_p", 1.0) < 0.05), ("portfolio", lambda m: True))
+#: Stage by stage: the methods that run on the survivors, and what lets a factor pass.
+FUNNEL: tuple[tuple[str, tuple[str, ...], Callable[[dict], bool]], ...] = (
+    ("causality", ("future_data_perturbation",), lambda m: m.get("changed") == 0),
+    ("ic", ("rank_ic", "rank_icir", "newey_west_ic_significance"), lambda m: (m.get("nw_p") if m.get("nw_p") is not None else 1.0) < 0.05),
+    ("cap_neutral_ic", ("market_cap_neutralize", "rank_ic", "rank_icir", "newey_west_ic_significance"), lambda m: (m.get("nw_p") if m.get("nw_p") is not None else 1.0) < 0.05),
+    ("portfolio", ("quantile_returns", "quantile_cumulative", "quantile_plot", "quantile_net_returns", "top_quantile_performance", "rolling_sharpe", "rolling_drawdown", "fitness"), lambda m: True),
+)
+#: Errors of a factor or its data. Anything else (lost executors, no memory, no disk) is not the factor's and goes on up.
+FACTOR_ERRORS = (ValueError, KeyError, ArithmeticError, AnalysisException, ArithmeticException)
 
 
 def funnel(names: list[str], evaluate: Callable[[str, str], dict], done: dict | None = None) -> list[dict]:
     """Stage by stage over the survivors. done holds results of an earlier run by (factor, stage), which are not redone."""
     log, alive, done = [], list(names), done if done is not None else {}
-    for stage, passes in FUNNEL:
+    for stage, _, passes in FUNNEL:
         kept = []
         for name in alive:
             if (name, stage) not in done:
                 try:
                     done[(name, stage)] = {"status": "completed", **evaluate(name, stage)}
-                except Exception as e:  # a factor that fails must not stop the others; the log says why
+                except FACTOR_ERRORS as e:
                     done[(name, stage)] = {"status": "failed", "error": f"{type(e).__name__}: {e}"}
             result = done[(name, stage)]
             ok = result["status"] == "completed" and passes(result)

@@ -6,26 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.functions.texts import normalized_tag, tag_key
+
 
 def page(rows: DataFrame, keep: Column, order: list[Column], offset: int, limit: int) -> DataFrame:
     """One page of the rows that keep holds for. The filter reaches the scan; only the page is brought together."""
     return rows.where(keep).orderBy(*order).offset(offset).limit(limit)
 
 
+def holdings_page(held: DataFrame, day, names: DataFrame, industries: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
+    """A page of one day's holdings by position, with the code's name and the industry's: looked up for the page alone."""
+    some = page(held, F.col("day") == F.lit(day).cast("date"), [F.col("position")], offset, limit)
+    out = some.join(names.select("code", "name"), "code", "left")
+    return out.join(industries.select("industry", "industry_name"), "industry", "left")
+
+
 def tagged(tags: DataFrame, wanted: list[str], match: str = "all") -> DataFrame:
     """(factor) of (factor, tag) that have all, or any, of the wanted tags."""
-    names = sorted({normalized_tag(w) for w in wanted})
-    hits = tags.where(F.lower(F.trim("tag")).isin(names)).groupBy("factor").agg(F.countDistinct(F.lower(F.trim("tag"))).alias("n"))
+    if match not in ("all", "any"):
+        raise ValueError("match must be all or any")
+    names = sorted({normalized_tag(w) for w in wanted} - {""})
+    # The form of a tag is found once for each distinct tag, then joined back.
+    forms = tags.select("tag").distinct().withColumn("_key", tag_key(F.col("tag"))).where(F.col("_key").isin(names))
+    hits = tags.join(forms, "tag").groupBy("factor").agg(F.countDistinct("_key").alias("n"))
     return hits.where(F.col("n") >= (len(names) if match == "all" else 1)).select("factor")
 
 
-def normalized_tag(tag: str) -> str:
-    """Tags are compared trimmed, in compatibility form and without case."""
-    import unicodedata
-
-    return unicodedata.normalize("NFKC", tag).strip().casefold()
-
-
 def job_status(runs: DataFrame) -> DataFrame:
     """(job, n, n_done, n_failed, status) of (job, status): failed if a run failed, done if all are, else running or queued."""
     n = lambda s: F.sum((F.col("status") == s).cast("long"))

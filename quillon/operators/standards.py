@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quillon.operators import evaluation as ev
 from quillon.operators import pipeline, research
 
 STANDARDS: dict[str, tuple[tuple[str, ...], object]] = {
-    "ic_test": (("rank_ic", "rank_icir", "newey_west_ic_significance"), research.ic_gate),
+    "ic_test": (("prefix_truncation_consistency", "rank_ic", "rank_icir", "newey_west_ic_significance"), research.ic_gate),
     "profitability_test": (("quantile_net_returns", "top_quantile_performance", "rolling_sharpe", "fitness"), research.profit_gate),
 }
 
@@ -21,28 +19,29 @@ def _metrics(state: pipeline.State, names: tuple[str, ...]) -> dict:
     if "newey_west_ic_significance" in names:
         got = state.latest("newey_west")
         out |= {"nw_p": got["p"], "nw_t": got["t"], "nw_lag": got["lag"]}
+    if "prefix_truncation_consistency" in names:
+        out["prefix_passed"] = state.latest("prefix_truncation_consistency_summary")["changed"] == 0
     if "top_quantile_performance" in names:
         out |= state.latest("top")
     if "rolling_sharpe" in names:
-        top = ev.sharpe_summary(state.latest("sharpe_60")).where(F.col("grp") == state.n_groups).first()
-        out["sharpe_60_median"] = top.middle if top else None
+        out["sharpe_60_median"] = state.latest("sharpe_60_top").get("middle")
     if "fitness" in names:
-        out["fitness"] = state.latest("fitness").agg(F.avg("fitness")).first()[0]
+        out |= state.latest("fitness_summary")
     return out
 
 
-def run_standard(panel: DataFrame, text: str, name: str, n_groups: int = 10, horizon: int = 1, first=None, last=None, checkpoints: int = 2) -> dict:
+def run_standard(panel: DataFrame, text: str, name: str, n_groups: int = 10, horizon: int = 1, first=None, last=None) -> dict:
     """Metrics of a standard and whether its gate lets the factor through. The IC standard also cuts the future off."""
     methods, gate = STANDARDS[name]
-    state = pipeline.evaluate(panel, text, methods, n_groups, horizon, first=first, last=last)
-    metrics = _metrics(state, methods)
-    if name == "ic_test":
-        at = research.checkpoints(panel.agg(F.max("t")).first()[0], checkpoints)
-        changed = research.prefix_truncation(panel, text, at).agg(F.sum("changed")).first()[0]
-        metrics["prefix_passed"] = changed == 0
+    metrics = _metrics(pipeline.evaluate(panel, text, methods, n_groups, horizon, first=first, last=last), methods)
     return {"standard": name, "passed": gate(metrics), "metrics": metrics}
 
 
 def run_standards(panel: DataFrame, text: str, names: list[str] | None = None, **kw) -> list[dict]:
-    """Several standards in order; a panel that is persisted is read once."""
-    return [run_standard(panel, text, n, **kw) for n in names or list(STANDARDS)]
+    """Several standards in order, over a panel that is read once."""
+    columns = sorted({c for n in names or STANDARDS for c in pipeline.needed_columns(text, STANDARDS[n][0])})
+    shared = panel.select(*[c for c in columns if c in panel.columns]).persist()
+    try:
+        return [run_standard(shared, text, n, **kw) for n in names or list(STANDARDS)]
+    finally:
+        shared.unpersist()

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.functions import texts
 from quillon.operators import evaluation as ev
-from quillon.operators import labels, maintenance, research, service, transforms
-from quillon.plans.expression import factor
+from quillon.operators import correlation, cycles, labels, maintenance, models, research, service, transforms
+from quillon.plans.expression import factor, operators_of, symbols_of
+from quillon.sources import panel as source
 from quillon.sources.panel import weekly_panel
 
 FACTOR = "(c - o) / ((h - l) + 0.001)"
@@ -29,9 +31,10 @@ cells AS (
     s_acctbal * (amt / vol) AS cap, CAST(0.1 AS DOUBLE) * (l_suppkey % 3 + 1) AS "limit", st, delisting,
     CASE WHEN s_nationkey % 11 <> 0 THEN CAST(n_regionkey AS VARCHAR) END AS industry
   FROM weekly LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey),
+cal AS (SELECT CAST(row_number() OVER (ORDER BY day) - 1 AS INTEGER) AS t, day FROM (SELECT DISTINCT day FROM cells)),
 panel AS (
   SELECT d.t, d.day, k.code, c, o, h, l, vol, amt, vwap, cap, "limit", coalesce(st, false) AS st, coalesce(delisting, false) AS delisting, industry
-  FROM (SELECT DISTINCT t, day FROM cells) d CROSS JOIN (SELECT DISTINCT code FROM cells) k LEFT JOIN cells USING (t, code))
+  FROM cal d CROSS JOIN (SELECT DISTINCT code FROM cells) k LEFT JOIN (SELECT * EXCLUDE (t) FROM cells) x ON x.day = d.day AND x.code = k.code)
 """
 EVAL_SQL = (
     PANEL_SQL
@@ -93,6 +96,11 @@ EXPRESSIONS: dict[str, tuple[str, str]] = {
     "elementwise_math": ("log(c) + sqrt(vol) + log1p(amt) + abs(c - o) + sign(c - o) + exp((c - o) / c)", "ln(c) + sqrt(vol) + ln(1 + amt) + abs(c - o) + sign(c - o) + exp((c - o) / c)"),
     "elementwise_choice": ("where(c > o, elementwise_max(h - c, o - l), elementwise_min(h - c, o - l)) + signed_power(c - o, 0.5)", "CASE WHEN c > o THEN greatest(h - c, o - l) ELSE least(h - c, o - l) END + sign(c - o) * pow(abs(c - o), 0.5)"),
     "comparison_rules": ("(c < o) * -1 + (c != o) * 2 + ((c >= o) & ~(st == 1)) * 4", "CAST(CASE WHEN c < o THEN -1 ELSE 0 END + CASE WHEN c = o THEN 0 ELSE 2 END + CASE WHEN c >= o AND NOT st THEN 4 ELSE 0 END AS DOUBLE)"),
+    "flags_or": ("((c > o) | ~(vol > 30)) * 1 + ((c > o) & (vol > 30)) * 2", "CAST(CASE WHEN coalesce(c > o, false) OR NOT coalesce(vol > 30, false) THEN 1 ELSE 0 END + CASE WHEN c > o AND vol > 30 THEN 2 ELSE 0 END AS DOUBLE)"),
+    "numpy_attributes": (
+        "np.clip(c, 1000, 1500) + np.maximum(c, o) - np.minimum(c, o) + np.where(np.isnan(c), np.nan, np.abs(c - o)) + np.sign(c - o) * np.sqrt(vol) + np.exp((c - o) / c) + np.log1p(vol) + np.log(c) + np.where(np.isfinite(o), 1, 0) + np.where(c < np.inf, 1, 0)",
+        "least(greatest(c, 1000), 1500) + greatest(c, o) - least(c, o) + abs(c - o) + sign(c - o) * sqrt(vol) + exp((c - o) / c) + ln(1 + vol) + ln(c) + CASE WHEN o IS NULL THEN 0 ELSE 1 END + 1",
+    ),
     "arithmetic_rules": ("c // 7 + vol % 5 + c ** 0.5 - (0 - o) / (1 + st)", "floor(c / 7) + vol % 5 + pow(c, 0.5) - (0 - o) / (1 + CASE WHEN st THEN 1 ELSE 0 END)"),
 }
 
@@ -152,7 +160,7 @@ def _drawdown(spark, d):
 
 
 def _fitness(spark, d):
-    return ev.fitness(_net(spark, d), GROUPS).select("year", *[r6(F.col(c), c) for c in ("sharpe", "max_drawdown", "turnover")], r6(F.ln(1 + F.col("annualized")), "log_annualized"), r6(F.ln(F.abs("fitness")), "log_fitness"))
+    return ev.fitness(_net(spark, d), GROUPS).select("year", *[r6(F.col(c), c) for c in ("sharpe", "max_drawdown", "turnover")], r6(F.ln(1 + F.col("annualized")), "log_annualized"), r6(F.signum("fitness") * F.log1p(F.abs("fitness")), "signed_log_fitness"))
 
 
 def _leadership(spark, d):
@@ -161,7 +169,7 @@ def _leadership(spark, d):
 
 
 def _top(spark, d):
-    return ev.top_summary(_returns(spark, d), GROUPS).select("days", *[r6(F.col(c), c) for c in ("win_rate_mean", "win_rate_all")], r6(F.ln(1 + F.col("top_cumulative")), "top_log"), "above_every_lower")
+    return ev.top_summary(_returns(spark, d), GROUPS).select("days", *[r6(F.col(c), c) for c in ("win_rate_mean", "win_rate_all")], r6(F.ln(1 + F.col("top_cumulative")), "top_log"), r6(F.ln(1 + F.col("annualized")), "log_annualized"), "above_every_lower")
 
 
 def _peak(spark, d):
@@ -170,19 +178,71 @@ def _peak(spark, d):
 
 def _horizons(spark, d):
     rows = evaluated(spark, d)
-    return ev.horizon_decay(rows, 1, 8).select("horizon", r6(F.col("mean_ic"), "mean_ic"), "n_days")
+    return ev.horizon_decay(rows).select("horizon", r6(F.col("mean_ic"), "mean_ic"), "n_days")
 
 
 def _newey_west(spark, d):
     daily = ev.rank_ic(evaluated(spark, d)).orderBy("t")
     out = ev.newey_west([r.ic for r in daily.select("ic").collect()])
-    return spark.createDataFrame([(float(out["mean"]), int(out["lag"]), float(out["se"]), float(out["t"]), float(out["p"]))], "mean double, lag int, se double, t double, p double")
+    row = spark.createDataFrame([(float(out["mean"]), int(out["lag"]), float(out["se"]), float(out["t"]), float(out["p"]))], "mean double, lag int, se double, t double, p double")
+    return row.select("lag", *[r6(F.col(c), c) for c in ("mean", "se", "t", "p")])
 
 
 def _trend(spark, d):
-    daily = [(r.t, r.ic) for r in ev.rank_ic(evaluated(spark, d)).orderBy("t").select("t", "ic").collect()]
-    got = ev.trend_filters([x for _, x in daily])
-    return spark.createDataFrame([(t, *(float(got[k][i]) for k in ("kalman", "low_pass", "fourier"))) for i, (t, _) in enumerate(daily)], "t int, kalman double, low_pass double, fourier double")
+    return ev.trend_table(ev.rank_ic(evaluated(spark, d))).select("t", "day", *[r6(F.col(c), c) for c in ("ic", *ev.CURVES)])
+
+
+def _trend_means(spark, d):
+    return ev.trend_means(ev.trend_table(ev.rank_ic(evaluated(spark, d)))).select("t", "day", *[r6(F.col(c), c) for c in ev.CURVES])
+
+
+def _ic_summary(spark, d):
+    return ev.ic_summary(evaluated(spark, d))
+
+
+def _calc_ic(spark, d):
+    return ev.calc_ic(evaluated(spark, d), "factor", "fwd").select("day", r6(F.col("ic"), "ic"))
+
+
+def _ic_info(spark, d):
+    return ev.get_ic_info(evaluated(spark, d), "factor", "fwd").select(*[r6(F.col(c), c) for c in ("ic_mean", "ic_std", "abs_ir")])
+
+
+def _assigned(spark, d):
+    return ev.assign_quantile(evaluated(spark, d).select("day", "code", "factor", "fwd"), "factor", 5)
+
+
+def _group_returns(spark, d):
+    out = ev.calc_group_returns(_assigned(spark, d), "group", "fwd", 5)
+    return out.select("day", *[r6(F.col(f"G{g}"), f"g{g}") for g in range(1, 6)])
+
+
+def _evaluate_wide(spark, d):
+    panel = factor(weekly_panel(spark, d), FACTOR).select("day", "code", "o", F.round("factor", 9).alias("factor"))
+    codes = [r.code for r in panel.select("code").distinct().orderBy("code").limit(40).collect()]
+    wide = lambda c: panel.groupBy("day").pivot("code", codes).agg(F.first(c))
+    ic, groups, _ = ev.evaluate_wide(wide("factor"), wide("o"), 1, 5, 3)
+    return groups.join(ic.select("t", "ic"), "t", "left").select("t", "grp", r6(F.col("ret"), "ret"), r6(F.col("ic"), "ic"))
+
+
+def _drawdown_summary(spark, d):
+    return ev.drawdown_summary(ev.rolling_drawdown(_returns(spark, d), 60)).select("grp", *[r6(F.col(c), c) for c in ("worst", "middle")])
+
+
+def _fitness_mean(spark, d):
+    return ev.fitness_summary(ev.fitness(_net(spark, d), GROUPS)).select("years", r6(F.signum("fitness") * F.log1p(F.abs("fitness")), "signed_log_fitness"))
+
+
+def _plot(spark, d):
+    wide = ev.cumulative(_returns(spark, d)).groupBy("day").pivot("grp", list(range(1, GROUPS + 1))).agg(F.first("cum"))
+    return wide.select("day", *[r6(F.ln(1 + F.col(f"`{g}`")), f"log_g{g}") for g in range(1, GROUPS + 1)])
+
+
+CYCLE_ROWS = (("1993-01-01", "1996-05-01", "up"), ("1996-05-01", "1999-02-03", "down"), ("1999-02-03", None, "up"), ("2030-01-01", None, "down"))
+
+
+def _cycles(spark, d):
+    return cycles.cycles_of(ev.rank_ic(evaluated(spark, d)), cycles.cycle_table(spark, CYCLE_ROWS))
 
 
 def _transformed(f) -> Query:
@@ -190,7 +250,7 @@ def _transformed(f) -> Query:
 
 
 def _tradability(spark, d):
-    return transforms.tradability(evaluated(spark, d)).where("blocked").select("t", "code", "special", "leaving", "limit_up", "limit_down", "no_trade")
+    return transforms.tradability(evaluated(spark, d)).where("blocked").select("t", "code", *[c for c in transforms.REASONS if c != "blocked"])
 
 
 def _tradability_summary(spark, d):
@@ -200,26 +260,31 @@ def _tradability_summary(spark, d):
 
 def _holdings(spark, d):
     out = research.holdings(evaluated(spark, d), GROUPS)
-    return out.select("t", "code", "position", r6(F.col("weight"), "weight"), "entry_day", r6(F.col("entry_open"), "entry_open"), "exit_day", r6(F.col("exit_open"), "exit_open"), r6(F.col("fwd"), "fwd"))
+    return out.select("t", "code", "position", "factor_rank", "entry_st", "entry_delisting", r6(F.col("weight"), "weight"), "entry_day", r6(F.col("entry_open"), "entry_open"), "exit_day", r6(F.col("exit_open"), "exit_open"), r6(F.col("fwd"), "fwd"))
 
 
-MATRIX = {1: "c - o", 2: "pct(c, 1)", 3: "h - l", 4: "log(vol)"}
+def _holding_summary(spark, d):
+    rows = evaluated(spark, d)
+    out = research.holding_summary(research.holdings(rows, GROUPS), ev.net_returns(rows, GROUPS), GROUPS)
+    return out.select("t", "positions", *[r6(F.col(c), c) for c in ("weight", "gross", "cost", "net")], "reconciles")
 
 
-def _exposures(spark, d):
-    panel = weekly_panel(spark, d)
-    for k, text in MATRIX.items():
-        panel = factor(panel, text, f"f{k}")
-    wide = panel.select("t", "code", *[f"f{k}" for k in MATRIX])
-    return wide.unpivot(["t", "code"], [f"f{k}" for k in MATRIX], "factor_id", "x")
+MATRIX = {"f1": "c - o", "f2": "pct(c, 1)", "f3": "h - l", "f4": "log(vol)"}
 
 
 def _matrix(spark, d):
-    return research.pooled_pearson(_exposures(spark, d)).select("f1", "f2", "n", r6(F.col("rho"), "rho"))
+    return correlation.matrix(correlation.exposures(weekly_panel(spark, d), MATRIX), list(MATRIX)).select("f1", "f2", "n", r6(F.col("rho"), "rho"))
+
+
+def _matrix_row(spark, d):
+    """A matrix of three factors to which a fourth is added, and what is too close to it."""
+    wide = correlation.exposures(weekly_panel(spark, d), MATRIX)
+    known = correlation.matrix(wide, ["f1", "f2", "f3"])
+    return correlation.violations(correlation.with_row(known, wide, list(MATRIX), "f4"), 0.02).select("f1", "f2", "n", r6(F.col("rho"), "rho"))
 
 
 def _block_matrix(spark, d):
-    return research.block_pearson(_exposures(spark, d)).select("f1", "f2", "block", "n", r6(F.col("rho"), "rho"))
+    return correlation.block_matrix(correlation.exposures(weekly_panel(spark, d), MATRIX), list(MATRIX)).select("f1", "f2", "block", "n", r6(F.col("rho"), "rho"))
 
 
 EXPO_SQL = PANEL_SQL + """,
@@ -228,12 +293,81 @@ e AS (SELECT t, code, 'f1' AS factor_id, f1 AS x FROM e0 UNION ALL SELECT t, cod
 """
 
 
-def _ridge(spark, d):
-    rows = evaluated(spark, d)
-    rows = factor(rows, "rank_cs(c - o)", "a")
-    rows = factor(rows, "rank_cs(vol)", "b")
-    got = research.ridge(rows, ["a", "b"], 0.001)
-    return spark.createDataFrame([(k, round(v, 6)) for k, v in got["weights"].items()], "name string, weight double")
+TERMS = {"move": "c - o", "volume": "vol"}
+
+
+def _trained(model: str) -> Query:
+    def run(spark, d):
+        got = models.train(weekly_panel(spark, d), TERMS, model, {"ridge_alpha": 0.001})
+        row = [(got["weights"]["move"] * 1000, got["weights"]["volume"] * 1000, got["mse"], got["r2"] * 1000, got["condition"], int(got["days"]), int(got["pairs"]))]
+        out = spark.createDataFrame(row, "move double, volume double, mse double, r2 double, condition double, days long, pairs long")
+        return out.select(*[r6(F.col(c), c) for c in ("move", "volume", "mse", "r2", "condition")], "days", "pairs")
+
+    return run
+
+
+def _blend(spark, d):
+    text = models.blend("manual_weights", TERMS, {"move": 0.75, "volume": -0.25})
+    return factor(weekly_panel(spark, d), text).select("t", "code", r6(F.col("factor"), "v"))
+
+
+LISTED = ("rank_cs(c) + ts_mean(vol, 5)", "np.log(amt / cap) * where(st == 1, 0, vwap)", "-1 * ts_corr(rank_cs(delta(vol, 2)), rank_cs((c - o) / o), 6)")
+
+
+def _listing(spark, d):
+    return spark.createDataFrame([(x, ",".join(symbols_of(x)), ",".join(operators_of(x))) for x in LISTED], "expression string, symbols string, operators string")
+
+
+def _market_caps(spark, d):
+    rows = weekly_panel(spark, d, ("t", "day", "code", "cap"))
+    values = rows.where("cap is not null and cap > 0").select(F.col("day").cast("string").alias("day"), F.col("code").cast("int").cast("string").alias("code"), F.col("cap").alias("values"))
+    return maintenance.market_cap_cells(values, rows.where("t < 50")).select("day", "code", r6(F.col("cap"), "cap"))
+
+
+def _true_cells(spark, d):
+    rows = weekly_panel(spark, d, ("t", "day", "code", "st"))
+    return maintenance.true_cells(rows.where("st").select("day", F.col("code").cast("int").cast("string").alias("code"), "st"), "st", rows).select("day", "code", "st")
+
+
+def _repaired(spark, d):
+    rows = weekly_panel(spark, d).where("c is not null")
+    history = rows.where("day < date '1998-01-05' and st").select("day", "code")
+    market = rows.where("day >= date '1998-01-05'").select("day", "code", (F.col("l") * (1 + F.col("vol") / 400)).alias("limit_up"), F.col("l").alias("pre_close"), F.when(F.col("delisting"), 4).when(F.col("st"), 1).alias("event"))
+    names = rows.select("code", F.lit("plain").alias("name")).distinct()
+    return maintenance.repaired_tail(history, market, names, "2000-01-03")
+
+
+def _metric_maps(spark, d):
+    rows = ev.rank_ic(evaluated(spark, d)).groupBy(F.year("day").alias("year")).agg(F.count("ic").cast("double").alias("days"), F.max("n").cast("double").alias("pairs"), F.lit(None).cast("double").alias("none"))
+    text = rows.select("year", texts.metric_map(["days", "pairs", "none"]).alias("details"))
+    return text.select("year", texts.metric_of(F.col("details"), "days").alias("days"), texts.metric_of(F.col("details"), "none").alias("none"), F.size(F.json_object_keys("details")).alias("n"))
+
+
+def _industry_cells(spark, d):
+    rows = weekly_panel(spark, d, ("t", "day", "code", "industry")).where("code < '000020'")
+    codes = [f"{k:06d}" for k in range(20)]
+    wide = rows.groupBy("day").pivot("code", codes).agg(F.first("industry"))
+    return source.industry_cells(wide)
+
+
+def _references(spark, d):
+    suppliers = spark.read.parquet(f"{d}/supplier.parquet").select(texts.normalized_code(F.col("s_suppkey")).alias("code"), "s_name", "s_suppkey", "s_nationkey")
+    some = suppliers.select("code", F.when(F.col("s_suppkey") % 3 != 0, F.col("s_name")).alias("name"))
+    aliases = suppliers.where("s_suppkey % 2 = 0").select("code", F.concat(F.lit("alias "), "code").alias("name"))
+    nations = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").cast("string").alias("industry"), F.col("n_name").alias("industry_name"))
+    return maintenance.holding_references(some, aliases, suppliers.join(nations, "s_nationkey").select("code", "industry", "industry_name"))
+
+
+def _preprocessed(mode: str) -> Query:
+    def run(spark, d):
+        rows = transforms.with_styles(evaluated(spark, d), transforms.styles_of(mode))
+        return transforms.preprocess(rows, mode).select("t", "code", r6(F.col("factor"), "v"))
+
+    return run
+
+
+def _betas(spark, d):
+    return transforms.cap_betas(evaluated(spark, d)).select("t", "n", r6(F.col("beta"), "beta"))
 
 
 def _limit_ratio(spark, d):
@@ -305,12 +439,23 @@ def _sma(spark, d):
     return factor(weekly_panel(spark, d), "ts_sma(c, 5, 2)").select("t", "code", r6(F.col("factor"), "v"))
 
 
-def _prefix(spark, d):
-    return research.prefix_truncation(weekly_panel(spark, d), "rank_cs(ts_mean(c, 5))", [60, 200])
+CAUSAL = "rank_cs(ts_mean(c, 5))"
+
+
+def _looking_ahead(panel: DataFrame) -> DataFrame:
+    """What no expression can say: the next day's close."""
+    return panel.withColumn("factor", F.lead("c").over(W.partitionBy("code").orderBy("t")))
+
 
+def _causality(check) -> Query:
+    """A causal factor and one that looks a day ahead, on the same days."""
 
-def _perturbed(spark, d):
-    return research.future_perturbation(weekly_panel(spark, d), "rank_cs(ts_mean(c, 5))", [60, 200])
+    def run(spark, d):
+        panel = weekly_panel(spark, d, ("t", "day", "code", "c"))
+        at = research.checkpoints(factor(panel, CAUSAL))
+        return check(panel, CAUSAL, at).withColumn("kind", F.lit("causal")).unionByName(check(panel, _looking_ahead, at).withColumn("kind", F.lit("ahead")))
+
+    return run
 
 
 def _styles(spark, d):
@@ -333,14 +478,17 @@ def _job_status(spark, d):
 
 def _tagged(spark, d):
     tags = _orders(spark, d).select(F.col("o_custkey").alias("factor"), F.col("o_orderpriority").alias("tag"))
+    # Full-width figures: the compatibility form of a tag is what counts.
+    tags = tags.withColumn("tag", F.when(F.col("factor") % 2 == 0, F.concat(F.lit(" "), F.translate("tag", "12-", "\uff11\uff12\uff0d"))).otherwise(F.col("tag")))
     return service.tagged(tags, ["1-Urgent", " 2-HIGH "], "all")
 
 
 def _page(spark, d):
     rows = research.holdings(evaluated(spark, d), GROUPS)
-    out = service.page(rows, F.col("t") == 100, [F.col("position")], 2, 5)
-    names = spark.read.parquet(f"{d}/supplier.parquet").select(F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("code"), "s_name")
-    return out.join(names, "code", "left").select("t", "code", "position", r6(F.col("weight"), "weight"), "s_name")
+    names = spark.read.parquet(f"{d}/supplier.parquet").select(texts.normalized_code(F.col("s_suppkey")).alias("code"), F.col("s_name").alias("name"))
+    industries = spark.read.parquet(f"{d}/region.parquet").select(F.col("r_regionkey").cast("string").alias("industry"), F.col("r_name").alias("industry_name"))
+    out = service.holdings_page(rows, "1996-12-02", names, industries, 2, 5)
+    return out.select("t", "code", "position", r6(F.col("weight"), "weight"), "name", "industry_name")
 
 
 def _compare_runs(spark, d):
@@ -389,6 +537,17 @@ def queries() -> dict[str, Query]:
         "newey_west_ic_significance": _newey_west,
         "ic_peak_decay": _peak,
         "ic_trend_filter": _trend,
+        "ic_trend_means": _trend_means,
+        "rank_ic_summary": _ic_summary,
+        "calc_ic": _calc_ic,
+        "get_ic_info": _ic_info,
+        "assign_quantile": lambda s, d: _assigned(s, d).select("day", "code", "group"),
+        "calc_group_returns": _group_returns,
+        "evaluate_wide": _evaluate_wide,
+        "rolling_drawdown_summary": _drawdown_summary,
+        "fitness_summary": _fitness_mean,
+        "quantile_plot": _plot,
+        "cycle_context": _cycles,
         "ic_horizon_decay": _horizons,
         "tradability_filter": _tradability,
         "tradability_summary": _tradability_summary,
@@ -397,12 +556,27 @@ def queries() -> dict[str, Query]:
         "industry_market_cap_neutralize": _transformed(transforms.industry_cap_neutralize),
         "median_mad_winsorize": _transformed(transforms.mad_winsorize),
         "style_neutralize": _styles,
-        "prefix_truncation_consistency": _prefix,
-        "future_data_perturbation": _perturbed,
+        "preprocess_paper_local": _preprocessed("paper_local"),
+        "preprocess_market_cap": _preprocessed("market_cap"),
+        "preprocess_market_cap_industry": _preprocessed("market_cap_industry"),
+        "industry_market_cap_betas": _betas,
+        "prefix_truncation_consistency": _causality(research.prefix_truncation),
+        "future_data_perturbation": _causality(research.future_perturbation),
         "holding_audit": _holdings,
+        "holding_audit_summary": _holding_summary,
         "factor_correlation": _matrix,
         "factor_block_correlation": _block_matrix,
-        "rank_ridge": _ridge,
+        "factor_correlation_row": _matrix_row,
+        "rank_ridge": _trained("rank_ridge"),
+        "winsorized_zscore_ridge": _trained("winsorized_zscore_ridge"),
+        "manual_weights": _blend,
+        "expression_listing": _listing,
+        "market_cap_cells": _market_caps,
+        "true_status_cells": _true_cells,
+        "repaired_status_tail": _repaired,
+        "metric_maps": _metric_maps,
+        "industry_cells": _industry_cells,
+        "holding_references": _references,
         "limit_ratio": _limit_ratio,
         "carried_status": _carried,
         "upsert": _upsert,
@@ -426,6 +600,51 @@ def oracle_sql() -> dict[str, str]:
     ic = f"WITH {EVAL_SQL}, {IC_SQL}"
     block = lambda size: f"bl AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY grp, block) AS k, max(day) OVER (PARTITION BY grp, block) AS block_end FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY grp ORDER BY t) - 1) / {size}) AS INTEGER) AS block FROM g)) WHERE k = {size})"
     sharpe = "avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252)"
+    days = f"""{PANEL_SQL}, ok AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT t FROM (SELECT t, count(c) OVER {W5} AS k FROM panel) WHERE k >= 2)),
+            cp AS (SELECT t FROM ok WHERE i IN (0, round((n - 1) / 3.0), round(2 * (n - 1) / 3.0), n - 1)), ks AS (SELECT count(DISTINCT code) AS cells FROM panel)"""
+    z = f"{ic}, z AS (SELECT row_number() OVER (ORDER BY t) AS i, t, day, ic, avg(ic) OVER () AS m, count(*) OVER () AS n FROM ic)"
+    trend = z.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+            g AS (SELECT (0.01 + sqrt(0.0001 + 0.04)) / 2 AS p, 2.0::DOUBLE / 31 AS a),
+            zz AS MATERIALIZED (SELECT *, lag(ic, 1) OVER o AS x1, lag(ic, 2) OVER o AS x2, lag(ic, 3) OVER o AS x3 FROM z WINDOW o AS (ORDER BY i)),
+            rec AS (SELECT i, ic AS kalman, ic AS low_pass, CAST(NULL AS DOUBLE) AS before FROM zz WHERE i = 1 UNION ALL
+              SELECT q.i, kalman + p / (p + 1) * (q.ic - kalman), CASE WHEN q.i <= 3 THEN q.ic ELSE 2 * (1 - a) * low_pass - (1 - a) * (1 - a) * before + (a - a * a / 4) * x1 + a * a / 2 * x2 - (a - 3 * a * a / 4) * x3 END, low_pass FROM rec JOIN zz q ON q.i = rec.i + 1, g),
+            wave AS MATERIALIZED (SELECT k, sum(ic * cos(2 * pi() * k * (i - 1) / n)) AS re, -sum(ic * sin(2 * pi() * k * (i - 1) / n)) AS im FROM z, (SELECT unnest(range(0, 40)) AS k) WHERE k * 31 <= n GROUP BY k),
+            fourier AS (SELECT i, sum(CASE WHEN k = 0 THEN re ELSE 2 * (re * cos(2 * pi() * k * (i - 1) / n) - im * sin(2 * pi() * k * (i - 1) / n)) END) / max(n) AS fourier FROM z, wave GROUP BY i),
+            curves AS (SELECT z.i, z.t, z.day, z.ic, kalman, low_pass, fourier FROM z JOIN rec USING (i) JOIN fourier USING (i))"""
+    mad = "wi AS (SELECT * EXCLUDE (factor, m, s), CASE WHEN factor IS NOT NULL THEN least(greatest(factor, m - 5 * s), m + 5 * s) END AS factor FROM (SELECT *, median(abs(factor - m)) OVER (PARTITION BY t) AS s FROM (SELECT *, median(factor) OVER (PARTITION BY t) AS m FROM {})))"
+    zscored = f"SELECT t, code, {_r('(v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0)', 'v')} FROM {{}} WINDOW w AS (PARTITION BY t)"
+
+    def residual(table: str, styles: dict[str, str]) -> str:
+        """CTEs that end in res (t, code, v): y of table with the styles taken out one after the other."""
+        names = list(styles)
+        whole = " AND ".join(["factor IS NOT NULL", *[f"({x}) IS NOT NULL" for x in styles.values()]])
+        out = [f"g0 AS (SELECT t, code, {', '.join(f'CASE WHEN {whole} THEN {x} END AS {k}' for k, x in styles.items())}, CASE WHEN {whole} THEN factor END AS y FROM {table})"]
+        out.append(f"g1 AS (SELECT t, code, count(y) OVER w AS n, {', '.join(f'{k} - avg({k}) OVER w AS {k}' for k in [*names, 'y'])} FROM g0 WINDOW w AS (PARTITION BY t))")
+        for i, k in enumerate(names):
+            left = [*names[i + 1 :], "y"]
+            out.append(f"g{i + 2} AS (SELECT t, code, n, {', '.join(f'{x} - sum({k} * {x}) OVER w / nullif(sum({k} * {k}) OVER w, 0) * {k} AS {x}' for x in left)} FROM g{i + 1} WINDOW w AS (PARTITION BY t))")
+        return ", ".join(out) + f", res AS (SELECT t, code, CASE WHEN n >= {len(names) + 3} THEN y END AS v FROM g{len(names) + 1})"
+
+    reasons = f"""tr0 AS (SELECT *, lead(t) OVER w IS NOT NULL AS has, lead(o) OVER w AS o1, lead(amt) OVER w AS amt1, lead("limit") OVER w AS lim1, coalesce(lead(st) OVER w, false) AS st1, coalesce(lead(delisting) OVER w, false) AS del1 FROM f WINDOW w AS (PARTITION BY code ORDER BY t)),
+            tr AS (SELECT *, factor IS NOT NULL AS live, st AS s0, delisting AS d0, coalesce(lim1 > 0 AND o1 / nullif(c, 0) - 1 >= lim1 - 0.002, false) AS up1, coalesce(lim1 > 0 AND o1 / nullif(c, 0) - 1 <= -lim1 + 0.002, false) AS down1, has AND NOT coalesce(amt1 > 0, false) AS none1 FROM tr0),
+            tb AS (SELECT * EXCLUDE (live), live, live AND (s0 OR st1) AS special, live AND (d0 OR del1) AS leaving, live AND up1 AS limit_up, live AND down1 AS limit_down, live AND none1 AS no_trade, live AND s0 AS signal_special, live AND st1 AS entry_special, live AND d0 AS signal_leaving, live AND del1 AS entry_leaving,
+              live AND (s0 OR st1 OR d0 OR del1 OR up1 OR down1 OR none1) AS blocked FROM tr)"""
+    styled = f"""sty AS (SELECT *, ln(CASE WHEN cap > 0 THEN cap END) AS log_cap, c / lag(c, 20) OVER k - 1 AS return_20, ln(CASE WHEN count(amt) OVER k20 >= 10 AND avg(amt) OVER k20 > 0 THEN avg(amt) OVER k20 END) AS log_amount_20, CASE WHEN count(r1) OVER k20 >= 10 THEN stddev_pop(r1) OVER k20 END AS volatility_20
+            FROM (SELECT *, c / lag(c, 1) OVER (PARTITION BY code ORDER BY t) - 1 AS r1 FROM {{}}) WINDOW k AS (PARTITION BY code ORDER BY t), k20 AS (PARTITION BY code ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))"""
+
+    def ridge(features: str) -> str:
+        return f"""WITH {EVAL_SQL}, lab AS (SELECT *, CASE WHEN lead(o, 1) OVER a <> 0 THEN lead(o, 2) OVER a / lead(o, 1) OVER a - 1 END AS y0 FROM panel WINDOW a AS (PARTITION BY code ORDER BY t)), {features},
+            b AS (SELECT t, a - avg(a) OVER w AS a, b - avg(b) OVER w AS b, y0 - avg(y0) OVER w AS y, count(*) OVER w AS n FROM fe WHERE a IS NOT NULL AND b IS NOT NULL AND y0 IS NOT NULL WINDOW w AS (PARTITION BY t)),
+            m AS (SELECT count(DISTINCT t) AS days, count(*) AS pairs, sum(a * a / n) / count(DISTINCT t) AS aa, sum(a * b / n) / count(DISTINCT t) AS ab, sum(b * b / n) / count(DISTINCT t) AS bb, sum(a * y / n) / count(DISTINCT t) AS ay, sum(b * y / n) / count(DISTINCT t) AS cy, sum(y * y / n) / count(DISTINCT t) AS yy FROM b WHERE n >= 3),
+            s AS (SELECT *, (ay * (bb + 0.001) - cy * ab) / ((aa + 0.001) * (bb + 0.001) - ab * ab) AS w1, (cy * (aa + 0.001) - ay * ab) / ((aa + 0.001) * (bb + 0.001) - ab * ab) AS w2, sqrt((aa - bb) * (aa - bb) + 4 * ab * ab) AS gap FROM m),
+            e AS (SELECT *, yy - 2 * (w1 * ay + w2 * cy) + w1 * w1 * aa + 2 * w1 * w2 * ab + w2 * w2 * bb AS mse FROM s)
+            SELECT {_r('w1 * 1000', 'move')}, {_r('w2 * 1000', 'volume')}, {_r('mse', 'mse')}, {_r('(1 - mse / yy) * 1000', 'r2')}, {_r('(aa + bb + gap) / (aa + bb - gap)', 'condition')}, days, pairs FROM e"""
+
+    fit_rows = f"""{n}, y AS (SELECT *, year(day) AS year FROM net WHERE grp = {GROUPS}),
+            v AS (SELECT *, product(1 + ret) OVER (PARTITION BY year ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS wealth FROM y),
+            z AS (SELECT *, wealth / greatest(max(wealth) OVER (PARTITION BY year ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) - 1 AS dd FROM v),
+            s AS (SELECT CAST(year AS INTEGER) AS year, pow(product(1 + ret), 252.0::DOUBLE / count(*)) - 1 AS annualized, {sharpe} AS sharpe, least(-min(dd), 1) AS max_drawdown, avg(turnover) AS turnover FROM z GROUP BY year)
+            SELECT fit_columns FROM (SELECT *, sharpe * sqrt(abs(annualized) / greatest(turnover, 0.125)) - CASE WHEN max_drawdown < 1 THEN max_drawdown / pow(1 - max_drawdown, 2) END AS fit FROM s)"""
     flat = "SELECT t, code, CASE WHEN factor IS NOT NULL AND cap > 0 THEN ln(cap) END AS x, CASE WHEN factor IS NOT NULL AND cap > 0 THEN factor END AS y"
     return {
         "panel_weekly": f"WITH {PANEL_SQL} SELECT t, day, code, {', '.join(_r(c, c) for c in ('c', 'o', 'h', 'l', 'vol', 'amt', 'vwap', 'cap'))}, {_r(chr(34) + 'limit' + chr(34), chr(34) + 'limit' + chr(34))}, st, delisting, industry FROM panel",
@@ -445,7 +664,7 @@ def oracle_sql() -> dict[str, str]:
         "quantile_net_returns": f"{n} SELECT t, grp, {', '.join(_r(c, c) for c in ('gross', 'turnover', 'cost', 'ret'))} FROM net",
         "top_quantile_performance": f"""{q}, d AS (SELECT t, max(ret) FILTER (WHERE grp = {GROUPS}) AS top, avg(ret) FILTER (WHERE grp < {GROUPS}) AS lo, max(ret) FILTER (WHERE grp < {GROUPS}) AS hi FROM g GROUP BY t),
             k AS (SELECT grp, avg(ret) AS m FROM g GROUP BY grp)
-            SELECT count(*) AS days, {_r('avg(CASE WHEN top > lo THEN 1.0::DOUBLE WHEN top <= lo THEN 0 END)', 'win_rate_mean')}, {_r('avg(CASE WHEN top > hi THEN 1.0::DOUBLE WHEN top <= hi THEN 0 END)', 'win_rate_all')}, {_r('ln(product(1 + coalesce(top, 0)))', 'top_log')},
+            SELECT count(*) AS days, {_r('avg(CASE WHEN top > lo THEN 1.0::DOUBLE WHEN top <= lo THEN 0 END)', 'win_rate_mean')}, {_r('avg(CASE WHEN top > hi THEN 1.0::DOUBLE WHEN top <= hi THEN 0 END)', 'win_rate_all')}, {_r('ln(product(1 + coalesce(top, 0)))', 'top_log')}, {_r('ln(product(1 + coalesce(top, 0))) * 252.0::DOUBLE / count(*)', 'log_annualized')},
               (SELECT max(m) FILTER (WHERE grp = {GROUPS}) > max(m) FILTER (WHERE grp < {GROUPS}) FROM k) AS above_every_lower FROM d""",
         "top_quantile_leadership": f"""{q}, {block(60)}, b AS (SELECT block, grp, min(day) AS first_day, max(day) AS block_end, product(1 + ret) - 1 AS ret FROM bl GROUP BY block, grp),
             x AS (SELECT block, min(first_day) AS first_day, max(block_end) AS block_end, max(ret) FILTER (WHERE grp = {GROUPS}) AS top_ret, max(ret) FILTER (WHERE grp < {GROUPS}) AS best FROM b GROUP BY block)
@@ -453,26 +672,60 @@ def oracle_sql() -> dict[str, str]:
         "rolling_sharpe": f"{q}, {block(20)} SELECT grp, block, block_end, {_r(sharpe, 'sharpe')} FROM bl GROUP BY grp, block, block_end",
         "rolling_sharpe_summary": f"{q}, {block(60)}, s AS (SELECT grp, {sharpe} AS sharpe FROM bl GROUP BY grp, block) SELECT grp, {_r('avg(CASE WHEN sharpe > 0 THEN 1.0::DOUBLE WHEN sharpe <= 0 THEN 0 END)', 'positive_share')}, {_r('min(sharpe)', 'worst')}, {_r('median(sharpe)', 'middle')} FROM s GROUP BY grp",
         "rolling_drawdown": f"{q}, {block(60)}, v AS (SELECT *, product(1 + ret) OVER (PARTITION BY grp, block ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS wealth FROM bl), p2 AS (SELECT *, wealth / greatest(max(wealth) OVER (PARTITION BY grp, block ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) - 1 AS dd FROM v) SELECT grp, block, block_end, {_r('min(dd)', 'drawdown')} FROM p2 GROUP BY grp, block, block_end",
-        "fitness": f"""{n}, y AS (SELECT *, year(day) AS year FROM net WHERE grp = {GROUPS}),
-            v AS (SELECT *, product(1 + ret) OVER (PARTITION BY year ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS wealth FROM y),
-            z AS (SELECT *, wealth / greatest(max(wealth) OVER (PARTITION BY year ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) - 1 AS dd FROM v),
-            s AS (SELECT CAST(year AS INTEGER) AS year, pow(product(1 + ret), 252.0::DOUBLE / count(*)) - 1 AS annualized, {sharpe} AS sharpe, least(-min(dd), 1) AS max_drawdown, avg(turnover) AS turnover FROM z GROUP BY year)
-            SELECT year, {', '.join(_r(c, c) for c in ('sharpe', 'max_drawdown', 'turnover'))}, {_r('ln(1 + annualized)', 'log_annualized')}, {_r('ln(abs(sharpe * sqrt(abs(annualized) / greatest(turnover, 0.125)) - CASE WHEN max_drawdown < 1 THEN max_drawdown / pow(1 - max_drawdown, 2) END))', 'log_fitness')} FROM s""",
+        "fitness": fit_rows.replace("SELECT fit_columns", f"SELECT year, {', '.join(_r(c, c) for c in ('sharpe', 'max_drawdown', 'turnover'))}, {_r('ln(1 + annualized)', 'log_annualized')}, {_r('sign(fit) * ln(1 + abs(fit))', 'signed_log_fitness')}"),
+        "fitness_summary": f"SELECT count(x) AS years, {_r('sign(avg(x)) * ln(1 + abs(avg(x)))', 'signed_log_fitness')} FROM (SELECT fit AS x FROM ({fit_rows.replace('SELECT fit_columns', 'SELECT fit')}))",
         "ic_peak_decay": f"{ic}, k AS (SELECT *, row_number() OVER (ORDER BY t) AS rn, avg(ic) OVER (ORDER BY t ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS m FROM ic) SELECT t, day, {_r('m', 'mean_ic')} FROM k WHERE rn >= 60 AND (rn - 60) % 10 = 0",
-        "ic_horizon_decay": f"""WITH {EVAL_SQL}, hz AS (SELECT CAST(unnest(range(1, 9)) AS INTEGER) AS horizon),
-            s AS (SELECT a.t, a.code, horizon, a.factor, round(b.o / x.o - 1, 9) AS fwd FROM f a JOIN hz ON true JOIN f x ON x.code = a.code AND x.t = a.t + 1 JOIN f b ON b.code = a.code AND b.t = a.t + 1 + horizon WHERE a.factor IS NOT NULL AND x.o <> 0 AND b.o IS NOT NULL),
+        "ic_horizon_decay": f"""WITH {EVAL_SQL}, hz AS (SELECT CAST(unnest(range(20, 253)) AS INTEGER) AS horizon), last AS (SELECT max(t) - 253 AS t1 FROM panel),
+            s AS (SELECT a.t, a.code, horizon, a.factor, round(b.o / x.o - 1, 9) AS fwd FROM f a JOIN last ON a.t <= t1 JOIN hz ON true JOIN f x ON x.code = a.code AND x.t = a.t + 1 JOIN f b ON b.code = a.code AND b.t = a.t + 1 + horizon WHERE a.factor IS NOT NULL AND x.o <> 0 AND b.o IS NOT NULL),
             r AS (SELECT horizon, t, rank() OVER (PARTITION BY horizon, t ORDER BY factor) + (count(*) OVER (PARTITION BY horizon, t, factor) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY horizon, t ORDER BY fwd) + (count(*) OVER (PARTITION BY horizon, t, fwd) - 1) / 2.0::DOUBLE AS b FROM s),
             i AS (SELECT horizon, t, corr(a, b) AS ic FROM r GROUP BY horizon, t HAVING count(*) >= 3 AND max(a) > min(a) AND max(b) > min(b)),
-            k AS (SELECT *, count(*) OVER (PARTITION BY t) AS k FROM i) SELECT horizon, {_r('avg(ic)', 'mean_ic')}, count(*) AS n_days FROM k WHERE k = 8 GROUP BY horizon""",
+            k AS (SELECT *, count(*) OVER (PARTITION BY t) AS k FROM i) SELECT horizon, {_r('avg(ic)', 'mean_ic')}, count(*) AS n_days FROM k WHERE k = 233 GROUP BY horizon""",
+        "newey_west_ic_significance": f"""{z}, cv AS (SELECT b.i - a.i AS k, sum((a.ic - a.m) * (b.ic - b.m)) / max(a.n) AS g, max(a.n) AS n, max(a.m) AS m FROM z a JOIN z b ON b.i >= a.i GROUP BY 1),
+            qt AS (SELECT *, abs(g / first_value(g) OVER (ORDER BY k)) <= 2 / sqrt(n) AS q FROM cv), q3 AS (SELECT *, q AND lead(q, 1) OVER (ORDER BY k) AND lead(q, 2) OVER (ORDER BY k) AS run FROM qt),
+            lg AS (SELECT coalesce(min(k) FILTER (WHERE run AND k BETWEEN 1 AND n - 3) - 1, max(n) - 1) AS lag FROM q3),
+            se AS (SELECT CAST(max(lag) AS INTEGER) AS lag, max(m) AS mean, sqrt(greatest(sum(CASE WHEN k = 0 THEN g WHEN k <= lag THEN 2 * (1 - k / (lag + 1.0::DOUBLE)) * g ELSE 0 END), 0) / max(n)) AS se FROM cv, lg),
+            tt AS (SELECT *, mean / se AS t FROM se)
+            SELECT lag, {_r('mean', 'mean')}, {_r('se', 'se')}, {_r('t', 't')}, {_r('(SELECT 2 * sum(exp(-(abs(t) + x * 0.003) * (abs(t) + x * 0.003) / 2) * CASE WHEN x IN (0, 4000) THEN 1 WHEN x % 2 = 1 THEN 4 ELSE 2 END) * 0.003 / 3 / sqrt(2 * pi()) FROM (SELECT unnest(range(0, 4001)) AS x))', 'p')} FROM tt""",
+        "ic_trend_filter": f"{trend} SELECT t, day, {', '.join(_r(c, c) for c in ('ic', *ev.CURVES))} FROM curves",
+        "ic_trend_means": f"{trend} SELECT t, day, {', '.join(_r(c, c) for c in ev.CURVES)} FROM (SELECT i, t, day, {', '.join(f'avg({c}) OVER (ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS {c}' for c in ev.CURVES)} FROM curves) WHERE i >= 10 AND (i - 10) % 5 = 0",
+        "rank_ic_summary": f"{ic} SELECT (SELECT count(*) FROM ic) AS ic_count, (SELECT CAST(sum(n) AS BIGINT) FROM m WHERE n >= 3) AS pair_count, (SELECT min(day) FROM ic) AS start_day, (SELECT max(day) FROM ic) AS end_day",
+        "calc_ic": f"{ic} SELECT c.day, {_r('ic', 'ic')} FROM cal c LEFT JOIN ic USING (day)",
+        "get_ic_info": f"{ic} SELECT {_r('avg(ic)', 'ic_mean')}, {_r('stddev_samp(ic)', 'ic_std')}, {_r('abs(avg(ic) / stddev_samp(ic))', 'abs_ir')} FROM ic",
         **{
-            name: f"""WITH {EVAL_SQL}, a AS (SELECT t, code, factor IS NOT NULL AS live, st, delisting, c, "limit", lead(t) OVER w IS NOT NULL AS has, lead(o) OVER w AS o1, lead(amt) OVER w AS amt1, coalesce(lead(st) OVER w, false) AS st1, coalesce(lead(delisting) OVER w, false) AS del1 FROM f WINDOW w AS (PARTITION BY code ORDER BY t)),
-            b AS (SELECT t, code, live, live AND (st OR st1) AS special, live AND (delisting OR del1) AS leaving, live AND coalesce(o1 / nullif(c, 0) - 1 >= "limit" - 0.002, false) AS limit_up,
-              live AND coalesce(o1 / nullif(c, 0) - 1 <= -"limit" + 0.002, false) AS limit_down, live AND has AND NOT coalesce(amt1 > 0, false) AS no_trade FROM a) {rest}"""
+            name: f"WITH {EVAL_SQL}, gr AS (SELECT day, code, fwd, CASE WHEN factor IS NOT NULL THEN CAST(floor((row_number() OVER (PARTITION BY t, factor IS NULL ORDER BY factor, code) - 1) * 5 / count(factor) OVER (PARTITION BY t)) + 1 AS INTEGER) END AS grp FROM f) {rest}"
             for name, rest in {
-                "tradability_filter": "SELECT t, code, special, leaving, limit_up, limit_down, no_trade FROM b WHERE special OR leaving OR limit_up OR limit_down OR no_trade",
-                "tradability_summary": "SELECT count(*) FILTER (WHERE live) AS n_factor, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS n_{c}" for c in ("special", "leaving", "limit_up", "limit_down", "no_trade")) + ", count(*) FILTER (WHERE special OR leaving OR limit_up OR limit_down OR no_trade) AS n_blocked, " + _r("count(*) FILTER (WHERE special OR leaving OR limit_up OR limit_down OR no_trade) / count(*) FILTER (WHERE live)::DOUBLE", "blocked_share") + " FROM b",
+                "assign_quantile": 'SELECT day, code, grp AS "group" FROM gr',
+                "calc_group_returns": "SELECT day, " + ", ".join(_r(f"avg(fwd) FILTER (WHERE grp = {g})", f"g{g}") for g in range(1, 6)) + " FROM gr WHERE grp IS NOT NULL AND fwd IS NOT NULL GROUP BY day",
+            }.items()
+        },
+        "evaluate_wide": f"""WITH {PANEL_SQL}, x0 AS (SELECT t, day, code, o, round((c - o) / ((h - l) + 0.001), 9) AS x FROM panel WHERE code IN (SELECT DISTINCT code FROM panel ORDER BY code LIMIT 40)),
+            f AS (SELECT t, day, code, CASE WHEN v IS NOT NULL AND list_count(v) > 0 THEN list_sum(list_transform(range(1, len(v) + 1), lambda i: (3 - len(v) + i) * v[i])) / list_sum(list_transform(range(1, len(v) + 1), lambda i: CASE WHEN v[i] IS NULL THEN 0 ELSE 3 - len(v) + i END)) END AS factor, fwd FROM (
+              SELECT t, day, code, list(x) OVER (PARTITION BY code ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS v, CASE WHEN lead(o, 1) OVER a <> 0 THEN lead(o, 2) OVER a / lead(o, 1) OVER a - 1 END AS fwd FROM x0 WINDOW a AS (PARTITION BY code ORDER BY t))),
+            p AS (SELECT * FROM f WHERE factor IS NOT NULL AND fwd IS NOT NULL), {IC_SQL}, q AS (SELECT *, CAST(floor((rn - 1) * 5 / cnt) + 1 AS INTEGER) AS grp FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY factor, code) AS rn, count(*) OVER (PARTITION BY t) AS cnt FROM p) WHERE cnt >= 5)
+            SELECT q.t, grp, {_r('avg(fwd)', 'ret')}, {_r('any_value(ic)', 'ic')} FROM q LEFT JOIN ic USING (t) GROUP BY q.t, grp""",
+        "rolling_drawdown_summary": f"{q}, {block(60)}, v AS (SELECT *, product(1 + ret) OVER (PARTITION BY grp, block ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS wealth FROM bl), p2 AS (SELECT *, wealth / greatest(max(wealth) OVER (PARTITION BY grp, block ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) - 1 AS dd FROM v), p3 AS (SELECT grp, block, min(dd) AS drawdown FROM p2 GROUP BY grp, block) SELECT grp, {_r('min(drawdown)', 'worst')}, {_r('median(drawdown)', 'middle')} FROM p3 GROUP BY grp",
+        "quantile_plot": f"{q}, cu AS (SELECT t, day, grp, ln(product(1 + ret) OVER (PARTITION BY grp ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS lw FROM g) SELECT day, {', '.join(_r(f'max(lw) FILTER (WHERE grp = {g})', f'log_g{g}') for g in range(1, GROUPS + 1))} FROM cu GROUP BY day",
+        "cycle_context": f"""{ic}, sp AS (SELECT min(day) AS lo, max(day) AS hi FROM ic), cy AS (SELECT CAST(a AS DATE) AS a, CAST(b AS DATE) AS b, d FROM (VALUES {', '.join(f"('{x}', {'NULL' if y is None else chr(39) + y + chr(39)}, '{w}')" for x, y, w in CYCLE_ROWS)}) v(a, b, d))
+            SELECT greatest(a, lo) AS start, least(coalesce(b, hi), hi) AS stop, d AS direction, b IS NULL AS provisional FROM cy, sp WHERE greatest(a, lo) <= least(coalesce(b, hi), hi)""",
+        "ts_sma": f"""WITH RECURSIVE {PANEL_SQL}, pm AS MATERIALIZED (SELECT t, code, c FROM panel),
+            sm AS (SELECT t, code, c AS y, 1.0::DOUBLE AS old FROM pm WHERE t = 0 UNION ALL SELECT p.t, p.code, CASE WHEN p.c IS NULL THEN y WHEN y IS NULL THEN p.c ELSE (old * 0.6 * y + 0.4 * p.c) / (old * 0.6 + 0.4) END, CASE WHEN p.c IS NOT NULL OR y IS NULL THEN 1 ELSE old * 0.6 END FROM sm JOIN pm p ON p.code = sm.code AND p.t = sm.t + 1)
+            SELECT t, code, {_r('y', 'v')} FROM sm""",
+        "style_neutralize": f"WITH {EVAL_SQL}, sy AS (SELECT *, CASE WHEN count(amt) OVER k20 >= 10 THEN avg(amt) OVER k20 END AS s1, c / lag(c, 5) OVER (PARTITION BY code ORDER BY t) - 1 AS s2 FROM f WINDOW k20 AS (PARTITION BY code ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), {residual('sy', {'a1': 's1', 'a2': 's2'})} SELECT t, code, {_r('v', 'v')} FROM res",
+        "preprocess_paper_local": f"WITH {EVAL_SQL}, {styled.format('f')}, {reasons.replace('FROM f WINDOW', 'FROM sty WINDOW')}, ma AS (SELECT * EXCLUDE (factor), CASE WHEN NOT blocked THEN factor END AS factor FROM tb), {mad.format('ma')}, {residual('wi', {'a1': 'log_cap', 'a2': 'return_20', 'a3': 'log_amount_20', 'a4': 'volatility_20'})} {zscored.format('res')}",
+        "preprocess_market_cap": f"WITH {EVAL_SQL}, {mad.format('f')}, {residual('wi', {'a1': 'ln(CASE WHEN cap > 0 THEN cap END)'})} {zscored.format('res')}",
+        **{
+            name: f"""WITH {EVAL_SQL}, {source_rows}, aa AS ({flat}, industry FROM {rows_of}), ab AS (SELECT t, code, industry, CASE WHEN industry IS NOT NULL THEN x END AS x, CASE WHEN industry IS NOT NULL THEN y END AS y FROM aa),
+            ad AS (SELECT t, code, y, CASE WHEN y IS NOT NULL THEN industry END AS ind, x - avg(x) OVER g AS dx, y - avg(y) OVER g AS dy FROM ab WINDOW g AS (PARTITION BY t, industry)),
+            asl AS (SELECT t, sum(dx * dy) / sum(dx * dx) AS slope, count(y) AS n, count(DISTINCT ind) + 1 AS k FROM ad GROUP BY t),
+            res AS (SELECT t, code, CASE WHEN n > k THEN dy - slope * dx END AS v, CASE WHEN n > k THEN slope END AS slope FROM ad JOIN asl USING (t)) {rest}"""
+            for name, (source_rows, rows_of, rest) in {
+                "preprocess_market_cap_industry": (mad.format("f") + ", wj AS (SELECT * EXCLUDE (industry), CASE WHEN count(factor) OVER (PARTITION BY t, industry) >= 3 THEN industry END AS industry FROM wi)", "wj", zscored.format("res")),
+                "industry_market_cap_betas": ("fx AS (SELECT * FROM f)", "fx", f"SELECT t, count(v) AS n, {_r('max(slope)', 'beta')} FROM res GROUP BY t"),
             }.items()
         },
+        "holding_audit_summary": f"{n}, hs AS (SELECT t, count(*) AS positions, 1.0::DOUBLE / count(*) AS weight, avg(fwd) AS gross FROM q WHERE grp = {GROUPS} GROUP BY t) SELECT hs.t, positions, {_r('weight', 'weight')}, {_r('hs.gross', 'gross')}, {_r('cost', 'cost')}, {_r('ret', 'net')}, abs(hs.gross - cost - ret) <= 1e-12 AS reconciles FROM hs JOIN net ON net.t = hs.t AND net.grp = {GROUPS}",
+        "tradability_filter": f"WITH {EVAL_SQL}, {reasons} SELECT t, code, {', '.join(c for c in transforms.REASONS if c != 'blocked')} FROM tb WHERE blocked",
+        "tradability_summary": f"WITH {EVAL_SQL}, {reasons} SELECT count(*) FILTER (WHERE live) AS n_factor, {', '.join(f'count(*) FILTER (WHERE {c}) AS n_{c}' for c in transforms.REASONS)}, count(DISTINCT t) FILTER (WHERE blocked) AS days_blocked, {_r('count(*) FILTER (WHERE blocked) / count(*) FILTER (WHERE live)::DOUBLE', 'blocked_share')} FROM tb",
         "market_cap_neutralize": f"WITH {EVAL_SQL}, a AS ({flat} FROM f) SELECT t, code, {_r('CASE WHEN count(y) OVER w >= 3 THEN y - avg(y) OVER w - covar_pop(x, y) OVER w / var_pop(x) OVER w * (x - avg(x) OVER w) END', 'v')} FROM a WINDOW w AS (PARTITION BY t)",
         "industry_neutralize": f"WITH {EVAL_SQL} SELECT t, code, {_r('CASE WHEN industry IS NOT NULL AND count(factor) OVER w >= 3 THEN factor - avg(factor) OVER w END', 'v')} FROM f WINDOW w AS (PARTITION BY t, industry)",
         "industry_market_cap_neutralize": f"""WITH {EVAL_SQL}, a AS ({flat}, industry FROM f), b AS (SELECT t, code, industry, CASE WHEN industry IS NOT NULL THEN x END AS x, CASE WHEN industry IS NOT NULL THEN y END AS y FROM a),
@@ -480,17 +733,32 @@ def oracle_sql() -> dict[str, str]:
             s AS (SELECT t, sum(dx * dy) / sum(dx * dx) AS slope, count(y) AS n, count(DISTINCT ind) + 1 AS k FROM d GROUP BY t)
             SELECT t, code, {_r('CASE WHEN n > k THEN dy - slope * dx END', 'v')} FROM d JOIN s USING (t)""",
         "median_mad_winsorize": f"WITH {EVAL_SQL}, a AS (SELECT t, code, factor, median(factor) OVER (PARTITION BY t) AS m FROM f), b AS (SELECT *, median(abs(factor - m)) OVER (PARTITION BY t) AS s FROM a) SELECT t, code, {_r('CASE WHEN factor IS NOT NULL THEN least(greatest(factor, m - 5 * s), m + 5 * s) END', 'v')} FROM b",
-        **{name: f"WITH {PANEL_SQL}, n AS (SELECT count(DISTINCT code) AS k FROM panel) SELECT CAST(t AS INTEGER) AS t, k AS cells, CAST(0 AS BIGINT) AS changed FROM n, (SELECT unnest([60, 200]) AS t)" for name in ("prefix_truncation_consistency", "future_data_perturbation")},
-        "holding_audit": f"""{q}, h AS (SELECT t, code, lead(day, 1) OVER a AS entry_day, lead(o, 1) OVER a AS entry_open, lead(day, 2) OVER a AS exit_day, lead(o, 2) OVER a AS exit_open FROM f WINDOW a AS (PARTITION BY code ORDER BY t))
-            SELECT t, code, CAST(row_number() OVER (PARTITION BY t ORDER BY factor DESC, code) AS INTEGER) AS position, {_r('1.0::DOUBLE / count(*) OVER (PARTITION BY t)', 'weight')}, entry_day, {_r('entry_open', 'entry_open')}, exit_day, {_r('exit_open', 'exit_open')}, {_r('fwd', 'fwd')} FROM (SELECT * FROM q WHERE grp = {GROUPS}) JOIN h USING (t, code)""",
+        **{
+            name: f"""WITH {days} SELECT 'causal' AS kind, t, cells, CAST(0 AS BIGINT) AS changed FROM cp, ks UNION ALL SELECT 'ahead', cp.t, any_value(cells), count(x.c) FROM cp LEFT JOIN panel x ON x.t = cp.t + 1, ks GROUP BY cp.t"""
+            for name in ("prefix_truncation_consistency", "future_data_perturbation")
+        },
+        "holding_audit": f"""{q}, h AS (SELECT t, code, lead(day, 1) OVER a AS entry_day, lead(o, 1) OVER a AS entry_open, lead(day, 2) OVER a AS exit_day, lead(o, 2) OVER a AS exit_open, coalesce(lead(st) OVER a, false) AS entry_st, coalesce(lead(delisting) OVER a, false) AS entry_delisting FROM f WINDOW a AS (PARTITION BY code ORDER BY t))
+            SELECT t, code, CAST(row_number() OVER (PARTITION BY t ORDER BY factor DESC, code DESC) AS INTEGER) AS position, CAST(rn AS INTEGER) AS factor_rank, entry_st, entry_delisting, {_r('1.0::DOUBLE / count(*) OVER (PARTITION BY t)', 'weight')}, entry_day, {_r('entry_open', 'entry_open')}, exit_day, {_r('exit_open', 'exit_open')}, {_r('fwd', 'fwd')} FROM (SELECT * FROM q WHERE grp = {GROUPS}) JOIN h USING (t, code)""",
         "factor_correlation": f"WITH {EXPO_SQL} SELECT a.factor_id AS f1, b.factor_id AS f2, count(*) AS n, {_r('corr(a.x, b.x)', 'rho')} FROM e a JOIN e b ON a.t = b.t AND a.code = b.code AND a.factor_id < b.factor_id WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1, 2",
         "factor_block_correlation": f"""WITH {EXPO_SQL}, d AS (SELECT t, CAST(floor((row_number() OVER (ORDER BY t) - 1) / 60) AS INTEGER) AS block FROM (SELECT DISTINCT t FROM e)), d2 AS (SELECT t, block FROM d QUALIFY count(*) OVER (PARTITION BY block) = 60)
             SELECT a.factor_id AS f1, b.factor_id AS f2, block, count(*) AS n, {_r('corr(a.x, b.x)', 'rho')} FROM e a JOIN e b ON a.t = b.t AND a.code = b.code AND a.factor_id < b.factor_id JOIN d2 ON d2.t = a.t WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1, 2, 3""",
-        "rank_ridge": f"""WITH {EVAL_SQL}, a AS (SELECT t, fwd, (rank() OVER (PARTITION BY t, c IS NULL ORDER BY c - o) + (count(*) OVER (PARTITION BY t, c - o) - 1) / 2.0::DOUBLE) / count(c) OVER (PARTITION BY t) AS a,
-              (rank() OVER (PARTITION BY t, c IS NULL ORDER BY vol) + (count(*) OVER (PARTITION BY t, vol) - 1) / 2.0::DOUBLE) / count(c) OVER (PARTITION BY t) AS b, c IS NOT NULL AS ok FROM f),
-            b AS (SELECT t, a - avg(a) OVER w AS a, b - avg(b) OVER w AS b, fwd - avg(fwd) OVER w AS y, count(*) OVER w AS n FROM a WHERE ok AND fwd IS NOT NULL WINDOW w AS (PARTITION BY t)),
-            m AS (SELECT sum(a * a / n) / count(DISTINCT t) + 0.001 AS aa, sum(a * b / n) / count(DISTINCT t) AS ab, sum(b * b / n) / count(DISTINCT t) + 0.001 AS bb, sum(a * y / n) / count(DISTINCT t) AS ay, sum(b * y / n) / count(DISTINCT t) AS cy FROM b WHERE n >= 3)
-            SELECT 'a' AS name, round((ay * bb - cy * ab) / (aa * bb - ab * ab), 6) AS weight FROM m UNION ALL SELECT 'b', round((cy * aa - ay * ab) / (aa * bb - ab * ab), 6) FROM m""",
+        "factor_correlation_row": f"WITH {EXPO_SQL} SELECT * FROM (SELECT a.factor_id AS f1, b.factor_id AS f2, count(*) AS n, {_r('corr(a.x, b.x)', 'rho')} FROM e a JOIN e b ON a.t = b.t AND a.code = b.code AND a.factor_id < b.factor_id WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1, 2) WHERE abs(rho) >= 0.02",
+        "rank_ridge": ridge("""fe AS (SELECT t, y0, CASE WHEN c IS NOT NULL THEN (rank() OVER (PARTITION BY t, c IS NULL ORDER BY c - o) + (count(*) OVER (PARTITION BY t, c - o) - 1) / 2.0::DOUBLE) / count(c) OVER (PARTITION BY t) END AS a,
+              CASE WHEN vol IS NOT NULL THEN (rank() OVER (PARTITION BY t, c IS NULL ORDER BY vol) + (count(*) OVER (PARTITION BY t, vol) - 1) / 2.0::DOUBLE) / count(c) OVER (PARTITION BY t) END AS b FROM lab)"""),
+        "winsorized_zscore_ridge": ridge("""fw AS (SELECT t, y0, CASE WHEN c IS NOT NULL THEN least(greatest(c - o, quantile_cont(c - o, 0.01) OVER w), quantile_cont(c - o, 0.99) OVER w) END AS a, CASE WHEN vol IS NOT NULL THEN least(greatest(vol, quantile_cont(vol, 0.01) OVER w), quantile_cont(vol, 0.99) OVER w) END AS b FROM lab WINDOW w AS (PARTITION BY t)),
+            fe AS (SELECT t, y0, (a - avg(a) OVER w) / nullif(stddev_pop(a) OVER w, 0) AS a, (b - avg(b) OVER w) / nullif(stddev_pop(b) OVER w, 0) AS b FROM fw WINDOW w AS (PARTITION BY t))"""),
+        "manual_weights": f"WITH {PANEL_SQL} SELECT t, code, {_r('CASE WHEN c IS NOT NULL THEN 0.75 * (rank() OVER (PARTITION BY t, c IS NULL ORDER BY c - o) + (count(*) OVER (PARTITION BY t, c - o) - 1) / 2.0::DOUBLE) / count(c) OVER (PARTITION BY t) - 0.25 * (rank() OVER (PARTITION BY t, c IS NULL ORDER BY vol) + (count(*) OVER (PARTITION BY t, vol) - 1) / 2.0::DOUBLE) / count(c) OVER (PARTITION BY t) END', 'v')} FROM panel",
+        "expression_listing": "SELECT * FROM (VALUES ('rank_cs(c) + ts_mean(vol, 5)', 'c,vol', 'rank_cs,ts_mean'), ('np.log(amt / cap) * where(st == 1, 0, vwap)', 'amt,cap,st,vwap', 'np.log,where'), ('-1 * ts_corr(rank_cs(delta(vol, 2)), rank_cs((c - o) / o), 6)', 'c,o,vol', 'delta,rank_cs,ts_corr')) v(expression, symbols, operators)",
+        "market_cap_cells": f"WITH {PANEL_SQL} SELECT day, code, {_r('CASE WHEN cap > 0 THEN cap END', 'cap')} FROM panel WHERE t < 50",
+        "true_status_cells": f"WITH {PANEL_SQL} SELECT day, code, st FROM panel WHERE st",
+        "repaired_status_tail": f"""WITH {PANEL_SQL}, x AS (SELECT day, code, l * (1 + vol / 400) AS up, l, st, CASE WHEN delisting THEN 4 WHEN st THEN 1 END AS event FROM panel WHERE c IS NOT NULL), ed AS (SELECT max(day) AS edge FROM x WHERE day < DATE '1998-01-05' AND st),
+            ob AS (SELECT day, code, true AS observed FROM x, ed WHERE day = edge AND st UNION ALL SELECT day, code, CASE WHEN event IS NOT NULL THEN event <> 1 WHEN day < DATE '2000-01-03' AND NOT (code LIKE '30%' OR code LIKE '68%' OR code LIKE '4%' OR code LIKE '8%') AND (up / l - 1) * 100 BETWEEN 3.5 AND 6.5 THEN true
+              WHEN day < DATE '2000-01-03' AND NOT (code LIKE '30%' OR code LIKE '68%' OR code LIKE '4%' OR code LIKE '8%') AND (up / l - 1) * 100 BETWEEN 8.5 AND 11.5 THEN false END FROM x WHERE day >= DATE '1998-01-05'),
+            ca AS (SELECT day, code, coalesce(last_value(observed IGNORE NULLS) OVER (PARTITION BY code ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS status FROM ob)
+            SELECT day, code, true AS status FROM x WHERE day < DATE '1998-01-05' AND st UNION ALL SELECT day, code, status FROM ca WHERE day >= DATE '1998-01-05' AND status""",
+        "metric_maps": f"{ic} SELECT CAST(year(day) AS INTEGER) AS year, CAST(count(*) AS DOUBLE) AS days, CAST(NULL AS DOUBLE) AS none, 2 AS n FROM ic GROUP BY 1",
+        "industry_cells": f"WITH {PANEL_SQL} SELECT day, code, industry FROM panel WHERE code < '000020' AND industry IS NOT NULL",
+        "holding_references": "SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, CASE WHEN s_suppkey % 3 <> 0 THEN s_name WHEN s_suppkey % 2 = 0 THEN 'alias ' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') END AS name, CAST(n_regionkey AS VARCHAR) AS industry, n_name AS industry_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey",
         "limit_ratio": f"""WITH {PANEL_SQL}, a AS (SELECT t, code, c, count(c) OVER (PARTITION BY code ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k, min(CASE WHEN c IS NOT NULL THEN t END) OVER (PARTITION BY code) AS first FROM panel)
             SELECT t, code, CASE WHEN first > 0 AND c IS NOT NULL AND k <= 5 THEN NULL WHEN code LIKE '30%' OR code LIKE '68%' THEN 0.2::DOUBLE WHEN code LIKE '4%' OR code LIKE '8%' OR code LIKE '92%' THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END AS ratio FROM a""",
         "carried_status": f"WITH {PANEL_SQL} SELECT t, code, coalesce(last_value(CASE WHEN st THEN true WHEN vol > 60 THEN false END IGNORE NULLS) OVER (PARTITION BY code ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS status FROM panel",
@@ -507,8 +775,8 @@ def oracle_sql() -> dict[str, str]:
             k AS (SELECT job, count(*) AS n, count(*) FILTER (WHERE status = 'done') AS n_done, count(*) FILTER (WHERE status = 'failed') AS n_failed, count(*) FILTER (WHERE status = 'running') AS n_running FROM r GROUP BY job)
             SELECT job, n, n_done, n_failed, CASE WHEN n_failed > 0 THEN 'failed' WHEN n_done = n THEN 'done' WHEN n_done + n_running > 0 THEN 'running' ELSE 'queued' END AS status FROM k""",
         "tagged_factors": "SELECT o_custkey AS factor FROM orders WHERE lower(trim(o_orderpriority)) IN ('1-urgent', '2-high') GROUP BY o_custkey HAVING count(DISTINCT lower(trim(o_orderpriority))) = 2",
-        "holdings_page": f"""{q}, h AS (SELECT t, code, CAST(row_number() OVER (PARTITION BY t ORDER BY factor DESC, code) AS INTEGER) AS position, 1.0::DOUBLE / count(*) OVER (PARTITION BY t) AS weight FROM q WHERE grp = {GROUPS} AND t = 100)
-            SELECT t, code, position, {_r('weight', 'weight')}, s_name FROM h LEFT JOIN supplier ON lpad(CAST(s_suppkey AS VARCHAR), 6, '0') = code WHERE position BETWEEN 3 AND 7""",
+        "holdings_page": f"""{q}, h AS (SELECT t, code, industry, CAST(row_number() OVER (PARTITION BY t ORDER BY factor DESC, code DESC) AS INTEGER) AS position, 1.0::DOUBLE / count(*) OVER (PARTITION BY t) AS weight FROM q WHERE grp = {GROUPS} AND day = DATE '1996-12-02')
+            SELECT t, code, position, {_r('weight', 'weight')}, s_name AS name, r_name AS industry_name FROM h LEFT JOIN supplier ON lpad(CAST(s_suppkey AS VARCHAR), 6, '0') = code LEFT JOIN region ON CAST(r_regionkey AS VARCHAR) = industry WHERE position BETWEEN 3 AND 7""",
         "compared_runs": f"SELECT event_type AS metric, {', '.join(_r(f'max(value) FILTER (WHERE user_id % 3 = {k})', f'run_{k}') for k in range(3))} FROM events GROUP BY event_type",
         "clipped_periods": "SELECT name, greatest(start, DATE '1996-01-01') AS start, least(stop, DATE '1997-12-31') AS stop FROM (SELECT o_custkey AS name, CAST(min(o_orderdate) AS DATE) AS start, CAST(max(o_orderdate) AS DATE) AS stop FROM orders GROUP BY 1) WHERE start <= DATE '1997-12-31' AND stop >= DATE '1996-01-01'",
         "special_status": f"""WITH {PANEL_SQL}, a AS (SELECT t, day, code, l * (1 + vol / 400) AS up, l, CASE WHEN delisting THEN 4 WHEN st THEN 1 END AS event FROM panel WHERE c IS NOT NULL),

@@ -12,7 +12,7 @@ from quillon.sources import panel as source
 
 def test_tags_and_queue(spark):
     assert service.normalized_tag(" Ｍomentum ") == "momentum"
-    tags = spark.createDataFrame([("a", "X"), ("a", "y "), ("b", "x"), ("c", "z")], "factor string, tag string")
+    tags = spark.createDataFrame([("a", "X"), ("a", "y "), ("b", "\uff38"), ("c", "z"), ("d", None)], "factor string, tag string")
     assert [r.factor for r in service.tagged(tags, ["x", "Y"]).collect()] == ["a"]
     assert sorted(r.factor for r in service.tagged(tags, ["x", "z"], "any").collect()) == ["a", "b", "c"]
     runs = spark.createDataFrame([(1, "queued", 0, 5), (2, "queued", 3, 9), (3, "queued", 3, 7), (4, "done", 9, 1)], "run int, status string, priority int, created int")
