@@ -66,9 +66,13 @@ def _length(n: int) -> int:
     return next((i for i, m in enumerate((2, 4, 8, 12, 16, 24)) if n < m), 6)
 
 
+#: Marks that stand for one another before a value.
+_ALIKE = {":": "=", ">": "=", "'": '"', "`": '"'}
+
+
 def _shape(t: str) -> str:
     if not t[0].isalnum():
-        return t
+        return _ALIKE.get(t, t)
     digits = sum(c.isdigit() for c in t)
     kind = "9" if digits == len(t) else "x" if digits else "a" if t.islower() else "A" if t.isupper() else "Aa" if t[1:].islower() else "aA"
     if kind == "x":
@@ -89,9 +93,10 @@ def features(shapes: list[str], keys: list[bool], glued: list[bool], file: str)
         s, p, q = shapes[i], shapes[i - 1] if i else "^", shapes[i - 2] if i > 1 else "^"
         f = shapes[i + 1] if i + 1 < n else "$"
         near = next((d for d in range(1, 5) if i >= d and keys[i - d]), 0)
-        mark = p if p in "=:\"'" else "."
+        mark = p if p in '="' else "."
+        given = "=" in shapes[max(0, i - 3) : i]
         g = "g" if glued[i] else "s"
-        out.append(["*", f"s{s}", f"p{p}", f"q{q}", f"f{f}", f"g{g}{s}", f"g{g}{p}{s[:1]}", f"k{near}", f"k{near}{s}", f"m{mark}{s}", f"km{near > 0}{mark}{s[:2]}", f"d{file}{s[:2]}", f"w{keys[i]}"])
+        out.append(["*", f"s{s}", f"p{p}", f"q{q}", f"f{f}", f"g{g}{s}", f"g{g}{p}{s[:1]}", f"k{near}", f"k{near}{s}", f"m{mark}{s}", f"km{near > 0}{mark}{s[:2]}", f"d{file}{s[:2]}", f"w{keys[i]}", f"a{given}{s[:2]}", f"ka{near > 0}{given}{s}"])
     return out
 
 
@@ -161,10 +166,10 @@ def _made_up(rng: random.Random) -> list[tuple[list[list[str]], list[int]]]:
     pick = lambda chars, a, b: "".join(rng.choice(chars) for _ in range(rng.randint(a, b)))
     alnum = letters + letters.upper() + "0123456789"
     values = [lambda: pick("0123456789abcdef", 16, 40), lambda: pick(alnum, 16, 40), lambda: f"{pick(alnum, 8, 14)}-{pick(alnum, 8, 14)}", lambda: f"{pick(alnum, 12, 20)}_{pick(alnum, 6, 12)}"]
-    leads = ["credential: ", "credentials=", "auth = ", "Authorization: Bearer ", "private_key: ", 'access_key="', "pwd=", "passphrase: ", "client_key = ", "sk_live_", "ghp_", "signature="]
+    leads = ["credential: ", "credentials=", "auth = ", "Authorization: Bearer ", "private_key: ", 'access_key="', "pwd=", "passphrase: ", "client_key = ", "sk_live_", "ghp_", "signature=", "passphrase ", "my pass is "]
     plain = [lambda: f"version = {rng.randint(1, 9)}.{rng.randint(0, 20)}", lambda: f"id={rng.randint(1, 10**6)}", lambda: f"{word()}.{rng.randint(1, 99)}@{word()}{rng.randint(1, 9)}.example", lambda: f"{word()}: {word()}", lambda: f"+{pick('0123456789', 10, 12)}", lambda: f"{word()} = {word()}", lambda: pick("0123456789", 13, 16), lambda: f"{rng.randint(1, 255)}.{rng.randint(1, 255)}.{rng.randint(1, 255)}.{rng.randint(1, 255)}", lambda: f"({pick('0123456789', 3, 3)}) {pick('0123456789', 3, 3)}-{pick('0123456789', 4, 4)}", lambda: f"the key {word()} of access {word()}", lambda: f"{word()}{rng.randint(1, 99)}"]
     out = []
-    for k in range(500):
+    for k in range(1000):
         before, after = " ".join(word() for _ in range(4)) + " ", " " + " ".join(word() for _ in range(4))
         if k % 2:
             lead, value = rng.choice(leads), rng.choice(values)()
