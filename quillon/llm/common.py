@@ -77,16 +77,24 @@ def bucket_of(*keys: str | Column) -> Column:
     return F.pmod(F.xxhash64(*keys, F.lit(77)), F.lit(BUCKETS)).cast("int")
 
 
+def unused(names: list[str], name: str) -> str:
+    """name, or the first of name_, name__, ... that is not among names."""
+    while name in names:
+        name += "_"
+    return name
+
+
 def split_by_keys(rows: DataFrame, some: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """rows whose keys may be in some, and rows whose keys are not: told apart without a shuffle.
 
     The table of buckets that some's keys fall into has at most BUCKETS rows, so it is broadcast. Where some is a small
     share of all keys, the first part is little more than that share; where it is not, it is up to all rows.
     """
-    buckets = stash(some.select(bucket_of(*keys).alias("_bucket")).distinct(), "buckets")
-    rows = rows.withColumn("_bucket", bucket_of(*keys))
-    near = rows.join(F.broadcast(buckets), "_bucket", "left_semi").drop("_bucket")
-    return near, rows.join(F.broadcast(buckets), "_bucket", "left_anti").drop("_bucket")
+    bucket = unused(rows.columns, "_bucket")
+    buckets = stash(some.select(bucket_of(*keys).alias(bucket)).distinct(), "buckets")
+    rows = rows.withColumn(bucket, bucket_of(*keys))
+    near = rows.join(F.broadcast(buckets), bucket, "left_semi").drop(bucket)
+    return near, rows.join(F.broadcast(buckets), bucket, "left_anti").drop(bucket)
 
 
 def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:

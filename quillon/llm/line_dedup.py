@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import forget, split_by_keys, stash, text_or_empty
+from quillon.llm.common import forget, split_by_keys, stash, text_or_empty, unused
 from quillon.llm.ngram_join import _free
 
 MIN_WORDS = 50
@@ -133,23 +133,26 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
 
 
 def delete_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with later copies of repeated runs deleted from text_col, and _n_lines, _n_deleted added.
+    """docs with later copies of repeated runs deleted from text_col, and _n_lines, _n_deleted added (or put in the place
+    of columns of these names); other columns stay as they are.
 
     Only documents that may hold such runs are shuffled: the others are told apart by a bounded table of
     hash buckets.
     """
-    runs = repeated_runs(docs, min_words, id_col, text_col)
-    keyed = docs.withColumns(dict(zip(("_doc", "_th"), _keys(id_col, text_col))))
-    runs = runs.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("runs").alias("_runs"))
-    touched, clean = split_by_keys(keyed, runs, ["_doc", "_th"])
-    clean = clean.withColumn("_runs", F.lit(None).cast("array<struct<i:int,stop:int>>"))
+    docs = docs.drop("_n_lines", "_n_deleted")
+    found = repeated_runs(docs, min_words, id_col, text_col)
+    doc, th, runs, left = (unused(docs.columns, c) for c in ("_doc", "_th", "_runs", "_left"))
+    keyed = docs.withColumns(dict(zip((doc, th), _keys(id_col, text_col))))
+    found = found.select(F.col("doc").alias(doc), F.col("th").alias(th), F.col("runs").alias(runs))
+    touched, clean = split_by_keys(keyed, found, [doc, th])
+    clean = clean.withColumn(runs, F.lit(None).cast("array<struct<i:int,stop:int>>"))
     # Both sides grow with the corpus, so neither is broadcast at any size.
-    both = touched.join(runs.hint("merge"), ["_doc", "_th"], "left").select(*clean.columns).unionByName(clean)
+    both = touched.join(found.hint("merge"), [doc, th], "left").select(*clean.columns).unionByName(clean)
     lines = F.split(text_or_empty(text_col), "\n")
-    left = F.filter(lines, lambda x, k: ~F.exists(F.coalesce("_runs", F.expr("cast(array() as array<struct<i:int,stop:int>>)")), lambda r: (r["i"] <= k) & (k < r["stop"])))
-    both = both.withColumn("_n_lines", F.size(lines).cast("long")).withColumn("_left", F.when(F.col("_runs").isNotNull(), left))
-    both = both.withColumn("_n_deleted", F.when(F.col("_left").isNull(), 0).otherwise(F.col("_n_lines") - F.size("_left")).cast("long"))
-    return both.withColumn(text_col, F.coalesce(F.array_join("_left", "\n"), text_or_empty(text_col))).drop("_doc", "_th", "_runs", "_left")
+    kept = F.filter(lines, lambda x, k: ~F.exists(F.coalesce(runs, F.expr("cast(array() as array<struct<i:int,stop:int>>)")), lambda r: (r["i"] <= k) & (k < r["stop"])))
+    both = both.withColumn("_n_lines", F.size(lines).cast("long")).withColumn(left, F.when(F.col(runs).isNotNull(), kept))
+    both = both.withColumn("_n_deleted", F.when(F.col(left).isNull(), 0).otherwise(F.col("_n_lines") - F.size(left)).cast("long"))
+    return both.withColumn(text_col, F.coalesce(F.array_join(left, "\n"), text_or_empty(text_col))).drop(doc, th, runs, left)
 
 
 def op8_query(spark, sf_dir: str) -> DataFrame:
