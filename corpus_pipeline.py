@@ -1,7 +1,12 @@
 """The corpus pipeline: quality rules, line dedup, near duplicates, mixing, SentencePiece pieces.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and is written as Parquet and read
-again as the next one's docs. All but the last return the columns of documents.
+again as the next one's docs. All but the last return the columns of documents; other columns are left out, whatever
+their names.
+
+Defined results: null and empty texts are rejected by the quality rules; rows without an id, and rows that share one, are
+decided one by one; of rows equal in id and text one stays (near duplicates); ties go to the smallest id, a null one
+first, then to the smallest text hash; an empty table gives an empty result; texts are processed whole.
 """
 
 from __future__ import annotations
@@ -18,8 +23,8 @@ BUDGET_PERCENT, MAX_EPOCHS = 80, 1
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with _id and _th, which tell rows apart unless they are equal in id and text."""
-    return docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    """The columns of documents with _id and _th, which tell rows apart unless they are equal in id and text."""
+    return docs.select(*COLUMNS).withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +36,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines are gone; so are documents that lost every line."""
-    out = line_dedup.delete_repeats(docs).where("_n_deleted < _n_lines")
+    out = line_dedup.delete_repeats(docs.select(*COLUMNS)).where("_n_deleted < _n_lines")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -75,7 +80,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text's pieces."""
+    """(doc_id, n_tokens, n_bytes, round_trip, ids): each text's pieces."""
     return pieces.encode_column(docs)
 
 
