@@ -221,7 +221,7 @@ def _evaluate_wide(spark, d):
     panel = factor(weekly_panel(spark, d), FACTOR).select("day", "code", "o", F.round("factor", 9).alias("factor"))
     codes = [r.code for r in panel.select("code").distinct().orderBy("code").limit(40).collect()]
     wide = lambda c: panel.groupBy("day").pivot("code", codes).agg(F.first(c))
-    ic, groups, _ = ev.evaluate_wide(wide("factor"), wide("o"), 1, 5, 3)
+    ic, groups, _ = ev.evaluate_wide(wide("factor"), wide("o"), 1, 5)
     return groups.join(ic.select("t", "ic"), "t", "left").select("t", "grp", r6(F.col("ret"), "ret"), r6(F.col("ic"), "ic"))
 
 
@@ -699,8 +699,7 @@ def oracle_sql() -> dict[str, str]:
             }.items()
         },
         "evaluate_wide": f"""WITH {PANEL_SQL}, x0 AS (SELECT t, day, code, o, round((c - o) / ((h - l) + 0.001), 9) AS x FROM panel WHERE code IN (SELECT DISTINCT code FROM panel ORDER BY code LIMIT 40)),
-            f AS (SELECT t, day, code, CASE WHEN v IS NOT NULL AND list_count(v) > 0 THEN list_sum(list_transform(range(1, len(v) + 1), lambda i: (3 - len(v) + i) * v[i])) / list_sum(list_transform(range(1, len(v) + 1), lambda i: CASE WHEN v[i] IS NULL THEN 0 ELSE 3 - len(v) + i END)) END AS factor, fwd FROM (
-              SELECT t, day, code, list(x) OVER (PARTITION BY code ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS v, CASE WHEN lead(o, 1) OVER a <> 0 THEN lead(o, 2) OVER a / lead(o, 1) OVER a - 1 END AS fwd FROM x0 WINDOW a AS (PARTITION BY code ORDER BY t))),
+            f AS (SELECT t, day, code, x AS factor, CASE WHEN lead(o, 1) OVER a <> 0 THEN lead(o, 2) OVER a / lead(o, 1) OVER a - 1 END AS fwd FROM x0 WINDOW a AS (PARTITION BY code ORDER BY t)),
             p AS (SELECT * FROM f WHERE factor IS NOT NULL AND fwd IS NOT NULL), {IC_SQL}, q AS (SELECT *, CAST(floor((rn - 1) * 5 / cnt) + 1 AS INTEGER) AS grp FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY factor, code) AS rn, count(*) OVER (PARTITION BY t) AS cnt FROM p) WHERE cnt >= 5)
             SELECT q.t, grp, {_r('avg(fwd)', 'ret')}, {_r('any_value(ic)', 'ic')} FROM q LEFT JOIN ic USING (t) GROUP BY q.t, grp""",
         "rolling_drawdown_summary": f"{q}, {block(60)}, v AS (SELECT *, product(1 + ret) OVER (PARTITION BY grp, block ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS wealth FROM bl), p2 AS (SELECT *, wealth / greatest(max(wealth) OVER (PARTITION BY grp, block ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) - 1 AS dd FROM v), p3 AS (SELECT grp, block, min(dd) AS drawdown FROM p2 GROUP BY grp, block) SELECT grp, {_r('min(drawdown)', 'worst')}, {_r('median(drawdown)', 'middle')} FROM p3 GROUP BY grp",
