@@ -35,6 +35,8 @@ UNKNOWN_PENALTY = 10.0
 NOWHERE = float("-inf")
 #: Solved runs that are remembered before the older half is forgotten.
 REMEMBERED = 300_000
+#: Characters up to which runs are solved together and remembered.
+SHORT = 64
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -160,9 +162,11 @@ class Codec:
         keys = [(p, i) for i, (p, k) in enumerate(zip(model.pieces, model.kinds)) if k == NORMAL]
         trie = DoubleArray.build(keys)
         self.base, self.check, self.value = trie.base, trie.check, trie.value
+        self.arrays = tuple(np.array(x) for x in (trie.base, trie.check, trie.value, model.scores or [0.0]))
         self.unknown = min((model.scores[i] for _, i in keys), default=0.0) - UNKNOWN_PENALTY
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(model.pieces, model.kinds)) if k == BYTE}
         self.first_unknown = next((i for i, k in enumerate(model.kinds) if k == UNKNOWN), 0)
+        self.by_byte = np.array([self.byte_ids.get(b, self.first_unknown) for b in range(256)])
         crossing = any(MARK in p.decode("utf-8", "ignore").lstrip(MARK) for p, _ in keys)
         newline = any(b"\n" in p for p, _ in keys)
         self.runs = re.compile("(?s).+" if crossing else f"{MARK}*[^{MARK}]+|{MARK}+" if newline else f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
@@ -214,22 +218,91 @@ class Codec:
             j = i
         return out[::-1]
 
-    def _solved(self, run: str) -> bytes:
-        out = self.older.get(run)
-        if out is None:
-            out = array("i", self.best(run)).tobytes()
-        if len(run) <= 64:
-            if len(self.known) >= REMEMBERED // 2:
-                self.known, self.older = {}, self.known
-            self.known[run] = out
+    def best_many(self, runs: list[str]) -> list[bytes]:
+        """best() of many short runs at once, as bytes of 32-bit ids: the trie is walked from all places in step, and each
+        place of all runs is then decided together, nearer places first."""
+        coded = [r.encode("utf-8", "replace") for r in runs]
+        data = np.frombuffer(b"".join(coded), np.uint8)
+        lengths = np.array([len(c) for c in coded])
+        ends = np.cumsum(lengths)
+        begin = np.flatnonzero((data & 0xC0) != 0x80)
+        run = np.searchsorted(ends, begin, "right")
+        width = np.diff(np.append(begin, len(data)))
+        base, check, value, scores = self.arrays
+        # Pieces that begin at each place: (number of the place, end, id).
+        who, state, at, alone = np.arange(len(begin)), np.zeros(len(begin), np.int64), begin.copy(), np.zeros(len(begin), bool)
+        found = []
+        while len(who):
+            to = base[state] + data[at]
+            ok = check[to] == state
+            who, state, at = who[ok], to[ok], at[ok] + 1
+            k = value[state]
+            hit = k >= 0
+            found.append((who[hit], at[hit], k[hit]))
+            alone[who[hit & (at == begin[who] + width[who])]] = True
+            ok = at < ends[run[who]]
+            who, state, at = who[ok], state[ok], at[ok]
+        bare = np.flatnonzero(~alone)
+        found.append((bare, begin[bare] + width[bare], np.full(len(bare), -1)))
+        who, end, k = (np.concatenate(x) for x in zip(*found))
+        # By place in the run, then by run, then longer pieces first, which win ties.
+        first = ends - lengths
+        place = end - first[run[who]]
+        order = np.lexsort((begin[who], place))
+        who, end, k, place = who[order], end[order], k[order], place[order]
+        gain = np.where(k >= 0, scores[k], self.unknown)
+        score, chosen = np.full(len(data) + 1, NOWHERE), np.zeros(len(data) + 1, np.int64)
+        # score[x] is that of the path up to place x; the ends of one run are the next one's beginning, which counts as 0.
+        came, starts = begin[who], begin[who] == first[run[who]]
+        cuts = np.flatnonzero(np.diff(place, prepend=-1, append=-1))
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            total = np.where(starts[lo:hi], 0.0, score[came[lo:hi]]) + gain[lo:hi]
+            heads = np.flatnonzero(np.diff(end[lo:hi], prepend=-1))
+            best = np.maximum.reduceat(total, heads)
+            same = np.flatnonzero(total == np.repeat(best, np.diff(np.append(heads, hi - lo))))
+            same = same[np.diff(end[lo:hi][same], prepend=-1) != 0]
+            score[end[lo:hi][heads]], chosen[end[lo:hi][heads]] = best, lo + same
+        # Back from the ends, all runs in step.
+        here, owner, steps = ends.copy(), np.arange(len(runs)), []
+        while len(here):
+            m = chosen[here]
+            steps.append((owner, m))
+            here = came[m]
+            ok = here > first[owner]
+            here, owner = here[ok], owner[ok]
+        owner, m, depth = np.concatenate([o for o, _ in steps]), np.concatenate([m for _, m in steps]), np.repeat(np.arange(len(steps)), [len(o) for o, _ in steps])
+        order = np.lexsort((-depth, owner))
+        owner, m = owner[order], m[order]
+        size = np.where((k[m] >= 0) | (not self.byte_ids), 1, end[m] - came[m])
+        out = np.repeat(np.where(k[m] >= 0, k[m], self.first_unknown), size)
+        if self.byte_ids:
+            lone = np.repeat(k[m] < 0, size)
+            within = np.arange(len(out)) - np.repeat(np.cumsum(size) - size, size)
+            out[lone] = self.by_byte[data[(np.repeat(came[m], size) + within)[lone]]]
+        stops = [0, *np.cumsum(4 * np.bincount(owner, size, len(runs)).astype(np.int64)).tolist()]
+        raw = out.astype(np.int32).tobytes()
+        return [raw[x:y] for x, y in zip(stops, stops[1:])]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text. Runs that are not known are solved together, long ones alone."""
+        prefix, cut = MARK if self.model.dummy_prefix else "", self.runs.findall
+        listed = [cut(prefix + t.replace(" ", MARK)) if t else [] for t in texts]
+        if len(self.known) >= REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = sorted(set().union(*listed).difference(known))
+        known.update((r, older[r]) for r in new if r in older)
+        short, long = [r for r in new if len(r) <= SHORT and r not in older], [r for r in new if len(r) > SHORT]
+        if short:
+            known.update(zip(short, self.best_many(short)))
+        known.update((r, array("i", self.best(r)).tobytes()) for r in long)
+        out = [np.frombuffer(b"".join(map(known.__getitem__, runs)), np.int32) for runs in listed]
+        for r in long:
+            del known[r]
         return out
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        marked = (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
-        solved = self._solved
-        return np.frombuffer(b"".join([self.known.get(x) or solved(x) for x in self.runs.findall(marked)]), np.int32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> str:
         spelled = self.spelled
@@ -245,9 +318,9 @@ def encode_column(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = model.value.codec()
         for batch in batches:
-            for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 texts = part.column(1).to_pylist()
-                ids = [codec.encode(t) for t in texts]
+                ids = codec.encode_all(texts)
                 ends = np.cumsum([0, *map(len, ids)])
                 flat = np.concatenate([*ids, np.zeros(0, np.int32)])
                 is_byte = np.concatenate([[0], np.cumsum(codec.is_byte[flat])])
