@@ -255,13 +255,15 @@ def _nearest_leaves(index: DataFrame, held: np.ndarray, k: int) -> dict[int, lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        square = (own * own).sum(axis=1)
         best, leaf = np.full((len(own), k), -np.inf), np.zeros((len(own), k), np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 x = _matrix(part.column(0), size)
                 g = own @ x.T
-                for r, c in zip(*np.nonzero(g > (own * own).sum(axis=1)[:, None] * (1 - 1e-6))):
+                # A held vector meets itself where product and lengths agree; only such few pairs are compared in full.
+                for r, c in zip(*np.nonzero((np.abs(g - square[:, None]) <= 1e-6 * square[:, None]) & (np.abs((x * x).sum(axis=1) - square[:, None]) <= 1e-6 * square[:, None]))):
                     if (own[r] == x[c]).all():
                         g[r, c] = -np.inf
                 g = np.concatenate([best, g], axis=1)
