@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import mixing, quality, sharding
+from quillon.llm import mixing, quality, resample, sharding
 
 WS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -119,3 +119,50 @@ deal AS (
   UNION ALL
   SELECT k, vs, spot - 1, list_transform(loads, lambda x, i: x + CASE WHEN i = spot THEN bytes ELSE 0 END) FROM (SELECT s.k, s.virtual_slot AS vs, s.bytes, loads, CAST(list_position(loads, list_min(loads)) AS INTEGER) AS spot FROM deal JOIN seq s ON s.k = deal.k + 1))
 SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY virtual_slot, doc_id, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard, virtual_slot FROM v JOIN (SELECT virtual_slot, shard FROM deal WHERE k > 0) USING (virtual_slot)"""
+
+
+def _crc32(ids: str, value: str) -> str:
+    """WITH parts crc_bits, crc_tab and crc (value, crc) of the distinct texts of the table ids."""
+    return rf"""
+crc_bits AS (SELECT i, i AS c, 0 AS k FROM (SELECT unnest(range(0, 256)) AS i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_bits WHERE k < 8),
+crc_tab AS (SELECT list(c ORDER BY i) AS tab FROM crc_bits WHERE k = 8),
+crc AS (SELECT {value}, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({value})), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda a, b: xor(a >> 8, tab[CAST(xor(a, b) & 255 AS INTEGER) + 1])), 4294967295) AS crc FROM (SELECT DISTINCT {value} FROM {ids}), crc_tab)"""
+
+
+def op11() -> str:
+    n = resample.N_BUCKETS
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {words} AS w FROM documents),
+f AS (SELECT doc_id, unnest(w) AS g FROM d),
+b AS (SELECT unnest({words}) AS g FROM benchmark),
+every AS (SELECT g FROM f UNION SELECT g FROM b),{_crc32("every", "g")},
+s AS (SELECT crc % {n} AS bucket, count(*) AS s FROM f JOIN crc USING (g) GROUP BY 1),
+t AS (SELECT crc % {n} AS bucket, count(*) AS t FROM b JOIN crc USING (g) GROUP BY 1),
+sizes AS (SELECT (SELECT count(*) FROM f) AS s_all, (SELECT count(*) FROM b) AS t_all),
+gain AS (SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + {n}) / ((s + 1)::DOUBLE * (t_all + {n})))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), sizes),
+won AS (SELECT doc_id, sum(gain) AS weight FROM f JOIN crc USING (g) JOIN gain ON gain.bucket = crc.crc % {n} GROUP BY doc_id),
+x AS (SELECT doc_id, len(w) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST('0x' || substr(sha256('{resample.SEED}:' || doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN won USING (doc_id)),
+y AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5)::DOUBLE / 4294967296))) AS BIGINT) AS score FROM x),
+r AS (SELECT *, CASE WHEN n_features >= {resample.LEAST_WORDS} THEN row_number() OVER (PARTITION BY n_features >= {resample.LEAST_WORDS} ORDER BY score DESC, doc_id) END AS place FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT count(*) * {resample.PERCENT} // 100 FROM y WHERE n_features >= {resample.LEAST_WORDS}) THEN place END AS rank FROM r"""
+
+
+def op12() -> str:
+    """Pairs of equal words at each lag, islands of neighbouring ones; of stretches alike the smallest lag is the period."""
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),{_crc32("d", "id")},
+g AS (SELECT doc_id, w, len(w) AS n, crc AS h, crc // 10 AS g FROM d JOIN crc USING (id)),
+a AS (SELECT doc_id, w, n, h, g, CASE WHEN n > 0 THEN g % n END AS a FROM g),
+p AS (SELECT doc_id, w, n, h, a, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+v AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_concat(w[1:a], list_transform(range(0, n - a), lambda i: w[a + i % p + 1])) ELSE w END AS w FROM p),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(0, len(w))) AS i FROM v),
+same AS (SELECT l.doc_id, r.i - l.i AS q, l.i FROM words l JOIN words r ON l.doc_id = r.doc_id AND l.x = r.x AND l.i < r.i),
+isles AS (SELECT doc_id, q, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isle, i FROM same),
+stretches AS (SELECT doc_id, min(i) AS start, count(*) + q AS length, q FROM isles GROUP BY doc_id, q, isle HAVING count(*) + q >= greatest(12, 2 * q)),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY doc_id, start, length),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+best AS (SELECT doc_id, count(*) AS n_runs, arg_min(runs, (-length, start, period)) AS b, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.start AS start, b.length AS length, b.period AS period, 1000 * b.length // b.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)"""

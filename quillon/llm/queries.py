@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from quillon.llm import oracles
 from quillon.llm.ann import op2_query
+from quillon.llm.language import op13_query
 from quillon.llm.line_dedup import op8_query
 from quillon.llm.mixing import op7_query
 from quillon.llm.ngram_join import op4_query
+from quillon.llm.periodic import op12_query
 from quillon.llm.pieces import op10_query
 from quillon.llm.quality import op3_query
+from quillon.llm.resample import op11_query
 from quillon.llm.secret_crf import op1_query
 from quillon.llm.sharding import op9_query
 from quillon.llm.toxicity import op5_query
@@ -27,6 +30,9 @@ def queries() -> dict:
         "op8_line_dedup": op8_query,
         "op9_sharding": op9_query,
         "op10_sentencepiece": op10_query,
+        "op11_importance_resampling": op11_query,
+        "op12_periodic_runs": op12_query,
+        "op13_language": op13_query,
     }
 
 
@@ -37,4 +43,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": oracles.op6(),
         "op7_mixing": oracles.op7(),
         "op9_sharding": oracles.op9(),
+        "op11_importance_resampling": oracles.op11(),
+        "op12_periodic_runs": oracles.op12(),
     }
