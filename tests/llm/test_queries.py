@@ -199,6 +199,7 @@ def test_queries_of_empty_tables(spark, tmp_path):
     write(spark, str(tmp_path), "labels", [], "doc_id long, quality int, toxic int")
     write(spark, str(tmp_path), "pages", [], "page_id long, url string, html string")
     write(spark, str(tmp_path), "embeddings", [], "vec_id long, embedding array<float>, label int")
+    write(spark, str(tmp_path), "benchmark", [], "item_id long, text string")
     for name, query in queries().items():
         assert query(spark, str(tmp_path)).count() == 0, name
 
