@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -221,24 +222,89 @@ def fitness_summary(yearly: DataFrame) -> DataFrame:
     return yearly.agg(F.avg("fitness").alias("fitness"), F.count("fitness").alias("years"))
 
 
-def horizon_decay(rows: DataFrame, first: int = 20, last: int = 252) -> DataFrame:
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """Average-tie ranks from 1 along each row; nan ranks last and means nothing."""
+    order = np.argsort(x, axis=1, kind="stable")
+    s = np.take_along_axis(x, order, axis=1)
+    at = np.arange(x.shape[1])
+    new = np.ones(x.shape, bool)
+    new[:, 1:] = s[:, 1:] != s[:, :-1]
+    first = np.maximum.accumulate(np.where(new, at, 0), axis=1)
+    ends = np.ones(x.shape, bool)
+    ends[:, :-1] = new[:, 1:]
+    last = np.minimum.accumulate(np.where(ends, at, x.shape[1])[:, ::-1], axis=1)[:, ::-1]
+    out = np.empty(x.shape)
+    np.put_along_axis(out, order, (first + last) / 2 + 1, axis=1)
+    return out
+
+
+def _rank_correlations(values: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The rank correlation of values with each row of labels over the cells finite in both; nan where it is not defined.
+
+    Values are ranked once for each distinct set of cells.
+    """
+    both = np.isfinite(labels) & np.isfinite(values)
+    b = np.where(both, _ranks(np.where(both, labels, np.nan)), 0.0)
+    kinds, which = np.unique(both, axis=0, return_inverse=True)
+    a = _ranks(np.where(kinds, values, np.nan))[which.reshape(-1)]
+    a[~both] = 0.0
+    n = both.sum(axis=1)
+    va, vb = n * (a * a).sum(axis=1) - a.sum(axis=1) ** 2, n * (b * b).sum(axis=1) - b.sum(axis=1) ** 2
+    ok = (n >= 3) & (va > 0) & (vb > 0)
+    return np.where(ok, (n * (a * b).sum(axis=1) - a.sum(axis=1) * b.sum(axis=1)) / np.sqrt(np.where(ok, va * vb, 1.0)), np.nan)
+
+
+def horizon_decay(rows: DataFrame, first: int = 20, last: int = 252, opens: DataFrame | None = None) -> DataFrame:
     """(horizon, mean_ic, n_days) for labels of each horizon, on the days that have an IC at every horizon.
 
-    Only days early enough for the longest horizon can be among them, so only those are looked at. A code's opens travel
-    with its rows as one array, from which all labels are read where the row is; then the rows of all horizons are
-    shuffled once, to be ranked by (horizon, day).
+    opens: (t, code, o) of the days that may be traded on, those of rows by default; a sample gives those up to its end.
+    Only days early enough for the longest horizon can count; that there is none is an error.
+
+    Days are cut into blocks of half the longest horizon. A block gets its factor values once, and the opens of its days
+    and of those that its labels reach: three or four copies of an open in all, whatever the number of horizons. A task
+    holds a block's opens as a table of days by codes, from which each day's labels are read and ranked.
     """
     if not 1 <= first <= last:
         raise ValueError("the horizons must be whole numbers of 1 or more, the first no larger than the last")
-    opens = rows.groupBy("code").agg(F.map_from_entries(F.collect_list(F.when(finite(F.col("o")).isNotNull(), F.struct("t", "o")))).alias("opens"), F.max("t").alias("_end"))
-    end = F.broadcast(rows.agg((F.max("t") - last - 1).alias("_last")))
-    live = rows.where(F.col("factor").isNotNull()).select("t", "day", "code", "factor").join(end, F.col("t") <= F.col("_last")).join(opens, "code")
-    entry = F.col("opens")[F.col("t") + 1]
-    live = live.withColumn("o_in", entry).where(F.col("o_in") != 0)
-    each = live.select("t", "day", "code", "factor", F.explode(F.transform(F.sequence(F.lit(first), F.lit(last)), lambda h: F.struct(h.alias("horizon"), F.round(F.col("opens")[F.col("t") + 1 + h] / F.col("o_in") - 1, 9).alias("fwd")))).alias("x"))
-    daily = rank_ic(each.select("t", "day", "code", "factor", "x.horizon", "x.fwd").where("fwd is not null"), ("horizon", "t", "day"))
-    whole = daily.withColumn("_k", F.count(F.lit(1)).over(W.partitionBy("t"))).where(F.col("_k") == last - first + 1)
-    return whole.groupBy("horizon").agg(F.avg("ic").alias("mean_ic"), F.count(F.lit(1)).alias("n_days"))
+    opens = rows if opens is None else opens
+    ends = rows.agg(F.min(F.when(F.col("factor").isNotNull(), F.col("t"))).alias("begin")).crossJoin(opens.agg(F.max("t").alias("end"))).first()
+    if ends.begin is None or ends.end is None or ends.begin + 1 + last > ends.end:
+        raise ValueError(f"no signal day supports the horizon of {last} days")
+    end, size = ends.end, max(2, (last + 1) // 2)
+    live = rows.where(finite(F.col("factor")).isNotNull() & (F.col("t") <= end - last - 1)).select(F.floor(F.col("t") / size).cast("int").alias("block"), "t", "code", F.col("factor").cast("double").alias("factor"), F.lit(None).cast("double").alias("o"))
+    # Day t is entered or left by signals of days t - 1 - last to t - 1.
+    reach = F.sequence(F.greatest(F.floor((F.col("t") - 1 - last) / size), F.lit(0)).cast("int"), F.floor((F.col("t") - 1) / size).cast("int"))
+    prices = opens.where(finite(F.col("o")).isNotNull() & (F.col("t") >= 1)).select(F.explode(reach).alias("block"), "t", "code", F.lit(None).cast("double").alias("factor"), F.col("o").cast("double").alias("o"))
+
+    def curves(table: pa.Table) -> pa.Table:
+        t, o, f = (table.column(c).to_numpy() for c in ("t", "o", "factor"))
+        codes = table.column("code").combine_chunks().dictionary_encode().indices.to_numpy()
+        signals = np.unique(t[np.isfinite(f)])
+        out_t, out_h, out_ic = [], [], []
+        if len(signals):
+            base = int(signals[0])
+            width = int(codes.max()) + 1
+            price = np.full((int(t.max()) - base + 1, width), np.nan)
+            there = np.isfinite(o) & (t >= base)
+            price[t[there] - base, codes[there]] = o[there]
+            factor = np.full((int(signals[-1]) - base + 1, width), np.nan)
+            there = np.isfinite(f)
+            factor[t[there] - base, codes[there]] = f[there]
+            for s in signals.tolist():
+                entry, leave = s - base + 1, price[s - base + 1 + first : s - base + 2 + last]
+                if len(leave) < last - first + 1:
+                    continue
+                cells = np.isfinite(factor[s - base])
+                start = np.where(price[entry] != 0, price[entry], np.nan)[cells]
+                ic = _rank_correlations(factor[s - base][cells], np.round(leave[:, cells] / start - 1, 9))
+                if np.isfinite(ic).all():
+                    out_t += [s] * len(ic)
+                    out_h += range(first, last + 1)
+                    out_ic += ic.tolist()
+        return pa.table({"t": pa.array(out_t, pa.int32()), "horizon": pa.array(out_h, pa.int32()), "ic": pa.array(out_ic, pa.float64())})
+
+    daily = live.unionByName(prices).groupBy("block").applyInArrow(curves, "t int, horizon int, ic double")
+    return daily.groupBy("horizon").agg(F.avg("ic").alias("mean_ic"), F.count(F.lit(1)).alias("n_days"))
 
 
 def newey_west(ic: list[float], horizon: int = 1) -> dict:

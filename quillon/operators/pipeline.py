@@ -30,9 +30,29 @@ class State:
     decay: int = 1
     #: Where holdings are written; they are only computed if there is none.
     folder: str | None = None
+    #: Rows of the whole calendar, from before the sample was cut.
+    full: DataFrame | None = None
+    #: Whether rows and tables are stored when they are made, so that what reads them next does not compute them again.
+    stored: bool = False
+    kept: list[DataFrame] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        self.rows = self.keep(self.rows)
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        if self.stored:
+            table = table.persist()
+            self.kept.append(table)
+        return table
+
+    def close(self) -> None:
+        """Give back what was stored; outputs that are tables can still be read, at the price of computing them."""
+        while self.kept:
+            self.kept.pop().unpersist()
 
     def put(self, name: str, value: object) -> None:
         """A repeated name gets a version: ic, ic__2, ..."""
+        value = self.keep(value) if isinstance(value, DataFrame) else value
         n = 1
         while (name if n == 1 else f"{name}__{n}") in self.outputs:
             n += 1
@@ -81,10 +101,23 @@ method("rank_icir", ("rank_ic",))(lambda s: s.put("icir", _first(ev.icir(s.lates
 method("quantile_returns")(lambda s: s.put("group_returns", ev.quantile_returns(s.rows, s.n_groups)))
 method("quantile_cumulative", ("quantile_returns",))(lambda s: s.put("cumulative", ev.cumulative(s.latest("group_returns"))))
 method("ic_peak_decay", ("rank_ic",))(lambda s: s.put("peak_decay", ev.peak_decay(s.latest("ic"))))
-method("ic_horizon_decay")(lambda s: s.put("horizon_decay", ev.horizon_decay(s.rows)))
 method("cycle_context", ("quantile_plot",))(lambda s: s.put("cycles", cycles.cycles_of(s.latest("plot"), cycles.cycle_table(s.rows.sparkSession))))
 
 
+@method("ic_horizon_decay")
+def _horizons(s: State) -> None:
+    """The curve, and what a summary says of it. Opens may come from the horizon's days after the sample, no later."""
+    opens = s.full if s.full is not None else s.rows
+    if s.full is not None:
+        opens = opens.where(F.col("t") <= _first(s.rows.agg(F.max("t").alias("t")))["t"] + s.horizon + 1)
+    curve = s.keep(ev.horizon_decay(s.rows, opens=opens))
+    s.put("horizon_decay", curve)
+    found = _first(curve.agg(F.count(F.lit(1)).alias("horizons"), F.max("n_days").alias("common_days"), F.min_by("mean_ic", "horizon").alias("first_mean_ic"), F.max_by("mean_ic", "horizon").alias("last_mean_ic")))
+    if not found["horizons"]:
+        raise ValueError("no signal day has a rank IC at every horizon")
+    s.put("horizon_decay_summary", found)
+
+
 @method("quantile_plot", ("quantile_cumulative",))
 def _plot(s: State) -> None:
     """What a plot shows, a column for each group; drawing is left to whoever looks at it."""
@@ -146,12 +179,12 @@ def _tradability(s: State) -> None:
     flagged = transforms.tradability(s.rows)
     s.put("tradability", transforms.tradability_daily(flagged))
     s.put("tradability_summary", _first(transforms.tradability_summary(flagged)))
-    s.rows = transforms.mask_untradable(s.rows)
+    s.rows = s.keep(transforms.mask_untradable(s.rows))
 
 
 def _transform(name: str, f, symbols: tuple[str, ...]) -> None:
     def run(s: State) -> None:
-        s.rows = f(s.rows)
+        s.rows = s.keep(f(s.rows))
 
     METHODS[name] = Method(run, (), (name,), symbols)
 
@@ -230,19 +263,28 @@ def needed_columns(text: str, methods: Iterable[str]) -> list[str]:
     return sorted({"t", "day", "code", "o", *symbols_of(text), *(c for m in resolve(methods) for c in METHODS[m].symbols)})
 
 
-def evaluate(panel: DataFrame, text: str, methods: str | Iterable[str] = DEFAULT, n_groups: int = 10, horizon: int = 1, decay: int = 1, first=None, last=None, repeats: bool = False, folder: str | None = None) -> State:
-    """One factor through the methods: expression, label and reasons not to trade on full history, then the sample window.
+def evaluate(panel: DataFrame, text: str, methods: str | Iterable[str] = DEFAULT, n_groups: int = 10, horizon: int = 1, decay: int = 1, first=None, last=None, repeats: bool = False, folder: str | None = None, stored: bool = False) -> State:
+    """One factor through the methods: expression, label, trades and reasons against them on full history, then the sample window.
 
-    repeats: run the methods as they are listed, without adding or merging any.
+    repeats: run the methods as they are listed, without adding or merging any. stored: keep rows and tables once they
+    are computed, until the state is closed.
     """
     names = list(methods) if repeats else resolve(methods)
     panel = panel.select(*[c for c in needed_columns(text, names) if c in panel.columns])
     rows = labels.forward_open_return(factor(panel, text, decay=decay), horizon)
+    # These look at the next days, so they are told before the sample is cut, wherever the method stands.
     if "tradability_filter" in names:
-        # These look at the next day, so they are told before the sample is cut, wherever the method stands.
         rows = transforms.with_reasons(rows)
+    if "holding_audit" in names:
+        rows = research.with_trades(rows, horizon)
+    full = rows
     rows = labels.sample_window(rows, first, last, horizon, calendar=panel)
-    return run_methods(State(rows, n_groups, horizon, panel=panel, text=text, decay=decay, folder=folder), names)
+    state = State(rows, n_groups, horizon, panel=panel, text=text, decay=decay, folder=folder, full=full, stored=stored)
+    try:
+        return run_methods(state, names)
+    except BaseException:
+        state.close()
+        raise
 
 
 def metrics_of(state: State) -> dict[str, float | None]:
@@ -256,7 +298,8 @@ def metrics_of(state: State) -> dict[str, float | None]:
 
 
 def run_batch(spark: SparkSession, panel: DataFrame, factors: dict[str, str], methods: str | Iterable[str] = ("rank_ic", "rank_icir"), log: str | None = None, rerun: bool = False, **settings) -> list[dict]:
-    """Each factor's record (name, terms, status, seconds, metrics or error), over one panel that is read once.
+    """Each factor's record (name, terms, status, seconds, metrics or error), over one panel that is read once: stored here
+    unless the caller has stored it.
 
     log: a file of records. Those of a completed factor with the same expression, methods and settings are not redone.
     A factor that fails leaves its error and the others go on; errors of the cluster stop the batch, which can be resumed.
@@ -269,7 +312,8 @@ def run_batch(spark: SparkSession, panel: DataFrame, factors: dict[str, str], me
     done = {} if rerun else {r["factor"]: r for r in old if r["status"] == "completed" and r["factor"] in terms and r["terms"] == terms[r["factor"]]}
     todo = [n for n in factors if n not in done]
     columns = sorted({c for n in todo for c in needed_columns(factors[n], names)})
-    shared = panel.select(*[c for c in columns if c in panel.columns]).persist() if todo else panel
+    shared = panel.select(*[c for c in columns if c in panel.columns])
+    shared = shared.persist() if todo and not panel.is_cached else shared
     out = []
     try:
         for name in factors:
@@ -278,7 +322,9 @@ def run_batch(spark: SparkSession, panel: DataFrame, factors: dict[str, str], me
                 continue
             began = time.time()
             try:
-                record = {"status": "completed", "metrics": metrics_of(evaluate(shared, factors[name], names, **settings))}
+                state = evaluate(shared, factors[name], names, stored=True, **settings)
+                record = {"status": "completed", "metrics": metrics_of(state)}
+                state.close()
             except research.FACTOR_ERRORS as e:
                 record = {"status": "failed", "error": f"{type(e).__name__}: {str(e)[:2000]}"}
             out.append({"factor": name, "terms": terms[name], "seconds": round(time.time() - began, 3), **record})
@@ -286,7 +332,7 @@ def run_batch(spark: SparkSession, panel: DataFrame, factors: dict[str, str], me
                 kept = [r for r in old if r["factor"] not in {x["factor"] for x in out}]
                 store.write_lines(spark, log, [*kept, *({k: v for k, v in r.items() if k != "reused"} for r in out)])
     finally:
-        if todo:
+        if shared.is_cached:
             shared.unpersist()
     return out
 
@@ -305,17 +351,24 @@ def evaluate_batch(spark: SparkSession, panel: DataFrame, factors: dict[str, str
     return spark.createDataFrame(rows, "factor_name string, metric string, value double, error string")
 
 
-def run_funnel(spark: SparkSession, panel: DataFrame, factors: dict[str, str], folder: str, **settings) -> list[dict]:
-    """The funnel over factors, stage by stage, kept in folder: a stage's results that match are not computed again."""
-    stages = {stage: methods for stage, methods, _ in research.FUNNEL}
+def run_funnel(spark: SparkSession, panel: DataFrame, factors: dict[str, str], folder: str, level: float = research.LEVEL, **settings) -> list[dict]:
+    """The funnel over factors, stage by stage, kept in folder: a stage's results that match are not computed again.
+
+    The panel is stored once for all factors and stages. level: of significance, at the two stages that test it.
+    """
+    columns = sorted({c for x in factors.values() for m in research.STAGES.values() for c in needed_columns(x, m)})
+    shared = panel.select(*[c for c in columns if c in panel.columns]).persist()
 
     def one(name: str, stage: str) -> dict:
-        record = run_batch(spark, panel, {name: factors[name]}, stages[stage], log=f"{folder.rstrip('/')}/{stage}/{name}.jsonl", **settings)[0]
+        record = run_batch(spark, shared, {name: factors[name]}, research.STAGES[stage], log=f"{folder.rstrip('/')}/{stage}/{name}.jsonl", **settings)[0]
         if record["status"] != "completed":
             raise ValueError(record["error"])
         m = record["metrics"]
         return {"changed": m.get("future_data_perturbation_summary.changed"), "nw_p": m.get("newey_west.p"), "metrics": m}
 
-    log = research.funnel(list(factors), one)
+    try:
+        log = research.funnel(list(factors), one, level=level)
+    finally:
+        shared.unpersist()
     store.write_lines(spark, f"{folder.rstrip('/')}/summary.jsonl", log)
     return log

@@ -35,19 +35,27 @@ def _built(text: str | Build) -> Build:
     return text if callable(text) else lambda panel: compile_factor(panel, text)
 
 
-def _changed(full: DataFrame, other: DataFrame, at: int) -> DataFrame:
-    a = full.where(F.col("t") == at).select("code", F.col("factor").alias("a"))
-    b = other.where(F.col("t") == at).select("code", F.col("factor").alias("b"))
+def _changed(full: DataFrame, others: list[tuple[int, DataFrame]]) -> DataFrame:
+    """(t, cells, changed) of each day k, by the values of day k in full and in the frame built for it.
+
+    full stands in the plan once: its rows of all those days meet the others' by day and code.
+    """
+    at = [k for k, _ in others]
+    a = full.where(F.col("t").isin(at)).select("t", "code", F.col("factor").alias("a"))
+    parts = [f.where(F.col("t") == k).select("t", "code", F.col("factor").alias("b")) for k, f in others]
+    b = parts[0]
+    for part in parts[1:]:
+        b = b.union(part)
     close = F.abs(F.col("a") - F.col("b")) <= 1e-12 + 1e-10 * F.abs("b")
     same = (F.col("a").isNull() & F.col("b").isNull()) | F.coalesce(close, F.lit(False))
-    return a.join(b, "code", "full").agg(F.lit(at).alias("t"), F.count(F.lit(1)).alias("cells"), F.sum((~same).cast("long")).alias("changed"))
+    return a.join(b, ["t", "code"], "full").groupBy("t").agg(F.count(F.lit(1)).alias("cells"), F.sum((~same).cast("long")).alias("changed"))
 
 
-def _each(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+def _at(full: DataFrame, at: list[int] | None) -> list[int]:
+    at = checkpoints(full) if at is None else at
+    if not at:
+        raise ValueError("no day has a finite value to check")
+    return at
 
 
 def prefix_truncation(panel: DataFrame, text: str | Build, at: list[int] | None = None) -> DataFrame:
@@ -57,28 +65,41 @@ def prefix_truncation(panel: DataFrame, text: str | Build, at: list[int] | None
     """
     build = _built(text)
     full = build(panel)
-    at = checkpoints(full) if at is None else at
-    return _each([_changed(full, build(panel.where(F.col("t") <= k)), k) for k in at])
+    return _changed(full, [(k, build(panel.where(F.col("t") <= k))) for k in _at(full, at)])
 
 
 def future_perturbation(panel: DataFrame, text: str | Build, at: list[int] | None = None, seed: int = 17) -> DataFrame:
     """(t, cells, changed): factor values of day t that differ when later numbers are multiplied by lognormal noise."""
     build = _built(text)
     full = build(panel)
-    at = checkpoints(full) if at is None else at
 
     def disturbed(k: int) -> DataFrame:
         noise = lambda c: F.exp(0.45 * F.sqrt(-2 * F.ln((F.pmod(F.xxhash64("code", "t", F.lit(c), F.lit(seed)), F.lit(999983)) + 1) / 999984.0)) * F.cos(F.pmod(F.xxhash64("t", "code", F.lit(c), F.lit(seed)), F.lit(6283)) / 1000.0))
         return panel.withColumns({c: F.when(F.col("t") > k, F.col(c) * noise(c)).otherwise(F.col(c)) for c in PERTURBED if c in panel.columns})
 
-    return _each([_changed(full, build(disturbed(k)), k) for k in at])
+    return _changed(full, [(k, build(disturbed(k))) for k in _at(full, at)])
 
 
-def holdings(rows: DataFrame, n_groups: int, horizon: int = 1) -> DataFrame:
-    """The top group's positions of each day, with ranks, weights, entry and exit, and what is known of the code on both days."""
+def with_trades(rows: DataFrame, horizon: int = 1) -> DataFrame:
+    """Adds _trade: entry and exit of a position taken on each day, and what is known of the code when it is entered.
+
+    Looks at the next rows of the full calendar, so it must run before the sample is cut.
+    """
     ahead = W.partitionBy("code").orderBy("t")
     lead = lambda c, n: F.lead(c, n).over(ahead)
-    rows = rows.withColumns({"entry_day": lead("day", 1), "entry_open": lead("o", 1), "exit_day": lead("day", 1 + horizon), "exit_open": lead("o", 1 + horizon), "entry_st": F.coalesce(lead("st", 1), F.lit(False)), "entry_delisting": F.coalesce(lead("delisting", 1), F.lit(False))})
+    no = F.lit(False)
+    found = {"entry_day": lead("day", 1), "entry_open": lead("o", 1), "exit_day": lead("day", 1 + horizon), "exit_open": lead("o", 1 + horizon), "entry_st": F.coalesce(lead("st", 1), no), "entry_delisting": F.coalesce(lead("delisting", 1), no)}
+    kept = rows.columns
+    return rows.withColumns(found).select(*kept, F.struct(*found).alias("_trade"))
+
+
+def holdings(rows: DataFrame, n_groups: int, horizon: int = 1) -> DataFrame:
+    """The top group's positions of each day, with ranks, weights, entry and exit, and what is known of the code on both days.
+
+    Of a sample, rows must have _trade (see with_trades) from before it was cut; without it, rows are the whole calendar.
+    """
+    rows = rows if "_trade" in rows.columns else with_trades(rows, horizon)
+    rows = rows.select("*", "_trade.*")
     day = W.partitionBy("t")
     members = quantile_members(rows, n_groups).withColumn("factor_rank", F.row_number().over(day.orderBy("factor", "code")))
     top = members.where(F.col("grp") == n_groups)
@@ -131,7 +152,7 @@ class Library:
         return all(x["signature"] == candidate["signature"] and key(candidate) > key(x) for x in incumbents)
 
 
-_TESTS: dict[str, Callable] = {"gte": lambda v, a, b: v >= a, "lte": lambda v, a, b: v <= a, "gt": lambda v, a, b: v > a, "lt": lambda v, a, b: v < a, "between": lambda v, a, b: a <= v <= b}
+_TESTS: dict[str, Callable] = {"gte": lambda v, a, b: v >= a, "lte": lambda v, a, b: v <= a, "gt": lambda v, a, b: v > a, "lt": lambda v, a, b: v < a, "between": lambda v, a, b: a <= v <= b, "is": lambda v, a, b: v is a}
 
 
 def gate(metrics: dict, conditions: list[dict], match: str = "all") -> tuple[bool, list[dict]]:
@@ -139,34 +160,63 @@ def gate(metrics: dict, conditions: list[dict], match: str = "all") -> tuple[boo
     out = []
     for c in conditions:
         v = metrics.get(c["metric"])
-        number = isinstance(v, int | float) and not isinstance(v, bool) and np.isfinite(v)
-        out.append({**c, "actual": v, "passed": bool(number and _TESTS[c["op"]](v, c.get("value"), c.get("upper")))})
+        fits = isinstance(v, bool) if c["op"] == "is" else isinstance(v, int | float) and not isinstance(v, bool) and np.isfinite(v)
+        out.append({**c, "actual": v, "passed": bool(fits and _TESTS[c["op"]](v, c.get("value"), c.get("upper")))})
     return (all if match == "all" else any)(x["passed"] for x in out), out
 
 
-def ic_gate(metrics: dict) -> bool:
-    return metrics.get("prefix_passed") is True and (metrics.get("ic_mean") or 0) > 0 and metrics.get("nw_p", 1.0) is not None and metrics.get("nw_p", 1.0) < 0.05
+LEVEL, LEAST_IC, LEAST_SHARPE, LEAST_RETURN = 0.05, 0.0, 1.0, 0.30
+
+
+def ic_conditions(level: float = LEVEL, least_ic: float = LEAST_IC) -> list[dict]:
+    """What the IC standard asks for: causal values, an IC above least_ic, significant at level."""
+    if not 0 < level < 1:
+        raise ValueError("the level of significance must lie between 0 and 1")
+    return [{"metric": "prefix_passed", "op": "is", "value": True}, {"metric": "ic_mean", "op": "gt", "value": least_ic}, {"metric": "nw_p", "op": "lt", "value": level}]
+
+
+def profit_conditions(least_sharpe: float = LEAST_SHARPE, least_return: float = LEAST_RETURN) -> list[dict]:
+    """What the profitability standard asks for: the first, and one of the other two."""
+    return [{"metric": "above_every_lower", "op": "is", "value": True}, {"metric": "sharpe_60_median", "op": "gte", "value": least_sharpe}, {"metric": "annualized", "op": "gt", "value": least_return}]
+
+
+def ic_gate(metrics: dict, **bounds) -> bool:
+    return gate(metrics, ic_conditions(**bounds))[0]
+
+
+def profit_gate(metrics: dict, **bounds) -> bool:
+    leads, *others = profit_conditions(**bounds)
+    return gate(metrics, [leads])[0] and gate(metrics, others, "any")[0]
+
+
+def significant(level: float = LEVEL) -> Callable[[dict], bool]:
+    return lambda m: gate(m, [{"metric": "nw_p", "op": "lt", "value": level}])[0]
+
+
+#: The funnel's stages and the methods that run on the survivors of the one before.
+STAGES: dict[str, tuple[str, ...]] = {
+    "causality": ("future_data_perturbation",),
+    "ic": ("rank_ic", "rank_icir", "newey_west_ic_significance"),
+    "cap_neutral_ic": ("market_cap_neutralize", "rank_ic", "rank_icir", "newey_west_ic_significance"),
+    "portfolio": ("tradability_filter", "quantile_returns", "quantile_cumulative", "quantile_plot", "fitness", "top_quantile_performance", "rolling_sharpe", "rolling_drawdown"),
+}
 
 
-def profit_gate(metrics: dict) -> bool:
-    return metrics.get("above_every_lower") is True and ((metrics.get("sharpe_60_median") or 0) >= 1 or (metrics.get("annualized") or 0) > 0.30)
+def funnel_gates(level: float = LEVEL) -> dict[str, Callable[[dict], bool]]:
+    """What lets a factor pass each stage; the last one only gathers."""
+    if not 0 < level < 1:
+        raise ValueError("the level of significance must lie between 0 and 1")
+    return {"causality": lambda m: m.get("changed") == 0, "ic": significant(level), "cap_neutral_ic": significant(level), "portfolio": lambda m: True}
 
 
-#: Stage by stage: the methods that run on the survivors, and what lets a factor pass.
-FUNNEL: tuple[tuple[str, tuple[str, ...], Callable[[dict], bool]], ...] = (
-    ("causality", ("future_data_perturbation",), lambda m: m.get("changed") == 0),
-    ("ic", ("rank_ic", "rank_icir", "newey_west_ic_significance"), lambda m: (m.get("nw_p") if m.get("nw_p") is not None else 1.0) < 0.05),
-    ("cap_neutral_ic", ("market_cap_neutralize", "rank_ic", "rank_icir", "newey_west_ic_significance"), lambda m: (m.get("nw_p") if m.get("nw_p") is not None else 1.0) < 0.05),
-    ("portfolio", ("quantile_returns", "quantile_cumulative", "quantile_plot", "quantile_net_returns", "top_quantile_performance", "rolling_sharpe", "rolling_drawdown", "fitness"), lambda m: True),
-)
 #: Errors of a factor or its data. Anything else (lost executors, no memory, no disk) is not the factor's and goes on up.
 FACTOR_ERRORS = (ValueError, KeyError, ArithmeticError, AnalysisException, ArithmeticException)
 
 
-def funnel(names: list[str], evaluate: Callable[[str, str], dict], done: dict | None = None) -> list[dict]:
+def funnel(names: list[str], evaluate: Callable[[str, str], dict], done: dict | None = None, level: float = LEVEL) -> list[dict]:
     """Stage by stage over the survivors. done holds results of an earlier run by (factor, stage), which are not redone."""
     log, alive, done = [], list(names), done if done is not None else {}
-    for stage, _, passes in FUNNEL:
+    for stage, passes in funnel_gates(level).items():
         kept = []
         for name in alive:
             if (name, stage) not in done:

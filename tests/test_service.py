@@ -48,18 +48,50 @@ def test_batch_reports_failures(spark):
     assert source.weekly_panel(spark, "/root/testdata/sf0.001").where(F.col("code").isNull()).count() == 0
 
 
-def test_standards_gate_a_planted_factor(spark):
+def planted_panel(spark, days=260, codes=60):
+    """A factor that foretells returns (c), and one that only knows the industry (vwap) in returns that follow industries too."""
     import numpy as np
 
-    from quillon.operators import standards
-
     rng = np.random.RandomState(3)
-    days = 260
-    skill = rng.randn(days + 2, 30)
-    price = np.exp(np.cumsum(0.01 * np.vstack([np.zeros((2, 30)), skill[:-2]]) + 0.002 * rng.randn(days + 2, 30), axis=0))
+    skill, fashion = rng.randn(days + 2, codes), np.repeat(rng.randn(days + 2, 4), codes // 4, axis=1)
+    moves = 0.01 * skill + 0.02 * fashion
+    price = np.exp(np.cumsum(np.vstack([np.zeros((2, codes)), moves[:-2]]) + 0.002 * rng.randn(days + 2, codes), axis=0))
     start = datetime.date(2020, 1, 1)
-    rows = [(t, start + datetime.timedelta(days=t), f"{k:06d}", float(price[t, k]), float(skill[t, k])) for t in range(days) for k in range(30)]
-    panel = spark.createDataFrame(rows, "t int, day date, code string, o double, c double").persist()
+    cap = np.exp(rng.randn(codes) + 20)
+    rows = [
+        (t, start + datetime.timedelta(days=t), f"{k:06d}", float(price[t, k]), float(skill[t, k]), float(fashion[t, k] + 0.01 * rng.randn()), float(cap[k]), f"i{k // 15}", 100.0, 0.0, False, False)
+        for t in range(days)
+        for k in range(codes)
+    ]
+    return spark.createDataFrame(rows, "t int, day date, code string, o double, c double, vwap double, cap double, industry string, amt double, limit double, st boolean, delisting boolean").persist()
+
+
+def test_standards_gate_a_planted_factor(spark):
+    from quillon.operators import standards
+
+    panel = planted_panel(spark)
     got = standards.run_standards(panel, "c", n_groups=5)
     assert [x["passed"] for x in got] == [True, True] and got[0]["metrics"]["ic_mean"] > 0.5
+    assert all(c["passed"] for x in got for c in x["conditions"][:1]) and len(got[0]["conditions"]) == 3
     assert not standards.run_standard(panel, "-1 * c", "ic_test", n_groups=5)["passed"]
+    # The bet on industries has a high raw IC, and nothing is left of it within industries.
+    raw = pipeline.evaluate(panel, "vwap", ["rank_ic", "rank_icir"], 5).latest("icir")["ic_mean"]
+    bet = standards.run_standard(panel, "vwap", "ic_test", n_groups=5)
+    assert raw > 0.3 and abs(bet["metrics"]["ic_mean"]) < 0.1 and not bet["passed"]
+    assert not standards.run_standard(panel, "c", "ic_test", n_groups=5, least_ic=0.99)["passed"]
+    with pytest.raises(ValueError):
+        standards.resolve("ic_test,ic_test")
+    with pytest.raises(ValueError):
+        standards.run_standard(panel, "c", "ic_test", level=1.5)
+
+
+def test_the_portfolio_stage_trades_only_what_can_be_traded(spark, tmp_path):
+    from quillon.operators import research
+
+    assert research.STAGES["portfolio"][0] == "tradability_filter"
+    panel = planted_panel(spark, 130, 20).withColumn("st", F.col("code") < "000010")
+    log = pipeline.run_funnel(spark, panel, {"good": "c"}, str(tmp_path / "funnel"), n_groups=2)
+    assert [x["stage"] for x in log] == ["causality", "ic", "cap_neutral_ic", "portfolio"] and all(x["passed"] for x in log)
+    assert log[-1]["metrics"]["tradability_summary.n_special"] == 130 * 10
+    none = pipeline.run_funnel(spark, panel, {"good": "c"}, str(tmp_path / "strict"), level=1e-300, n_groups=2)
+    assert [x["passed"] for x in none] == [True, False]
