@@ -1,25 +1,31 @@
 """Secrets in texts: fixed patterns, and a linear-chain conditional random field decoded by Viterbi.
 
 The field tags tokens (runs of letters and digits, single other marks) as secret begin, inside or outside from their
-shape, the shapes and key words around them, and features of the whole text. It is trained here, on all windows of at
-most SAMPLE_DOCS documents (those of smallest hash) labelled by the fixed patterns, and on made-up lines of kinds that
-the patterns do not know. It adds spans; those of the patterns stay.
-
-Most tokens need no tagging: a plain word far from anything unusual and from every key word scores so much higher for
-"outside" than for other tags that no best path leaves it, so the chain falls apart into windows around unusual tokens
-and key words. The whole text is searched for those, and tests compare the windows' spans with those of one chain over
-all tokens, for the field as it is trained and over all texts of a table.
+shape, the shapes and key words around them, and features of the whole text. It is trained here, on at most
+MAX_SEQUENCES sequences of at most LONGEST_SEQUENCE tokens, labelled by the fixed patterns, and on made-up lines of kinds
+that the patterns do not know. The sequences are those of smallest hash among all windows of SAMPLE_DOCS documents; they
+are cut and picked by tasks, so what comes to the driver has a fixed size whatever the texts. The field adds spans; those
+of the patterns stay.
+
+Most tokens need no tagging: a plain word among plain words scores so much higher for "outside" than for other tags that
+no best path stays away from it, so the chain falls apart into windows around unusual tokens and key words. How much
+higher follows from the fitted weights (plain_margin): it says how many words a secret can reach into plain text, which
+the windows then hold, and where it is not positive whole texts are tagged. Tests compare the windows' spans with
+those of one chain over all tokens, over all texts of a table.
 
 Defined results: a null text is empty, an empty text has no spans; offsets are code points, the end not included.
 """
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import random
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate, product
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +37,8 @@ from quillon.llm.common import SPACES, stash, text_or_empty
 SAMPLE_DOCS = 2000
 #: Longer training windows become several sequences, cut where a token outside precedes.
 SEQUENCE = 60
+#: Sequences that training takes at most; longer ones than LONGEST_SEQUENCE are left out of training (not of the scan).
+MAX_SEQUENCES, LONGEST_SEQUENCE, PIECE = 1500, 240, 2000
 SEED, STEPS, L2 = 7, 100, 0.003
 KINDS = ("assign", "access", "hex", "crf")
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -121,15 +129,15 @@ def _break_after(text: str, at: int) -> int:
         at += FAR_BREAK
 
 
-def windows(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of the pieces of a text around unusual tokens and key words, with REACH words on each side, that need tagging."""
+def windows(text: str, reach: int = REACH) -> Iterator[tuple[int, int]]:
+    """(start, end) of the pieces of a text around unusual tokens and key words, with reach words on each side, that need tagging."""
     places = sorted([m.span() for m in UNUSUAL.finditer(text)] + [m.span() for m in HINTED.finditer(text)])
     last = None
     for a, b in places:
         if last and b <= last[2]:
             continue  # in the same word as the last
         word_end = None
-        for k in range(REACH + 1):
+        for k in range(reach + 1):
             a, b = _break_before(text, a), _break_after(text, b + (k > 0))
             word_end = b if word_end is None else word_end
         if last and a <= last[1]:
@@ -150,10 +158,14 @@ def tokens(text: str, a: int, b: int) -> tuple[list[tuple[int, int]], list[str],
 
 
 def _tags(spans: list[tuple[int, int]], secrets: list[tuple[int, int]]) -> list[int]:
-    """0 outside, 1 begin, 2 inside."""
+    """0 outside, 1 begin, 2 inside. secrets by start; a token belongs to the first that holds it whole."""
+    starts = [a for a, _ in secrets]
+    reach = list(accumulate((b for _, b in secrets), max))
     out, inside = [], None
     for a, b in spans:
-        hit = next((x for x in secrets if x[0] <= a and b <= x[1]), None)
+        # The first secret that ends at b or later, if it starts at a or before.
+        k = bisect_left(reach, b)
+        hit = k if k < bisect_right(starts, a) else None
         out.append(0 if hit is None else 2 if hit == inside else 1)
         inside = hit
     return out
@@ -187,6 +199,30 @@ class Field:
 
     def __init__(self, weights: dict[str, tuple[float, float, float]], steps: list[list[float]]):
         self.weights, self.steps = weights, steps
+        self.reach = self._reach()
+
+    def plain_margin(self) -> float:
+        """By how much "outside" is ahead of any other tag, at least, on a lower-case word among such words, full stops and commas."""
+        words = [f"a{n}" for n in range(7)]
+        around = [*words, ".", ","]
+        empty = (0.0, 0.0, 0.0)
+        lead = lambda f, y: self.weights.get(f, empty)[0] - self.weights.get(f, empty)[y]
+        low = float("inf")
+        for y, s in product((1, 2), words):
+            own = sum(lead(f, y) for f in ("*", f"s{s}", "k0", f"k0{s}", f"m.{s}", f"kmFalse.{s[:2]}", "wFalse", f"aFalse{s[:2]}", f"kaFalseFalse{s}"))
+            own += min(lead(f"d{a}{b}{s[:2]}", y) for a in range(4) for b in range(4)) + min(lead(f"q{x}", y) for x in (*around, "^")) + min(lead(f"f{x}", y) for x in (*around, "$"))
+            own += min(lead(f"p{x}", y) + min(lead(f"g{g}{s}", y) + lead(f"g{g}{x}{s[:1]}", y) for g in "gs") for x in (*around, "^"))
+            # A step on within other tags against one within "outside".
+            low = min(low, own + self.steps[0][0] - max(self.steps[x][y] for x in (1, 2)))
+        return low
+
+    def _reach(self) -> int | None:
+        """How many plain words beside an unusual one a path may tag otherwise; None if there is no bound."""
+        margin = self.plain_margin()
+        if margin <= 0:
+            return None
+        flat = [x for row in self.steps for x in row]
+        return max(REACH, int((max(flat) - min(flat)) * 2 / margin) + 1)
 
     def viterbi(self, rows: list[list[str]]) -> list[int]:
         get, steps = self.weights.get, self.steps
@@ -212,7 +248,7 @@ class Field:
         """Spans that the field finds in a text; wide: tag every token, not only windows (for checking)."""
         out = []
         file = None
-        for a, b in [(0, len(text))] if wide else windows(text):
+        for a, b in [(0, len(text))] if wide or self.reach is None else windows(text, self.reach):
             file = file or file_features(text)
             places, shapes, keys, glued = tokens(text, a, b)
             last = 0
@@ -259,8 +295,8 @@ def fit(sequences: list[tuple[list[list[str]], list[int]]]) -> Field:
     size, width = len(names), len(sequences[0][0][0])
     order = sorted(range(len(sequences)), key=lambda k: len(sequences[k][1]))
     blocks = []
-    for at in range(0, len(order), 256):
-        part = [sequences[k] for k in order[at : at + 256]]
+    for at in range(0, len(order), 512):
+        part = [sequences[k] for k in order[at : at + 512]]
         longest = max(len(t) for _, t in part)
         idx, tag, mask = np.full((len(part), longest, width), size), np.zeros((len(part), longest), int), np.zeros((len(part), longest))
         for r, (rows, t) in enumerate(part):
@@ -312,6 +348,17 @@ def fit(sequences: list[tuple[list[list[str]], list[int]]]) -> Field:
     return Field({f: tuple(map(float, w[i])) for f, i in names.items()}, steps.tolist())
 
 
+def _pieces(text: str) -> Iterator[tuple[int, int]]:
+    """The text in pieces of about PIECE characters that end with a line, or at a space, or where they must."""
+    at = 0
+    while at < len(text):
+        end = min(at + PIECE, len(text))
+        if end < len(text):
+            end = max(text.rfind("\n", at + PIECE // 2, end), -1) + 1 or max(text.rfind(" ", at + PIECE // 2, end), -1) + 1 or end
+        yield at, end
+        at = end
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
     key = F.xxhash64(F.col(id_col).cast("string"), F.xxhash64(text_or_empty(text_col)))
     ids = docs.select(F.col(id_col).alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(SAMPLE_DOCS)
@@ -319,20 +366,30 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fi
     sample = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), key.alias("key")).join(F.broadcast(stash(ids, "crf-ids")), "doc_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The MAX_SEQUENCES sequences of smallest hash so far, the largest hash on top. A piece of text whose hash is
+        # larger than that is passed over before anything is looked for in it.
+        best: list[tuple[int, str, list[str], list[int]]] = []
         for batch in batches:
-            own, order, rows, tags = [], [], [], []
             for key_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                secrets = [(v, b) for _, _, b, v in base_spans(text)]
-                file = file_features(text)
-                for k, (a, b) in enumerate(windows(text)):
-                    places, shapes, keys, glued = tokens(text, a, b)
-                    own.append(key_)
-                    order.append(k)
-                    rows.append(["\t".join(x) for x in features(shapes, keys, glued, file)])
-                    tags.append(_tags(places, secrets))
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(order, pa.int32()), pa.array(rows, pa.list_(pa.string())), pa.array(tags, pa.list_(pa.int32()))], ["key", "k", "rows", "tags"])
-
-    table = sample.select("key", "text").mapInArrow(cut, "key long, k int, rows array<string>, tags array<int>").toPandas().sort_values(["key", "k"])
+                file, number = file_features(text), 0
+                for x, y in _pieces(text):
+                    piece = text[x:y]
+                    h = int.from_bytes(hashlib.blake2b(piece.encode("utf-8", "replace"), digest_size=7).digest(), "big")
+                    if len(best) == MAX_SEQUENCES and h >= -best[0][0]:
+                        continue
+                    secrets = sorted((v, b) for _, _, b, v in base_spans(piece))
+                    for a, b in windows(piece):
+                        places, shapes, keys, glued = tokens(piece, a, b)
+                        for rows, tags in cut_sequence(features(shapes, keys, glued, file), _tags(places, secrets)):
+                            number += 1
+                            if len(tags) <= LONGEST_SEQUENCE:
+                                (heapq.heappushpop if len(best) == MAX_SEQUENCES else heapq.heappush)(best, (-h, f"{key_}:{number}", ["\t".join(r) for r in rows], tags))
+        for at in range(0, len(best), 500):
+            part = best[at : at + 500]
+            yield pa.RecordBatch.from_arrays([pa.array([-x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.string()), pa.array([x[2] for x in part], pa.list_(pa.string())), pa.array([x[3] for x in part], pa.list_(pa.int32()))], ["h", "place", "rows", "tags"])
+
+    pieces = sample.select("key", "text").mapInArrow(cut, "h long, place string, rows array<string>, tags array<int>").orderBy("h", "place").limit(MAX_SEQUENCES)
+    table = pieces.select("rows", "tags").toPandas()
     sequences = [([x.split("\t") for x in r], list(map(int, t))) for r, t in zip(table["rows"], table["tags"])]
     return fit(sequences + _made_up(random.Random(SEED)))
 

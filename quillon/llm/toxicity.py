@@ -9,7 +9,7 @@ The classifier is fitted on at most MAX_LABELLED labelled rows (those of smalles
 stands out is in the model, and every text is scored whole. Training and scoring cut texts by the same function.
 
 Defined results: a null or empty text has no segments and gets the score of no evidence; without labelled rows of both
-classes every score is 0; equal rows get equal scores. The chance of a segment is taken as 1e-300 at least and a text's
+classes every score is below 1e-20; equal rows get equal scores. The chance of a segment is taken as 1e-300 at least and a text's
 evidence as 1000 at most: beyond that the probability does not change.
 """
 
