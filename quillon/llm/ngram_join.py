@@ -387,8 +387,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     signed = stash(_signed(docs), "signed")
     named = signed.where("n > 0 and doc_id is not null")
     members = stash(signed.select("doc_id", "n", "fp1", "fp2"), "members")
-    shared = _different_groups(_shared_signatures(_without_copies(named, members)))
-    forget(signed)
+    # Read for the count, the buckets' counts and the rows themselves: the anti join runs once.
+    single = stash(_without_copies(named, members), "single")
+    shared = _different_groups(_shared_signatures(single))
+    forget(signed, single)
     _free(spark)
 
     # Each set with the hub that shares most of its signatures.
@@ -415,11 +417,18 @@ def _membership(members: DataFrame, labels: DataFrame) -> DataFrame:
     named = members.where("n > 0 and doc_id is not null")
     groups = named.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k"))
     groups = stash(groups.join(labels, "rep", "left").select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("component"), "k", (F.col("component").isNotNull()).alias("linked")), "set-groups")
-    groups = groups.where("k > 1 or linked").withColumn("salt", F.explode(F.when(F.col("k") > 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))))
-    both = members.withColumn("salts", F.array(F.lit(-1), F.pmod(F.hash("doc_id"), F.lit(SALTS))))
-    found = both.withColumn("salt", F.explode("salts")).join(groups.select("fp1", "fp2", "n", "salt", "component"), ["fp1", "fp2", "n", "salt"])
-    found = found.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("component").alias("component"))
-    return members.join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    groups = stash(groups.where("k > 1 or linked"), "joined-groups")
+    # Most rows are in no such group; they are told apart without a shuffle.
+    near, _ = split_by_keys(members.where("n > 0 and doc_id is not null"), groups, ["fp1", "fp2", "n"])
+    groups = groups.withColumn("salt", F.explode(F.when(F.col("k") > 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))))
+    both = near.withColumn("salt", F.explode(F.array(F.lit(-1), F.pmod(F.hash("doc_id"), F.lit(SALTS)))))
+    found = both.join(groups.select("fp1", "fp2", "n", "salt", "component").hint("merge"), ["fp1", "fp2", "n", "salt"])
+    found = stash(found.groupBy("doc_id").agg(F.min("component").alias("component")), "found-components")
+    rest = members.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
+    near, far = split_by_keys(rest, found.select(F.col("doc_id").alias("key")), ["key"])
+    near = near.join(found.withColumnRenamed("doc_id", "key").hint("merge"), "key", "left").select("doc_id", "n", "component")
+    every = near.unionByName(far.select("doc_id", "n", F.lit(None).cast("long").alias("component")))
+    return every.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:
