@@ -28,6 +28,9 @@ from quillon.llm.ngram_join import _free
 
 MIN_WORDS = 50
 PLACE = ("doc", "th", "i")
+#: Keys that hold more than one in HOT_KEYS of all rows, and more than HOT_LEAST, are joined by a broadcast table: there
+#: are fewer than HOT_KEYS of them, whatever the corpus. A blank line is one.
+HOT_KEYS, HOT_LEAST = 1000, 10_000
 
 
 def _keys(id_col: str, text_col: str) -> list[Column]:
@@ -65,23 +68,37 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, "doc long, th long, i int, h1 long, h2 long, before long, after long")
 
 
+def _met(rows: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with sums (keys, n, more), n being the number of rows of the keys; sums is a stored table.
+
+    Rows of very frequent keys are not shuffled, so no task gets all rows of a line that every document has.
+    """
+    total, most = sums.agg(F.sum("n"), F.max("n")).first()
+    least = max((total or 0) // HOT_KEYS, HOT_LEAST)
+    if (most or 0) <= least:
+        return rows.join(sums.drop("n"), keys)
+    hot = F.broadcast(sums.where(F.col("n") > least).drop("n"))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(sums.where(F.col("n") <= least).drop("n"), keys)
+    return rows.join(hot, keys).unionByName(cold)
+
+
 def _ranked(rows: DataFrame, keys: tuple[str, str]) -> DataFrame:
-    """(keys, rank) of pairs that occur twice or more, numbered in order of the pair."""
-    pairs = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
+    """(keys, n, rank) of pairs that occur n > 1 times, numbered in order of the pair."""
+    pairs = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return stash(pairs.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id()), "ranks")
 
 
 def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
     """For each power of two (doc, th, i, rank): suffixes whose prefix of so many lines occurs elsewhere, ranked by it."""
     ranks = _ranked(lines, ("h1", "h2"))
-    levels = [stash(lines.join(ranks, ["h1", "h2"]).select(*PLACE, "rank", "before", "after"), "suffixes")]
+    levels = [stash(_met(lines, ranks, ["h1", "h2"]).select(*PLACE, "rank", "before", "after"), "suffixes")]
     forget(ranks)
     while True:
         step, last = 1 << (len(levels) - 1), levels[-1]
         ahead = last.select("doc", "th", (F.col("i") - step).alias("i"), F.col("rank").alias("r2"))
         pairs = stash(last.select(*PLACE, F.col("rank").alias("r1")).join(ahead, list(PLACE)), "suffix-pairs")
         ranks = _ranked(pairs, ("r1", "r2"))
-        longer = stash(pairs.join(ranks, ["r1", "r2"]).select(*PLACE, "rank"), "suffixes")
+        longer = stash(_met(pairs, ranks, ["r1", "r2"]).select(*PLACE, "rank"), "suffixes")
         forget(pairs, ranks)
         if not longer.limit(1).count():
             forget(longer)
@@ -107,8 +124,8 @@ def longest_earlier(levels: list[DataFrame]) -> DataFrame:
         every = found.select(*PLACE, "m", "first", F.lit(True).alias("own")).union(first)
         tried = every.withColumn("at", F.col("i") + F.col("m")).join(ahead, ["doc", "th", "at"]).select(*PLACE, "m", "first", "rank", "own")
         tried = stash(tried.withColumn("shared", F.coalesce("first", F.struct(F.lit(0).cast("long").alias("doc"), F.lit(0).cast("long").alias("th"), F.lit(-1).alias("i")))).drop("first"), "tried")
-        least = stash(tried.groupBy("m", "shared", "rank").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "leftmost")
-        longer = tried.where("own").join(least, ["m", "shared", "rank"]).where(place > F.col("least")).select(*PLACE, F.lit(1 << j).alias("more"), "least")
+        least = stash(tried.groupBy("m", "shared", "rank").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "leftmost")
+        longer = _met(tried.where("own"), least, ["m", "shared", "rank"]).where(place > F.col("least")).select(*PLACE, F.lit(1 << j).alias("more"), "least")
         joined = found.join(longer, list(PLACE), "left")
         new = stash(joined.select(*PLACE, (F.col("m") + F.coalesce("more", F.lit(0))).alias("m"), F.coalesce("least", "first").alias("first")), "found")
         forget(tried, least, *([held] if held is not None else []))
