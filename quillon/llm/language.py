@@ -17,7 +17,9 @@ frequent language. Scores are rounded to six digits.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ from quillon.llm.common import forget, stash
 PER_LANG, MAX_LANGS = 500, 100
 LANDMARKS, LANDMARK_CHARS, MAX_GRAMS = 192, 4_000, 1 << 16
 LONGEST, RIDGE = 3, 1e-3
+#: Entries of the table that finds pieces; larger alphabets are searched.
+TABLE = 1 << 22
 #: Texts and bytes of a block; a longer text is a block of its own.
 BLOCK, GROUP = 256, 1 << 20
 NONE = "und"
@@ -51,56 +55,77 @@ def _blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def pieces_of(word: str) -> set[str]:
-    w = f" {word} "
-    return {w[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(w) - n + 1)} - {" "}
+@cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
+
+
+def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, text of each): the lower-case texts, each with a space before and behind and a 0 at its end.
+
+    What is no letter is a space.
+    """
+    low = [t.lower().replace("\0", " ") for t in texts]
+    points = np.frombuffer("".join(f" {t} \0" for t in low).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(low)), [len(t) + 3 for t in low])
+    return np.where(_letters()[points] | (points == 0), points, 32), owner
+
+
+def pieces(points: np.ndarray) -> np.ndarray:
+    """Numbers of the distinct pieces of one coded text: of one letter, of two, and of three around a letter."""
+    a, b, c = points[:-2], points[1:-1], points[2:]
+    return np.unique(np.concatenate([points[points > 32], ((a << 21) | b)[(a > 0) & (b > 0) & (a + b > 64)], ((a << 42) | (b << 21) | c)[(a > 0) & (b > 32) & (c > 0)]]))
 
 
 class Spectrum:
-    """Turns texts into rows of presence over known pieces."""
-
-    def __init__(self, known: list[str]):
-        self.n = len(known)
-        self.known = {g: i for i, g in enumerate(known)}
-        self.seen: dict[str, tuple[np.ndarray, list[str]]] = {}
-
-    def _word(self, word: str) -> tuple[np.ndarray, list[str]]:
-        out = self.seen.get(word)
-        if out is None:
-            grams = pieces_of(word)
-            own = [self.known[g] for g in grams if g in self.known]
-            out = np.array(own, np.int64), [g for g in grams if g not in self.known]
-            if len(self.seen) > 100_000:
-                self.seen.clear()
-            self.seen[word] = out
-        return out
-
-    def presence(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(known pieces of each text as 0 and 1, number of all its pieces)."""
-        split = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"\P{L}+")
-        flat, parents = pc.list_flatten(split), pc.list_parent_indices(split).to_numpy(zero_copy_only=False)
-        real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-        coded = pc.dictionary_encode(flat.filter(pa.array(real)))
-        words = coded.dictionary.to_pylist()
-        both = np.unique(parents[real].astype(np.int64) * max(1, len(words)) + coded.indices.to_numpy(zero_copy_only=False))
-        other: dict[str, int] = {}
-        rows = []
-        for w in words:
-            known, rest = self._word(w)
-            rows.append(np.concatenate([known, [other.setdefault(g, self.n + len(other)) for g in rest]]).astype(np.int64) if rest else known)
-        out = np.zeros((len(texts), self.n + len(other)), np.uint8)
-        if words:
-            sizes = np.array([len(r) for r in rows])
-            starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-            doc, word = both // len(words), both % len(words)
-            count = sizes[word]
-            inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            out[np.repeat(doc, count), np.concatenate(rows)[np.repeat(starts[word], count) + inner]] = 1
-        return out[:, : self.n], out.sum(axis=1, dtype=np.int64)
+    """Turns texts into rows of presence over known pieces, given as sorted numbers."""
+
+    def __init__(self, known: np.ndarray):
+        self.known, self.n = known, len(known)
+        parts = [known & (2**21 - 1), (known >> 21) & (2**21 - 1), known >> 42]
+        letters = np.unique(np.concatenate([*parts, np.array([0, 32])]))
+        letters = letters[letters != 0]
+        # Letters that occur in known pieces are numbered from 1; all others are 0, and so is the end of a text.
+        self.number = np.zeros(0x110000, np.int64)
+        self.number[letters] = np.arange(1, len(letters) + 1)
+        self.base = len(letters) + 1
+        c, b, a = (self.number[x] for x in parts)
+        key = (a * self.base + b) * self.base + c
+        # A table from number to piece while it is small, else a search.
+        self.table = None
+        if self.base**3 <= TABLE:
+            self.table = np.full(self.base**3, -1, np.int32)
+            self.table[key] = np.arange(self.n)
+        else:
+            order = np.argsort(key)
+            self.keys, self.at = key[order], order
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table[key]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.at[at], -1)
+
+    def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(known pieces of each text as 0 and 1, whether each text has a letter)."""
+        points, owner = coded(texts)
+        out = np.zeros((len(texts), self.n), np.uint8)
+        has = np.bincount(owner[points > 32], minlength=len(texts)) > 0
+        if self.n:
+            x = self.number[points]
+            for n in range(1, LONGEST + 1):
+                key = x[: len(x) - n + 1]
+                for k in range(1, n):
+                    key = np.where((key > 0) & (x[k : len(x) - n + 1 + k] > 0), key * self.base + x[k : len(x) - n + 1 + k], 0)
+                found = self._find(key)
+                here = (found >= 0) & (key > 0)
+                out[owner[: len(key)][here], found[here]] = 1
+        return out, has
 
 
 class Model:
-    def __init__(self, langs: list[str], known: list[str], weights: np.ndarray):
+    def __init__(self, langs: list[str], known: np.ndarray, weights: np.ndarray):
         self.langs, self.known, self.weights = langs, known, weights
 
 
@@ -121,33 +146,25 @@ def _sample(docs: DataFrame) -> tuple[list[str], DataFrame | None]:
 
 def train(docs: DataFrame) -> Model:
     langs, sample = _sample(docs)
+    none = np.zeros(0, np.int64)
     if sample is None:
-        return Model([], [], np.zeros((0, 0)))
+        return Model([], none, np.zeros((0, 0)))
     each = max(1, LANDMARKS // len(langs))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = Spectrum([])
         for batch in batches:
-            found = []
-            for t in batch.column(0).to_pylist():
-                low = pc.split_pattern_regex(pc.utf8_lower(pa.array([t])), r"\P{L}+")[0].as_py()
-                found.append(sorted({g for w in low if w for g in none._word(w)[1]}))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["grams"])
+            yield pa.RecordBatch.from_arrays([pa.array([pieces(coded([t])[0]) for t in batch.column(0).to_pylist()], pa.list_(pa.int64()))], ["grams"])
 
     marks = sample.where(F.length("text") <= LANDMARK_CHARS)
     marks = marks.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("place"))).where(F.col("k") <= each)
-    sets = [r.grams for r in marks.orderBy("lang", "k").select("text").mapInArrow(grams, "grams array<string>").collect()]
-    counts: dict[str, int] = {}
-    for s in sets:
-        for g in s:
-            counts[g] = counts.get(g, 0) + 1
-    known = sorted(sorted(counts, key=lambda g: (-counts[g], g))[:MAX_GRAMS])
-    place = {g: i for i, g in enumerate(known)}
+    sets = [np.array(r.grams, np.int64) for r in marks.orderBy("lang", "k").select("text").mapInArrow(grams, "grams array<long>").collect()]
+    found, counts = np.unique(np.concatenate([*sets, none]), return_counts=True)
+    known = np.sort(found[np.lexsort((found, -counts))[:MAX_GRAMS]])
+    if not len(known):
+        return Model(langs, none, np.zeros((0, len(langs))))
     land = np.zeros((len(known), len(sets)), np.float32)
     for j, s in enumerate(sets):
-        land[[place[g] for g in s if g in place], j] = 1 / np.sqrt(max(1, len(s)))
-    if not known:
-        return Model(langs, [], np.zeros((0, len(langs))))
+        land[np.searchsorted(known, s[np.isin(s, known)]), j] = 1 / np.sqrt(max(1, len(s)))
     shared = docs.sparkSession.sparkContext.broadcast((known, land))
     number = {x: i for i, x in enumerate(langs)}
 
@@ -157,7 +174,9 @@ def train(docs: DataFrame) -> Model:
         inner, outer, n = np.zeros((m, m)), np.zeros((m, len(number))), 0
         for batch in batches:
             for first, last in _blocks(batch.column(1)):
-                there, size = spectrum.presence(batch.column(1).slice(first, last - first))
+                texts = batch.column(1).slice(first, last - first).to_pylist()
+                there, _ = spectrum.presence(texts)
+                size = np.array([len(pieces(coded([t])[0])) for t in texts])
                 kernel = (there.astype(np.float32) @ matrix).astype(float) / np.sqrt(np.maximum(size, 1))[:, None]
                 y = np.zeros((len(there), len(number)))
                 y[np.arange(len(y)), [number[x] for x in batch.column(0).slice(first, last - first).to_pylist()]] = 1
@@ -189,13 +208,14 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for first, last in _blocks(batch.column(1)):
                 part = batch.slice(first, last - first)
-                there, size = spectrum.presence(part.column(1))
+                there, has = spectrum.presence(["" if t is None else t for t in part.column(1).to_pylist()])
                 if langs:
+                    # The root of a text's own size would divide all its margins alike: shares do not change.
                     margin = np.maximum(there.astype(np.float32) @ weights, 0).astype(float)
                     total = margin.sum(axis=1, keepdims=True)
                     share = np.where(total > 0, margin / np.where(total > 0, total, 1), 1 / len(langs))
-                    best = np.where(size > 0, share.argmax(axis=1), len(langs))
-                    score = np.where(size > 0, np.round(share.max(axis=1), 6), 0.0)
+                    best = np.where(has, share.argmax(axis=1), len(langs))
+                    score = np.where(has, np.round(share.max(axis=1), 6), 0.0)
                 else:
                     best, score = np.zeros(len(part), np.int64), np.zeros(len(part))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])

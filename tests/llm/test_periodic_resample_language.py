@@ -197,12 +197,21 @@ def test_language_query_of_odd_documents(spark, tmp_path):
     assert all(by[i].lang_pred == n for i, _, n in rows[:180]) and not by[None].held_out
 
 
-def test_kernel_weights_equal_landmark_kernels(spark):
-    """Scores are the same when kernels with the landmarks are written out one by one."""
-    spectrum = language.Spectrum(["a", "b", " a", "ab", " ab"])
-    there, size = spectrum.presence(__import__("pyarrow").array(["Ab ab!", "a-b", None, "xyz"]))
-    assert there.tolist() == [[1, 1, 1, 1, 1], [1, 1, 1, 0, 0], [0] * 5, [0] * 5]
-    assert size.tolist() == [len(language.pieces_of("ab")), len(language.pieces_of("a") | language.pieces_of("b")), 0, len(language.pieces_of("xyz"))]
+def plain_pieces(text):
+    low = "".join(c if c.isalpha() else " " for c in text.lower())
+    return {x for w in low.split() for n in (1, 2, 3) for i in range(len(w) + 3 - n) if (x := f" {w} "[i : i + n]) != " "}
+
+
+@pytest.mark.parametrize("table", [1 << 22, 0])
+def test_presence_of_pieces_equals_plain_sets(monkeypatch, table):
+    monkeypatch.setattr(language, "TABLE", table)
+    number = lambda x: sum(ord(c) << (21 * (len(x) - 1 - k)) for k, c in enumerate(x))
+    texts = ["Ab ab!", "a-b", "", "xyz", "ÉTÉ d'été 7 漢字", "  a  ", "b" * 50, "\x00a\x00"]
+    known = sorted({x for t in texts[:5] for x in plain_pieces(t)} - {"xy", "字"}, key=number)
+    there, has = language.Spectrum(np.array([number(x) for x in known])).presence(texts)
+    for row, letter, t in zip(there, has, texts):
+        assert {x for x, on in zip(known, row) if on} == plain_pieces(t) & set(known) and letter == bool(plain_pieces(t))
+        assert len(language.pieces(language.coded([t])[0])) == len(plain_pieces(t))
 
 
 def test_nothing_to_learn_from(spark):
