@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import line_dedup, mixing, ngram_join, pieces, quality
-from quillon.llm.common import stash, without
+from quillon.llm.common import split_by_keys, stash, without
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Share of the words that the mixture takes, each document at most once.
@@ -72,9 +72,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     counts = stash(mixing.token_counts(named, carry=["_row"]), "token-counts")
     taken = stash(mixing.mix(counts.where("n_tokens > 0"), BUDGET_PERCENT, max_epochs=MAX_EPOCHS, carry=["_row"]), "taken")
     left = stash(counts.select("_row").join(taken.select("_row"), "_row", "left_anti"), "left-over")
-    # One document of a leaf at most: as few rows as the table of budgets has.
-    cut = taken.where("take < n_tokens").select("_row", F.col("take").alias("_take"))
-    rows = without(rows, left, ["_row"]).join(F.broadcast(cut), "_row", "left")
+    # One document of a leaf at most, but leaves may be many: nothing is broadcast but a bounded table of hash buckets.
+    cut = stash(taken.where("take < n_tokens").select("_row", F.col("take").alias("_take")), "cut")
+    near, far = split_by_keys(without(rows, left, ["_row"]), cut, ["_row"])
+    rows = near.join(cut.hint("merge"), "_row", "left").unionByName(far.withColumn("_take", F.lit(None).cast("long")))
     rows = rows.withColumn("text", F.when(F.col("_take").isNotNull(), mixing.first_words(F.col("text"), F.col("_take"))).otherwise(F.col("text")))
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
