@@ -5,9 +5,14 @@ The panel's days are numbered without gaps (t). A window of w rows ends at the c
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillon.functions.rules import divide, finite, no_nan
 
@@ -152,25 +157,89 @@ def ts_accumulate_positive_return(x: Column) -> Column:
     return F.when(F.count(x).over(o) == F.count(F.lit(1)).over(o), F.product(F.when(x > 1, x - 1).otherwise(F.lit(1.0))).over(o))
 
 
+#: Rows that one step of a scan folds; a scan has three levels, so histories of SCAN ** 3 rows fold SCAN values a level.
+SCAN = 16
+
+
+def affine_scan(frame: DataFrame, a: Column, b: Column, name: str, by: tuple[str, ...] = ("code",), at: str = "t") -> DataFrame:
+    """frame with name added: y = a * y_before + b along each key's rows, where a row's `at` counts from 0 without gaps.
+
+    Steps of the form y -> a y + b can be put together before y is known, in any grouping. Each row has the steps of its
+    block of SCAN rows up to itself put together, then the whole blocks before it, then the blocks of blocks: a
+    fold of SCAN values at most on each of the lower levels, no array that grows with a key's rows but on the last, where it has one
+    value for SCAN ** 2 rows. All levels are windows of one partitioning. The first row's y_before counts as 0.
+    """
+    kept = frame.columns
+    frame = frame.withColumn("_m", F.struct(a.cast("double").alias("a"), b.cast("double").alias("b")))
+    none = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    then = lambda m, n: F.struct((n["a"] * m["a"]).alias("a"), (n["a"] * m["b"] + n["b"]).alias("b"))
+    over = lambda blocks: W.partitionBy(*by, *blocks).orderBy(at)
+    frame = frame.withColumns({"_b0": F.floor(F.col(at) / SCAN), "_b1": F.floor(F.col(at) / SCAN**2)})
+    own = F.aggregate(F.collect_list("_m").over(over(["_b0"]).rowsBetween(W.unboundedPreceding, 0)), none, then)
+    frame = frame.withColumn("_p", own).withColumns({"_e0": F.coalesce(F.lead("_b0").over(over([])) != F.col("_b0"), F.lit(True)), "_e1": F.coalesce(F.lead("_b1").over(over([])) != F.col("_b1"), F.lit(True))})
+    for ends, blocks in (("_e0", ["_b1"]), ("_e1", [])):
+        whole = F.collect_list(F.when(F.col(ends), F.col("_p"))).over(over(blocks).rowsBetween(W.unboundedPreceding, -1))
+        frame = frame.withColumn("_w", F.aggregate(whole, none, then)).withColumn("_p", then(F.col("_w"), F.col("_p")))
+    return frame.select(*kept, F.col("_p.b").alias(name))
+
+
 def ewm(frame: DataFrame, x: Column, n: float, m: float, name: str) -> DataFrame:
     """frame with name added: a mean that moves by m / n toward each finite x; weights fade across gaps.
 
-    The recursion folds one code's rows, which are as many as there are days, in order of t.
+    At a finite row, g rows after the last one, the old mean weighs (1 - m / n) ^ g and the new value m / n: a step of
+    affine_scan. Other rows keep the mean.
     """
     alpha = m / n
-    rows = frame.select(F.col("code").alias("_code"), F.struct("t", *[c for c in frame.columns if c != "t"]).alias("r"), finite(x).alias("x"))
-    rows = rows.groupBy("_code").agg(F.array_sort(F.collect_list(F.struct(F.col("r.t").alias("t"), "x", "r"))).alias("a"))
-    none = F.lit(None).cast("double")
-    start = F.struct(none.alias("y"), F.lit(1.0).alias("old"), F.expr("cast(array() as array<double>)").alias("out"))
-
-    def step(acc: Column, row: Column) -> Column:
-        x, old = row["x"], F.when(acc["y"].isNull(), 1.0).otherwise(acc["old"] * (1 - alpha))
-        y = F.when(x.isNull(), acc["y"]).when(acc["y"].isNull(), x).otherwise((old * acc["y"] + alpha * x) / (old + alpha))
-        return F.struct(y.alias("y"), F.when(x.isNull(), old).otherwise(1.0).alias("old"), F.concat(acc["out"], F.array(y)).alias("out"))
-
-    rows = rows.withColumn("ys", F.aggregate("a", start, step, lambda acc: acc["out"]))
-    rows = rows.select(F.explode(F.zip_with("a", "ys", lambda r, y: F.struct(r["r"].alias("r"), y.alias("y")))).alias("z"))
-    return rows.select(*[F.col(f"z.r.{c}").alias(c) for c in frame.columns], F.col("z.y").alias(name))
+    kept = frame.columns
+    order = W.partitionBy("code").orderBy("t")
+    frame = frame.withColumn("_y", finite(x)).withColumn("_t0", F.last(F.when(F.col("_y").isNotNull(), F.col("t")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)))
+    old = F.pow(F.lit(1 - alpha), F.col("t") - F.col("_t0"))
+    first, there = F.col("_t0").isNull(), F.col("_y").isNotNull()
+    a = F.when(~there, 1.0).when(first, 0.0).otherwise(old / (old + alpha))
+    b = F.when(~there, 0.0).when(first, F.col("_y")).otherwise(alpha * F.col("_y") / (old + alpha))
+    frame = affine_scan(frame, a, b, "_ewm")
+    return frame.select(*kept, F.when(there | ~first, F.col("_ewm")).alias(name))
+
+
+#: Functions whose window is kept in order by `slide`, for windows of more than SLIDE_FROM rows.
+SLIDING, SLIDE_FROM = ("ts_median", "ts_rank"), 40
+
+
+def _slid(values: np.ndarray, w: int, kind: str) -> list[float | None]:
+    """ts_median or ts_rank of one code's rows in order: the window's finite values stay sorted, so that a row costs two
+    searches of log w steps."""
+    kept: list[float] = []
+    out: list[float | None] = []
+    ok = np.isfinite(values).tolist()
+    values = values.tolist()
+    least = max(1, w // 2)
+    for i, x in enumerate(values):
+        if i >= w and ok[i - w]:
+            del kept[bisect_left(kept, values[i - w])]
+        if ok[i]:
+            insort(kept, x)
+        n = len(kept)
+        if n < least or kind == "ts_rank" and not ok[i]:
+            out.append(None)
+        elif kind == "ts_median":
+            out.append(kept[n // 2] if n % 2 else (kept[n // 2 - 1] + kept[n // 2]) / 2)
+        else:
+            low, high = bisect_left(kept, x), bisect_right(kept, x)
+            out.append((low + (high - low + 1) / 2) / n)
+    return out
+
+
+def slide(frame: DataFrame, name: str, kind: str, x: Column, w: int) -> DataFrame:
+    """frame with name added: ts_median or ts_rank of x over w rows. A task holds one code's rows, as many as there are days."""
+    schema = frame.select("*", x.cast("double").alias("_v"))
+    wanted = StructType([*frame.schema.fields, StructField(name, DoubleType())])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("t")
+        values = table.column("_v").to_numpy().astype(float)
+        return table.drop_columns(["_v"]).append_column(name, pa.array(_slid(values, w, kind), pa.float64()))
+
+    return schema.groupBy("code").applyInArrow(run, wanted)
 
 
 def _day(*more: Column):

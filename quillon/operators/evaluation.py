@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.functions.rolling import average_rank, rank_cs
+from quillon.functions.rolling import affine_scan, average_rank, rank_cs
 from quillon.functions.rules import finite
 from quillon.operators.labels import blocks
 
@@ -222,6 +222,12 @@ def fitness_summary(yearly: DataFrame) -> DataFrame:
     return yearly.agg(F.avg("fitness").alias("fitness"), F.count("fitness").alias("years"))
 
 
+def opens_for(rows: DataFrame, sample: DataFrame, horizon: int = 1) -> DataFrame:
+    """Of rows of the whole calendar, those whose opens a sample may trade at: up to the end of the window it was cut from."""
+    last = sample.agg(F.max("t")).first()[0]
+    return rows.where(F.col("t") <= F.lit(-1 if last is None else last + horizon + 1))
+
+
 def _ranks(x: np.ndarray) -> np.ndarray:
     """Average-tie ranks from 1 along each row; nan ranks last and means nothing."""
     order = np.argsort(x, axis=1, kind="stable")
@@ -307,74 +313,95 @@ def horizon_decay(rows: DataFrame, first: int = 20, last: int = 252, opens: Data
     return daily.groupBy("horizon").agg(F.avg("ic").alias("mean_ic"), F.count(F.lit(1)).alias("n_days"))
 
 
-def newey_west(ic: list[float], horizon: int = 1) -> dict:
-    """Mean, standard error, t and p of a short series with autocorrelation; the lag is picked from the data.
+#: Autocovariances that are worked out at first; series that need more get all of theirs.
+LAGS_AT_FIRST = 48
+
+
+def _normal_tails(x: Column) -> Column:
+    """The chance of a standard normal beyond x on either side, by Simpson's rule over twelve deviations; 0 beyond 38."""
+    n, h = 2000, 12 / 2000
+    density = lambda k: F.exp(-F.pow(F.abs(x) + k * h, 2) / 2)
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(n)), F.lit(0.0), lambda acc, k: acc + density(k) * F.when((k == 0) | (k == n), 1.0).when(k % 2 == 1, 4.0).otherwise(2.0))
+    return F.when(F.abs(x) > 38, 0.0).otherwise(2 * total * h / 3 / math.sqrt(2 * math.pi))
+
 
-    A daily series has one number a day, so it is handled on the driver.
+def newey_west(daily: DataFrame, by: tuple[str, ...] = (), horizon: int = 1) -> DataFrame:
+    """(by, n, mean, lag, se, t, p) of the daily series (by, t, ic) of many factors at once: significance with autocorrelation.
+
+    A factor's series, a number a day, is one row of an array, and everything else follows inside that row: the
+    autocovariances, the lag (the last before three in a row lie within two standard errors of zero, horizon - 1 at
+    least), the weighted sum. Series of fewer than three values, or all equal, are left out.
     """
-    x = np.asarray(ic, float)
-    n = len(x)
-    if n < 3 or np.ptp(x) == 0:
-        raise ValueError("three values that are not all equal are needed")
-    d = x - x.mean()
-    cov = np.array([d[: n - k] @ d[k:] / n for k in range(n)])
-    quiet = np.abs(cov / cov[0]) <= 2 / math.sqrt(n)
-    start = max(1, horizon - 1)
-    lag = next((k - 1 for k in range(1, n - 2) if quiet[k] and quiet[k + 1] and quiet[k + 2]), n - 1)
-    lag = min(max(lag, horizon - 1), n - 1) if start else lag
-    weights = 1 - np.arange(1, lag + 1) / (lag + 1)
-    se = math.sqrt(max(cov[0] + 2 * (weights * cov[1 : lag + 1]).sum(), 0) / n)
-    t = x.mean() / se if se > 0 else math.copysign(math.inf, x.mean())
-    return {"mean": float(x.mean()), "lag": int(lag), "se": se, "t": t, "p": math.erfc(abs(t) / math.sqrt(2))}
+    series = daily.where(finite(F.col("ic")).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("t", "ic"))).alias("s"))
+    series = series.select(*by, F.transform("s", lambda r: r["ic"]).alias("x")).withColumn("n", F.size("x"))
+    series = series.where((F.col("n") >= 3) & (F.array_max("x") > F.array_min("x")))
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, v: acc + v)
+    series = series.withColumn("mean", add("x") / F.col("n")).withColumn("d", F.transform("x", lambda v: v - F.col("mean")))
+
+    def covariances(last: Column) -> Column:
+        one = lambda k: add(F.zip_with(F.slice("d", 1, F.col("n") - k), F.slice("d", k + 1, F.col("n") - k), lambda a, b: a * b)) / F.col("n")
+        return F.transform(F.sequence(F.lit(0), last), one)
+
+    def found(cov: str) -> Column:
+        quiet = lambda k: F.abs(F.col(cov)[k] / F.col(cov)[0]) <= 2 / F.sqrt("n")
+        most = F.size(cov) - 3
+        return F.when(most >= 1, F.get(F.filter(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda k: quiet(k) & quiet(k + 1) & quiet(k + 2)), F.lit(0)) - 1)
+
+    series = series.withColumn("cov", covariances(F.least(F.col("n") - 1, F.lit(LAGS_AT_FIRST)))).withColumn("lag", found("cov"))
+    whole = F.col("lag").isNull() & (F.size("cov") < F.col("n")) | (F.lit(horizon) > F.size("cov"))
+    series = series.withColumn("cov", F.when(whole, covariances(F.col("n") - 1)).otherwise(F.col("cov"))).withColumn("lag", F.when(F.col("lag").isNull(), found("cov")).otherwise(F.col("lag")))
+    lag = F.least(F.greatest(F.coalesce("lag", F.col("n") - 1), F.lit(horizon - 1)), F.col("n") - 1)
+    series = series.withColumn("lag", lag.cast("int"))
+    weighted = F.aggregate(F.sequence(F.lit(0), F.col("lag")), F.lit(0.0), lambda acc, k: acc + F.when(k == 0, F.col("cov")[0]).otherwise(2 * (1 - k / (F.col("lag") + 1)) * F.col("cov")[k]))
+    series = series.withColumn("se", F.sqrt(F.greatest(weighted, F.lit(0.0)) / F.col("n")))
+    t = F.when(F.col("se") > 0, F.col("mean") / F.col("se")).otherwise(F.signum("mean") * float("inf"))
+    return series.withColumn("t", t).select(*by, "n", "mean", "lag", "se", "t", _normal_tails(F.col("t")).alias("p"))
 
 
 CURVES = ("kalman", "low_pass", "fourier")
 
 
-def trend_filters(ic: np.ndarray, period: int = 31, ratio: float = 0.01) -> dict[str, np.ndarray]:
-    """Three smooth versions of a daily series, which is short: one number a day.
+def trend_table(daily: DataFrame, by: tuple[str, ...] = (), period: int = 31, ratio: float = 0.01) -> DataFrame:
+    """(by, t, day, ic, kalman, low_pass, fourier) of the days of (by, t, day, ic): three smooth versions of each series.
 
     kalman: a local level whose variance over the noise's is ratio, at the gain at which it settles. low_pass: a
-    second-order recursion on two past states and three past inputs, which begins with the first three inputs.
-    fourier: what waves of period days or longer make up of the whole series (it looks ahead).
+    second-order recursion on two past states and three past inputs, which begins with the first three inputs; its two
+    roots are equal, so it is one first-order recursion after another. fourier: what waves of period days or longer make
+    up of the whole series (it looks ahead). Recursions are scans (see affine_scan), and a series, a number a day, is an array where
+    the waves are summed. A series of fewer than four days is left out.
     """
-    x = np.asarray(ic, float)
-    n = len(x)
-    if n < 4 or not np.isfinite(x).all():
-        raise ValueError("four finite values are needed")
-    p = (ratio + math.sqrt(ratio * ratio + 4 * ratio)) / 2
-    gain = p / (p + 1)
-    level, kalman = x[0], np.empty(n)
-    for i, v in enumerate(x):
-        level += gain * (v - level)
-        kalman[i] = level
-    a = 2 / period
-    low = x.copy()
-    states = np.array([2 * (1 - a), -((1 - a) ** 2)])
-    inputs = np.array([a - a * a / 4, a * a / 2, -(a - 3 * a * a / 4)])
-    for i in range(3, n):
-        low[i] = states @ low[[i - 1, i - 2]] + inputs @ x[[i - 1, i - 2, i - 3]]
-    spectrum = np.fft.rfft(x)
-    spectrum[np.fft.rfftfreq(n) > 1 / period] = 0
-    return {"kalman": kalman, "low_pass": low, "fourier": np.fft.irfft(spectrum, n)}
-
-
-def trend_means(filtered: DataFrame, size: int = 10, step: int = 5) -> DataFrame:
-    """(t, day, kalman, low_pass, fourier): means of whole overlapping runs of size rows, step apart, by their last day."""
+    series = daily.where(finite(F.col("ic")).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("t", "day", "ic"))).alias("s"))
+    series = series.withColumn("n", F.size("s")).where("n >= 4")
+    turn = lambda k, i: 2 * math.pi * k * i / F.col("n")
+    wave = lambda k, f: F.aggregate(F.transform("s", lambda r, i: r["ic"] * f(turn(k, i))), F.lit(0.0), lambda acc, v: acc + v)
+    waves = F.transform(F.sequence(F.lit(0), F.floor(F.col("n") / period).cast("int")), lambda k: F.struct(wave(k, F.cos).alias("re"), wave(k, F.sin).alias("im")))
+    rows = series.withColumn("w", waves).select(*by, "n", "w", F.posexplode("s").alias("i", "r")).select(*by, "n", "w", "i", "r.*")
+    part = lambda v, k: F.when(k == 0, v["re"]).otherwise(2 * (v["re"] * F.cos(turn(k, F.col("i"))) + v["im"] * F.sin(turn(k, F.col("i")))))
+    rows = rows.withColumn("fourier", F.aggregate(F.transform("w", part), F.lit(0.0), lambda acc, v: acc + v) / F.col("n")).drop("w", "n")
+    keys = by or ("_all",)
+    rows = rows if by else rows.withColumn("_all", F.lit(0))
+    start = F.col("i") == 0
+    spread = (ratio + math.sqrt(ratio * ratio + 4 * ratio)) / 2
+    gain = spread / (spread + 1)
+    rows = affine_scan(rows, F.when(start, 0.0).otherwise(1 - gain), F.when(start, F.col("ic")).otherwise(gain * F.col("ic")), "kalman", keys, "i")
+    # y(i) = 2 r y(i-1) - r^2 y(i-2) + u(i) is z(i) = r z(i-1) + u(i) with z(i) = y(i) - r y(i-1).
+    a, order = 2 / period, W.partitionBy(*keys).orderBy("i")
+    r, back = 1 - a, lambda k: F.lag("ic", k).over(order)
+    rows = rows.withColumn("_u", (a - a * a / 4) * back(1) + a * a / 2 * back(2) - (a - 3 * a * a / 4) * back(3)).withColumn("_z0", F.col("ic") - r * back(1))
+    rows = affine_scan(rows, F.when(F.col("i") <= 2, 0.0).otherwise(r), F.when(F.col("i") <= 2, F.coalesce("_z0", F.lit(0.0))).otherwise(F.col("_u")), "_z", keys, "i")
+    rows = affine_scan(rows, F.when(F.col("i") <= 2, 0.0).otherwise(r), F.when(F.col("i") <= 2, F.col("ic")).otherwise(F.col("_z")), "low_pass", keys, "i")
+    return rows.select(*by, "t", "day", "ic", *CURVES)
+
+
+def trend_means(filtered: DataFrame, size: int = 10, step: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, t, day, kalman, low_pass, fourier): means of whole overlapping runs of size rows, step apart, by their last day."""
     if not 1 <= step <= size:
         raise ValueError("step must lie between 1 and size")
-    order = W.partitionBy(F.lit(1)).orderBy("t")
-    out = filtered.select("t", "day", F.row_number().over(order).alias("_k"), *[F.avg(c).over(order.rowsBetween(-(size - 1), 0)).alias(c) for c in CURVES])
+    order = W.partitionBy(*(by or (F.lit(1),))).orderBy("t")
+    out = filtered.select(*by, "t", "day", F.row_number().over(order).alias("_k"), *[F.avg(c).over(order.rowsBetween(-(size - 1), 0)).alias(c) for c in CURVES])
     return out.where((F.col("_k") >= size) & ((F.col("_k") - size) % step == 0)).drop("_k")
 
 
-def trend_table(daily: DataFrame) -> DataFrame:
-    """(t, day, ic, kalman, low_pass, fourier) of the days of (t, day, ic). One row a day, so it passes through the driver."""
-    got = [(r.t, r.day, r.ic) for r in daily.where("ic is not null").select("t", "day", "ic").orderBy("t").collect()]
-    curves = trend_filters(np.array([x for *_, x in got]))
-    return daily.sparkSession.createDataFrame([(*r, *(float(curves[c][i]) for c in CURVES)) for i, r in enumerate(got)], "t int, day date, ic double, kalman double, low_pass double, fourier double")
-
-
 def trend_summary(filtered: DataFrame) -> DataFrame:
     """One row: the days, and each curve's first and last value and the difference."""
     ends = [e for c in CURVES for e in (F.min_by(c, "t").alias(f"{c}_start"), F.max_by(c, "t").alias(f"{c}_final"), (F.max_by(c, "t") - F.min_by(c, "t")).alias(f"{c}_change"))]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.texts import GROWTH, NORTH, is_special_name, starts_with, to_day
+from quillon.operators.intervals import interval_join
+from quillon.sources import commits
 from quillon.sources.panel import checked_codes, unique_cells, write_panel
 
 
@@ -52,10 +54,10 @@ def status_intervals(events: DataFrame, begin: int, end: int, cutoff: str) -> Da
 def interval_days(intervals: DataFrame, calendar: DataFrame) -> DataFrame:
     """(day, code) for each calendar day in each interval, each once.
 
-    An interval is unfolded into its own days and those meet the calendar by equality: no range join is needed.
+    Days and intervals meet in buckets (see interval_join): what is shuffled does not grow with the intervals' lengths.
     """
-    days = intervals.where("start <= stop").select("code", F.explode(F.sequence("start", "stop")).alias("day"))
-    return days.join(F.broadcast(calendar.select("day").distinct()), "day", "left_semi").select("day", "code").distinct()
+    found = interval_join(calendar.select("day").distinct(), intervals.select("code", "start", "stop"), "day", "start", "stop")
+    return found.select("day", "code").distinct()
 
 
 def boundary_of(old: DataFrame, new: DataFrame, last_day=None) -> DataFrame:
@@ -86,6 +88,59 @@ def rebased_merge(old: DataFrame, new: DataFrame, boundary: DataFrame | None = N
     return moved.unionByName(priced).withColumn("vwap", (F.col("h") + F.col("l")) / 2)
 
 
+class RebasedPrices:
+    """Prices in increments that are never written again, moved to the newest base when they are read.
+
+    An increment's rows are added to a versioned table as they come; its boundary adds a step to the table of factors:
+    from its first day on, older prices of a code are multiplied by the step. A scan joins each row with the product
+    of all later steps of its code: a row belongs to the increment of its day, and products are one row a code and increment.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        folder = folder.rstrip("/")
+        self.spark, self.prices, self.steps = spark, commits.Table(spark, f"{folder}/prices"), commits.Table(spark, f"{folder}/steps")
+
+    def days(self) -> list:
+        """The first day of each increment, in order."""
+        found = self.prices.log.read()
+        return found["first_days"] if found else []
+
+    def add(self, new: DataFrame, boundary: DataFrame | None = None) -> int:
+        """Add rows (day, code, o, h, l, c, vol, amt, suspended) of later days than all before. boundary: as for rebased_merge.
+
+        Prices and their days are committed last: a scan of the version before does not see half of an increment.
+        """
+        on, days = self.prices.version(), self.days()
+        ends = new.agg(F.min("day").cast("string").alias("lo"), F.max("day").cast("string").alias("hi")).first()
+        if ends.lo is None:
+            raise ValueError("the increment has no rows")
+        if on:
+            newest = self.prices.read(on).agg(F.max("day").cast("string")).first()[0]
+            if ends.lo <= newest:
+                raise ValueError("the increment overlaps days that are there already")
+            boundary = boundary_of(self.scan(), new) if boundary is None else boundary
+            ratio = F.when((F.col("old_close") != 0) & (F.col("pre_close") > 0), F.col("pre_close") * F.col("adj") / F.col("old_close"))
+            self.steps.append(boundary.select("code", F.lit(len(days)).alias("increment"), ratio.alias("k")).where("k is not null"))
+        rows = new.drop("pre_close", "adj")
+        flag = F.coalesce("suspended", F.lit(False)) if "suspended" in rows.columns else F.lit(False)
+        rows = rows.withColumns({c: F.when(~flag, F.col(c)) for c in ("o", "h", "l", "c")} | {"increment": F.lit(len(days))}).drop("suspended")
+        data = self.prices._write(rows.repartitionByRange("code").sortWithinPartitions("code", "day"), "zstd")
+        old = self.prices.log.read(on) if on else None
+        return self.prices.log.commit({"folders": [*(old["folders"] if old else []), data], "first_days": [*days, ends.lo]}, on)
+
+    def scan(self) -> DataFrame:
+        """(day, code, o, h, l, c, vol, amt, vwap) of all increments on the newest base."""
+        rows, known = self.prices.read(), len(self.days())
+        if self.steps.version():
+            # Steps of increments that were not committed are passed over. One row a code and increment.
+            steps = self.steps.read().where(F.col("increment") < known).dropDuplicates(["code", "increment"])
+            later = steps.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("increment", "k"))).alias("steps"))
+            rows = rows.join(later, "code", "left")
+            k = F.aggregate(F.coalesce("steps", F.expr("cast(array() as array<struct<increment:int,k:double>>)")), F.lit(1.0), lambda acc, s: F.when(s["increment"] > F.col("increment"), acc * s["k"]).otherwise(acc))
+            rows = rows.withColumn("_k", k).withColumns({c: F.col(c) * F.col("_k") for c in ("o", "h", "l", "c")})
+        return rows.select("day", "code", "o", "h", "l", "c", "vol", "amt", ((F.col("h") + F.col("l")) / 2).alias("vwap"))
+
+
 def market_cap_cells(source: DataFrame, axes: DataFrame, zone: str | None = None) -> DataFrame:
     """(day, code, cap) for each cell of axes (day, code) from a long table (day, code, values).
 

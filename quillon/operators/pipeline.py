@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillon.operators import cycles, labels, research, transforms
 from quillon.operators import evaluation as ev
 from quillon.plans.expression import factor, parse, symbols_of
-from quillon.sources import store
+from quillon.sources import scratch, store
 
 WINDOWS = (20, 60, 252)
 
@@ -40,15 +40,16 @@ class State:
         self.rows = self.keep(self.rows)
 
     def keep(self, table: DataFrame) -> DataFrame:
+        """The table, written and read again if the state stores: later plans begin there, and lost executors cost nothing."""
         if self.stored:
-            table = table.persist()
+            table = scratch.stored(table, "state")
             self.kept.append(table)
         return table
 
     def close(self) -> None:
-        """Give back what was stored; outputs that are tables can still be read, at the price of computing them."""
-        while self.kept:
-            self.kept.pop().unpersist()
+        """Delete what was stored; outputs that are tables can no longer be read."""
+        scratch.forget(*self.kept)
+        self.kept.clear()
 
     def put(self, name: str, value: object) -> None:
         """A repeated name gets a version: ic, ic__2, ..."""
@@ -107,9 +108,7 @@ method("cycle_context", ("quantile_plot",))(lambda s: s.put("cycles", cycles.cyc
 @method("ic_horizon_decay")
 def _horizons(s: State) -> None:
     """The curve, and what a summary says of it. Opens may come from the horizon's days after the sample, no later."""
-    opens = s.full if s.full is not None else s.rows
-    if s.full is not None:
-        opens = opens.where(F.col("t") <= _first(s.rows.agg(F.max("t").alias("t")))["t"] + s.horizon + 1)
+    opens = s.rows if s.full is None else ev.opens_for(s.full, s.rows, s.horizon)
     curve = s.keep(ev.horizon_decay(s.rows, opens=opens))
     s.put("horizon_decay", curve)
     found = _first(curve.agg(F.count(F.lit(1)).alias("horizons"), F.max("n_days").alias("common_days"), F.min_by("mean_ic", "horizon").alias("first_mean_ic"), F.max_by("mean_ic", "horizon").alias("last_mean_ic")))
@@ -164,7 +163,10 @@ def _fitness(s: State) -> None:
 
 @method("newey_west_ic_significance", ("rank_ic",))
 def _newey_west(s: State) -> None:
-    s.put("newey_west", ev.newey_west([r.ic for r in s.latest("ic").orderBy("t").select("ic").collect()], s.horizon))
+    found = _first(ev.newey_west(s.latest("ic"), horizon=s.horizon))
+    if not found:
+        raise ValueError("three values of the IC that are not all equal are needed")
+    s.put("newey_west", found)
 
 
 @method("ic_trend_filter", ("rank_ic",))
@@ -172,6 +174,8 @@ def _trend(s: State) -> None:
     s.put("trend", ev.trend_table(s.latest("ic")))
     s.put("trend_mean_10", ev.trend_means(s.latest("trend")))
     s.put("trend_summary", _first(ev.trend_summary(s.latest("trend"))))
+    if not s.latest("trend_summary").get("days"):
+        raise ValueError("four days with an IC are needed")
 
 
 @method("tradability_filter", symbols=("c", "o", "amt", "limit", "st", "delisting"))

@@ -193,6 +193,25 @@ def significant(level: float = LEVEL) -> Callable[[dict], bool]:
     return lambda m: gate(m, [{"metric": "nw_p", "op": "lt", "value": level}])[0]
 
 
+def gate_columns(table: DataFrame, conditions: list[dict], match: str = "all") -> DataFrame:
+    """table, a row a factor with a column for each metric, with passed_<metric> for each condition and passed.
+
+    The same rules as gate, for tables of any length: a missing or infinite metric fails.
+    """
+    tests = {"gte": lambda v, a, b: v >= a, "lte": lambda v, a, b: v <= a, "gt": lambda v, a, b: v > a, "lt": lambda v, a, b: v < a, "between": lambda v, a, b: v.between(a, b), "is": lambda v, a, b: v == a}
+    kinds, found = dict(table.dtypes), {}
+    for c in conditions:
+        v = F.col(c["metric"])
+        v = v if kinds[c["metric"]] == "boolean" else F.when(F.abs(v.cast("double")) < float("inf"), v.cast("double"))
+        ok = F.coalesce(tests[c["op"]](v, c.get("value"), c.get("upper")), F.lit(False))
+        found[c["metric"]] = found[c["metric"]] & ok if c["metric"] in found else ok
+    every = list(found.values())
+    passed = every[0]
+    for ok in every[1:]:
+        passed = passed & ok if match == "all" else passed | ok
+    return table.withColumns({f"passed_{m}": ok for m, ok in found.items()} | {"passed": passed})
+
+
 #: The funnel's stages and the methods that run on the survivors of the one before.
 STAGES: dict[str, tuple[str, ...]] = {
     "causality": ("future_data_perturbation",),

@@ -14,7 +14,7 @@ from quillon.functions.rules import finite
 from quillon.operators import labels, standards, transforms
 from quillon.operators.evaluation import rank_ic
 from quillon.operators.research import FACTOR_ERRORS
-from quillon.plans.expression import canonical, factor
+from quillon.plans.expression import ExpressionError, batches, canonical, factors, parse
 from quillon.sources import store
 
 #: What trees are made of.
@@ -185,15 +185,24 @@ def cross(rng: random.Random, a: Tree, b: Tree) -> Tree:
     return a.put(rng.choice(a.nodes()), b.at(rng.choice(b.nodes())))
 
 
+#: What the distinct parts of the expressions of one plan may cost together: a window each, more for those that are dear.
+PLAN_COST = 160
+
+
+def oriented(tree: Tree, ic: float) -> Tree:
+    """The tree whose IC is not negative: itself, or its negation, which of a negation is what stands in it."""
+    if ic >= 0:
+        return tree
+    return tree.children[0] if tree.name == "neg" else Tree("neg", (tree,))
+
+
 def population_ic(panel: DataFrame, expressions: dict[int, str], mode: str = "none", days: DataFrame | None = None) -> DataFrame:
     """(expr_id, n_days, mean_ic, ic_std, pairs) of all expressions in one plan over one panel that has fwd.
 
-    mode: how transforms.preprocess prepares each factor; the panel then has _entry and the mode's styles. days: the
-    sample, applied once the factors are computed on full history.
+    Parts that expressions share are computed once. mode: how transforms.preprocess prepares each factor; the panel then
+    has _entry and the mode's styles. days: the sample, applied once the factors are computed on full history.
     """
-    wide = panel
-    for k, text in expressions.items():
-        wide = factor(wide, text, f"_f{k}")
+    wide = factors(panel, {f"_f{k}": text for k, text in expressions.items()})
     wide = wide if days is None else wide.join(F.broadcast(days.select("day")), "day", "left_semi")
     names = [f"_f{k}" for k in expressions]
     if mode == "none":
@@ -208,6 +217,18 @@ def population_ic(panel: DataFrame, expressions: dict[int, str], mode: str = "no
     return daily.groupBy("expr_id").agg(F.count("ic").alias("n_days"), F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("ic_std"), F.sum("n").alias("pairs"))
 
 
+def evaluate_population(panel: DataFrame, expressions: dict[int, str], mode: str = "none", days: DataFrame | None = None, most: int = PLAN_COST) -> DataFrame:
+    """population_ic of any number of expressions: cut into plans by what their distinct parts cost, related ones together.
+
+    The panel is read by every plan: give it stored.
+    """
+    out = None
+    for part in batches(expressions, most):
+        found = population_ic(panel, part, mode, days)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def context(panel: DataFrame, settings: Settings, horizon: int = 1, first=None, last=None) -> tuple[DataFrame, DataFrame | None]:
     """What every expression of a search is scored on: the panel with label, reasons and styles, and the sample's days."""
     rows = labels.forward_open_return(panel, horizon)
@@ -220,16 +241,23 @@ def context(panel: DataFrame, settings: Settings, horizon: int = 1, first=None,
     return rows.persist(), days
 
 
-def scorer(panel: DataFrame, settings: Settings, batch: int = 8, days: DataFrame | None = None) -> Callable[[list[str]], dict[str, dict]]:
+def scorer(panel: DataFrame, settings: Settings, most: int = PLAN_COST, days: DataFrame | None = None) -> Callable[[list[str]], dict[str, dict]]:
     """A function from expressions to results (ic, days, std, pairs, or error); one that cannot be computed does not stop the others.
 
-    Only errors of an expression become results; those of the cluster go on up, and the search can be resumed.
+    Expressions that share parts are scored in one plan, as many as cost `most` together. Only errors of an expression become results; those of the cluster go on up, and the search can be resumed.
     """
 
     def evaluate(texts: list[str]) -> dict[str, dict]:
         out: dict[str, dict] = {}
-        for at in range(0, len(texts), batch):
-            part = dict(enumerate(texts[at : at + batch]))
+        able = []
+        for t in texts:
+            try:
+                parse(t)
+                able.append(t)
+            except ExpressionError as e:
+                out[t] = {"ic": None, "error": f"ExpressionError: {str(e)[:500]}"}
+        for some in batches(dict(enumerate(able)), most):
+            part = dict(enumerate(some.values()))
             try:
                 rows = {r.expr_id: r for r in population_ic(panel, part, settings.mode, days).collect()}
             except FACTOR_ERRORS as e:
@@ -327,8 +355,10 @@ def search(evaluate: Callable[[list[str]], dict], settings: Settings, cache: dic
         for key, p in keys.items():
             ic = cache[key].get("ic") if key in cache else None
             if ic is not None:
-                scored.append((abs(ic) - settings.parsimony * p.size, key, p))
-                run.fame[key] = {"expression": key if ic >= 0 else f"-1 * ({key})", "raw": key, "direction": 1 if ic >= 0 else -1, "ic": abs(ic), "nodes": p.size}
+                # What is scored, kept and bred from is the tree with its sign: one that was negated loses that node.
+                signed = oriented(p, ic)
+                scored.append((abs(ic) - settings.parsimony * signed.size, key, signed))
+                run.fame[key] = {"expression": canonical(signed.text()), "raw": key, "direction": 1 if ic >= 0 else -1, "ic": abs(ic), "nodes": signed.size}
         run.fame = {x["raw"]: {k: v for k, v in x.items() if k != "rank"} for x in ranked(list(run.fame.values()), settings.fame)}
         scored.sort(key=lambda x: (-x[0], x[1]))
         pick = lambda: min(rng.sample(scored, min(settings.tournament, len(scored))), key=lambda x: (-x[0], x[1]))[2]  # noqa: B023, E731

@@ -32,17 +32,21 @@ def tagged(tags: DataFrame, wanted: list[str], match: str = "all") -> DataFrame:
     return hits.where(F.col("n") >= (len(names) if match == "all" else 1)).select("factor")
 
 
+ENDED = ("succeeded", "failed", "cancelled", "skipped")
+
+
 def job_status(runs: DataFrame) -> DataFrame:
-    """(job, n, n_done, n_failed, status) of (job, status): failed if a run failed, done if all are, else running or queued."""
-    n = lambda s: F.sum((F.col("status") == s).cast("long"))
-    out = runs.groupBy("job").agg(F.count(F.lit(1)).alias("n"), n("done").alias("n_done"), n("failed").alias("n_failed"), n("running").alias("n_running"))
-    status = F.when(F.col("n_failed") > 0, "failed").when(F.col("n_done") == F.col("n"), "done").when(F.col("n_done") + F.col("n_running") > 0, "running").otherwise("queued")
-    return out.select("job", "n", "n_done", "n_failed", status.alias("status"))
+    """(job, n, n_ended, n_failed, status) of (job, status): running or queued while any run is, then failed, cancelled, succeeded."""
+    n = lambda *s: F.sum(F.col("status").isin(*s).cast("long"))
+    out = runs.groupBy("job").agg(F.count(F.lit(1)).alias("n"), n(*ENDED).alias("n_ended"), n("failed").alias("n_failed"), n("cancelled").alias("c"), n("running").alias("r"), n("queued").alias("q"))
+    status = F.when(F.col("r") > 0, "running").when(F.col("q") > 0, "queued").when(F.col("n_failed") > 0, "failed").when(F.col("c") > 0, "cancelled").otherwise("succeeded")
+    return out.select("job", "n", "n_ended", "n_failed", status.alias("status"))
 
 
-def next_run(runs: DataFrame) -> DataFrame:
-    """The queued run that comes first: by its job's priority, then by age."""
-    return runs.where("status = 'queued'").orderBy(F.col("priority").desc(), "created", "run").limit(1)
+def next_run(runs: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The queued run that comes first, of jobs that are queued or running: the oldest. Looks only; commits.Queue claims it."""
+    open_jobs = jobs.where(F.col("status").isin("queued", "running")).select("job")
+    return runs.where("status = 'queued'").join(open_jobs, "job", "left_semi").orderBy("created", "run").limit(1)
 
 
 def compared(metrics: DataFrame, runs: list[str]) -> DataFrame:

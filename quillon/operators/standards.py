@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from quillon.operators import pipeline, research
+from quillon.sources import scratch
 
 
 @dataclass(frozen=True)
@@ -74,8 +75,8 @@ def run_standards(panel: DataFrame, text: str, names: str | Iterable[str] | None
     """Several standards in order, over a panel that is read once. bounds: those of each standard by name."""
     wanted = resolve(names)
     columns = sorted({c for n in wanted for c in pipeline.needed_columns(text, STANDARDS[n].methods)})
-    shared = panel.select(*[c for c in columns if c in panel.columns]).persist()
+    shared = scratch.stored(panel.select(*[c for c in columns if c in panel.columns]), "panel")
     try:
         return [run_standard(shared, text, n, **kw, **(bounds or {}).get(n, {})) for n in wanted]
     finally:
-        shared.unpersist()
+        scratch.forget(shared)

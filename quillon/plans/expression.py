@@ -1,14 +1,16 @@
 """The expression language over a panel: Python syntax, a closed set of names, compiled to DataFrame columns.
 
 Python's own parser reads the text and nothing is evaluated. Each rolling or cross-sectional call becomes a named
-column, so windows never nest; equal sub-expressions become one column, and Catalyst joins neighbouring windows of one
-partitioning into one shuffle and sort.
+column, so windows never nest; equal sub-expressions become one column, also across expressions that are compiled
+together. Columns are not added one by one but in rounds: all that are ready and share a partitioning at once, so that
+the plan changes between codes and days as seldom as the expressions allow.
 """
 
 from __future__ import annotations
 
 import ast
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -96,18 +98,36 @@ def _whole(v: Value) -> int:
     return int(math.floor(v.number))
 
 
+@dataclass
+class Step:
+    """A column to be added: of the row alone (plain), over a code's rows (code) or a day's (day)."""
+
+    name: str
+    kind: str
+    needs: frozenset[str]
+    column: Column | None = None
+    #: For code steps that are no window: frame -> frame with the column.
+    build: Callable[[DataFrame], DataFrame] | None = None
+
+
 class Compiler:
-    """Adds the columns an expression needs to a panel."""
+    """Gathers the columns that expressions over a panel need, each once, and adds them in rounds."""
 
     def __init__(self, panel: DataFrame):
-        self.frame = panel
-        self.done: dict[str, Value] = {}
-
-    def _named(self, column: Column) -> Column:
-        name = f"_x{len(self.frame.columns)}"
-        self.frame = self.frame.withColumn(name, column)
+        self.panel = panel
+        self.steps: list[Step] = []
+        self.done: dict[str, tuple[Value, frozenset[str]]] = {}
+        self._open: list[set[str]] = [set()]
+
+    def _add(self, kind: str, column: Column | None = None, build=None) -> Column:
+        name = f"_x{len(self.panel.columns) + len(self.steps)}"
+        self.steps.append(Step(name, kind, frozenset(self._open[-1]), column, build and (lambda frame: build(frame, name))))
+        self._open[-1].add(name)
         return F.col(name)
 
+    def _named(self, column: Column, kind: str = "plain") -> Column:
+        return self._add(kind, column)
+
     def _once(self, v: Value) -> Value:
         """The same value as a column of the frame: for rules that name their operands several times."""
         return v if v.simple or v.kind == "scalar" else Value(self._named(v.column), v.kind, simple=True)
@@ -115,8 +135,30 @@ class Compiler:
     def value(self, node: ast.expr) -> Value:
         key = ast.dump(node)
         if key not in self.done:
-            self.done[key] = self._value(node)
-        return self.done[key]
+            self._open.append(set())
+            found = self._value(node)
+            self.done[key] = (found, frozenset(self._open.pop()))
+        found, needs = self.done[key]
+        self._open[-1] |= needs
+        return found
+
+    def frame(self) -> DataFrame:
+        """The panel with all columns gathered so far."""
+        out, left = self.panel, list(self.steps)
+        have, kind = set(), "code"
+        while left:
+            ready = [s for s in left if s.needs <= have]
+            now = [s for s in ready if s.kind == "plain"] or [s for s in ready if s.kind == kind]
+            if not now:
+                kind = "day" if kind == "code" else "code"
+                continue
+            columns = {s.name: s.column for s in now if s.column is not None}
+            out = out.withColumns(columns) if columns else out
+            for s in now:
+                out = s.build(out) if s.build else out
+            have |= {s.name for s in now}
+            left = [s for s in left if s.name not in have]
+        return out
 
     def _value(self, node: ast.expr) -> Value:
         if isinstance(node, ast.Constant):
@@ -192,23 +234,24 @@ class Compiler:
             else:
                 columns = [a.as_number for a in args[:panels]]
             columns = [self._named(c) for c in columns]
-            return Value(self._named(getattr(R, name)(*columns, *[_whole(a) for a in args[panels:]])), "number", simple=True)
+            numbers = [_whole(a) for a in args[panels:]]
+            if name in R.SLIDING and numbers[0] > R.SLIDE_FROM:
+                return Value(self._add("code", build=lambda frame, new: R.slide(frame, new, name, columns[0], numbers[0])), "number", simple=True)
+            return Value(self._named(getattr(R, name)(*columns, *numbers), "code"), "number", simple=True)
         if name == "adv":
             x, w = self._arguments(node, ("x", "w"))
-            return Value(self._named(R.ts_mean(self._named(x.as_number), _whole(w))), "number", simple=True)
+            return Value(self._named(R.ts_mean(self._named(x.as_number), _whole(w)), "code"), "number", simple=True)
         if name == "ts_sma":
             x, n, m = self._arguments(node, ("x", "n", "m"))
             if not 0 < m.number <= n.number:
                 raise ExpressionError("ts_sma needs 0 < m <= n")
-            name = f"_x{len(self.frame.columns)}"
-            self.frame = R.ewm(self.frame, x.as_number, n.number, m.number, name)
-            return Value(F.col(name), "number", simple=True)
+            return Value(self._add("code", build=lambda frame, new: R.ewm(frame, x.as_number, n.number, m.number, new)), "number", simple=True)
         if name in DAY:
             args = self._arguments(node, ("x", "lo", "hi") if name == "winsorize_cs" else ("x", "a"))
             numbers = [a.number for a in args[1:]] or ([1.0] if name == "scale_cs" else [])
             if name == "winsorize_cs" and not (len(numbers) == 2 and 0 <= numbers[0] < numbers[1] <= 1):
                 raise ExpressionError("winsorize_cs needs 0 <= lo < hi <= 1")
-            return Value(self._named(getattr(R, name)(self._named(args[0].as_number), *numbers[: {"winsorize_cs": 2, "scale_cs": 1}.get(name, 0)])), "number", simple=True)
+            return Value(self._named(getattr(R, name)(self._named(args[0].as_number), *numbers[: {"winsorize_cs": 2, "scale_cs": 1}.get(name, 0)]), "day"), "number", simple=True)
         args = [self._once(a) for a in self._arguments(node, ("a", "b", "c"))]
         x = [a.as_number for a in args]
         if name == "where":
@@ -224,18 +267,60 @@ class Compiler:
         return Value(one[name](x[0]), "number")
 
 
-def factor(panel: DataFrame, text: str, name: str = "factor", decay: int = 1) -> DataFrame:
-    """The panel with the expression's finished value: infinity dropped, then the run's linear decay."""
-    compiler = Compiler(panel)
-    value = compiler.value(parse(text))
-    if value.kind == "scalar":
-        raise ExpressionError("the expression must depend on the panel")
-    frame = compiler.frame.withColumn(name, E.finite(value.as_number))
+def factors(panel: DataFrame, texts: dict[str, str], decay: int = 1, shared: bool = True) -> DataFrame:
+    """The panel with the finished value of each expression by name, in one plan that computes equal parts once.
+
+    A finished value has no infinity and the run's linear decay. shared: compare parts in their normal form, so that
+    a + b and b + a are one.
+    """
     if isinstance(decay, bool) or not isinstance(decay, int) or decay < 1:
         raise ExpressionError("decay must be a whole number of 1 or more")
+    compiler = Compiler(panel)
+    values = {name: compiler.value(parse(canonical(text)) if shared else parse(text)) for name, text in texts.items()}
+    if any(v.kind == "scalar" for v in values.values()):
+        raise ExpressionError("the expression must depend on the panel")
+    frame = compiler.frame().withColumns({name: E.finite(v.as_number) for name, v in values.items()})
     if decay > 1:
-        frame = frame.withColumn(name, R.run_decay(F.col(name), decay))
-    return frame.select(*panel.columns, name)
+        frame = frame.withColumns({name: R.run_decay(F.col(name), decay) for name in texts})
+    return frame.select(*[c for c in panel.columns if c not in texts], *texts)
+
+
+def factor(panel: DataFrame, text: str, name: str = "factor", decay: int = 1) -> DataFrame:
+    """The panel with one expression's finished value, computed exactly as it is written."""
+    return factors(panel, {name: text}, decay, shared=False)
+
+
+def cost_of(text: str) -> dict[str, int]:
+    """The rolling and cross-sectional parts of an expression, in normal form, and what each costs: windows by size."""
+    out: dict[str, int] = {}
+    for n in ast.walk(parse(canonical(text))):
+        if isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and n.func.id in (*TIME, *DAY, "ts_sma", "adv"):
+            out[ast.unparse(n)] = 4 if n.func.id in ("ts_median", "ts_rank", "ts_sma") else 1
+    return out
+
+
+def batches(texts: dict, most: int) -> list[dict]:
+    """texts in batches whose distinct rolling and cross-sectional parts cost at most `most`; one alone may cost more.
+
+    Each goes where it shares most: the batch to which it adds least, of those that have room.
+    """
+    out: list[tuple[dict, dict[str, int]]] = []
+    costs = {k: cost_of(x) for k, x in texts.items()}
+    for k in sorted(texts, key=lambda k: (-sum(costs[k].values()), str(k))):
+        own = costs[k]
+        fits = []
+        for i, (_, held) in enumerate(out):
+            added = sum(c for part, c in own.items() if part not in held)
+            if sum(held.values()) + added <= most:
+                fits.append((added, i))
+        if fits and (min(fits)[0] < sum(own.values()) or len(fits) == len(out)):
+            members, held = out[min(fits)[1]]
+        else:
+            members, held = {}, {}
+            out.append((members, held))
+        members[k] = texts[k]
+        held |= own
+    return [members for members, _ in out]
 
 
 def canonical(text: str) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillon.functions import texts
 from quillon.operators import evaluation as ev
 from quillon.operators import correlation, cycles, labels, maintenance, models, research, service, transforms
-from quillon.plans.expression import factor, operators_of, symbols_of
+from quillon.plans.expression import factor
 from quillon.sources import panel as source
 from quillon.sources.panel import weekly_panel
 
@@ -182,10 +182,7 @@ def _horizons(spark, d):
 
 
 def _newey_west(spark, d):
-    daily = ev.rank_ic(evaluated(spark, d)).orderBy("t")
-    out = ev.newey_west([r.ic for r in daily.select("ic").collect()])
-    row = spark.createDataFrame([(float(out["mean"]), int(out["lag"]), float(out["se"]), float(out["t"]), float(out["p"]))], "mean double, lag int, se double, t double, p double")
-    return row.select("lag", *[r6(F.col(c), c) for c in ("mean", "se", "t", "p")])
+    return ev.newey_west(ev.rank_ic(evaluated(spark, d))).select("lag", *[r6(F.col(c), c) for c in ("mean", "se", "t", "p")])
 
 
 def _trend(spark, d):
@@ -219,7 +216,7 @@ def _group_returns(spark, d):
 
 def _evaluate_wide(spark, d):
     panel = factor(weekly_panel(spark, d), FACTOR).select("day", "code", "o", F.round("factor", 9).alias("factor"))
-    codes = [r.code for r in panel.select("code").distinct().orderBy("code").limit(40).collect()]
+    codes = [r.code for r in panel.select("code").distinct().orderBy("code").collect()]
     wide = lambda c: panel.groupBy("day").pivot("code", codes).agg(F.first(c))
     ic, groups, _ = ev.evaluate_wide(wide("factor"), wide("o"), 1, 5)
     return groups.join(ic.select("t", "ic"), "t", "left").select("t", "grp", r6(F.col("ret"), "ret"), r6(F.col("ic"), "ic"))
@@ -311,17 +308,10 @@ def _blend(spark, d):
     return factor(weekly_panel(spark, d), text).select("t", "code", r6(F.col("factor"), "v"))
 
 
-LISTED = ("rank_cs(c) + ts_mean(vol, 5)", "np.log(amt / cap) * where(st == 1, 0, vwap)", "-1 * ts_corr(rank_cs(delta(vol, 2)), rank_cs((c - o) / o), 6)")
-
-
-def _listing(spark, d):
-    return spark.createDataFrame([(x, ",".join(symbols_of(x)), ",".join(operators_of(x))) for x in LISTED], "expression string, symbols string, operators string")
-
-
 def _market_caps(spark, d):
     rows = weekly_panel(spark, d, ("t", "day", "code", "cap"))
     values = rows.where("cap is not null and cap > 0").select(F.col("day").cast("string").alias("day"), F.col("code").cast("int").cast("string").alias("code"), F.col("cap").alias("values"))
-    return maintenance.market_cap_cells(values, rows.where("t < 50")).select("day", "code", r6(F.col("cap"), "cap"))
+    return maintenance.market_cap_cells(values, rows).select("day", "code", r6(F.col("cap"), "cap"))
 
 
 def _true_cells(spark, d):
@@ -344,8 +334,8 @@ def _metric_maps(spark, d):
 
 
 def _industry_cells(spark, d):
-    rows = weekly_panel(spark, d, ("t", "day", "code", "industry")).where("code < '000020'")
-    codes = [f"{k:06d}" for k in range(20)]
+    rows = weekly_panel(spark, d, ("t", "day", "code", "industry"))
+    codes = [r.code for r in rows.select("code").distinct().orderBy("code").collect()]
     wide = rows.groupBy("day").pivot("code", codes).agg(F.first("industry"))
     return source.industry_cells(wide)
 
@@ -472,7 +462,7 @@ def _orders(spark, d):
 
 
 def _job_status(spark, d):
-    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderkey") % 17 == 0, "failed").when(F.col("o_orderstatus") == "P", "running").otherwise("queued")
+    status = F.when(F.col("o_orderkey") % 17 == 0, "failed").when(F.col("o_orderkey") % 5 == 0, "cancelled").when(F.col("o_orderkey") % 3 == 0, "skipped").when(F.col("o_orderstatus") == "F", "succeeded").when(F.col("o_orderstatus") == "P", "running").when(F.col("o_custkey") % 2 == 0, "queued").otherwise("succeeded")
     return service.job_status(_orders(spark, d).select(F.col("o_custkey").alias("job"), status.alias("status")))
 
 
@@ -570,7 +560,6 @@ def queries() -> dict[str, Query]:
         "rank_ridge": _trained("rank_ridge"),
         "winsorized_zscore_ridge": _trained("winsorized_zscore_ridge"),
         "manual_weights": _blend,
-        "expression_listing": _listing,
         "market_cap_cells": _market_caps,
         "true_status_cells": _true_cells,
         "repaired_status_tail": _repaired,
@@ -698,7 +687,7 @@ def oracle_sql() -> dict[str, str]:
                 "calc_group_returns": "SELECT day, " + ", ".join(_r(f"avg(fwd) FILTER (WHERE grp = {g})", f"g{g}") for g in range(1, 6)) + " FROM gr WHERE grp IS NOT NULL AND fwd IS NOT NULL GROUP BY day",
             }.items()
         },
-        "evaluate_wide": f"""WITH {PANEL_SQL}, x0 AS (SELECT t, day, code, o, round((c - o) / ((h - l) + 0.001), 9) AS x FROM panel WHERE code IN (SELECT DISTINCT code FROM panel ORDER BY code LIMIT 40)),
+        "evaluate_wide": f"""WITH {PANEL_SQL}, x0 AS (SELECT t, day, code, o, round((c - o) / ((h - l) + 0.001), 9) AS x FROM panel),
             f AS (SELECT t, day, code, x AS factor, CASE WHEN lead(o, 1) OVER a <> 0 THEN lead(o, 2) OVER a / lead(o, 1) OVER a - 1 END AS fwd FROM x0 WINDOW a AS (PARTITION BY code ORDER BY t)),
             p AS (SELECT * FROM f WHERE factor IS NOT NULL AND fwd IS NOT NULL), {IC_SQL}, q AS (SELECT *, CAST(floor((rn - 1) * 5 / cnt) + 1 AS INTEGER) AS grp FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY factor, code) AS rn, count(*) OVER (PARTITION BY t) AS cnt FROM p) WHERE cnt >= 5)
             SELECT q.t, grp, {_r('avg(fwd)', 'ret')}, {_r('any_value(ic)', 'ic')} FROM q LEFT JOIN ic USING (t) GROUP BY q.t, grp""",
@@ -747,8 +736,7 @@ def oracle_sql() -> dict[str, str]:
         "winsorized_zscore_ridge": ridge("""fw AS (SELECT t, y0, CASE WHEN c IS NOT NULL THEN least(greatest(c - o, quantile_cont(c - o, 0.01) OVER w), quantile_cont(c - o, 0.99) OVER w) END AS a, CASE WHEN vol IS NOT NULL THEN least(greatest(vol, quantile_cont(vol, 0.01) OVER w), quantile_cont(vol, 0.99) OVER w) END AS b FROM lab WINDOW w AS (PARTITION BY t)),
             fe AS (SELECT t, y0, (a - avg(a) OVER w) / nullif(stddev_pop(a) OVER w, 0) AS a, (b - avg(b) OVER w) / nullif(stddev_pop(b) OVER w, 0) AS b FROM fw WINDOW w AS (PARTITION BY t))"""),
         "manual_weights": f"WITH {PANEL_SQL} SELECT t, code, {_r('CASE WHEN c IS NOT NULL THEN 0.75 * (rank() OVER (PARTITION BY t, c IS NULL ORDER BY c - o) + (count(*) OVER (PARTITION BY t, c - o) - 1) / 2.0::DOUBLE) / count(c) OVER (PARTITION BY t) - 0.25 * (rank() OVER (PARTITION BY t, c IS NULL ORDER BY vol) + (count(*) OVER (PARTITION BY t, vol) - 1) / 2.0::DOUBLE) / count(c) OVER (PARTITION BY t) END', 'v')} FROM panel",
-        "expression_listing": "SELECT * FROM (VALUES ('rank_cs(c) + ts_mean(vol, 5)', 'c,vol', 'rank_cs,ts_mean'), ('np.log(amt / cap) * where(st == 1, 0, vwap)', 'amt,cap,st,vwap', 'np.log,where'), ('-1 * ts_corr(rank_cs(delta(vol, 2)), rank_cs((c - o) / o), 6)', 'c,o,vol', 'delta,rank_cs,ts_corr')) v(expression, symbols, operators)",
-        "market_cap_cells": f"WITH {PANEL_SQL} SELECT day, code, {_r('CASE WHEN cap > 0 THEN cap END', 'cap')} FROM panel WHERE t < 50",
+        "market_cap_cells": f"WITH {PANEL_SQL} SELECT day, code, {_r('CASE WHEN cap > 0 THEN cap END', 'cap')} FROM panel",
         "true_status_cells": f"WITH {PANEL_SQL} SELECT day, code, st FROM panel WHERE st",
         "repaired_status_tail": f"""WITH {PANEL_SQL}, x AS (SELECT day, code, l * (1 + vol / 400) AS up, l, st, CASE WHEN delisting THEN 4 WHEN st THEN 1 END AS event FROM panel WHERE c IS NOT NULL), ed AS (SELECT max(day) AS edge FROM x WHERE day < DATE '1998-01-05' AND st),
             ob AS (SELECT day, code, true AS observed FROM x, ed WHERE day = edge AND st UNION ALL SELECT day, code, CASE WHEN event IS NOT NULL THEN event <> 1 WHEN day < DATE '2000-01-03' AND NOT (code LIKE '30%' OR code LIKE '68%' OR code LIKE '4%' OR code LIKE '8%') AND (up / l - 1) * 100 BETWEEN 3.5 AND 6.5 THEN true
@@ -756,7 +744,7 @@ def oracle_sql() -> dict[str, str]:
             ca AS (SELECT day, code, coalesce(last_value(observed IGNORE NULLS) OVER (PARTITION BY code ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS status FROM ob)
             SELECT day, code, true AS status FROM x WHERE day < DATE '1998-01-05' AND st UNION ALL SELECT day, code, status FROM ca WHERE day >= DATE '1998-01-05' AND status""",
         "metric_maps": f"{ic} SELECT CAST(year(day) AS INTEGER) AS year, CAST(count(*) AS DOUBLE) AS days, CAST(NULL AS DOUBLE) AS none, 2 AS n FROM ic GROUP BY 1",
-        "industry_cells": f"WITH {PANEL_SQL} SELECT day, code, industry FROM panel WHERE code < '000020' AND industry IS NOT NULL",
+        "industry_cells": f"WITH {PANEL_SQL} SELECT day, code, industry FROM panel WHERE industry IS NOT NULL",
         "holding_references": "SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, CASE WHEN s_suppkey % 3 <> 0 THEN s_name WHEN s_suppkey % 2 = 0 THEN 'alias ' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') END AS name, CAST(n_regionkey AS VARCHAR) AS industry, n_name AS industry_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey",
         "limit_ratio": f"""WITH {PANEL_SQL}, a AS (SELECT t, code, c, count(c) OVER (PARTITION BY code ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k, min(CASE WHEN c IS NOT NULL THEN t END) OVER (PARTITION BY code) AS first FROM panel)
             SELECT t, code, CASE WHEN first > 0 AND c IS NOT NULL AND k <= 5 THEN NULL WHEN code LIKE '30%' OR code LIKE '68%' THEN 0.2::DOUBLE WHEN code LIKE '4%' OR code LIKE '8%' OR code LIKE '92%' THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END AS ratio FROM a""",
@@ -770,9 +758,9 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT day, code, {_r('CASE WHEN vol >= 5 THEN o END', 'o')}, {_r('CASE WHEN vol >= 5 THEN c END', 'c')}, {_r('CASE WHEN vol >= 5 THEN (h + l) / 2 END', 'vwap')} FROM x WHERE day >= DATE '2000-01-03'""",
         "industry_coverage": f"WITH {PANEL_SQL} SELECT industry, min(day) AS first_day, max(day) AS last_day, count(DISTINCT code) AS n_codes, count(*) AS n FROM panel WHERE industry IS NOT NULL AND c IS NOT NULL GROUP BY industry",
         "latest_run": f"WITH a AS (SELECT o_orderkey, o_custkey, o_orderdate, max(o_totalprice) AS p FROM orders GROUP BY 1, 2, 3) SELECT o_custkey, o_orderkey, {_r('p', 'o_totalprice')} FROM a QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
-        "job_status": """WITH r AS (SELECT o_custkey AS job, CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderkey % 17 = 0 THEN 'failed' WHEN o_orderstatus = 'P' THEN 'running' ELSE 'queued' END AS status FROM orders),
-            k AS (SELECT job, count(*) AS n, count(*) FILTER (WHERE status = 'done') AS n_done, count(*) FILTER (WHERE status = 'failed') AS n_failed, count(*) FILTER (WHERE status = 'running') AS n_running FROM r GROUP BY job)
-            SELECT job, n, n_done, n_failed, CASE WHEN n_failed > 0 THEN 'failed' WHEN n_done = n THEN 'done' WHEN n_done + n_running > 0 THEN 'running' ELSE 'queued' END AS status FROM k""",
+        "job_status": """WITH r AS (SELECT o_custkey AS job, CASE WHEN o_orderkey % 17 = 0 THEN 'failed' WHEN o_orderkey % 5 = 0 THEN 'cancelled' WHEN o_orderkey % 3 = 0 THEN 'skipped' WHEN o_orderstatus = 'F' THEN 'succeeded' WHEN o_orderstatus = 'P' THEN 'running' WHEN o_custkey % 2 = 0 THEN 'queued' ELSE 'succeeded' END AS status FROM orders)
+            SELECT job, count(*) AS n, count(*) FILTER (WHERE status NOT IN ('queued', 'running')) AS n_ended, count(*) FILTER (WHERE status = 'failed') AS n_failed,
+              CASE WHEN bool_or(status = 'running') THEN 'running' WHEN bool_or(status = 'queued') THEN 'queued' WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status = 'cancelled') THEN 'cancelled' ELSE 'succeeded' END AS status FROM r GROUP BY job""",
         "tagged_factors": "SELECT o_custkey AS factor FROM orders WHERE lower(trim(o_orderpriority)) IN ('1-urgent', '2-high') GROUP BY o_custkey HAVING count(DISTINCT lower(trim(o_orderpriority))) = 2",
         "holdings_page": f"""{q}, h AS (SELECT t, code, industry, CAST(row_number() OVER (PARTITION BY t ORDER BY factor DESC, code DESC) AS INTEGER) AS position, 1.0::DOUBLE / count(*) OVER (PARTITION BY t) AS weight FROM q WHERE grp = {GROUPS} AND day = DATE '1996-12-02')
             SELECT t, code, position, {_r('weight', 'weight')}, s_name AS name, r_name AS industry_name FROM h LEFT JOIN supplier ON lpad(CAST(s_suppkey AS VARCHAR), 6, '0') = code LEFT JOIN region ON CAST(r_regionkey AS VARCHAR) = industry WHERE position BETWEEN 3 AND 7""",

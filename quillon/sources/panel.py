@@ -133,7 +133,11 @@ def read_panel(spark: SparkSession, files: dict[str, str], symbols: list[str]) -
 
 
 def write_panel(rows: DataFrame, path: str, codec: str = "zstd", kind: str = "parquet") -> None:
-    """Write a table so that readers see all of it or none: to a folder beside, which then takes the place of the old one."""
+    """Write a table to a folder beside, which then takes the place of the old one, if there is one.
+
+    A reader finds a first table whole or not at all. For one that is overwritten while others read, commits.Table has
+    versions and no moment without one.
+    """
     spark = rows.sparkSession
     staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex[:12]}"
     if kind == "csv":

@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Iterable
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import SparkSession
 
 
-def _place(spark: SparkSession, path: str):
+def place(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def local(path: str) -> str:
+    """The path on this machine, of a path or URL of the local file system."""
+    return unquote(urlparse(path).path) if path.startswith("file:") else path
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """The text at path, None where there is none."""
-    fs, p = _place(spark, path)
+    fs, p = place(spark, path)
     if not fs.exists(p):
         return None
     stream = fs.open(p)
@@ -27,16 +34,21 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Written beside and renamed, so that a reader never sees half of it."""
-    fs, p = _place(spark, path)
-    _, beside = _place(spark, f"{path}.{uuid.uuid4().hex[:8]}.tmp")
-    out = fs.create(beside, True)
+    """Written beside and renamed over the old text in one step: readers see one or the other, also after a crash."""
+    fs, p = place(spark, path)
+    beside = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
+    _, new = place(spark, beside)
+    out = fs.create(new, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(beside, p):
-        raise OSError(f"could not write {path}")
+    if fs.getScheme() == "file":
+        os.replace(local(beside), local(path))
+        return
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = getattr(rename, "OVERWRITE")
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), conf).rename(new, p, options)
 
 
 def read_json(spark: SparkSession, path: str, otherwise=None):
@@ -65,12 +77,12 @@ def write_lines(spark: SparkSession, path: str, rows: Iterable[dict]) -> None:
 
 def claim(spark: SparkSession, path: str) -> bool:
     """Whether this caller is the one that made the file: a lock that one of several holds."""
-    fs, p = _place(spark, path)
+    fs, p = place(spark, path)
     return bool(fs.createNewFile(p))
 
 
 def release(spark: SparkSession, path: str) -> None:
-    fs, p = _place(spark, path)
+    fs, p = place(spark, path)
     fs.delete(p, False)
 
 
@@ -78,7 +90,7 @@ def signature(spark: SparkSession, paths: Iterable[str]) -> list[dict]:
     """Name, size and time of every file below paths: two equal signatures mean that nothing was written in between."""
     out = []
     for path in sorted(paths):
-        fs, p = _place(spark, path)
+        fs, p = place(spark, path)
         if not fs.exists(p):
             raise FileNotFoundError(path)
         files = fs.listFiles(p, True)

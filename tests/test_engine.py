@@ -236,7 +236,7 @@ def test_a_stored_library_admits_once_and_knows_when_its_matrix_is_old(spark, tm
     for bad in (("b", "c"), ("", "c"), ("flat", "c * 0"), ("x", "foo(c)")):
         with pytest.raises(ValueError):
             library.admit(*bad, rows, files)
-    assert [r["number"] for r in store.read_json(spark, str(tmp_path / "library/registry.json"))["factors"]] == [1, 2]
+    assert [r["number"] for r in library.registry.get()["factors"]] == [1, 2]
     rows.select("t", "code", F.col("o").alias("values")).write.mode("overwrite").parquet(files["o"])
     assert not library.valid(files) and library.matrix(rows, files).count() == 1 and library.valid(files)
 
@@ -324,25 +324,47 @@ def test_methods_resolve_and_version(rows):
     assert "cap" in pipeline.needed_columns("c - o", ["market_cap_neutralize", "rank_ic"])
 
 
-def test_newey_west_and_filters():
-    x = [0.01 * math.sin(k / 3) + 0.02 for k in range(80)]
-    got = ev.newey_west(x)
-    d = np.array(x) - np.mean(x)
-    cov = [d[: 80 - k] @ d[k:] / 80 for k in range(80)]
-    lrv = cov[0] + 2 * sum((1 - k / (got["lag"] + 1)) * cov[k] for k in range(1, got["lag"] + 1))
-    assert abs(got["se"] - math.sqrt(max(lrv, 0) / 80)) < 1e-12
-    for bad in ([1, 2], [1.0] * 9):
-        with pytest.raises(ValueError):
-            ev.newey_west(bad)
-    filters = ev.trend_filters(np.full(50, 0.3))
-    assert all(abs(v - 0.3).max() < 1e-9 for v in filters.values())
-    y = np.random.RandomState(1).randn(40)
-    a, low = 2 / 31, list(y[:3])
-    for i in range(3, 40):
-        low.append(2 * (1 - a) * low[-1] - (1 - a) ** 2 * low[-2] + (a - a * a / 4) * y[i - 1] + a * a / 2 * y[i - 2] - (a - 3 * a * a / 4) * y[i - 3])
-    assert np.abs(ev.trend_filters(y)["low_pass"] - low).max() < 1e-12
-    with pytest.raises(ValueError):
-        ev.trend_filters([1.0, 2.0, 3.0])
+def test_newey_west_of_many_series(spark):
+    rng = np.random.RandomState(4)
+    walk = np.cumsum(rng.randn(300)) / 10
+    made = {"waves": [0.01 * math.sin(k / 3) + 0.02 for k in range(80)], "noise": list(0.01 + rng.randn(400)), "slow": list(walk), "three": [1.0, 2.0, 4.0], "two": [1.0, 2.0], "flat": [1.0] * 9}
+    daily = spark.createDataFrame([(n, 3 * t, float(x)) for n, xs in made.items() for t, x in enumerate(xs)], "name string, t int, ic double")
+    for horizon in (1, 60):
+        got = {r.name: r for r in ev.newey_west(daily, ("name",), horizon).collect()}
+        assert set(got) == {"waves", "noise", "slow", "three"}
+        for name, r in got.items():
+            x = np.array(made[name])
+            n, d = len(x), x - x.mean()
+            cov = [d[: n - k] @ d[k:] / n for k in range(n)]
+            quiet = [abs(c / cov[0]) <= 2 / math.sqrt(n) for c in cov]
+            lag = next((k - 1 for k in range(1, n - 2) if quiet[k] and quiet[k + 1] and quiet[k + 2]), n - 1)
+            lag = min(max(lag, horizon - 1), n - 1)
+            lrv = cov[0] + 2 * sum((1 - k / (lag + 1)) * cov[k] for k in range(1, lag + 1))
+            assert (r.lag, r.n) == (lag, n) and abs(r.mean - x.mean()) < 1e-12 and abs(r.se - math.sqrt(max(lrv, 0) / n)) < 1e-9
+            assert r.se == 0 or abs(r.p - math.erfc(abs(r.t) / math.sqrt(2))) < 1e-9
+    assert got["slow"].lag > ev.LAGS_AT_FIRST
+
+
+def test_trend_curves_of_many_series(spark):
+    rng = np.random.RandomState(1)
+    made = {"long": rng.randn(333), "short": rng.randn(40), "flat": np.full(50, 0.3), "four": rng.randn(4), "three": rng.randn(3)}
+    day = pd.Timestamp("2020-01-01").date()
+    daily = spark.createDataFrame([(n, t, day + pd.Timedelta(days=t), float(x)) for n, xs in made.items() for t, x in enumerate(xs)], "name string, t int, day date, ic double")
+    got = ev.trend_table(daily, ("name",)).toPandas().sort_values("t")
+    assert set(got["name"]) == {"long", "short", "flat", "four"}
+    for name, rows in got.groupby("name"):
+        y, n = made[name], len(made[name])
+        p = (0.01 + math.sqrt(0.0001 + 0.04)) / 2
+        level, kalman, low, a = y[0], [], list(y[:3]), 2 / 31
+        for i, v in enumerate(y):
+            level += p / (p + 1) * (v - level)
+            kalman.append(level)
+            if i >= 3:
+                low.append(2 * (1 - a) * low[-1] - (1 - a) ** 2 * low[-2] + (a - a * a / 4) * y[i - 1] + a * a / 2 * y[i - 2] - (a - 3 * a * a / 4) * y[i - 3])
+        wave = np.fft.rfft(y)
+        wave[np.fft.rfftfreq(n) > 1 / 31] = 0
+        for c, want in (("kalman", kalman), ("low_pass", low), ("fourier", np.fft.irfft(wave, n))):
+            assert np.abs(rows[c].to_numpy() - want).max() < 1e-9, (name, c)
 
 
 def test_days_are_numbered_without_gaps(spark):

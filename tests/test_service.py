@@ -15,8 +15,9 @@ def test_tags_and_queue(spark):
     tags = spark.createDataFrame([("a", "X"), ("a", "y "), ("b", "\uff38"), ("c", "z"), ("d", None)], "factor string, tag string")
     assert [r.factor for r in service.tagged(tags, ["x", "Y"]).collect()] == ["a"]
     assert sorted(r.factor for r in service.tagged(tags, ["x", "z"], "any").collect()) == ["a", "b", "c"]
-    runs = spark.createDataFrame([(1, "queued", 0, 5), (2, "queued", 3, 9), (3, "queued", 3, 7), (4, "done", 9, 1)], "run int, status string, priority int, created int")
-    assert service.next_run(runs).first().run == 3
+    runs = spark.createDataFrame([(1, "a", "queued", 5), (2, "b", "queued", 9), (3, "b", "queued", 7), (4, "b", "succeeded", 1)], "run int, job string, status string, created int")
+    jobs = spark.createDataFrame([("a", "cancelled"), ("b", "running")], "job string, status string")
+    assert service.next_run(runs, jobs).first().run == 3
     daily = spark.createDataFrame([("r", 2, 0.5), ("r", 1, 0.25)], "run string, t int, ic double")
     assert [r.total for r in service.cumulative_ic(daily).orderBy("t").collect()] == [0.25, 0.75]
 
