@@ -131,7 +131,7 @@ def gram(wide: DataFrame, names: list[str], by: str | None = None) -> DataFrame:
                 # Below what rounding leaves of a constant, there is no spread.
                 ok = (n >= 3) & (va > FLAT * np.maximum(saa, FLAT)) & (vb > FLAT * np.maximum(sbb, FLAT))
                 rho = np.clip(cov / np.sqrt(np.where(ok, va * vb, 1.0)), -1, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(keep.sum(), key), pa.int32()), pa.array([names[k] for k in left[keep]]), pa.array([names[k] for k in right[keep]]), pa.array(n[keep].astype(np.int64)), pa.array(rho[keep], pa.float64(), mask=~ok[keep])], ["_by", "f1", "f2", "n", "rho"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(keep.sum(), key), pa.int32()), pa.array([names[k] for k in left[keep]], pa.string()), pa.array([names[k] for k in right[keep]], pa.string()), pa.array(n[keep].astype(np.int64)), pa.array(rho[keep], pa.float64(), mask=~ok[keep])], ["_by", "f1", "f2", "n", "rho"])
 
     kind = "_by int, i int, j int, sums binary"
     sums = rows.mapInArrow(run, kind)
