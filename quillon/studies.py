@@ -77,7 +77,7 @@ def _gates(spark, d):
             rows.append((name, r["standard"], r["passed"], m.get("ic_mean"), m.get("nw_p"), m.get("above_every_lower"), m.get("sharpe_60_median"), m.get("annualized")))
     scratch.forget(panel)
     out = spark.createDataFrame(rows, "name string, standard string, passed boolean, ic_mean double, nw_p double, leads boolean, sharpe double, annualized double")
-    return out.select("name", "standard", "passed", r6(F.col("ic_mean"), "ic_mean"), r6(F.col("nw_p"), "nw_p"), "leads", r6(F.col("sharpe"), "sharpe"), r6(F.ln(1 + F.col("annualized")), "log_annualized"))
+    return out.select("name", "standard", "passed", r6(F.col("ic_mean"), "ic_mean"), r6(F.col("nw_p"), "nw_p"), "leads", r6(F.col("sharpe"), "sharpe"), r6(F.when(F.col("annualized") > -0.9, F.ln(1 + F.col("annualized"))), "log_annualized"))
 
 
 def _gates_sql() -> str:
@@ -100,7 +100,7 @@ def _gates_sql() -> str:
     blocks = "bl AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY block) AS k FROM (SELECT ret, CAST(floor((row_number() OVER (ORDER BY t) - 1) / 60) AS INTEGER) AS block FROM net WHERE grp = 10)) WHERE k = 60)"
     one = f"""SELECT 'ic_test' AS standard, ic_mean > {LEAST_IC} AND p < {LEVEL} AS passed, {_r('ic_mean', 'ic_mean')}, {_r('p', 'nw_p')}, CAST(NULL AS BOOLEAN) AS leads, CAST(NULL AS DOUBLE) AS sharpe, CAST(NULL AS DOUBLE) AS log_annualized
           FROM (WITH {ic}, {IC_SQL}, {significance} SELECT mean AS ic_mean, {tail} AS p FROM tt)
-        UNION ALL SELECT 'profitability_test', leads AND (coalesce(sharpe >= {LEAST_SHARPE}, false) OR coalesce(exp(la) - 1 > {LEAST_RETURN}, false)), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), leads, {_r('sharpe', 'sharpe')}, {_r('la', 'la')}
+        UNION ALL SELECT 'profitability_test', leads AND (coalesce(sharpe >= {LEAST_SHARPE}, false) OR coalesce(exp(la) - 1 > {LEAST_RETURN}, false)), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), leads, {_r('sharpe', 'sharpe')}, {_r('CASE WHEN la > ln(0.1) THEN la END', 'la')}
           FROM (WITH {profit}, {GROUPS_SQL}, {NET_SQL}, {blocks}, gm AS (SELECT grp, avg(ret) AS m FROM net GROUP BY grp)
             SELECT (SELECT max(m) FILTER (WHERE grp = {GROUPS}) > max(m) FILTER (WHERE grp < {GROUPS}) FROM gm) AS leads, (SELECT median(s) FROM (SELECT avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) AS s FROM bl GROUP BY block)) AS sharpe,
               (SELECT ln(product(1 + ret)) * 252.0::DOUBLE / (SELECT count(DISTINCT t) FROM net) FROM net WHERE grp = {GROUPS}) AS la)"""
@@ -165,7 +165,7 @@ def _increments(spark, d):
         part = rows.where((F.col("day") >= F.lit(lo).cast("date")) & (F.col("day") < F.lit(hi).cast("date")))
         part = part.withColumn("pre_close", F.when(F.row_number().over(first) == 1, F.col("o") * 1.1)).withColumn("adj", F.lit(1.0)).withColumn("suspended", F.col("vol") < 5)
         store.add(part)
-    return store.scan().select("day", "code", *[r6(F.col(c), c) for c in ("o", "c", "vwap")])
+    return store.scan().select("day", "code", *[r6(F.ln(c), c) for c in ("o", "c", "vwap")])
 
 
 def _increments_sql() -> str:
@@ -174,7 +174,7 @@ def _increments_sql() -> str:
     for k in (1, 2, 3):
         parts.append(f"k{k} AS (SELECT code, pre / last AS k FROM (SELECT code, arg_max(c, day) AS last FROM m{k - 1} WHERE inc < {k} AND c IS NOT NULL GROUP BY code) JOIN (SELECT code, arg_min(o, day) * 1.1 AS pre FROM x WHERE inc = {k} GROUP BY code) USING (code) WHERE last <> 0 AND pre > 0)")
         parts.append(f"m{k} AS (SELECT day, code, inc, o * f AS o, h * f AS h, l * f AS l, c * f AS c FROM (SELECT m{k - 1}.*, CASE WHEN inc < {k} THEN coalesce(k, 1) ELSE 1 END AS f FROM m{k - 1} LEFT JOIN k{k} USING (code)))")
-    return ", ".join(parts) + f" SELECT day, code, {_r('o', 'o')}, {_r('c', 'c')}, {_r('(h + l) / 2', 'vwap')} FROM m3"
+    return ", ".join(parts) + f" SELECT day, code, {_r('ln(o)', 'o')}, {_r('ln(c)', 'c')}, {_r('ln((h + l) / 2)', 'vwap')} FROM m3"
 
 
 def _gate_table(spark, d):
