@@ -42,9 +42,9 @@ def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("quillon").getOrCreate()
     if args.command == "query":
-        from quillon.queries import queries
+        from quillon import queries, studies
 
-        rows = queries()[args.name](spark, args.tables)
+        rows = {**queries.queries(), **studies.queries()}[args.name](spark, args.tables)
         rows.write.parquet(args.to) if args.to else rows.show(50, False)
         return
     from quillon.operators import models, pipeline, search
