@@ -217,3 +217,31 @@ def test_presence_of_pieces_equals_plain_sets(monkeypatch, table):
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "some text", None), (2, None, None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in language.predict(docs, language.train(docs)).collect()] == [("und", 0.0)] * 2
+
+
+def test_line_dedup_with_one_line_in_a_third_of_all_rows(spark, monkeypatch):
+    from quillon.llm import line_dedup
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    run = "\n".join(" ".join(word() for _ in range(20)) for _ in range(4))
+    texts = ["\n\n".join(" ".join(word() for _ in range(6)) for _ in range(rng.randint(1, 8))) + ("\n" + run if k % 9 == 0 else "") + "\n\n\n" for k in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = {r.doc_id: r.text for r in line_dedup.delete_repeats(docs).collect()}
+    monkeypatch.setattr(line_dedup, "HOT_LEAST", 20)
+    monkeypatch.setattr(line_dedup, "HOT_KEYS", 50)
+    hot = {r.doc_id: r.text for r in line_dedup.delete_repeats(docs).collect()}
+    assert hot == plain and run in hot[0] and all(run not in hot[k] for k in range(9, 150, 9)) and all(hot[k] == texts[k] for k in range(150) if k % 9)
+
+
+def test_nearest_neighbours_with_clashing_columns(spark, tmp_path):
+    rng = np.random.RandomState(2)
+    vectors = rng.randn(300, 8)
+    rows = [(k, [float(x) for x in v], 0) for k, v in enumerate(vectors)] + [(1000, None, 0), (1001, [0.0] * 8, 0), (1020, [float("nan")] * 8, 0), (1040, [1.0, None] + [0.0] * 6, 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    frame.withColumns({c: F.lit("x") for c in ("id", "leaf", "part", "query_id", "rank", "score", "v", "h", "n", "norm", "item", "key", "neighbours")}).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries()["op2_nearest_neighbours"](spark, str(tmp_path)).collect()
+    truth = {k: set(np.argsort(-(vectors @ vectors[k]), kind="stable")[:21].tolist()) - {k} for k in range(0, 300, 20)}
+    assert {r.query_id for r in got} == set(truth) and all(r.vec_id < 300 for r in got)
+    hits = sum(r.vec_id in truth[r.query_id] for r in got)
+    assert hits >= 0.9 * 20 * len(truth) and all(abs(r.score - vectors[r.query_id] @ vectors[r.vec_id]) < 1e-5 for r in got)
