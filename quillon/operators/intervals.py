@@ -18,6 +18,8 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, start: str,
     buckets at most, however long it is; a point looks into one bucket of each level that occurs. Levels are as few as
     the powers of two up to the longest interval, so what is shuffled does not grow with the intervals' lengths.
     Intervals without a start, without a stop or with a stop before the start hold nothing. how: inner, left_semi or left_anti.
+    A file's size says little about its rows in buckets, so neither side is broadcast by it; points that are few whatever
+    the input may be marked with F.broadcast.
     """
     if how not in ("inner", "left_semi", "left_anti"):
         raise ValueError("how must be inner, left_semi or left_anti")
@@ -36,7 +38,7 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, start: str,
     looks = points.withColumn("_v", value)
     buckets = [F.struct(F.lit(k).cast("int").alias("_level"), F.shiftright("_v", k).alias("_bucket")) for k in levels]
     looks = looks.withColumn("_look", F.explode(F.array(*buckets)) if buckets else F.lit(None).cast("struct<_level:int,_bucket:bigint>"))
-    a, b = looks.alias("a"), spans.select(*keys, "_level", "_bucket", "_lo", "_hi", *[c for c in intervals.columns if c not in keys]).alias("b")
+    a, b = looks.alias("a"), spans.select(*keys, "_level", "_bucket", "_lo", "_hi", *[c for c in intervals.columns if c not in keys]).hint("merge").alias("b")
     on = (F.col("a._look._level") == F.col("b._level")) & (F.col("a._look._bucket") == F.col("b._bucket")) & F.col("a._v").between(F.col("b._lo"), F.col("b._hi"))
     for k in keys:
         on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
@@ -45,4 +47,4 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, start: str,
     # A point looks into several buckets, so what it finds is gathered by its own number.
     marked = points.withColumn("_id", F.monotonically_increasing_id())
     hits = interval_join(marked, intervals.select(*keys, start, stop), at, start, stop, keys).select("_id").distinct()
-    return marked.join(hits, "_id", how).select(*points.columns)
+    return marked.join(hits.hint("merge"), "_id", how).select(*points.columns)

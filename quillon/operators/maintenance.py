@@ -56,7 +56,7 @@ def interval_days(intervals: DataFrame, calendar: DataFrame) -> DataFrame:
 
     Days and intervals meet in buckets (see interval_join): what is shuffled does not grow with the intervals' lengths.
     """
-    found = interval_join(calendar.select("day").distinct(), intervals.select("code", "start", "stop"), "day", "start", "stop")
+    found = interval_join(F.broadcast(calendar.select("day").distinct()), intervals.select("code", "start", "stop"), "day", "start", "stop")
     return found.select("day", "code").distinct()
 
 

@@ -147,6 +147,17 @@ def test_interval_join_equals_comparing_all(spark):
         intervals.interval_join(p, s, "day", "lo", "hi", how="cross")
 
 
+def test_interval_join_broadcasts_neither_side_by_the_size_of_a_file(spark, tmp_path):
+    spark.range(2000).selectExpr("id as point", "id % 50 as code", "date_add(date'2024-01-01', cast(id % 90 as int)) as day").write.parquet(str(tmp_path / "p"))
+    p = spark.read.parquet(str(tmp_path / "p"))
+    s = p.select("code", F.col("point").alias("span"), F.col("day").alias("lo"), F.date_add("day", 9).alias("hi"))
+    for how in ("inner", "left_anti"):
+        plan = intervals.interval_join(p, s, "day", "lo", "hi", ["code"], how)._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    few = intervals.interval_join(F.broadcast(p), s, "day", "lo", "hi", ["code"])._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in few
+
+
 def test_increments_equal_merging_and_leave_old_files_alone(spark, tmp_path):
     rng = random.Random(3)
     day = lambda k: DAY + datetime.timedelta(days=k)
