@@ -80,7 +80,7 @@ def calc_group_returns(frame: DataFrame, group_col: str = "group", ret_col: str
 
 
 def evaluate_wide(factor_wide: DataFrame, open_wide: DataFrame, horizon: int = 1, n_quantiles: int = 10, decay: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """IC, group returns and the summary of both from two tables with a column for each code; opens give days and codes."""
+    """IC, group returns and the summary of both from two wide tables (see panel.wide_to_long); opens give days and codes."""
     from quillon.functions.rolling import run_decay
     from quillon.operators.labels import forward_open_return
     from quillon.sources.panel import numbered_days, wide_to_long

@@ -216,8 +216,7 @@ def _group_returns(spark, d):
 
 def _evaluate_wide(spark, d):
     panel = factor(weekly_panel(spark, d), FACTOR).select("day", "code", "o", F.round("factor", 9).alias("factor"))
-    codes = [r.code for r in panel.select("code").distinct().orderBy("code").collect()]
-    wide = lambda c: panel.groupBy("day").pivot("code", codes).agg(F.first(c))
+    wide = lambda c: source.long_to_wide(panel, c)
     ic, groups, _ = ev.evaluate_wide(wide("factor"), wide("o"), 1, 5)
     return groups.join(ic.select("t", "ic"), "t", "left").select("t", "grp", r6(F.col("ret"), "ret"), r6(F.col("ic"), "ic"))
 

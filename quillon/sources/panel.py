@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from quillon.functions.texts import normalized_code, to_day
 
@@ -82,8 +83,21 @@ def unique_cells(cells: DataFrame, what: str) -> DataFrame:
     return cells
 
 
+def long_to_wide(rows: DataFrame, value: str) -> DataFrame:
+    """(day, part, cells): rows of (day, code, value) in the wide form for any number of codes.
+
+    A column for each code makes a plan that grows with the codes. Here a day has a row for each part, the codes that
+    differ in their last three figures only, and cells maps them to their values, missing ones too. A code given twice
+    on a day is an error.
+    """
+    part = F.expr("substring(code, 1, length(code) - 3)").alias("part")
+    return rows.where("code is not null").groupBy("day", part).agg(F.map_from_entries(F.collect_list(F.struct("code", value))).alias("cells"))
+
+
 def wide_to_long(wide: DataFrame, value: str = "values") -> DataFrame:
-    """(day, code, value) from a table with a column for each code."""
+    """(day, code, value) from a table with a column for each code, or with a map cells (see long_to_wide)."""
+    if "cells" in wide.columns and isinstance(wide.schema["cells"].dataType, MapType):
+        return wide.select("day", F.explode("cells").alias("code", value))
     return wide.unpivot("day", [c for c in wide.columns if c != "day"], "code", value)
 
 
@@ -91,14 +105,16 @@ INDUSTRY_LONG = ("trade_date", "security_code", "industry_l1_code")
 
 
 def industry_cells(frame: DataFrame, zone: str | None = None) -> DataFrame:
-    """(day, code, industry) of a long table (trade_date, security_code, industry_l1_code) or of one with a column a code.
+    """(day, code, industry) of a long table (trade_date, security_code, industry_l1_code) or of a wide one (see wide_to_long).
 
     Classifications hold for their own day only; blank ones are missing; a cell given twice is an error.
     """
     if set(INDUSTRY_LONG) <= set(frame.columns):
         rows = frame.select(F.col(INDUSTRY_LONG[0]).alias("day"), F.col(INDUSTRY_LONG[1]).cast("string").alias("code"), F.col(INDUSTRY_LONG[2]).cast("string").alias("industry"))
     else:
-        rows = wide_to_long(frame.select(*[F.col(f"`{c}`") if c == "day" else F.col(f"`{c}`").cast("string").alias(c) for c in frame.columns]), "industry")
+        plain = any(isinstance(f.dataType, MapType) for f in frame.schema.fields)
+        texts = frame if plain else frame.select(*[F.col(f"`{c}`") if c == "day" else F.col(f"`{c}`").cast("string").alias(c) for c in frame.columns])
+        rows = wide_to_long(texts, "industry").withColumn("industry", F.col("industry").cast("string"))
     rows = unique_cells(checked_codes(rows.withColumn("day", to_day(F.col("day"), zone))), "industry")
     return rows.withColumn("industry", F.trim("industry")).where("industry <> ''")
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon import __main__ as cli
+from quillon import queries
 from quillon.operators import pipeline, service
 from quillon.sources import panel as source
 
@@ -36,6 +37,27 @@ def test_panel_from_files(spark, tmp_path):
     assert source.duplicate_cells(source.wide_to_long(wide.union(wide))).count() == 2
 
 
+def test_wide_tables_of_many_codes_are_maps_in_parts(spark):
+    rows = spark.createDataFrame([(f"2024-01-0{d}", f"{c:06d}", None if c % 7 == 0 else f"{c}-{d}") for d in (1, 2) for c in range(2500)], "day string, code string, x string")
+    wide = source.long_to_wide(rows, "x")
+    # The plan's width does not grow with the codes, and no row holds more than a thousand.
+    assert wide.columns == ["day", "part", "cells"] and sorted(len(r.cells) for r in wide.collect()) == [500, 500, 1000, 1000, 1000, 1000]
+    assert sorted(source.wide_to_long(wide, "x").collect(), key=str) == sorted(rows.collect(), key=str)
+    assert source.industry_cells(wide).count() == 2 * 2142
+    with pytest.raises(ValueError):
+        source.industry_cells(wide.union(wide))
+
+
+@pytest.mark.parametrize("name", ["_evaluate_wide"])
+def test_wide_queries_do_not_make_a_column_a_code(spark, monkeypatch, name):
+    widths = []
+    for at, f in ((queries.source, "industry_cells"), (queries.ev, "evaluate_wide")):
+        inner = getattr(at, f)
+        monkeypatch.setattr(at, f, lambda *a, inner=inner, **kw: (widths.extend(len(x.columns) for x in a if hasattr(x, "columns")), inner(*a, **kw))[1])
+    assert getattr(queries, name)(spark, "/root/testdata/sf0.001").count() > 0
+    assert widths and max(widths) == 3
+
+
 def test_command_line(spark, capsys):
     cli.main(["--tables", "/root/testdata/sf0.001", "evaluate", "c - o", "--methods", "industry_neutralize,rank_ic,rank_icir", "--first", "1996-01-01", "--last", "1999-01-01"])
     assert "ic_mean" in capsys.readouterr().out
