@@ -13,6 +13,7 @@ from quillon.operators import evaluation as ev
 from quillon.operators import correlation, cycles, labels, maintenance, models, research, service, transforms
 from quillon.plans.expression import factor
 from quillon.sources import panel as source
+from quillon.sources import scratch
 from quillon.sources.panel import weekly_panel
 
 FACTOR = "(c - o) / ((h - l) + 0.001)"
@@ -334,9 +335,8 @@ def _metric_maps(spark, d):
 
 def _industry_cells(spark, d):
     rows = weekly_panel(spark, d, ("t", "day", "code", "industry"))
-    codes = [r.code for r in rows.select("code").distinct().orderBy("code").collect()]
-    wide = rows.groupBy("day").pivot("code", codes).agg(F.first("industry"))
-    return source.industry_cells(wide)
+    # The checks read it as well as the result.
+    return source.industry_cells(scratch.stored(source.long_to_wide(rows, "industry"), "industry_wide"))
 
 
 def _references(spark, d):

@@ -48,7 +48,7 @@ def test_wide_tables_of_many_codes_are_maps_in_parts(spark):
         source.industry_cells(wide.union(wide))
 
 
-@pytest.mark.parametrize("name", ["_evaluate_wide"])
+@pytest.mark.parametrize("name", ["_evaluate_wide", "_industry_cells"])
 def test_wide_queries_do_not_make_a_column_a_code(spark, monkeypatch, name):
     widths = []
     for at, f in ((queries.source, "industry_cells"), (queries.ev, "evaluate_wide")):
