@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -228,36 +229,41 @@ def opens_for(rows: DataFrame, sample: DataFrame, horizon: int = 1) -> DataFrame
     return rows.where(F.col("t") <= F.lit(-1 if last is None else last + horizon + 1))
 
 
-def _ranks(x: np.ndarray) -> np.ndarray:
-    """Average-tie ranks from 1 along each row; nan ranks last and means nothing."""
-    order = np.argsort(x, axis=1, kind="stable")
-    s = np.take_along_axis(x, order, axis=1)
-    at = np.arange(x.shape[1])
-    new = np.ones(x.shape, bool)
-    new[:, 1:] = s[:, 1:] != s[:, :-1]
-    first = np.maximum.accumulate(np.where(new, at, 0), axis=1)
-    ends = np.ones(x.shape, bool)
-    ends[:, :-1] = new[:, 1:]
-    last = np.minimum.accumulate(np.where(ends, at, x.shape[1])[:, ::-1], axis=1)[:, ::-1]
-    out = np.empty(x.shape)
-    np.put_along_axis(out, order, (first + last) / 2 + 1, axis=1)
-    return out
+#: Signal days and horizons of a piece, which one task holds for all codes; cells of a table of days by codes made at once.
+SIGNALS_AT_ONCE, HORIZONS_AT_ONCE, CELLS_AT_ONCE = 16, 32, 2**21
 
 
 def _rank_correlations(values: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """The rank correlation of values with each row of labels over the cells finite in both; nan where it is not defined.
 
-    Values are ranked once for each distinct set of cells.
+    Values are sorted once: the rank of one among some of the cells follows from how many of those stand before its ties
+    and up to their end.
     """
-    both = np.isfinite(labels) & np.isfinite(values)
-    b = np.where(both, _ranks(np.where(both, labels, np.nan)), 0.0)
-    kinds, which = np.unique(both, axis=0, return_inverse=True)
-    a = _ranks(np.where(kinds, values, np.nan))[which.reshape(-1)]
-    a[~both] = 0.0
-    n = both.sum(axis=1)
-    va, vb = n * (a * a).sum(axis=1) - a.sum(axis=1) ** 2, n * (b * b).sum(axis=1) - b.sum(axis=1) ** 2
-    ok = (n >= 3) & (va > 0) & (vb > 0)
-    return np.where(ok, (n * (a * b).sum(axis=1) - a.sum(axis=1) * b.sum(axis=1)) / np.sqrt(np.where(ok, va * vb, 1.0)), np.nan)
+    order = np.argsort(values)
+    order = order[np.isfinite(values[order])]
+    v, out = values[order], np.full(len(labels), np.nan)
+    if len(v) < 3:
+        return out
+    starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    sizes = np.diff(np.append(starts, len(v)))
+    for k, row in enumerate(labels):
+        y = row[order]
+        there = np.isfinite(y)
+        upto = np.concatenate([[0], np.cumsum(there)])
+        n = int(upto[-1])
+        if n < 3:
+            continue
+        a = np.repeat((upto[starts] + upto[starts + sizes] + 1) / 2, sizes)[there] - (n + 1) / 2
+        y = y[there]
+        at = np.argsort(y)
+        y = y[at]
+        ties = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
+        many = np.diff(np.append(ties, n))
+        b = np.repeat(ties + (many + 1) / 2, many) - (n + 1) / 2
+        va, vb = a @ a, b @ b
+        if va > 0 and vb > 0:
+            out[k] = (a[at] @ b) / np.sqrt(va * vb)
+    return out
 
 
 def horizon_decay(rows: DataFrame, first: int = 20, last: int = 252, opens: DataFrame | None = None) -> DataFrame:
@@ -266,50 +272,76 @@ def horizon_decay(rows: DataFrame, first: int = 20, last: int = 252, opens: Data
     opens: (t, code, o) of the days that may be traded on, those of rows by default; a sample gives those up to its end.
     Only days early enough for the longest horizon can count; that there is none is an error.
 
-    Days are cut into blocks of half the longest horizon. A block gets its factor values once, and the opens of its days
-    and of those that its labels reach: three or four copies of an open in all, whatever the number of horizons. A task
-    holds a block's opens as a table of days by codes, from which each day's labels are read and ranked.
+    A code's values are one row, cut into pieces of SIGNALS_AT_ONCE signal days and HORIZONS_AT_ONCE horizons. A piece
+    holds the factor and the entry of its days and the opens that its labels reach, of all codes: as many numbers a code
+    whatever the calendar, so tasks are as many as pieces and none holds a code's whole series beside all others.
     """
     if not 1 <= first <= last:
         raise ValueError("the horizons must be whole numbers of 1 or more, the first no larger than the last")
-    opens = rows if opens is None else opens
-    ends = rows.agg(F.min(F.when(F.col("factor").isNotNull(), F.col("t"))).alias("begin")).crossJoin(opens.agg(F.max("t").alias("end"))).first()
+    begin, end = F.min(F.when(F.col("factor").isNotNull(), F.col("t"))).alias("begin"), F.max("t").alias("end")
+    ends = (rows.agg(begin, end) if opens is None else rows.agg(begin).crossJoin(opens.agg(end))).first()
     if ends.begin is None or ends.end is None or ends.begin + 1 + last > ends.end:
         raise ValueError(f"no signal day supports the horizon of {last} days")
-    end, size = ends.end, max(2, (last + 1) // 2)
-    live = rows.where(finite(F.col("factor")).isNotNull() & (F.col("t") <= end - last - 1)).select(F.floor(F.col("t") / size).cast("int").alias("block"), "t", "code", F.col("factor").cast("double").alias("factor"), F.lit(None).cast("double").alias("o"))
-    # Day t is entered or left by signals of days t - 1 - last to t - 1.
-    reach = F.sequence(F.greatest(F.floor((F.col("t") - 1 - last) / size), F.lit(0)).cast("int"), F.floor((F.col("t") - 1) / size).cast("int"))
-    prices = opens.where(finite(F.col("o")).isNotNull() & (F.col("t") >= 1)).select(F.explode(reach).alias("block"), "t", "code", F.lit(None).cast("double").alias("factor"), F.col("o").cast("double").alias("o"))
+    begin, end, days, many = ends.begin, ends.end, SIGNALS_AT_ONCE, HORIZONS_AT_ONCE
+    final = end - last - 1
+    value, price = F.when(F.col("t") <= final, finite(F.col("factor").cast("double"))), finite(F.col("o").cast("double"))
+    none = F.lit(None).cast("double")
+    if opens is None:
+        cells = rows.select("code", "t", value.alias("factor"), price.alias("o"))
+    else:
+        cells = rows.select("code", "t", value.alias("factor"), none.alias("o")).unionByName(opens.select("code", "t", none.alias("factor"), price.alias("o")))
+    cells = cells.where((F.col("t") >= begin) & (F.col("factor").isNotNull() | F.col("o").isNotNull()))
+    series = cells.groupBy("code").agg(*[F.collect_list(F.when(F.col(c).isNotNull(), F.struct("t", F.col(c).alias("x")))).alias(c) for c in ("factor", "o")]).where(F.size("factor") > 0).select("factor", "o")
+    spans = [(s, h) for s in range(begin, final + 1, days) for h in range(first, last + 1, many)]
+
+    def dense(lists: pa.ListArray, width: int) -> np.ndarray:
+        """A row of width days from begin for each list of (t, x)."""
+        out, flat = np.full((len(lists), width), np.nan), lists.flatten()
+        at = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        out[at, flat.field("t").to_numpy() - begin] = flat.field("x").to_numpy(zero_copy_only=False)
+        return out
+
+    def as_list(x: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).reshape(-1)))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = end - begin + 1
+        # Room behind the end, where the last pieces look at days that no label of theirs reaches.
+        room = days + many
+        step = max(1, CELLS_AT_ONCE // (width + room))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                f, o = (dense(part.column(c), width + room) for c in range(2))
+                for k, (s, h) in enumerate(spans):
+                    i = s - begin
+                    keep = np.isfinite(f[:, i : i + days]).any(axis=1)
+                    if keep.any():
+                        arrays = [as_list(x) for x in (f[keep, i : i + days], o[keep, i + 1 : i + 1 + days], o[keep, i + 1 + h : i + h + days + many])]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), k, np.int32)), *arrays], ["piece", "factor", "entry", "leave"])
 
     def curves(table: pa.Table) -> pa.Table:
-        t, o, f = (table.column(c).to_numpy() for c in ("t", "o", "factor"))
-        codes = table.column("code").combine_chunks().dictionary_encode().indices.to_numpy()
-        signals = np.unique(t[np.isfinite(f)])
+        s0, h0 = spans[table.column("piece")[0].as_py()]
+        n = table.num_rows
+        # Days by codes; a column at a time, so that its lists can go.
+        factor, entry, leave = (np.concatenate([np.ascontiguousarray(c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1).T) for c in table.column(name).chunks], axis=1) for name in ("factor", "entry", "leave"))
         out_t, out_h, out_ic = [], [], []
-        if len(signals):
-            base = int(signals[0])
-            width = int(codes.max()) + 1
-            price = np.full((int(t.max()) - base + 1, width), np.nan)
-            there = np.isfinite(o) & (t >= base)
-            price[t[there] - base, codes[there]] = o[there]
-            factor = np.full((int(signals[-1]) - base + 1, width), np.nan)
-            there = np.isfinite(f)
-            factor[t[there] - base, codes[there]] = f[there]
-            for s in signals.tolist():
-                entry, leave = s - base + 1, price[s - base + 1 + first : s - base + 2 + last]
-                if len(leave) < last - first + 1:
-                    continue
-                cells = np.isfinite(factor[s - base])
-                start = np.where(price[entry] != 0, price[entry], np.nan)[cells]
-                ic = _rank_correlations(factor[s - base][cells], np.round(leave[:, cells] / start - 1, 9))
-                if np.isfinite(ic).all():
-                    out_t += [s] * len(ic)
-                    out_h += range(first, last + 1)
-                    out_ic += ic.tolist()
+        step = max(1, CELLS_AT_ONCE // n)
+        for k in range(min(days, final + 1 - s0)):
+            there = np.isfinite(factor[k]) & np.isfinite(entry[k]) & (entry[k] != 0)
+            x, start = factor[k][there], entry[k][there]
+            for j in range(0, min(many, last + 1 - h0), step):
+                to = min(j + step, many, last + 1 - h0)
+                ic = _rank_correlations(x, np.round(leave[k + j : k + to, there] / start - 1, 9))
+                good = np.flatnonzero(np.isfinite(ic))
+                out_t += [s0 + k] * len(good)
+                out_h += (good + h0 + j).tolist()
+                out_ic += ic[good].tolist()
         return pa.table({"t": pa.array(out_t, pa.int32()), "horizon": pa.array(out_h, pa.int32()), "ic": pa.array(out_ic, pa.float64())})
 
-    daily = live.unionByName(prices).groupBy("block").applyInArrow(curves, "t int, horizon int, ic double")
+    cut = series.mapInArrow(pieces, "piece int, factor array<double>, entry array<double>, leave array<double>")
+    daily = cut.groupBy("piece").applyInArrow(curves, "t int, horizon int, ic double")
+    daily = daily.withColumn("_k", F.count(F.lit(1)).over(W.partitionBy("t"))).where(F.col("_k") == last - first + 1)
     return daily.groupBy("horizon").agg(F.avg("ic").alias("mean_ic"), F.count(F.lit(1)).alias("n_days"))
 
 

@@ -158,6 +158,25 @@ def test_interval_join_broadcasts_neither_side_by_the_size_of_a_file(spark, tmp_
     assert "BroadcastHashJoin" in few
 
 
+def test_horizon_decay_in_small_pieces_equals_ranking_each_day(spark, monkeypatch):
+    rng = np.random.RandomState(5)
+    cells = [(t, f"{c:06d}", None if rng.rand() < 0.1 else float(rng.randint(6)), None if rng.rand() < 0.1 else float(rng.randint(12))) for t in range(3, 33) for c in range(40) if rng.rand() < 0.95]
+    rows = spark.createDataFrame(cells, "t int, code string, factor double, o double")
+    for name, value in (("SIGNALS_AT_ONCE", 4), ("HORIZONS_AT_ONCE", 3), ("CELLS_AT_ONCE", 60)):
+        # Bounds of what a task holds, whatever the number of days and horizons.
+        assert getattr(ev, name) > 0
+        monkeypatch.setattr(ev, name, value)
+    f, o, ics = {(t, c): x for t, c, x, _ in cells}, {(t, c): x for t, c, _, x in cells}, {}
+    for t in range(3, 32 - 8 - 1 + 1):
+        for h in range(2, 9):
+            pairs = [(f[t, c], round(o[t + 1 + h, c] / o[t + 1, c] - 1, 9)) for c in {c for _, c in f} if None not in (f.get((t, c)), o.get((t + 1, c)), o.get((t + 1 + h, c))) and o[t + 1, c]]
+            ranks = [[sum(y < v for y in x) + (sum(y == v for y in x) + 1) / 2 for v in x] for x in zip(*pairs)]
+            ics[t, h] = np.corrcoef(*ranks)[0, 1]
+    got = {r.horizon: (r.mean_ic, r.n_days) for r in ev.horizon_decay(rows, 2, 8).collect()}
+    days = sorted({t for t, _ in ics if all(np.isfinite(ics[t, h]) for h in range(2, 9))})
+    assert set(got) == set(range(2, 9)) and all(got[h][1] == len(days) and abs(got[h][0] - np.mean([ics[t, h] for t in days])) < 1e-9 for h in got)
+
+
 def test_increments_equal_merging_and_leave_old_files_alone(spark, tmp_path):
     rng = random.Random(3)
     day = lambda k: DAY + datetime.timedelta(days=k)
