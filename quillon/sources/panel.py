@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from quillon.functions.texts import normalized_code, to_day
+from quillon.sources.store import place
 
 EPOCH = "1995-01-02"
 NUMBERS = ("c", "o", "h", "l", "vol", "amt", "vwap", "cap", "limit")
 FLAGS = ("st", "delisting")
 COLUMNS = ("t", "day", "code", *NUMBERS, *FLAGS, "industry")
+#: Compressed bytes of lines a task, some 450,000 lines.
+BYTES_A_TASK = 8 * 2**20
 
 
 def numbered_days(cells: DataFrame) -> DataFrame:
@@ -35,34 +38,57 @@ def densify(cells: DataFrame) -> DataFrame:
     return dense.withColumns({f: F.coalesce(f, F.lit(False)) for f in FLAGS if f in cells.columns}).select(*[c for c in COLUMNS if c == "t" or c in cells.columns])
 
 
+def tasks_for(spark: SparkSession, path: str) -> int:
+    """Tasks over which a table is dealt: one for BYTES_A_TASK of its files, so that none holds more when it grows."""
+    fs, p = place(spark, path)
+    return max(spark.sparkContext.defaultParallelism, -(-fs.getContentSummary(p).getLength() // BYTES_A_TASK))
+
+
 def weekly_panel(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
-    """A panel with suppliers as codes and weeks as days, from the lineitem, supplier and nation tables."""
+    """A panel with suppliers as codes and weeks as days, from the lineitem, supplier and nation tables.
+
+    Lines go to their code's task once, beside an empty one for every code and day, and are summed there: cells, missing
+    cells and all windows over a code follow without another shuffle. Supplier keys have six figures at most, as codes do.
+    """
     money = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity > 0")
-    rows = rows.withColumn("t", F.floor(F.datediff("l_shipdate", F.lit(EPOCH).cast("date")) / 7).cast("int"))
-    cells = rows.groupBy("t", "l_suppkey").agg(
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity > 0").select(
+        F.floor(F.datediff("l_shipdate", F.lit(EPOCH).cast("date")) / 7).cast("int").alias("week"),
+        normalized_code(F.col("l_suppkey")).alias("code"),
+        "l_suppkey", "l_quantity", "l_extendedprice",
+        ((F.col("l_returnflag") == "R") & (F.col("l_tax") >= 0.08)).alias("st"),
+        ((F.col("l_linestatus") == "F") & (F.col("l_tax") == 0) & (F.col("l_discount") == 0)).alias("delisting"),
+        F.lit(True).alias("line"),
+    )
+    weeks = lines.select("week").distinct().withColumn("t", (F.row_number().over(W.partitionBy(F.lit(1)).orderBy("week")) - 1).cast("int"))
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(spark.read.parquet(f"{sf_dir}/nation.parquet"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    suppliers = suppliers.select(F.col("s_suppkey").alias("l_suppkey"), "s_acctbal", F.when(F.col("s_nationkey") % 11 != 0, F.col("n_regionkey").cast("string")).alias("industry"))
+    # What is known of a supplier comes with its empty lines: suppliers meet codes, not lines or cells.
+    empty = lines.select("code", "l_suppkey").distinct().join(suppliers, "l_suppkey", "left").join(F.broadcast(weeks), F.lit(True), "cross")
+    rows = lines.where("week is not null and code is not null").unionByName(empty, allowMissingColumns=True).repartition(tasks_for(spark, f"{sf_dir}/lineitem.parquet"), "code")
+    cells = rows.groupBy("week", "code", "l_suppkey").agg(
         F.max(price).alias("h"),
         F.min(price).alias("l"),
-        (F.sum(price.cast("decimal(24,9)")).cast("double") / F.count(F.lit(1))).alias("o"),
+        (F.sum(price.cast("decimal(24,9)")).cast("double") / F.count("line")).alias("o"),
         money("l_quantity").alias("vol"),
         money("l_extendedprice").alias("amt"),
-        F.max((F.col("l_returnflag") == "R") & (F.col("l_tax") >= 0.08)).alias("st"),
-        F.max((F.col("l_linestatus") == "F") & (F.col("l_tax") == 0) & (F.col("l_discount") == 0)).alias("delisting"),
+        F.coalesce(F.max("st"), F.lit(False)).alias("st"),
+        F.coalesce(F.max("delisting"), F.lit(False)).alias("delisting"),
+        (F.count("line") > 0).alias("there"),
+        *[F.max(c).alias(c) for c in ("t", "s_acctbal", "industry")],
     )
-    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(spark.read.parquet(f"{sf_dir}/nation.parquet"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    suppliers = suppliers.select(F.col("s_suppkey").alias("l_suppkey"), "s_acctbal", F.when(F.col("s_nationkey") % 11 != 0, F.col("n_regionkey").cast("string")).alias("industry"))
-    cells = cells.join(suppliers, "l_suppkey", "left").withColumn("c", F.col("amt") / F.col("vol"))
-    cells = cells.select(
-        F.date_add(F.lit(EPOCH).cast("date"), F.col("t") * 7).alias("day"),
-        normalized_code(F.col("l_suppkey")).alias("code"),
-        "c", "o", "h", "l", "vol", "amt",
+    cells = cells.withColumn("c", F.col("amt") / F.col("vol"))
+    panel = cells.select(
+        "t",
+        F.date_add(F.lit(EPOCH).cast("date"), F.col("week") * 7).alias("day"),
+        "code", "c", "o", "h", "l", "vol", "amt",
         ((F.col("h") + F.col("l")) / 2).alias("vwap"),
         (F.col("s_acctbal") * F.col("c")).alias("cap"),
-        (0.1 * (F.col("l_suppkey") % 3 + 1)).alias("limit"),
-        "st", "delisting", "industry",
+        F.when(F.col("there"), 0.1 * (F.col("l_suppkey") % 3 + 1)).alias("limit"),
+        "st", "delisting",
+        F.when(F.col("there"), F.col("industry")).alias("industry"),
     )
-    return densify(cells.select(*[c for c in COLUMNS if c != "t" and (c in columns or c in ("day", "code"))]))
+    return panel.select(*[c for c in COLUMNS if c in columns or c in ("t", "day", "code")])
 
 
 def checked_codes(rows: DataFrame, column: str = "code") -> DataFrame:

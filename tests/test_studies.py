@@ -9,11 +9,13 @@ import pytest
 from compare import connection, differences
 from pyspark.sql import functions as F
 
+from quillon import queries as engine
 from quillon import studies
 from quillon.functions import rolling
 from quillon.operators import correlation, intervals, maintenance, pipeline, research, search
 from quillon.operators import evaluation as ev
 from quillon.plans import expression
+from quillon.sources import panel as panel_source
 from quillon.sources.panel import weekly_panel
 
 FOLDER = "/root/testdata/sf0.001"
@@ -177,6 +179,28 @@ def test_horizon_decay_in_small_pieces_equals_ranking_each_day(spark, monkeypatc
     assert set(got) == set(range(2, 9)) and all(got[h][1] == len(days) and abs(got[h][0] - np.mean([ics[t, h] for t in days])) < 1e-9 for h in got)
 
 
+def test_weekly_panel_deals_lines_once_and_by_size(spark, monkeypatch):
+    from quillon.plans.expression import factor
+
+    plan = factor(weekly_panel(spark, "/root/testdata/sf0.001"), "ts_mean(c, 5)")._jdf.queryExecution().executedPlan().toString()
+    # From lines to windows over a code there is one exchange by code; cells are not joined.
+    above = plan[: plan.index("Union")]
+    assert above.count("Exchange") == 1 and "Join" not in above
+    assert panel_source.tasks_for(spark, "/root/testdata/sf0.001/lineitem.parquet") == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(panel_source, "BYTES_A_TASK", 1000)
+    assert panel_source.tasks_for(spark, "/root/testdata/sf0.001/lineitem.parquet") > 50
+
+
+def test_weekly_panel_of_odd_lines_equals_its_sql(spark, tmp_path):
+    con = connection("/root/testdata/sf0.001")
+    for t in ("supplier", "nation"):
+        con.sql(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    odd = "SELECT * REPLACE (CASE WHEN l_orderkey % 3 = 0 THEN NULL WHEN l_orderkey % 3 = 1 THEN 987654 ELSE l_suppkey END AS l_suppkey, CASE WHEN l_linenumber = 1 THEN 0 WHEN l_linenumber = 2 THEN NULL ELSE l_quantity END AS l_quantity, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_tax END AS l_tax, CASE WHEN l_linenumber = 4 THEN NULL ELSE l_extendedprice END AS l_extendedprice) FROM lineitem WHERE l_orderkey % 50 < 3"
+    con.sql(f"COPY (SELECT * FROM lineitem WHERE l_orderkey % 50 >= 3 UNION ALL {odd}) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    frame = engine.queries()["panel_weekly"](spark, str(tmp_path))
+    assert differences(frame, connection(str(tmp_path)), engine.oracle_sql()["panel_weekly"]) == []
+
+
 def test_increments_equal_merging_and_leave_old_files_alone(spark, tmp_path):
     rng = random.Random(3)
     day = lambda k: DAY + datetime.timedelta(days=k)
