@@ -440,9 +440,14 @@ def _causality(check) -> Query:
     """A causal factor and one that looks a day ahead, on the same days."""
 
     def run(spark, d):
-        panel = weekly_panel(spark, d, ("t", "day", "code", "c"))
+        # The days and ten frames are built from the panel: it is kept by code and in order, so that none sums or sorts lines again.
+        panel = weekly_panel(spark, d, ("t", "day", "code", "c")).select("t", "code", "c").sortWithinPartitions("code", "t").persist()
         at = research.checkpoints(factor(panel, CAUSAL))
-        return check(panel, CAUSAL, at).withColumn("kind", F.lit("causal")).unionByName(check(panel, _looking_ahead, at).withColumn("kind", F.lit("ahead")))
+        out = check(panel, CAUSAL, at).withColumn("kind", F.lit("causal")).unionByName(check(panel, _looking_ahead, at).withColumn("kind", F.lit("ahead")))
+        # A row a checked day, computed before the panel goes.
+        found = spark.createDataFrame(out.collect(), out.schema)
+        panel.unpersist()
+        return found
 
     return run
 

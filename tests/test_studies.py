@@ -263,3 +263,28 @@ def test_long_windows_of_the_language_are_the_short_ones_way(spark, monkeypatch)
             m.setattr(rolling, "SLIDE_FROM", 1000)
             plain = expression.factor(panel, text).toPandas().sort_values(["t", "code"])["factor"].to_numpy(float)
         assert np.allclose(slid, plain, equal_nan=True, atol=1e-12)
+
+
+def counted(spark, frame):
+    """frame, and a counter of the rows of it that were computed."""
+    rows = spark.sparkContext.accumulator(0)
+
+    def tap(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    return frame.mapInArrow(tap, frame.schema), rows
+
+
+def causality_computes_its_panel_once(spark, monkeypatch, name):
+    panel = weekly_panel(spark, FOLDER, ("t", "day", "code", "c"))
+    tapped, rows = counted(spark, panel)
+    monkeypatch.setattr(engine, "weekly_panel", lambda *a: tapped)
+    found = engine.queries()[name](spark, FOLDER)
+    assert differences(found, connection(FOLDER), engine.oracle_sql()[name]) == []
+    assert rows.value == panel.count()
+
+
+def test_future_perturbation_computes_its_panel_once(spark, monkeypatch):
+    causality_computes_its_panel_once(spark, monkeypatch, "future_data_perturbation")
