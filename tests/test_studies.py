@@ -288,3 +288,7 @@ def causality_computes_its_panel_once(spark, monkeypatch, name):
 
 def test_future_perturbation_computes_its_panel_once(spark, monkeypatch):
     causality_computes_its_panel_once(spark, monkeypatch, "future_data_perturbation")
+
+
+def test_prefix_truncation_computes_its_panel_once(spark, monkeypatch):
+    causality_computes_its_panel_once(spark, monkeypatch, "prefix_truncation_consistency")
