@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillon.functions.rolling import affine_scan, average_rank, rank_cs
 from quillon.functions.rules import finite
 from quillon.operators.labels import blocks
+from quillon.sources import scratch
 
 YEAR = 252
 BUY_COST, SELL_COST = 0.00125, 0.00175
@@ -72,11 +73,14 @@ def assign_quantile(frame: DataFrame, factor_name: str = "score", n_quantiles: i
 def calc_group_returns(frame: DataFrame, group_col: str = "group", ret_col: str = "f1", n_quantiles: int | None = None) -> DataFrame:
     """(day, G1, ..., GN): equal-weighted returns, a column for each group. A group that never occurs is an error if n_quantiles is given."""
     rows = frame.where(F.col(group_col).isNotNull() & F.col(ret_col).isNotNull())
-    there = sorted(int(r[0]) for r in rows.select(group_col).distinct().collect())
+    # One small row a day and group, stored: which groups there are is asked of it, and frame is computed once.
+    means = scratch.stored(rows.groupBy("day", group_col).agg(F.avg(ret_col).alias("_mean")), "group_returns")
+    there = sorted(int(r[0]) for r in means.select(group_col).distinct().collect())
     missing = sorted(set(range(1, (n_quantiles or 0) + 1)) - set(there))
     if missing:
+        scratch.forget(means)
         raise ValueError(f"no rows in groups {missing}")
-    out = rows.groupBy("day").pivot(group_col, there).agg(F.avg(ret_col))
+    out = means.groupBy("day").pivot(group_col, there).agg(F.first("_mean"))
     return out.select("day", *[F.col(f"`{g}`").alias(f"G{g}") for g in there])
 
 

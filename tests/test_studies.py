@@ -292,3 +292,13 @@ def test_future_perturbation_computes_its_panel_once(spark, monkeypatch):
 
 def test_prefix_truncation_computes_its_panel_once(spark, monkeypatch):
     causality_computes_its_panel_once(spark, monkeypatch, "prefix_truncation_consistency")
+
+
+def test_group_returns_compute_their_frame_once(spark):
+    frame, rows = counted(spark, small_panel(spark).withColumn("group", F.when(F.col("vol") > 1, (F.col("vol") % 3 + 1).cast("int"))))
+    got = {r.day: r for r in ev.calc_group_returns(frame, "group", "c", 3).collect()}
+    assert rows.value == 90 * 7
+    want = {(r.day, r.group): r.m for r in frame.where("group is not null and c is not null").groupBy("day", "group").agg(F.avg("c").alias("m")).collect()}
+    assert {(d, g): r[f"G{g}"] for d, r in got.items() for g in (1, 2, 3) if r[f"G{g}"] is not None} == pytest.approx(want)
+    with pytest.raises(ValueError, match="4"):
+        ev.calc_group_returns(frame, "group", "c", 4)
