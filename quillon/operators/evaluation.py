@@ -39,6 +39,38 @@ def rank_ic(rows: DataFrame, by: tuple[str, ...] = ("t", "day")) -> DataFrame:
     return rank_sums(rows, by).where("va > 0 and vb > 0").select(*by, (F.col("cov") / F.sqrt(F.col("va") * F.col("vb"))).alias("ic"), "n")
 
 
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """Average-tie ranks less their mean."""
+    _, at, counts = np.unique(x, return_inverse=True, return_counts=True)
+    return (np.cumsum(counts) - (counts - 1) / 2)[at] - (len(x) + 1) / 2
+
+
+def rank_ics(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(name, t, day, ic, n) of several factors that stand side by side in rows, as rank_ic gives for each of them.
+
+    Days are shuffled once for all factors, and not sorted by any: a task ranks one day's numbers in memory.
+    """
+    texts = pa.array(names, pa.string())
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        numbers = lambda c: table.column(c).to_numpy().astype(float)
+        label, ics, many = numbers("_label"), np.full(len(names), np.nan), np.zeros(len(names), np.int64)
+        for i in range(len(names)):
+            x = numbers(f"_x{i}")
+            ok = np.isfinite(x) & np.isfinite(label)
+            many[i] = ok.sum()
+            if many[i] >= 3:
+                a, b = _ranks(x[ok]), _ranks(label[ok])
+                va, vb = a @ a, b @ b
+                if va > 0 and vb > 0:
+                    ics[i] = a @ b / np.sqrt(va * vb)
+        out = pa.table({"name": texts, "t": pa.array([key[0].as_py()] * len(names), pa.int32()), "day": pa.array([key[1].as_py()] * len(names), pa.date32()), "ic": ics, "n": many})
+        return out.filter(pa.array(np.isfinite(ics)))
+
+    cells = rows.select(F.col("t").cast("int").alias("t"), F.col("day").cast("date").alias("day"), finite(F.col("fwd")).cast("double").alias("_label"), *[finite(F.col(c)).cast("double").alias(f"_x{i}") for i, c in enumerate(names)])
+    return cells.where("_label is not null").groupBy("t", "day").applyInArrow(run, "name string, t int, day date, ic double, n long")
+
+
 def ic_summary(rows: DataFrame) -> DataFrame:
     """One row: days with an IC, pairs of all days with 3 or more, and the first and last day with an IC."""
     ok = F.expr("va > 0 and vb > 0")

@@ -47,8 +47,7 @@ def _population_sql() -> str:
 def _four(spark, d) -> DataFrame:
     """(name, t, day, ic) of the four factors."""
     rows = labels.forward_open_return(factors(weekly_panel(spark, d), {k: x for k, (x, _) in FOUR.items()}), 1).withColumn("fwd", F.round("fwd", 9))
-    long = rows.select("t", "day", "code", "fwd", *FOUR).unpivot(["t", "day", "code", "fwd"], list(FOUR), "name", "factor")
-    return ev.rank_ic(long.withColumn("factor", F.round("factor", 9)), ("name", "t", "day"))
+    return ev.rank_ics(rows.withColumns({k: F.round(k, 9) for k in FOUR}), list(FOUR))
 
 
 def _retargeted(sql: str, columns: str) -> str:

@@ -302,3 +302,20 @@ def test_group_returns_compute_their_frame_once(spark):
     assert {(d, g): r[f"G{g}"] for d, r in got.items() for g in (1, 2, 3) if r[f"G{g}"] is not None} == pytest.approx(want)
     with pytest.raises(ValueError, match="4"):
         ev.calc_group_returns(frame, "group", "c", 4)
+
+
+def test_rank_ics_of_factors_side_by_side_equal_rank_ic_of_each(spark):
+    nothing = F.lit(None).cast("double")
+    rows = small_panel(spark, 40, 9, 3).withColumn("fwd", F.when(F.col("t") != 5, F.col("o"))).withColumn("endless", F.when(F.col("c") > 6, F.lit(float("inf"))).otherwise(-F.col("c")))
+    rows = rows.withColumn("flat", F.lit(1.0)).withColumn("none", nothing).withColumn("few", F.when(F.col("code") < "000002", F.col("c")))
+    names = ["c", "vol", "endless", "flat", "none", "few"]
+    found = ev.rank_ics(rows, names)
+    want = {(name, r.t, r.day): (r.n, r.ic) for name in names for r in ev.rank_ic(rows.withColumn("factor", F.col(name))).collect()}
+    got = {(r.name, r.t, r.day): (r.n, r.ic) for r in found.collect()}
+    assert got.keys() == want.keys() and len(got) > 100 and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-12 for k in got)
+
+
+def test_factors_of_a_study_are_neither_repeated_nor_sorted_by_name(spark):
+    plan = studies.queries()["newey_west_factors"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    # A row a cell for all four factors, dealt by day once; no window ranks a factor.
+    assert "Expand" not in plan and "rank(" not in plan
