@@ -19,8 +19,13 @@ def no_nan(x: Column) -> Column:
     return F.nanvl(x, F.lit(None).cast("double"))
 
 
+def is_finite(x: Column) -> Column:
+    """True or false, null for missing. Names x once: a filter repeats what a column stands for each time it is named."""
+    return F.abs(x.cast("double")) <= LARGEST
+
+
 def finite(x: Column) -> Column:
-    return F.when((x >= -LARGEST) & (x <= LARGEST), x)
+    return F.when(is_finite(x), x)
 
 
 def divide(a: Column, b: Column) -> Column:

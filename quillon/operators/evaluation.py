@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.rolling import affine_scan, average_rank, rank_cs
-from quillon.functions.rules import finite
+from quillon.functions.rules import finite, is_finite
 from quillon.operators.labels import blocks
 from quillon.sources import scratch
 
@@ -27,7 +27,7 @@ def pairs(rows: DataFrame) -> DataFrame:
 
 def rank_sums(rows: DataFrame, by: tuple[str, ...] = ("t", "day"), factor: str = "factor", label: str = "fwd") -> DataFrame:
     """(by, n, va, vb, cov): sums over the ranks of the days' pairs, times n and centred; days of fewer than 3 pairs go."""
-    ranked = rows.where(finite(F.col(factor)).isNotNull() & finite(F.col(label)).isNotNull())
+    ranked = rows.where(is_finite(F.col(factor)) & is_finite(F.col(label)))
     ranked = ranked.withColumn("_a", average_rank(F.col(factor), *by)).withColumn("_b", average_rank(F.col(label), *by))
     a, b = F.col("_a"), F.col("_b")
     sums = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(a).alias("sa"), F.sum(b).alias("sb"), F.sum(a * a).alias("saa"), F.sum(b * b).alias("sbb"), F.sum(a * b).alias("sab"))

@@ -15,7 +15,9 @@ def forward_open_return(panel: DataFrame, horizon: int = 1, name: str = "fwd") -
     if isinstance(horizon, bool) or not isinstance(horizon, int) or horizon < 1:
         raise ValueError("the horizon must be a whole number of 1 or more")
     ahead = W.partitionBy("code").orderBy("t")
-    return panel.withColumn(name, finite(divide(F.lead("o", horizon + 1).over(ahead), F.lead("o", 1).over(ahead)) - 1))
+    # Columns of their own: a window function is computed each time it is named, and the quotient names its sides often.
+    panel = panel.withColumns({"_bought": F.lead("o", 1).over(ahead), "_sold": F.lead("o", horizon + 1).over(ahead)})
+    return panel.withColumn(name, finite(divide(F.col("_sold"), F.col("_bought")) - 1)).drop("_bought", "_sold")
 
 
 def sample_window(rows: DataFrame, first=None, last=None, horizon: int = 1, calendar: DataFrame | None = None, zone: str | None = None) -> DataFrame:

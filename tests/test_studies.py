@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon import queries as engine
 from quillon import studies
-from quillon.functions import rolling
+from quillon.functions import rolling, rules
 from quillon.operators import correlation, intervals, maintenance, pipeline, research, search
 from quillon.operators import evaluation as ev
 from quillon.plans import expression
@@ -319,3 +319,19 @@ def test_factors_of_a_study_are_neither_repeated_nor_sorted_by_name(spark):
     plan = studies.queries()["newey_west_factors"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     # A row a cell for all four factors, dealt by day once; no window ranks a factor.
     assert "Expand" not in plan and "rank(" not in plan
+
+
+def test_a_filter_on_labels_names_them_once_and_leads_are_computed_once(spark):
+    plan = ev.rank_ic(engine.evaluated(spark, FOLDER))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lead(o") == 2
+    filters = [x for x in plan.split("\n") if "Filter" in x and "round(" in x]
+    assert len(filters) == 1 and filters[0].count("round(") == 2
+
+
+def test_finite_values_are_told_from_the_others(spark):
+    numbers = [0.0, -0.0, 1.5, -1.7976931348623157e308, 1.7976931348623157e308, math.inf, -math.inf, math.nan, None]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double")
+    got = {r.i: (r.ok, r.x) for r in frame.select("i", rules.is_finite(F.col("x")).alias("ok"), rules.finite(F.col("x")).alias("x")).collect()}
+    assert all(got[i] == ((None, None) if x is None else (True, x) if math.isfinite(x) else (False, None)) for i, x in enumerate(numbers))
+    whole = spark.createDataFrame([(-(2**63),), (5,)], "x long").select(rules.finite(F.col("x"))).collect()
+    assert [r[0] for r in whole] == [-(2**63), 5]
